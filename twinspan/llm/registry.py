@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op3_best_fit_packing
 from .simhash import op4_simhash
 
-QUERIES = {"op4_simhash": op4_simhash}
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash}
 ORACLE: dict[str, str] = {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .packing import op3_best_fit_packing
+from .pieces import op7_sentencepiece
 from .simhash import op4_simhash
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash}
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op7_sentencepiece": op7_sentencepiece}
 ORACLE: dict[str, str] = {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .packing import op3_best_fit_packing
 from .pieces import op7_sentencepiece
+from .quality_rules import op8_quality_rules
 from .simhash import op4_simhash
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op7_sentencepiece": op7_sentencepiece}
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op7_sentencepiece": op7_sentencepiece, "op8_quality_rules": op8_quality_rules}
 ORACLE: dict[str, str] = {}

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .packing import op3_best_fit_packing
 from .pieces import op7_sentencepiece
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .simhash import op4_simhash
+from .substrings import op10_substring_dedup
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op7_sentencepiece": op7_sentencepiece, "op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash": op4_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 ORACLE: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .edit_counts import op6_edit_counts
 from .media import op5_media_columns
 from .packing import op3_best_fit_packing
 from .pieces import op7_sentencepiece
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_media_columns": op5_media_columns,
+    "op6_edit_counts": op6_edit_counts,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,

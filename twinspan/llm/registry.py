@@ -12,9 +12,13 @@ from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .simhash import op4_simhash
 from .substrings import op10_substring_dedup
+from .toxicity import op2_toxicity_chain
+from .url_filter import op1_url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_url_filter": op1_url_filter,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_media_columns": op5_media_columns,

@@ -24,7 +24,7 @@ MAX_TOKEN = 256  # a longer token is cut into stretches of so many characters be
 MAX_RULES = 1_000
 SMOOTHING = 1.0
 SEED_SHARE = 1_000  # each seed word counts as one in so many words of the pages at least
-RARE, NUMBER = "<rare>", "<number>"
+NUMBER = "<number>"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 # Words of urls that are to be blocked.
 SEEDS = ("adult", "ads", "bets", "betting", "casino", "escort", "pills", "poker", "porn", "spam", "viagra", "xxx")
@@ -91,7 +91,7 @@ class Segmenter:
         return out[::-1]
 
     def __call__(self, part: str) -> list[str]:
-        """Words of a host or path: letters are split, digits become NUMBER, unknown words RARE."""
+        """Words of a host or path: letters are split, digits become NUMBER; unknown stretches tell nothing and go."""
         out: list[str] = []
         for token in _TOKEN.findall(part.lower()):
             words = self.known.get(token)
@@ -102,7 +102,7 @@ class Segmenter:
                         words.append(NUMBER)
                     else:
                         for at in range(0, len(run), MAX_TOKEN):
-                            words += [w if w in self.cost else RARE for w in self.split(run[at : at + MAX_TOKEN])]
+                            words += [w for w in self.split(run[at : at + MAX_TOKEN]) if w in self.cost]
                 if len(self.known) > 100_000:
                     self.known.clear()
                 self.known[token] = words

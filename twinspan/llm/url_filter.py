@@ -22,7 +22,7 @@ VOCABULARY = 50_000  # words of the unigram model: the most frequent ones, ties
 MAX_WORD = 24
 MAX_TOKEN = 256  # a longer token is cut into stretches of so many characters before the search
 MAX_RULES = 1_000
-SMOOTHING = 1.0
+SMOOTHING = 0.1
 SEED_SHARE = 1_000  # each seed word counts as one in so many words of the pages at least
 NUMBER = "<number>"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))

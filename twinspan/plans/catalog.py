@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import interval_queries
+
+_PARTS = (interval_queries,)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -8,6 +8,7 @@ characters, hashed into BUCKETS buckets; the ratio's model is one double per buc
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from .common import table
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000  # at most so many trusted documents stand for the target; the raw counts are of all rows
-THRESHOLD = -0.4  # nats per n-gram
+THRESHOLD = -0.3  # nats per n-gram
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated 3-word windows
 SPACES = " \t\n\x0b\f\r"
@@ -27,40 +28,51 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: a lambda's variable is never replaced by its expression,
+    while the optimizer may put a projected column's into a lambda that runs once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(w: Column) -> Column:
-    """Buckets of the text's words and of its pairs of neighbouring word ends."""
-    ends = lambda i: F.xxhash64(F.substring(w[i - 1], -3, 3), F.substring(w[i], -3, 3))
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.pmod(ends(i), F.lit(BUCKETS)).cast("int")))
-    return F.concat(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")), F.coalesce(pairs, F.array().cast("array<int>")))
-
-
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to a table (doc_id, text, w).
-
-    Equal 3-word windows stand side by side once they are sorted with their places; each place that has an
-    equal neighbour then adds those of its three words which the place before it hasn't covered."""
-    n = F.size("w")
-    windows = F.when(n > 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.concat_ws(" ", F.col("w")[i - 1], F.col("w")[i], F.col("w")[i + 1]).alias("w"), i.alias("i"))))
-    full_lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    at = docs.withColumn("_lines", full_lines).withColumn("_sorted", F.array_sort(windows))
-    same = lambda x, k: F.coalesce(F.get("_sorted", k) ["w"] == x["w"], F.lit(False))
-    places = F.array_sort(F.transform(F.filter("_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
-    covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-2).alias("i")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["i"])).alias("n"), p.alias("i")), lambda a: a["n"])
-    without = F.translate("text", SPACES, "")
-    return at.select(
-        "doc_id",
-        "w",
-        n.cast("long").alias("n_words"),
-        F.char_length(without).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    """Buckets of the words and of the pairs of neighbouring words' ends."""
+    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
+    pairs = lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: bucket(e[i - 1], e[i]))
+    ends = F.transform(w, lambda x: F.substring(x, -3, 3))
+    return F.concat(F.transform(w, lambda x: bucket(x)), F.when(F.size(w) > 1, let(ends, pairs)).otherwise(F.array().cast("array<int>")))
+
+
+def _window(w: Column, i: Column) -> Column:
+    return F.concat_ws(" ", w[i - 1], w[i], w[i + 1])
+
+
+def n_repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that the text has twice or more.
+
+    Each window's half hash and place make one long: primitives sort fast, and only windows that share the half
+    hash with another one (all true repeats among them) go on to be compared as words. Equal windows then
+    stand side by side, sorted with their places; each place that has an equal neighbour adds those of its
+    three words which the place before it hasn't covered."""
+    half = lambda i: F.shiftleft(F.xxhash64(w[i - 1], w[i], w[i + 1]), 32).bitwiseOR(i.cast("long"))
+    packed = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - 2), half))
+    beside = lambda of, same: F.filter(of, lambda x, k: F.coalesce(same(F.get(of, k - 1), x), F.lit(False)) | F.coalesce(same(F.get(of, k + 1), x), F.lit(False)))
+    shared = lambda p: beside(p, lambda y, x: F.shiftright(y, 32) == F.shiftright(x, 32))
+    place = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    compared = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(_window(w, place(x)).alias("w"), place(x).alias("i"))))
+    places = lambda s: F.sort_array(F.transform(beside(s, lambda y, x: y["w"] == x["w"]), lambda x: x["i"]))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-2).alias("i"))
+    step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["i"])).alias("n"), p.alias("i"))
+    covered = lambda s: F.aggregate(places(s), start, step, lambda a: a["n"])
+    return F.when(F.size(w) > 3, let(packed, lambda p: let(shared(p), lambda c: let(compared(c), covered)))).otherwise(F.lit(0))
+
+
+def _n_dup_lines(text: Column) -> Column:
+    full = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    return let(full, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.withColumn("w", words(F.col("text")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
@@ -72,7 +84,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     """
     some = trusted.select(F.col(id_col).cast("long").alias("doc_id")).na.drop().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
     flagged = _texts(docs, id_col, text_col).join(F.broadcast(some.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    counted = flagged.select("trusted", F.explode(grams(F.col("w"))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
+    counted = flagged.select("trusted", F.explode(let(words(F.col("text")), grams)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counted.collect():  # at most BUCKETS rows
         raw[r["bucket"]] += r["raw"]
@@ -88,14 +100,24 @@ def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, id_
     are judged whole. Repeated rows each get their row. Other columns are not read. Empty: empty result.
     """
     model = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folds into one literal
-    rows = base_counts(_texts(docs, id_col, text_col)).withColumn("_grams", grams(F.col("w")))
-    mean = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.greatest(F.size("_grams"), F.lit(1))
+    text = F.col("text")
+
+    def judged(w: Column) -> Column:
+        mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.greatest(F.size(g), F.lit(1))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+            (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            _n_dup_lines(text).cast("long").alias("n_dup_lines"),
+            n_repeat_words(w).cast("long").alias("n_repeat_words"),
+            let(grams(w), mean).alias("ratio"),
+        )
+
+    # inline() of the one struct keeps its expressions from being copied into what is selected above it
+    rows = _texts(docs, id_col, text_col).select("doc_id", F.inline(F.transform(F.array(words(text)), judged)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return (
-        rows.drop("w")
-        .withColumn("base_failed", failed)
-        .withColumn("ratio", mean)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio"
     )
 
 

@@ -84,7 +84,7 @@ def p11_filter_sets(spark, d) -> DataFrame:
 @query("SELECT doc_id, length(seq) AS len, length(seq) - length(translate(seq, 'ACGT', '')) AS known, CAST(length(translate(seq, 'ACGT', '')) AS DOUBLE) / greatest(length(seq), 1) > 0.1 AS too_unknown FROM seqs", "seqs")
 def p18_unknown_fraction(spark, d) -> DataFrame:
     known = F.length("seq") - F.length(F.translate("seq", "ACGT", ""))
-    return view(spark, d, "seqs").select("doc_id", F.length("seq").alias("len"), known.alias("known"), ((F.length("seq") - known) / F.greatest(F.length("seq"), F.lit(1)) > 0.1).alias("too_unknown"))
+    return view(spark, d, "seqs").select("doc_id", F.length("seq").cast("bigint").alias("len"), known.cast("bigint").alias("known"), ((F.length("seq") - known) / F.greatest(F.length("seq"), F.lit(1)) > 0.1).alias("too_unknown"))
 
 
 @query("""SELECT w.sample_id, w.window_ix FROM win_depth w JOIN (SELECT sample_id, quantile_cont(depth1, 0.5) m1, quantile_cont(depth2, 0.5) m2 FROM win_depth GROUP BY 1) q
@@ -197,10 +197,10 @@ def j13_exact_match(spark, d) -> DataFrame:
     return b.join(o, (b.b_id == o.o_orderkey) & (b.chrom_id == o.c), "left").agg(F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("matched"))
 
 
-@query("SELECT d.doc_id, CAST(l.quality AS BIGINT) AS fval FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
+@query("SELECT d.doc_id, CAST(coalesce(l.quality, -1) AS BIGINT) AS fval FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
 def j14_model_values(spark, d) -> DataFrame:
     values = view(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("bigint").alias("fval"))
-    return view(spark, d, "documents").select("doc_id").join(values, "doc_id", "left")
+    return view(spark, d, "documents").select("doc_id").join(values, "doc_id", "left").withColumn("fval", F.coalesce("fval", F.lit(-1)))
 
 
 @query(f"SELECT b_id, a_id FROM (SELECT b.b_id, a.a_id, count(*) OVER (PARTITION BY b.b_id) AS k FROM {_PAIRS}) WHERE k = 1", "iv_a", "iv_b")
@@ -210,11 +210,11 @@ def j16_unique_overlap(spark, d) -> DataFrame:
 
 
 @query("""WITH ov AS (SELECT chrom_id, s, e, b_id % 7 AS cn FROM iv_b WHERE b_id % 50 = 1) SELECT a.b_id, count(o.cn) AS n_entries,
-    CAST(CASE WHEN count(o.cn) = 0 THEN 2 WHEN count(o.cn) = 1 THEN min(o.cn) END AS BIGINT) AS cn FROM iv_b a LEFT JOIN ov o ON a.chrom_id = o.chrom_id AND o.s <= a.s AND o.e >= a.e GROUP BY 1""", "iv_b")
+    CAST(CASE WHEN count(o.cn) = 0 THEN 2 WHEN count(o.cn) = 1 THEN min(o.cn) ELSE -1 END AS BIGINT) AS cn FROM iv_b a LEFT JOIN ov o ON a.chrom_id = o.chrom_id AND o.s <= a.s AND o.e >= a.e GROUP BY 1""", "iv_b")
 def j20_cn_lookup_default(spark, d) -> DataFrame:
     b = view(spark, d, "iv_b")
     entries = b.filter("b_id % 50 = 1").select("chrom_id", "s", "e", (F.col("b_id") % 7).cast("bigint").alias("cn"))
-    return iv.lookup_with_default(b, entries, "cn", 2, ["b_id"]).select("b_id", "n_entries", "cn")
+    return iv.lookup_with_default(b, entries, "cn", 2, ["b_id"]).select("b_id", "n_entries", F.coalesce("cn", F.lit(-1)).cast("bigint").alias("cn"))
 
 
 @query("""SELECT x.b_id AS id1, y.b_id AS id2 FROM iv_b x JOIN iv_b y ON x.chrom_id = y.chrom_id AND (x.s < y.s OR (x.s = y.s AND x.b_id < y.b_id)) AND x.b_id % 2 = y.b_id % 2 AND x.s < y.e AND y.s < x.e AND y.e > x.e""", "iv_b")
@@ -337,10 +337,10 @@ def w24_unphased_neighbours(spark, d) -> DataFrame:
     return rel.neighbour_pairs(het, "sample_id", "psv_ix", ahead=2, max_distance=2).select("sample_id", F.col("psv_ix").alias("psv1"), F.col("y_psv_ix").alias("psv2"))
 
 
-@query("SELECT sample_id, window_ix, CAST((lag(window_ix) OVER w + window_ix + 1) // 2 AS BIGINT) AS left_bound, CAST((lead(window_ix) OVER w + window_ix + 1) // 2 AS BIGINT) AS right_bound FROM win_depth WHERE depth1 % 3 > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY window_ix)", "win_depth")
+@query("SELECT sample_id, window_ix, CAST(coalesce((lag(window_ix) OVER w + window_ix + 1) // 2, -1) AS BIGINT) AS left_bound, CAST(coalesce((lead(window_ix) OVER w + window_ix + 1) // 2, -1) AS BIGINT) AS right_bound FROM win_depth WHERE depth1 % 3 > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY window_ix)", "win_depth")
 def w25_window_boundaries(spark, d) -> DataFrame:
     w = Window.partitionBy("sample_id").orderBy("window_ix")
-    half = lambda f: F.floor((f("window_ix").over(w) + F.col("window_ix") + 1) / 2)
+    half = lambda f: F.coalesce(F.floor((f("window_ix").over(w) + F.col("window_ix") + 1) / 2), F.lit(-1))
     return view(spark, d, "win_depth").filter("depth1 % 3 > 0").select("sample_id", "window_ix", half(F.lag).alias("left_bound"), half(F.lead).alias("right_bound"))
 
 
@@ -364,7 +364,7 @@ def t02_argmax(spark, d) -> DataFrame:
 
 @query("SELECT psv_ix, rn, sample_id, n0 FROM (SELECT *, row_number() OVER (PARTITION BY psv_ix ORDER BY n0 DESC, sample_id) AS rn FROM allele_counts) WHERE rn <= 2", "allele_counts")
 def t04_best_two(spark, d) -> DataFrame:
-    return rel.top_rows(view(spark, d, "allele_counts"), ["psv_ix"], [F.desc("n0"), F.asc("sample_id")], 2, "rn").select("psv_ix", "rn", "sample_id", "n0")
+    return rel.top_rows(view(spark, d, "allele_counts"), ["psv_ix"], [F.desc("n0"), F.asc("sample_id")], 2, "rn").select("psv_ix", F.col("rn").cast("bigint").alias("rn"), "sample_id", "n0")
 
 
 @query("SELECT c_nationkey, CASE WHEN count(*) > 10 THEN array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 10), ',') || ',...' ELSE array_to_string(list(c_custkey ORDER BY c_custkey), ',') END AS samples FROM customer GROUP BY 1")

@@ -21,10 +21,10 @@ from .common import ascii_lower, batch_of, slices, table
 DIM = 1 << 18
 SAMPLE = 12_000  # labelled documents that the chain is trained on, those with the least hashes; the bound of the fit
 FOLDS = 3
-STEPS = 80
+STEPS = 250
 RATE = 0.5
 L2 = 1e-4
-EVIDENCE = 25.0  # least G^2 of a feature against the class, so that chance alone brings in next to none
+EVIDENCE = 15.0  # least G^2 of a feature against the class, so that chance alone brings in next to none
 CUT = 0.5
 REMEMBERED = 200_000
 # Words that name the two earlier categories in labelled toxic documents.

@@ -66,7 +66,9 @@ class _Compiler:
             return -self.value(node.operand, False)
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _FUNCTIONS and not node.keywords:
             return _FUNCTIONS[node.func.id](*(self.value(a, node.func.id == "str") for a in node.args))
-        return self.condition(node)
+        if isinstance(node, (ast.BoolOp, ast.Compare, ast.IfExp)) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return self.condition(node)
+        raise ValueError(f"not part of the language: {ast.dump(node)}")
 
     def condition(self, node: ast.AST) -> Column:
         if isinstance(node, ast.BoolOp):
@@ -79,7 +81,7 @@ class _Compiler:
             return ~self.condition(node.operand)
         if isinstance(node, ast.IfExp):
             text = self.text(node.body) or self.text(node.orelse)
-            return F.when(self.condition(node.test), self.value(node.body, text)).otherwise(self.value(node.orelse, text))
+            return F.when(self.condition(node.test), self.value(node.body, text)).otherwise(self.value(node.orelse, text)).cast("boolean")
         if isinstance(node, ast.Compare):
             sides = [node.left, *node.comparators]
             text = any(map(self.text, sides))

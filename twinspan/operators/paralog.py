@@ -67,45 +67,63 @@ def information(n1: np.ndarray, n2: np.ndarray) -> float:
 
 
 def fit_f_values(counts: np.ndarray, totals: np.ndarray, iterations: int = 100, tolerance: float = 0.01, copies: int = 2) -> dict:
+    """Fits that start from all variants and from either cluster of variants that go together; the one under which
+    all variants' counts are likeliest is taken. A noisy variant can hold a fit from all of them back."""
+    variants = len(counts)
+    starts = [np.ones(variants, bool)]
+    if variants >= 4:
+        share = counts[:, :, 0] / np.maximum(counts.sum(axis=2), 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.nan_to_num(np.corrcoef(share))
+        labels = cluster_two(1 - r)
+        starts += [labels == k for k in (0, 1) if 2 <= (labels == k).sum() < variants]
+    return max((_fit(counts, totals, iterations, tolerance, copies, use) for use in starts), key=lambda m: m["explained"])
+
+
+def _fit(counts: np.ndarray, totals: np.ndarray, iterations: int, tolerance: float, copies: int, use: np.ndarray) -> dict:
     """counts: (variants, samples, 2); totals: copy number of each sample. E-step: posteriors of the splits of each
-    sample, by all variants weighted with their f-values; M-step: each variant's f-values one after the other
-    under a Beta(5, 1) prior on the larger one. Ends when the likelihood gains less than tolerance."""
+    sample by the variants in use, weighted with their information and f-values; M-step: each variant's f-values one
+    after the other under a Beta(5, 1) prior on the larger one. Semi-reliable variants are in use from then on, if
+    there are any. Ends when the likelihood changes by less than tolerance."""
     variants, samples, _ = counts.shape
-    f = np.full((variants, copies), 0.9)
+    f = np.full((variants, copies), 0.98)
     tuples = {t: copy_tuples(int(t), copies) for t in np.unique(totals)}
     priors = {t: split_priors(x) for t, x in tuples.items()}
     groups = {t: np.flatnonzero(totals == t) for t in tuples}
     weights = np.array([information(counts[v, :, 0], counts[v, :, 1]) for v in range(variants)])
     history: list[float] = []
+    posterior: dict = {}
 
-    def variant_log(v: int, fv: np.ndarray, posterior: dict) -> float:
+    def variant_log(v: int, fv: np.ndarray) -> float:
         out = math.log(5) + 4 * math.log(max(fv.max(), 1e-12))
         for t, own in groups.items():
             out += float((posterior[t] * psv_support(counts[v, own, 0], counts[v, own, 1], tuples[t], fv)).sum())
         return out
 
-    posterior: dict = {}
     for _ in range(iterations):
         total = 0.0
         for t, own in groups.items():
             logs = np.tile(priors[t], (len(own), 1))
-            for v in range(variants):
+            for v in np.flatnonzero(use):
                 logs = logs + weights[v] * f[v].min() * psv_support(counts[v, own, 0], counts[v, own, 1], tuples[t], f[v])
             norm = np_logsumexp(logs, axis=1)
             total += float(norm.sum())
             posterior[t] = np.exp(logs - norm[:, None])
         history.append(total)
-        if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
-            break
         for v in range(variants):
             for c in range(copies):
                 def loss(x: float, v: int = v, c: int = c) -> float:
                     fv = f[v].copy()
                     fv[c] = x
-                    return -variant_log(v, fv, posterior)
+                    return -variant_log(v, fv)
 
                 f[v, c] = golden_section(loss, 0.03, 0.999, 20)
-    return {"f": f, "history": history, "weights": weights, "reliable": (f >= RELIABLE).all(axis=1), "semi": (f >= SEMI_RELIABLE).all(axis=1)}
+        good = (f >= SEMI_RELIABLE).all(axis=1)
+        use = good if good.any() else use
+        if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
+            break
+    explained = sum(variant_log(v, f[v]) for v in range(variants)) + sum(float((posterior[t] * priors[t]).sum()) for t in groups)
+    return {"f": f, "history": history, "explained": explained, "weights": weights, "reliable": (f >= RELIABLE).all(axis=1), "semi": (f >= SEMI_RELIABLE).all(axis=1)}
 
 
 def estimate(counts: np.ndarray, totals: np.ndarray, f: np.ndarray, use: np.ndarray, weights: np.ndarray) -> pd.DataFrame:

@@ -319,9 +319,9 @@ def m33_paralog_rows(spark, d) -> DataFrame:
     return view(spark, d, "allele_counts").select("sample_id", "psv_ix", F.posexplode(F.array("n0", "n1", "n2")).alias("p", "cn")).select("sample_id", "psv_ix", "cn", (F.col("p") + 1).cast("bigint").alias("copy"))
 
 
-@query("SELECT psv_ix, sample_id, round(-1.5 * ln(10) * (abs(n0 - 2) + abs(n1 - 2)), 6) AS prior FROM allele_counts", "allele_counts")
+@query("SELECT psv_ix, sample_id, round(-1.5 * ln(10) * (abs(n0 - 2) + abs(n1 - 2)), 6) + 0.0 AS prior FROM allele_counts", "allele_counts")
 def m14_pscn_prior(spark, d) -> DataFrame:
-    return view(spark, d, "allele_counts").select("psv_ix", "sample_id", F.round(F.lit(-1.5 * lm.LN10) * (F.abs(F.col("n0") - 2) + F.abs(F.col("n1") - 2)), 6).alias("prior"))
+    return view(spark, d, "allele_counts").select("psv_ix", "sample_id", (F.round(F.lit(-1.5 * lm.LN10) * (F.abs(F.col("n0") - 2) + F.abs(F.col("n1") - 2)), 6) + F.lit(0.0)).alias("prior"))
 
 
 @query("SELECT psv_ix, count(*) AS n, CASE WHEN count(DISTINCT n0 > n1) = 1 THEN CAST(min(n0 > n1) AS STRING) ELSE '!' END AS value FROM allele_counts GROUP BY 1", "allele_counts")

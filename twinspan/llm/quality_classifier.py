@@ -175,6 +175,21 @@ def score(computed: DataFrame, model: Model) -> DataFrame:
     return computed.mapInArrow(scores, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of docs whose score is CUT or more, as they are. Each row is judged where it lies: statistics are
+    computed again rather than joined back, so no text is shuffled, and repeated rows and null ids are no cases."""
+    names = docs.columns
+    inner = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    text = names.index(text_col)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            x = np.array([document_stats(t) for t in part.column(text).to_pylist()], np.float32).astype(np.float64)
+            yield part.filter(pa.array(np.clip(model.score(x), 0, 1) >= CUT))
+
+    return inner.mapInArrow(passed, inner.schema).toDF(*names)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 

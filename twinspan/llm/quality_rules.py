@@ -93,32 +93,47 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio")
+
+
+def measures(text: Column, ratio: list[float]) -> Column:
+    """An array of one struct of MEASURES. Meant for inline(), which keeps the struct's expressions from being
+    copied into what is selected above it."""
+    model = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folds into one literal
+
+    def of(w: Column) -> Column:
+        mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.greatest(F.size(g), F.lit(1))
+        values = (
+            F.size(w).cast("long"), F.char_length(F.translate(text, SPACES, "")).cast("long"), (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            _n_dup_lines(text).cast("long"), n_repeat_words(w).cast("long"), let(grams(w), mean),
+        )
+        return F.struct(*(v.alias(n) for n, v in zip(MEASURES, values)))
+
+    return F.transform(F.array(words(text)), of)
+
+
+def base_fails(n_words: Column, n_repeat: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n_words)
+
+
 def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio per row; narrow.
 
     Nulls: a null text has no words, so it fails the base rules; a null id is carried along. Very long texts
     are judged whole. Repeated rows each get their row. Other columns are not read. Empty: empty result.
     """
-    model = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folds into one literal
-    text = F.col("text")
-
-    def judged(w: Column) -> Column:
-        mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.greatest(F.size(g), F.lit(1))
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-            (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            _n_dup_lines(text).cast("long").alias("n_dup_lines"),
-            n_repeat_words(w).cast("long").alias("n_repeat_words"),
-            let(grams(w), mean).alias("ratio"),
-        )
-
-    # inline() of the one struct keeps its expressions from being copied into what is selected above it
-    rows = _texts(docs, id_col, text_col).select("doc_id", F.inline(F.transform(F.array(words(text)), judged)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio"
-    )
+    rows = _texts(docs, id_col, text_col).select("doc_id", F.inline(measures(F.col("text"), ratio)))
+    failed = base_fails(F.col("n_words"), F.col("n_repeat_words"))
+    return rows.select("doc_id", *MEASURES[:-1], failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+
+
+def kept_rows(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of docs that judge() keeps, as they are: judged where they lie, without a shuffle."""
+    names = docs.columns
+    inner = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    text = F.coalesce(F.col(f"_{names.index(text_col)}").cast("string"), F.lit(""))
+    rows = inner.select("*", F.inline(measures(text, ratio)))
+    return rows.filter(~base_fails(F.col("n_words"), F.col("n_repeat_words")) & (F.col("ratio") >= threshold)).drop(*MEASURES).toDF(*names)
 
 
 def trusted_rows(spark, sf_dir: str) -> DataFrame:

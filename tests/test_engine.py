@@ -81,7 +81,12 @@ def test_phred_fisher_and_text(spark):
 
 def test_expressions(spark):
     df = spark.createDataFrame([("chr1", 10, 20, "+", "chr2", 5, 9, "ALENGTH=30;SS=0.97;X=abc;X=last;flag")], "chrom1 string, start1 long, end1 long, strand string, chrom2 string, start2 long, end2 long, t string").withColumn("info", parse_info(F.col("t")))
-    value = lambda e: df.select(compile_expression(e).alias("v")).first()["v"]
+
+    def value(e):
+        a, b = df.select(compile_expression(e).alias("v"), compile_expression(e, "t", as_text=True).alias("w")).first()
+        assert a == b
+        return a
+
     assert value("length >= 20 && seq_sim > 0.95") and value("strand == '+' || false") and value("!(length < 20)") and value("x == 'last'")
     assert value("chrom1 == 'chr1' and end1 - start1 == 10") and value("10 <= length <= 30") and value("chrom2 in ('chr2', 'chr3')") and value("max(length, 5) * 2 > 59")
     assert value("missing > 1") is None and value("length if strand == '-' else 1") is True

@@ -35,8 +35,15 @@ def parse_info(info: Column) -> Column:
 
 
 class _Compiler:
-    def __init__(self, info: str):
-        self.info = info
+    def __init__(self, info: str, as_text: bool):
+        self.info, self.as_text = info, as_text
+
+    def found(self, key: str) -> Column:
+        if not self.as_text:
+            return F.try_element_at(F.col(self.info), F.lit(key))
+        if not key.isidentifier():
+            raise ValueError(f"no such key: {key!r}")
+        return F.nullif(F.regexp_extract(F.col(self.info), rf"(?s)^(?:.*;)?{key}=([^;]*)", 1), F.lit(""))
 
     def text(self, node: ast.AST) -> bool:
         if isinstance(node, ast.Constant):
@@ -58,7 +65,7 @@ class _Compiler:
                 return F.lit(name == "true")
             if name in COLUMNS:
                 return F.col(name)
-            found = F.try_element_at(F.col(self.info), F.lit(ALIASES.get(name, name.upper())))
+            found = self.found(ALIASES.get(name, name.upper()))
             return found if text else found.try_cast("double")
         if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
             return _BINARY[type(node.op)](self.value(node.left, False), self.value(node.right, False))
@@ -101,12 +108,13 @@ class _Compiler:
         raise ValueError(f"not part of the language: {ast.dump(node)}")
 
 
-def compile_expression(text: str, info: str = "info") -> Column:
-    """A boolean Column. Only what is named above is accepted; anything else raises ValueError."""
+def compile_expression(text: str, info: str = "info", as_text: bool = False) -> Column:
+    """A boolean Column. Only what is named above is accepted; anything else raises ValueError. as_text: info is
+    `key=value;...` text, out of which the few keys that the expression names are read without making a map."""
     parts = _STRINGS.split(text)
     parts[::2] = [re.sub(r"!(?!=)", " not ", p.replace("&&", " and ").replace("||", " or ")) for p in parts[::2]]
     try:
         tree = ast.parse(" ".join("".join(parts).split()), mode="eval")
     except SyntaxError as e:
         raise ValueError(f"cannot read the expression {text!r}: {e.msg}") from e
-    return _Compiler(info).condition(tree.body)
+    return _Compiler(info, as_text).condition(tree.body)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lambdas import let
+
 LN10 = math.log(10.0)
 MAX_PHRED = 10_000.0
 
@@ -16,20 +18,19 @@ MAX_PHRED = 10_000.0
 # ------------------------------------------------------------------ Columns
 def logsumexp(values: Column) -> Column:
     """Of an array, shifted by its maximum; null for an empty one."""
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    of = lambda v: let(F.array_max(v), lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
+    return let(values, of)
 
 
 def log_normalize(values: Column) -> Column:
-    total = logsumexp(values)
-    return F.transform(values, lambda x: x - total)
+    return let(values, lambda v: let(logsumexp(v), lambda total: F.transform(v, lambda x: x - total)))
 
 
 def phred_of_best(values: Column, best: Column | int) -> Column:
     """-10 log10 of the probability of everything but entry `best` (0-based), at most MAX_PHRED."""
     b = F.lit(best) if isinstance(best, int) else best
-    others = F.filter(values, lambda x, i: i != b)
-    return F.when(F.size(others) == 0, F.lit(MAX_PHRED)).otherwise(F.least(F.lit(MAX_PHRED), F.lit(-10 / LN10) * (logsumexp(others) - logsumexp(values))))
+    quality = lambda v, others: F.when(F.size(others) == 0, F.lit(MAX_PHRED)).otherwise(F.least(F.lit(MAX_PHRED), F.lit(-10 / LN10) * (logsumexp(others) - logsumexp(v))))
+    return let(values, lambda v: let(F.filter(v, lambda x, i: i != b), lambda others: quality(v, others)))
 
 
 def log1m_sum(values: Column) -> Column:

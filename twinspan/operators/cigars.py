@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import let
+
 REF_OPS, READ_OPS, BOTH_OPS = ("M", "=", "X", "D", "N"), ("M", "=", "X", "I", "S"), ("M", "=", "X")
 
 
@@ -20,8 +22,14 @@ def gc_count(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of ACGT, in order; others are left out."""
-    return F.when(F.length(seq) >= k, F.filter(F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, k)), lambda x: x.rlike(r"^[ACGT]+\z"))).otherwise(F.array().cast("array<string>"))
+    """All k-mers of ACGT, in order; others are left out. Cut from the bytes, where a place is found at once: in a
+    string it is counted from the start each time. Bytes of other characters are never ACGT."""
+
+    def cut(b: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.octet_length(b) - (k - 1)), lambda i: F.substring(b, i, k).cast("string"))
+        return F.filter(every, lambda x: F.translate(x, "ACGT", "") == "")
+
+    return F.when(F.octet_length(seq) >= k, let(seq.cast("binary"), cut)).otherwise(F.array().cast("array<string>"))
 
 
 def sliding_reads(seq: Column, length: int, step: int, shortest: int) -> Column:
@@ -45,8 +53,8 @@ def length_text(v: Column) -> Column:
 
 # ------------------------------------------------------------------ CIGAR
 def parse_cigar(cigar: Column) -> Column:
-    lengths, ops = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIDNSHP=X]"), 1), F.regexp_extract_all(cigar, F.lit(r"\d+([MIDNSHP=X])"), 1)
-    return F.zip_with(lengths, ops, lambda n, op: F.struct(n.cast("int").alias("len"), op.alias("op")))
+    parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1)
+    return F.transform(parts, lambda p: F.struct(F.substring(p, F.lit(1), F.length(p) - 1).cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))
 
 
 def format_cigar(ops: Column) -> Column:
@@ -90,10 +98,14 @@ def segments(ops: Column) -> Column:
 
 def lift(segs: Column, s: Column, e: Column) -> Column:
     """Reference interval -> (s, e) on the read over the aligned blocks that it touches; null where none."""
-    blocks = F.filter(segs, lambda x: x["op"].isin(*BOTH_OPS) & (x["ref"] < e) & (x["ref"] + x["len"] > s))
-    low = F.array_min(F.transform(blocks, lambda x: x["read"] + F.greatest(F.lit(0), s - x["ref"])))
-    high = F.array_max(F.transform(blocks, lambda x: x["read"] + F.least(x["len"].cast("bigint"), e - x["ref"])))
-    return F.when(F.size(blocks) > 0, F.struct(low.alias("s"), high.alias("e")))
+    touched = F.filter(segs, lambda x: x["op"].isin(*BOTH_OPS) & (x["ref"] < e) & (x["ref"] + x["len"] > s))
+
+    def ends(blocks: Column) -> Column:  # in order on both sequences, so the first and the last block tell
+        a, b = F.get(blocks, F.lit(0)), F.try_element_at(blocks, F.lit(-1))
+        low, high = a["read"] + F.greatest(F.lit(0), s - a["ref"]), b["read"] + F.least(b["len"].cast("bigint"), e - b["ref"])
+        return F.when(F.size(blocks) > 0, F.struct(low.alias("s"), high.alias("e")))
+
+    return let(touched, ends)
 
 
 def lift_strand(lifted: Column, read_length: Column, forward: Column) -> Column:
@@ -104,13 +116,20 @@ def sub_cigar(segs: Column, s: Column, e: Column) -> Column:
     """Operations of a reference interval without gaps at its ends; null where nothing is aligned."""
     cut = F.filter(segs, lambda x: F.when(x["op"].isin(*REF_OPS), (x["ref"] < e) & (x["ref"] + x["len"] > s)).otherwise((x["ref"] > s) & (x["ref"] < e)))
     ops = F.transform(cut, lambda x: F.struct(F.when(x["op"].isin(*REF_OPS), F.least(x["ref"] + x["len"], e) - F.greatest(x["ref"], s)).otherwise(x["len"]).cast("int").alias("len"), x["op"].alias("op")))
-    aligned = F.transform(ops, lambda x, i: F.when(x["op"].isin(*BOTH_OPS), i))
-    first, last = F.array_min(aligned), F.array_max(aligned)
-    return F.when(first.isNotNull(), F.slice(ops, first + 1, last - first + 1))
+
+    def trimmed(ops: Column) -> Column:
+        aligned = F.transform(ops, lambda x, i: F.when(x["op"].isin(*BOTH_OPS), i))
+        return let(aligned, lambda a: F.when(F.array_min(a).isNotNull(), F.slice(ops, F.array_min(a) + 1, F.array_max(a) - F.array_min(a) + 1)))
+
+    return let(ops, trimmed)
 
 
 def alignment_stats(ops: Column) -> Column:
     """struct(aligned, mismatches, insertions, deletions, similarity, score): score 1, -4 and -(6 + length)."""
+    return let(ops, _stats)
+
+
+def _stats(ops: Column) -> Column:
     total = lambda op: cigar_length(ops, (op,))
     gaps = F.aggregate(ops, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"].isin("I", "D"), 6 + x["len"]).otherwise(0))
     nm, aligned = total("X") + total("I") + total("D"), cigar_length(ops, BOTH_OPS) + total("I") + total("D")
@@ -147,8 +166,8 @@ def differences(df: DataFrame, segs: str, keys: list[str]) -> DataFrame:
 def read_middle(segs: Column, read_length: Column) -> Column:
     """Reference position of the read's middle base: null where clipped, of an insertion the base before it."""
     mid = F.floor(read_length / 2)
-    at = F.get(F.filter(segs, lambda x: x["op"].isin(*READ_OPS) & (x["read"] <= mid) & (x["read"] + x["len"] > mid)), F.lit(0))
-    return F.when(at["op"].isin(*BOTH_OPS), at["ref"] + mid - at["read"]).when(at["op"] == "I", at["ref"] - 1)
+    found = F.get(F.filter(segs, lambda x: x["op"].isin(*READ_OPS) & (x["read"] <= mid) & (x["read"] + x["len"] > mid)), F.lit(0))
+    return let(found, lambda at: F.when(at["op"].isin(*BOTH_OPS), at["ref"] + mid - at["read"]).when(at["op"] == "I", at["ref"] - 1))
 
 
 def truly_clipped(ops: Column, qualities: Column, low_quality: int, slack: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import compile_expression, parse_info
+from ..functions.expressions import compile_expression
 from .intervals import overlap_join
 
 NOT_PRIMARY = 3844  # unmapped, secondary, failed, duplicate, supplementary
@@ -17,21 +17,18 @@ MAX_DEPTH = 65_535
 # ------------------------------------------------------------------ filters
 def filter_homology(table: DataFrame, include: str | None = None, exclude: str | None = None, skip_tangled: bool = False, info: str = "info") -> DataFrame:
     """Rows that the include expression takes and the exclude expression doesn't; tangled rows pass both, or go
-    with skip_tangled. info is read as a map once, in the same stage as the scan."""
-    rows = table.withColumn("_info", parse_info(F.col(info)))
-    taken = F.coalesce(compile_expression(include, "_info"), F.lit(False)) if include else F.lit(True)
-    out = F.coalesce(compile_expression(exclude, "_info"), F.lit(False)) if exclude else F.lit(False)
-    keep = (taken & ~out) & ~F.col("is_tangled") if skip_tangled else F.col("is_tangled") | (taken & ~out)
-    return rows.filter(keep).drop("_info")
+    with skip_tangled. One filter over the scan."""
+    taken = F.coalesce(compile_expression(include, info, True), F.lit(False)) if include else F.lit(True)
+    out = F.coalesce(compile_expression(exclude, info, True), F.lit(False)) if exclude else F.lit(False)
+    return table.filter((taken & ~out) & ~F.col("is_tangled") if skip_tangled else F.col("is_tangled") | (taken & ~out))
 
 
-def admission_route(exclude: str, short: int, contig_length: int, info: str = "_info") -> Column:
-    """What becomes of a homology row at a locus: skip, exclude, short, out_of_contig or use. info: a map column."""
-    length = F.try_element_at(F.col(info), F.lit("ALENGTH")).try_cast("double")
+def admission_route(exclude: str, short: int, contig_length: int, info: str = "info") -> Column:
+    """What becomes of a homology row at a locus: skip, exclude, short, out_of_contig or use. info: a text column."""
     return (
         F.when(F.col("is_tangled"), "skip")
-        .when(F.coalesce(compile_expression(exclude, info), F.lit(False)), "exclude")
-        .when(length < short, "short")
+        .when(F.coalesce(compile_expression(exclude, info, True), F.lit(False)), "exclude")
+        .when(compile_expression(f"length < {short}", info, True), "short")
         .when(F.col("end1") > contig_length, "out_of_contig")
         .otherwise("use")
     )

@@ -72,7 +72,7 @@ def p07_gc_bounds(spark, d) -> DataFrame:
 
 @query(f"""SELECT dup_id, CASE WHEN is_tangled THEN 'skip' WHEN {_LEN} < 5 AND {_SS} < 0.95 THEN 'exclude' WHEN {_LEN} < 10 THEN 'short' WHEN end1 > 26000 THEN 'out_of_contig' ELSE 'use' END AS route FROM hom""", "hom")
 def p08_table_admission(spark, d) -> DataFrame:
-    return view(spark, d, "hom").withColumn("_info", parse_info(F.col("info"))).select("dup_id", rel.admission_route("length < 5 && seq_sim < 0.95", short=10, contig_length=26000).alias("route"))
+    return view(spark, d, "hom").select("dup_id", rel.admission_route("length < 5 && seq_sim < 0.95", short=10, contig_length=26000).alias("route"))
 
 
 @query("SELECT c_custkey, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN c_acctbal < 0 THEN ['LowBalance'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN c_nationkey < 5 THEN ['FewReliable'] ELSE CAST([] AS VARCHAR[]) END))), ';') AS tags FROM customer WHERE c_acctbal < 0 OR c_nationkey < 5 UNION ALL SELECT c_custkey, 'PASS' FROM customer WHERE NOT (c_acctbal < 0 OR c_nationkey < 5)")

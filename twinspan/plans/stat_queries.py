@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logmath as lm
+from ..functions.lambdas import let
 from ..operators import cigars as cg
 from ..operators import depth as dp
 from ..operators import genotypes as gt
@@ -93,8 +94,8 @@ def g11_reason_histogram(spark, d) -> DataFrame:
 @query("""WITH k AS (SELECT doc_id, substr(seq, CAST(i AS INTEGER), 4) AS w FROM seqs, range(1, 1998) t(i) WHERE i <= length(seq) - 3), c AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS u FROM k WHERE regexp_matches(w, '^[ACGT]+$') GROUP BY 1)
     SELECT doc_id, n, u AS distinct_kmers, round(CAST(u AS DOUBLE) / least(n, 256), 6) AS complexity, round(CAST(n AS DOUBLE) / u, 6) AS multiplicity FROM c""", "seqs")
 def g12_kmer_complexity(spark, d) -> DataFrame:
-    ks = view(spark, d, "seqs").select("doc_id", F.explode(F.array(cg.kmers(F.col("seq"), 4))).alias("k"))
-    counted = ks.select("doc_id", F.size("k").cast("bigint").alias("n"), F.size(F.array_distinct("k")).cast("bigint").alias("distinct_kmers")).filter("n > 0")
+    sizes = let(cg.kmers(F.col("seq"), 4), lambda k: F.struct(F.size(k).cast("bigint").alias("n"), F.size(F.array_distinct(k)).cast("bigint").alias("distinct_kmers")))
+    counted = view(spark, d, "seqs").select("doc_id", F.inline(F.array(sizes))).filter("n > 0")
     u, n = F.col("distinct_kmers"), F.col("n")
     return counted.withColumn("complexity", F.round(u / F.least(n, F.lit(256)), 6)).withColumn("multiplicity", F.round(n / u, 6))
 
@@ -220,13 +221,13 @@ _W = [f"greatest(CAST(g{i} AS DOUBLE), 0.04)" for i in range(3)]
     n AS (SELECT *, ll - max(ll) OVER s - ln(sum(exp(ll - m)) OVER s) AS lp FROM (SELECT *, max(ll) OVER (PARTITION BY psv_ix, sample_id) AS m FROM l) WINDOW s AS (PARTITION BY psv_ix, sample_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY psv_ix, sample_id ORDER BY round(lp, 9) DESC, k) AS rn FROM n)
     SELECT psv_ix, sample_id, array_to_string(list_concat(list_concat(CAST([0 FOR x IN range(g0)] AS VARCHAR[]), CAST([1 FOR x IN range(g1)] AS VARCHAR[])), CAST([2 FOR x IN range(g2)] AS VARCHAR[])), '/') AS gt,
-    round(lp, 6) AS best_log FROM r WHERE rn = 1""", "allele_counts")
+    round(lp, 6) + 0.0 AS best_log FROM r WHERE rn = 1""", "allele_counts")
 def f12_genotype_likelihood(spark, d) -> DataFrame:
     a = view(spark, d, "allele_counts")
     logs = a.withColumn("_l", gt.log_likelihoods(F.array(*(F.col(f"n{i}").cast("double") for i in range(3))), 3, 4))
     rounded = F.transform("_l", lambda x: F.round(x, 9))
     best = logs.select("psv_ix", "sample_id", "_l", (F.array_position(rounded, F.array_max(rounded)) - 1).cast("int").alias("_b"))
-    return best.select("psv_ix", "sample_id", gt.genotype_text(F.get(gt.genotype_table(3, 4), F.col("_b"))).alias("gt"), F.round(F.get("_l", F.col("_b")), 6).alias("best_log"))
+    return best.select("psv_ix", "sample_id", gt.genotype_text(F.get(gt.genotype_table(3, 4), F.col("_b"))).alias("gt"), (F.round(F.get("_l", F.col("_b")), 6) + F.lit(0.0)).alias("best_log"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, round(lgamma(l_linenumber + l_suppkey % 9 + 1) - lgamma(l_linenumber + 1) - lgamma(l_suppkey % 9 + 1), 6) AS log_coefficient FROM lineitem")

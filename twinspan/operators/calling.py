@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.logmath import LN10, binomial_log_tail, fisher_exact, genotypes, np_logsumexp
+from .grouped import map_groups
 from .intervals import overlap_join
 
 MISSING_PENALTY, MATE_PENALTY = -4 * LN10, -5 * LN10
@@ -174,21 +175,16 @@ def resolve_overlaps(variants: DataFrame, part: str = "chrom_id") -> DataFrame:
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = variants.withColumn("_n", F.when(F.col("s") < before, 0).otherwise(1)).withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
+    i_s, i_e, i_q, i_id = (names.index(c) for c in ("s", "e", "quality", "variant_id"))
 
-    def greedy(island: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        rows = []
-        for r in island.sort_values(["quality", "s", "variant_id"], ascending=[False, True, True]).itertuples(index=False):
-            if all(r.e <= s or r.s >= e for s, e in kept):
-                kept.append((r.s, r.e))
-                rows.append(r)
-        return pd.DataFrame(rows)[names]
+    def greedy(island: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in sorted(island, key=lambda r: (-r[i_q], r[i_s], r[i_id])):
+            if all(r[i_e] <= k[i_s] or r[i_s] >= k[i_e] for k in kept):
+                kept.append(r)
+        return [r[: len(names)] for r in kept]
 
-    single = F.count(F.lit(1)).over(Window.partitionBy(part, "_i"))
-    sized = marked.withColumn("_size", single)
-    alone = sized.filter("_size = 1").select(*variants.columns)
-    crowd = sized.filter("_size > 1").drop("_n", "_size").groupBy(part, "_i").applyInPandas(lambda x: greedy(x.drop(columns="_i")), fields)
-    return alone.unionByName(crowd)
+    return map_groups(marked.select(*names, "_i"), [part, "_i"], ["s"], greedy, fields)
 
 
 def suppress_close(variants: DataFrame, radius: int = 100, part: str = "chrom_id") -> DataFrame:
@@ -197,13 +193,13 @@ def suppress_close(variants: DataFrame, radius: int = 100, part: str = "chrom_id
     w = Window.partitionBy(part).orderBy("s", "variant_id")
     marked = variants.withColumn("_n", F.when(F.col("s") - F.lag("s").over(w) <= radius, 0).otherwise(1)).withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
+    i_s, i_info, i_snp, i_id = (names.index(c) for c in ("s", "info", "is_snp", "variant_id"))
 
-    def greedy(run: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = [], []
-        for r in run.sort_values(["info", "is_snp", "s", "variant_id"], ascending=[False, False, True, True]).itertuples(index=False):
-            if all(abs(r.s - s) > radius for s in kept):
-                kept.append(r.s)
-                rows.append(r)
-        return pd.DataFrame(rows)[names]
+    def greedy(run: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in sorted(run, key=lambda r: (-r[i_info], not r[i_snp], r[i_s], r[i_id])):
+            if all(abs(r[i_s] - k[i_s]) > radius for k in kept):
+                kept.append(r)
+        return [r[: len(names)] for r in kept]
 
-    return marked.drop("_n").groupBy(part, "_i").applyInPandas(lambda x: greedy(x.drop(columns="_i")), fields)
+    return map_groups(marked.select(*names, "_i"), [part, "_i"], ["s"], greedy, fields)

@@ -214,6 +214,9 @@ def test_stages_with_nulls_and_repeats(spark):
     for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame([], DOCS)):
         for name, stage in stages.STAGES:
             assert stage(spark, docs, SF).count() >= 0, name
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as n_words", "'x' as removed_sentences", "2 as _id", "3 as _k", "4 as score", "5 as ratio", "6 as _text")
+    for name, stage in stages.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns, name
     near = dict(stages.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, DOCS), SF).collect()
     assert sorted((r["doc_id"] or 0) for r in near) == [0, 1, 3]
 

@@ -119,13 +119,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, its text without repeated spans, and removed_sentences (array<int>, places in the old text).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_sentences") -> DataFrame:
+    """docs, its text without repeated spans, and removed_col (array<int>, places in the old text).
 
     Nulls: a null text stays null; a row without an id stays as it is and counts nowhere. Rows of one
     id are one document: a passage that first appears there stays in each of them. A text all of whose sentences appeared before becomes empty; its row stays.
     Very long texts are read whole; sentences without an end mark are cut into units of 24 words. Other
-    columns are carried along whatever their names. Empty table: empty result.
+    columns are carried along whatever their names, but for removed_col. Empty table: empty result.
     """
     names = docs.columns
     inner = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)] + [F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id")])
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = inner.drop(f"_{names.index(text_col)}").join(spans, (F.col("_id") == F.col("_sid")) & (F.hash("_text") == F.col("_st")), "left").drop("_id", "_sid", "_st")
     kinds = [f"{c} {k}" for c, k in joined.dtypes if c not in ("_text", "spans")]
     out = joined.mapInArrow(_cleaned, ", ".join([*kinds, "_kept string", "_removed array<int>"]))
-    return out.select([F.col("_kept" if c == text_col else f"_{i}").alias(c) for i, c in enumerate(names)] + [F.col("_removed").alias("removed_sentences")])
+    return out.select([F.col("_kept" if c == text_col else f"_{i}").alias(c) for i, c in enumerate(names)] + [F.col("_removed").alias(removed_col)])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

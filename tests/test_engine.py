@@ -289,3 +289,31 @@ def test_homology_chains_and_examine(spark):
     assert {(r["s"], r["e"], r["filter"], r["ref_cn"]) for r in regions} >= {(0, 10, "PASS", 4), (10, 60, "PASS", 6), (80, 100, "TANGLED", 6)}
     lines = {r["row_ix"]: r["line"] for r in hm.multiple_alignment(spark.createDataFrame([(0, 0, 0, "A"), (0, 0, 1, "CGG"), (0, 1, 0, "A"), (0, 1, 1, "C")], "locus long, row_ix long, pos long, text string")).collect()}
     assert lines == {0: "ACGG", 1: "AC--", -1: "*   "}
+
+
+def test_alignments_are_stitched():
+    rng = random.Random(6)
+    a = "".join(rng.choice("ACGT") for _ in range(120))
+    b = a[:50] + "GG" + a[50:80] + a[83:]
+    one_, two = al.align(a[:60], b[:62])[0], al.align(a[40:], b[40:])[0]
+    far = al.align(a[70:], b[72:])[0]
+    for segments in ([(0, 0, one_), (40, 40, two)], [(0, 0, one_), (70, 72, far)], [(0, 0, one_), (5, 5, "10=")]):
+        r, q, cigar = al.stitch(a, b, segments)
+        top, _, bottom = al.drawn(a[r:], b[q:], cigar)
+        assert (r, q) == (0, 0) and a.startswith(top.replace("-", "")) and b.startswith(bottom.replace("-", ""))
+        assert len(segments) == 2 and (segments[1][0] == 5 or (top.replace("-", ""), bottom.replace("-", "")) == (a, b))
+
+
+def test_totals_are_refined():
+    f, counts = np.full((4, 2), 0.99), np.zeros((4, 2, 2))
+    counts[:, 0], counts[:, 1] = (200, 100), (150, 150)
+    post = pl.refine_totals(counts, np.log(np.full((2, 4), 0.25)), f, np.ones(4, bool), np.ones(4))
+    assert post[0].argmax() == 2 and np.allclose(np.exp(post).sum(axis=1), 1)
+
+
+def test_copy_numbers_of_variants_and_unique_regions(spark):
+    v = spark.createDataFrame([(1, 0, 5, 6), (2, 0, 9, 11), (3, 0, 50, 51)], "variant_id long, chrom_id long, s long, e long")
+    p = spark.createDataFrame([(7, 0, 0, 10, 2), (7, 0, 10, 20, 3)], "sample_id long, chrom_id long, s long, e long, cn long")
+    assert {r["variant_id"]: (r["cn"], r["conflict"]) for r in ca.copy_numbers_of_variants(v, p).collect()} == {1: (2, False), 2: (None, True)}
+    contigs = spark.createDataFrame([(0, 30)], "chrom_id long, length long")
+    assert [(r["s"], r["e"]) for r in iv.unique_regions(p, contigs).collect()] == [(20, 30)]

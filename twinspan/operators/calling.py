@@ -203,3 +203,11 @@ def suppress_close(variants: DataFrame, radius: int = 100, part: str = "chrom_id
         return [r[: len(names)] for r in kept]
 
     return map_groups(marked.select(*names, "_i"), [part, "_i"], ["s"], greedy, fields)
+
+
+def copy_numbers_of_variants(variants: DataFrame, profile: DataFrame) -> DataFrame:
+    """variants: variant_id, chrom_id, s, e; profile: sample_id, chrom_id, s, e, cn. Per variant and sample: the copy
+    number where all estimates that it overlaps agree, null and `conflict` where they differ."""
+    pairs = overlap_join(variants.select("variant_id", "chrom_id", "s", "e"), profile)
+    agreed = pairs.groupBy("variant_id", F.col("b_sample_id").alias("sample_id")).agg(F.min("b_cn").alias("_low"), F.max("b_cn").alias("_high"))
+    return agreed.select("variant_id", "sample_id", F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("cn"), (F.col("_low") != F.col("_high")).alias("conflict"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import let
 from ..functions.logmath import LN10, genotypes, log_normalize, phred_of_best
 
 ERROR = 0.01
@@ -61,6 +62,12 @@ def site_quality(p_reference: Column) -> Column:
     return F.least(F.lit(10000.0), F.lit(-10 / LN10) * F.sum(p_reference))
 
 
+def allele_coverage(alleles: Column, read_length: int) -> Column:
+    """How likely a read covers each allele, relative to the easiest one: max(0.1, read length - its length - 1)."""
+    room = F.transform(alleles, lambda a: F.greatest(F.lit(0.1), (read_length - F.length(a) - 1).cast("double")))
+    return let(room, lambda r: F.transform(r, lambda x: x / F.array_max(r)))
+
+
 def reliable(fvalues: Column, least: float) -> Column:
     return F.forall(fvalues, lambda x: F.coalesce(x >= least, F.lit(False)))
 

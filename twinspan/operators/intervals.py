@@ -197,3 +197,8 @@ def elementwise_neighbours(df: DataFrame, part: Sequence[str], order: str, bad:
     for x in near:
         out = out | x
     return out
+
+
+def unique_regions(duplications: DataFrame, contigs: DataFrame) -> DataFrame:
+    """What no duplication covers: (chrom_id, s, e), an index for overlap sizes of reads."""
+    return complement(duplications.select("chrom_id", "s", "e"), contigs)

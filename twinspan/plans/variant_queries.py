@@ -180,3 +180,9 @@ def s11_read_groups(spark, d) -> DataFrame:
     """Labels put over each group's own."""
     r = view(spark, d, "region").select("r_regionkey", "r_name")
     return view(spark, d, "nation").select("n_nationkey", "n_regionkey").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+
+
+@query("SELECT o_orderkey, round(greatest(0.1, 20 - length(o_orderpriority) - 1) / greatest(greatest(0.1, 20 - length(o_orderpriority) - 1), greatest(0.1, 20 - length(o_orderstatus) - 1)), 9) AS p1, round(greatest(0.1, 20 - length(o_orderstatus) - 1) / greatest(greatest(0.1, 20 - length(o_orderpriority) - 1), greatest(0.1, 20 - length(o_orderstatus) - 1)), 9) AS p2 FROM orders")
+def f14_allele_coverage(spark, d) -> DataFrame:
+    p = gt.allele_coverage(F.array("o_orderpriority", "o_orderstatus"), 20)
+    return view(spark, d, "orders").select("o_orderkey", F.inline(F.array(F.struct(p.alias("p"))))).select("o_orderkey", F.round(F.get("p", F.lit(0)), 9).alias("p1"), F.round(F.get("p", F.lit(1)), 9).alias("p2"))

@@ -88,18 +88,21 @@ class Linear:
         telling[0] = True
         keep = telling[flat]
         sizes = np.add.reduceat(keep.astype(int), starts)
-        flat, starts = flat[keep], np.cumsum([0, *sizes])[:-1]
+        starts = np.cumsum([0, *sizes])[:-1]
+        used, flat = np.unique(flat[keep], return_inverse=True)  # the fit works on these few alone
+        w = np.zeros(len(used))
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-        g_w, g_v = np.full(DIM, 1e-8), np.full(dense.shape[1], 1e-8)
+        g_w, g_v = np.full(len(used), 1e-8), np.full(dense.shape[1], 1e-8)
         for _ in range(STEPS):
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(self.w[flat], starts) + dense @ self.v, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], starts) + dense @ self.v, -30, 30)))
             error = (p - y) * weight
-            d_w = np.bincount(flat, np.repeat(error, sizes), DIM) + L2 * self.w
+            d_w = np.bincount(flat, np.repeat(error, sizes), len(used)) + L2 * w
             d_v = error @ dense + L2 * self.v
             g_w += d_w**2
             g_v += d_v**2
-            self.w -= RATE * d_w / np.sqrt(g_w)
+            w -= RATE * d_w / np.sqrt(g_w)
             self.v -= RATE * d_v / np.sqrt(g_v)
+        self.w[used] = w
 
     def probability(self, flat: np.ndarray, starts: np.ndarray, dense: np.ndarray) -> np.ndarray:
         if not len(starts):

@@ -100,7 +100,7 @@ def pooled_genotypes(observations: DataFrame, copies: int, n_alleles: int, error
         c = np.stack([x.to_numpy(float) for x in counts], axis=1)
         ll = c @ logs.T
         ll = ll - np_logsumexp(ll, axis=1)[:, None]
-        best = ll.argmax(axis=1)
+        best = np.round(ll, 9).argmax(axis=1)  # of equal ones the first
         rest = ll.copy()
         rest[np.arange(len(ll)), best] = -np.inf
         gq = np.minimum(-10 / LN10 * np_logsumexp(rest, axis=1), 10000.0) if len(table) > 1 else np.full(len(ll), 10000.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.logmath import genotypes
 from ..operators import alignment as al
 from ..operators import calling as ca
 from ..operators import copynumber as cn
@@ -88,7 +89,14 @@ def m20_pscn(spark, d) -> DataFrame:
     return pl.paralog_copy_numbers(_alleles(spark, d))
 
 
-@query()
+_GT = "(VALUES " + ", ".join(f"({k}, {g[0]}, {g[1]}, {g[2]}, '{'/'.join(str(i) for i, n in enumerate(g) for _ in range(n))}')" for k, g in enumerate(genotypes(3, 4))) + ") g(k, g0, g1, g2, gt)"
+_W = [f"greatest(CAST(g{i} AS DOUBLE), 0.04)" for i in range(3)]
+
+
+@query(f"""WITH l AS (SELECT psv_ix, sample_id, k, gt, {' + '.join(f'n{i} * ln({_W[i]} / ({" + ".join(_W)}))' for i in range(3))} AS ll FROM allele_counts, {_GT}),
+    n AS (SELECT *, ll - m - ln(sum(exp(ll - m)) OVER (PARTITION BY psv_ix, sample_id)) AS lp FROM (SELECT *, max(ll) OVER (PARTITION BY psv_ix, sample_id) AS m FROM l)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY psv_ix, sample_id ORDER BY round(lp, 9) DESC, k) AS rn FROM n)
+    SELECT psv_ix AS variant_id, sample_id, max(gt) FILTER (rn = 1) AS gt, round(least(10000, -10 * log10(sum(exp(lp)) FILTER (rn > 1))), 4) AS gq, count(*) FILTER (exp(lp) >= 1e-5) AS n_likely FROM r GROUP BY 1, 2""", "allele_counts")
 def m28_pooled_genotypes(spark, d) -> DataFrame:
     a = view(spark, d, "allele_counts").select(F.col("psv_ix").alias("variant_id"), "sample_id", F.posexplode(F.array("n0", "n1", "n2")).alias("allele_ix", "n"))
     return ca.pooled_genotypes(a, 4, 3).withColumn("gq", F.round("gq", 4))

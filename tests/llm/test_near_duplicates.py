@@ -146,3 +146,40 @@ def test_spans_with_nulls_repeated_rows_and_other_columns(spark):
     out = sub.remove_repeats(make(spark, rows, "doc_id long, text string, spans string")).collect()
     assert sorted((r["spans"], r["text"]) for r in out) == [("a", text), ("b", text), ("c", ""), ("d", text), ("e", None), ("f", "")] or Counter(r["text"] for r in out)[text] == 3
     assert sub.remove_repeats(make(spark, [])).count() == 0
+
+
+def brute_words(docs):
+    """For each text its words that lie in no stretch of 50 words which came before."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        words = text.lower().split()
+        gone = set()
+        for a in range(len(words) - 49):
+            key = tuple(words[a : a + 50])
+            if key in seen:
+                gone |= set(range(a, a + 50))
+            seen.add(key)
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def test_passages_that_start_and_end_inside_sentences_go_whole(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [" ".join(word() for _ in range(n)) for n in (49, 50, 51, 58, 81, 200)]
+    passages += [" ".join(f"{word()}." if k in (25, 30) else word() for k in range(60))]
+    docs = {}
+    for i in range(40):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 40)))]
+        for p in rng.sample(passages, 2):
+            parts += [p.upper() if i % 3 == 0 else p, " ".join(word() for _ in range(rng.randint(1, 40)))]
+        docs[i] = "  ".join(parts) + "."
+    docs[40] = "again " * 130 + "end"
+    got = {r["doc_id"]: r["text"].lower().split() for r in sub.remove_repeats(make(spark, list(docs.items()))).collect()}
+    want = brute_words(docs)
+    units = {i: len(t.split()) for i, t in docs.items()}
+    assert all(len(want[i]) < units[i] for i in range(30, 40))
+    for i in range(40):  # sentence runs may take a few words more
+        assert not Counter(got[i]) - Counter(want[i])
+        assert all(w in got[i] for w in docs[i].lower().split()[:1])
+    assert len(got[40]) <= 51

@@ -1,5 +1,9 @@
 """Substring dedup by sliding sentence spans: every run of several consecutive sentences is hashed, the
-hashes meet in one join, and sentences covered by a run that isn't its first appearance are removed."""
+hashes meet in one join, and sentences covered by a run that isn't its first appearance are removed.
+
+Passages that start and end inside sentences are found by words: every word inside a stretch of WINDOW words
+that appeared before is removed too. Of each text the least hashes of GRAM words (winnowing: one at least in any
+WINDOW words) meet first; only stretches around those of several documents are hashed and joined."""
 
 from __future__ import annotations
 
@@ -17,7 +21,11 @@ from .common import batch_of, materialize, slices, table
 SENTENCES = 3  # in a run, or as many more as it takes to reach MIN_WORDS
 MIN_WORDS = 12
 MAX_SENTENCE = 24  # words; a longer stretch without an end mark is cut into units of so many
+WINDOW = 50  # words; a stretch of so many that appeared before is removed wherever it starts
+GRAM = 20  # words
+EDGE = 2  # words; a single one that such a stretch adds beside removed sentences stays, as it agrees by chance
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
+_WORD = re.compile(r"\S+")
 _UNIT = re.compile(rf"\s*(?:\S+\s+){{{MAX_SENTENCE - 1}}}\S+\s*")
 RUNS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 
@@ -63,6 +71,111 @@ def runs_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, c, n
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+_WORDS = _WordHashes()
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def _rolling(words: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
+    """64-bit hashes of all stretches of size words, from prefix sums of a polynomial modulo 2^64."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)))) for b in _BASES[kind])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up)))
+    h = (total[size:] - total[:-size]) * down[: n - size + 1]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ h >> np.uint64(29)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def least_grams(grams: np.ndarray) -> np.ndarray:
+    """The distinct least hashes of the grams in each WINDOW words."""
+    need, have = WINDOW - GRAM + 1, 1
+    while have < need and len(grams):
+        step = min(have, need - have)
+        grams, have = np.minimum(grams[:-step], grams[step:]), have + step
+    return np.unique(grams)
+
+
+MARKS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int32())])
+
+
+def _marks(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
+    sizes = [len(h) for h, *_ in rows]
+    ids, ts = (np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in (2, 3))
+    return batch_of(MARKS, np.concatenate([r[0] for r in rows]).view(np.int64), np.concatenate([r[1] for r in rows]).astype(np.int32), ids, ts.astype(np.int32))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 2 << 20):
+        rows = []
+        for doc_id, text, t in zip(*(c.to_pylist() for c in part.columns)):
+            h = least_grams(_rolling(word_hashes(text), GRAM))
+            rows.append((h, np.zeros(len(h)), doc_id, t))
+        yield _marks(rows)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct stretch around a gram in the column of hashes."""
+    for part in slices(batches, 2 << 20):
+        rows = []
+        for doc_id, text, t, hashes in zip(*(c.to_pylist() for c in part.columns)):
+            words = word_hashes(text)
+            hit = np.isin(_rolling(words, GRAM).view(np.int64), np.array(hashes, np.int64))
+            total = np.concatenate(([0], np.cumsum(hit)))
+            span = WINDOW - GRAM + 1
+            near = np.flatnonzero(total[span:] > total[:-span])
+            h, c = _rolling(words, WINDOW)[near], _rolling(words, WINDOW, 1)[near]
+            h, first = np.unique(h, return_index=True)
+            rows.append((h, (c[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc_id, t))
+        yield _marks(rows)
+
+
+def _elsewhere(marks: DataFrame, later: bool) -> DataFrame:
+    """(doc_id, t, hashes) of marks in several documents: of all of them, or of all but the least."""
+    seen = marks.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "c", "least")
+    met = marks.join(seen, ["h", "c"])
+    return (met.filter("doc_id <> least") if later else met).groupBy("doc_id", "t").agg(F.collect_list("h").alias("hashes"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, hashes): for each text its stretches of WINDOW words that are in a text of a smaller id."""
+    texts = _own(docs, id_col, text_col).filter("doc_id is not null and text is not null")
+    kinds = "h long, c int, doc_id long, t int"
+    grams = _elsewhere(materialize(texts.mapInArrow(_grams, kinds), "grams"), later=False)
+    near = texts.join(grams.withColumnsRenamed({"doc_id": "_id", "t": "_t"}), (F.col("doc_id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("doc_id", "text", "t", "hashes")
+    return _elsewhere(materialize(near.mapInArrow(_windows, kinds), "windows"), later=True)
+
+
+def again(text: str, hashes: list[int] | None) -> np.ndarray:
+    """For each word, if it lies in a stretch of WINDOW words that is in hashes or came before in the text."""
+    words = word_hashes(text)
+    h = _rolling(words, WINDOW)
+    bad = np.ones(len(h), bool)
+    bad[np.unique(h, return_index=True)[1]] = False
+    if hashes:
+        bad |= np.isin(h.view(np.int64), np.array(hashes, np.int64))
+    at = np.flatnonzero(bad)
+    if not len(at):
+        return np.zeros(len(words), bool)
+    covered = np.zeros(len(words) + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + WINDOW, -1)
+    return np.cumsum(covered)[:-1] > 0
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 2 << 20):
         ids, marks = part.column(0).to_numpy(), part.column(2).to_numpy()
@@ -96,42 +209,58 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 
+_HELPERS = ("_text", "spans", "hashes", "_known")
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 2 << 20):
         texts, kept, removed = part.column("_text").to_pylist(), [], []
-        for text, spans in zip(texts, part.column("spans").to_pylist()):
+        for text, spans, hashes, known in zip(texts, part.column("spans").to_pylist(), part.column("hashes").to_pylist(), part.column("_known").to_pylist()):
             gone = []
-            if spans:
+            words = again(text, hashes) if known and text else np.zeros(0, bool)
+            if spans or words.any():
                 units = sentences(text)
-                covered = np.zeros(len(units) + 1, np.int64)
-                for s in spans:
-                    covered[s["first"]] += 1
-                    covered[s["first"] + s["n"]] -= 1
-                covered = np.cumsum(covered)[:-1] > 0
-                gone = np.flatnonzero(covered).tolist()
-                text = "".join(u for u, c in zip(units, covered) if not c)
+                ends = np.cumsum([0, *map(len, units)])
+                stay = np.ones(len(text), bool)
+                for s in spans or ():
+                    stay[ends[s["first"]] : ends[s["first"] + s["n"]]] = False
+                if words.any():
+                    starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)])
+                    starts[0] = 0
+                    words &= stay[np.minimum(starts[:-1], len(text) - 1)]
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], words, [False])).astype(np.int8))).tolist()
+                    for a, b in zip(edges[::2], edges[1::2]):
+                        if b - a >= EDGE:
+                            stay[starts[a] : starts[b]] = False
+                lost = np.concatenate(([0], np.cumsum(~stay)))
+                gone = np.flatnonzero(lost[ends[1:]] > lost[ends[:-1]]).tolist()
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], stay, [False])).astype(np.int8))).tolist()
+                text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
             kept.append(text)
             removed.append(gone)
-        columns = [part.column(i) for i, name in enumerate(part.schema.names) if name not in ("_text", "spans")]
-        fields = [f for f in part.schema if f.name not in ("_text", "spans")]
+        columns = [part.column(i) for i, name in enumerate(part.schema.names) if name not in _HELPERS]
+        fields = [f for f in part.schema if f.name not in _HELPERS]
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(kept, pa.string()), pa.array(removed, pa.list_(pa.int32()))], schema=pa.schema([*fields, ("_kept", pa.string()), ("_removed", pa.list_(pa.int32()))])
         )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_sentences") -> DataFrame:
-    """docs, its text without repeated spans, and removed_col (array<int>, places in the old text).
+    """docs, its text without repeated spans, and removed_col (array<int>, places of the sentences in the old
+    text that went or lost words).
 
     Nulls: a null text stays null; a row without an id stays as it is and counts nowhere. Rows of one
     id are one document: a passage that first appears there stays in each of them. A text all of whose sentences appeared before becomes empty; its row stays.
-    Very long texts are read whole; sentences without an end mark are cut into units of 24 words. Other
+    Very long texts are read whole; sentences without an end mark are cut into units of 24 words; a
+    repeat of WINDOW words or more goes whole, wherever it starts and ends. Other
     columns are carried along whatever their names, but for removed_col. Empty table: empty result.
     """
     names = docs.columns
     inner = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)] + [F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id")])
-    spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_sid", "t": "_st"})
-    joined = inner.drop(f"_{names.index(text_col)}").join(spans, (F.col("_id") == F.col("_sid")) & (F.hash("_text") == F.col("_st")), "left").drop("_id", "_sid", "_st")
-    kinds = [f"{c} {k}" for c, k in joined.dtypes if c not in ("_text", "spans")]
+    spans = repeated_spans(docs, id_col, text_col).join(repeated_windows(docs, id_col, text_col), ["doc_id", "t"], "full").withColumnsRenamed({"doc_id": "_sid", "t": "_st"})
+    joined = inner.drop(f"_{names.index(text_col)}").join(spans, (F.col("_id") == F.col("_sid")) & (F.hash("_text") == F.col("_st")), "left")
+    joined = joined.withColumn("_known", F.col("_id").isNotNull()).drop("_id", "_sid", "_st")
+    kinds = [f"{c} {k}" for c, k in joined.dtypes if c not in _HELPERS]
     out = joined.mapInArrow(_cleaned, ", ".join([*kinds, "_kept string", "_removed array<int>"]))
     return out.select([F.col("_kept" if c == text_col else f"_{i}").alias(c) for i, c in enumerate(names)] + [F.col("_removed").alias(removed_col)])
 

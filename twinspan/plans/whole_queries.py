@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import let
 from ..operators import cigars as cg
 from ..operators import homology as hm
 from ..operators import intervals as iv
@@ -74,3 +75,30 @@ def p04_second_region_overlap_whole(spark, d) -> DataFrame:
     hom = view(spark, d, "hom").select("dup_id", F.col("chrom2").alias("chrom_id"), F.col("start2").alias("s"), F.col("end2").alias("e"))
     found = iv.overlap_semi(hom, iv.merge_overlapping(regions).drop("n"), ["dup_id", "chrom_id", "s", "e"], width=512)
     return found.select("dup_id", F.col("chrom_id").alias("chrom2"), F.col("s").alias("start2"), F.col("e").alias("end2"))
+
+
+@query("""WITH k AS (SELECT doc_id, substr(seq, CAST(i AS INTEGER), 4) AS w FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM whole_seqs)), c AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS u FROM k WHERE regexp_matches(w, '^[ACGT]+$') GROUP BY 1)
+    SELECT doc_id, n, u AS distinct_kmers, round(CAST(u AS DOUBLE) / least(n, 256), 6) AS complexity, round(CAST(n AS DOUBLE) / u, 6) AS multiplicity FROM c""", "whole_seqs")
+def g12_kmer_complexity_whole(spark, d) -> DataFrame:
+    sizes = let(cg.kmers(F.col("seq"), 4), lambda k: F.struct(F.size(k).cast("bigint").alias("n"), F.size(F.array_distinct(k)).cast("bigint").alias("distinct_kmers")))
+    counted = view(spark, d, "whole_seqs").select("doc_id", F.inline(F.array(sizes))).filter("n > 0")
+    u, n = F.col("distinct_kmers"), F.col("n")
+    return counted.withColumn("complexity", F.round(u / F.least(n, F.lit(256)), 6)).withColumn("multiplicity", F.round(n / u, 6))
+
+
+@query("SELECT doc_id, md5(translate(reverse(regexp_replace(seq, '[^ACGTN]', 'X', 'g')), 'ACGT', 'TGCA')) AS rc, CAST(length(regexp_replace(seq, '[^GC]', '', 'g')) AS BIGINT) AS gc FROM whole_seqs", "whole_seqs")
+def f01_revcomp_gc_whole(spark, d) -> DataFrame:
+    return view(spark, d, "whole_seqs").select("doc_id", F.md5(cg.reverse_complement(F.col("seq"))).alias("rc"), cg.gc_count(F.col("seq")).cast("bigint").alias("gc"))
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS start, length(substr(seq, CAST(i + 1 AS INTEGER), 900)) AS len FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 299, 150)) AS i FROM whole_seqs) WHERE regexp_matches(substr(translate(seq, ' ', 'A'), CAST(i + 1 AS INTEGER), 900), '^[ACGT]+$')", "whole_seqs")
+def s24_artificial_reads_whole(spark, d) -> DataFrame:
+    s = view(spark, d, "whole_seqs").withColumn("seq", F.translate("seq", " ", "A"))
+    r = s.select("doc_id", F.explode(cg.sliding_reads(F.col("seq"), 900, 150, 300)).alias("r"))
+    return r.select("doc_id", F.col("r.start").cast("bigint").alias("start"), F.length("r.seq").cast("bigint").alias("len"))
+
+
+@query("SELECT doc_id, length(seq) AS len, length(seq) - length(translate(seq, 'ACGT', '')) AS known, CAST(length(translate(seq, 'ACGT', '')) AS DOUBLE) / greatest(length(seq), 1) > 0.1 AS too_unknown FROM whole_seqs", "whole_seqs")
+def p18_unknown_fraction_whole(spark, d) -> DataFrame:
+    known = F.length("seq") - F.length(F.translate("seq", "ACGT", ""))
+    return view(spark, d, "whole_seqs").select("doc_id", F.length("seq").cast("bigint").alias("len"), known.cast("bigint").alias("known"), ((F.length("seq") - known) / F.greatest(F.length("seq"), F.lit(1)) > 0.1).alias("too_unknown"))

@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL at a small scale, and the driver's contract."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import TABLES, normal
 from twinspan.plans import catalog
+from twinspan.plans.analogs import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,13 @@ def test_contract(spark):
 def test_flagship_reads_only_what_it_needs(spark):
     plan = catalog.QUERIES["j02_interval_overlap_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_alignments_are_of_whole_passages(spark):
+    texts = {r["item_id"]: r["text"] for r in view(spark, SF, "benchmark").collect()}
+    rows = catalog.QUERIES["l12_alignment"](spark, SF).collect()
+    assert max(map(len, texts.values())) > 200
+    for r in rows:
+        ops = [(int(n), k) for n, k in re.findall(r"(\d+)([^\d])", r["cigar"])]
+        assert sum(n for n, k in ops if k in "=XMD") == len(texts[r["item_id"]])
+        assert sum(n for n, k in ops if k in "=XMI") == len(texts[r["item_id"] + 1])

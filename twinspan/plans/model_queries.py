@@ -124,8 +124,8 @@ def w16_suppressed_variants(spark, d) -> DataFrame:
 @query()
 def l12_alignment(spark, d) -> DataFrame:
     """Global alignments of each benchmark passage with the one after it."""
-    b = view(spark, d, "benchmark").select("item_id", F.substring("text", 1, 200).alias("a"))
-    c = view(spark, d, "benchmark").select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 200).alias("b"))
+    b = view(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    c = view(spark, d, "benchmark").select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
     return al.align_pairs(b.join(c, "item_id"), "a", "b").select("item_id", "cigar", "score")
 
 

@@ -102,3 +102,12 @@ def s24_artificial_reads_whole(spark, d) -> DataFrame:
 def p18_unknown_fraction_whole(spark, d) -> DataFrame:
     known = F.length("seq") - F.length(F.translate("seq", "ACGT", ""))
     return view(spark, d, "whole_seqs").select("doc_id", F.length("seq").cast("bigint").alias("len"), known.cast("bigint").alias("known"), ((F.length("seq") - known) / F.greatest(F.length("seq"), F.lit(1)) > 0.1).alias("too_unknown"))
+
+
+@query("SELECT doc_id, CAST(p AS BIGINT) AS pos FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 2)) AS p FROM whole_seqs) WHERE substr(seq, CAST(p + 2 AS INTEGER), 1) = substr(seq, CAST(p + 3 AS INTEGER), 1)", "whole_seqs")
+def p16_homopolymers_whole(spark, d) -> DataFrame:
+    """Every place of the whole sequence; read in blocks, as a place far inside a long string is dear to reach."""
+    starts = F.sequence(F.lit(0), F.length("seq") - 3, F.lit(1000))
+    blocks = view(spark, d, "whole_seqs").filter("length(seq) > 2").select("doc_id", "seq", F.explode(starts).alias("start"))
+    places = blocks.select("doc_id", "start", F.expr("substring(seq, start + 1, 1002)").alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.length("block") - 3)).alias("i"))
+    return places.filter(cg.homopolymer_behind(F.col("block"), F.col("i"), 2)).select("doc_id", (F.col("start") + F.col("i")).cast("bigint").alias("pos"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from twinspan.llm import simhash as sh
+from twinspan.llm import similar, stages
 from twinspan.llm import substrings as sub
 from twinspan.llm.components import connected_components
 
@@ -183,3 +184,26 @@ def test_passages_that_start_and_end_inside_sentences_go_whole(spark):
         assert not Counter(got[i]) - Counter(want[i])
         assert all(w in got[i] for w in docs[i].lower().split()[:1])
     assert len(got[40]) <= 51
+
+
+def test_near_copies_of_similarity_0_8_are_linked(spark):
+    rng = random.Random(21)
+    docs = {}
+    for group in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for k in range(3):
+            own = list(words)
+            for at in rng.sample(range(200), rng.randint(0, 6)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            docs[group * 3 + k] = " ".join(own)
+    shingles = {i: {tuple(t.split()[a : a + 5]) for a in range(196)} for i, t in docs.items()}
+    parent = {i: i for i in docs}
+    for i in docs:
+        for j in docs:
+            if i < j and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = {k: new if v == old else v for k, v in parent.items()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(make(spark, list(docs.items()))).collect()}
+    assert got == parent and len(set(parent.values())) < 80
+    kept = stages.simhash_near_dedup(spark, make(spark, [(i, t, "en", "s", 0) for i, t in docs.items()], DOCS), "").collect()
+    assert {r["doc_id"] for r in kept} == set(parent.values())

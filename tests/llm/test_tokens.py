@@ -165,3 +165,13 @@ def test_equal_texts_have_equal_values(spark):
     drop = lambda r: {k: v for k, v in r.items() if k != "doc_id"}
     assert drop(out[1]) == drop(out[2]) and drop(out[3]) == drop(out[4]) and out[3]["payload_bytes"] == 576
     assert out[None]["n_bytes"] == 200_000 and out[None]["tail_crc32"] == zlib.crc32(media.padded(b"z" * 200_000)[-32:])
+
+
+def test_the_last_samples_are_in_a_frame():
+    for units in (1, 2, 5):
+        quiet = np.full(576 * units, 128, np.uint8)
+        loud = quiet.copy()
+        loud[-128:] = (128 + 100 * np.sin(2 * np.pi * 40 / media.FRAME * np.arange(128))).astype(np.uint8)
+        assert not len(media.spectral_peaks(quiet)[0])
+        t, f = media.spectral_peaks(loud)
+        assert 40 in f.tolist() and t.max() == 3 * units - 1

@@ -54,8 +54,9 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, frequency bin) of all peaks, by frame and then from strong to weak; at least one frame."""
-    x = np.zeros(max(len(samples), FRAME), np.float32)
+    """(frame, frequency bin) of all peaks, by frame and then from strong to weak; at least one frame. Silence
+    behind the samples fills the last frame, so that every sample lies in one."""
+    x = np.zeros(FRAME + -(-max(len(samples) - FRAME, 0) // HOP) * HOP, np.float32)
     x[: len(samples)] = samples.astype(np.float32) - 128
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []

@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans: every run of several consecutive sentences is hashed, the
 hashes meet in one join, and sentences covered by a run that isn't its first appearance are removed.
 
-Passages that start and end inside sentences are found by words: every word inside a stretch of WINDOW words
-that appeared before is removed too. Of each text the least hashes of GRAM words (winnowing: one at least in any
-WINDOW words) meet first; only stretches around those of several documents are hashed and joined."""
+Sentences are units of the text's own words: a unit ends behind a word whose hash is the least among REACH words on
+either side, where words that end a sentence or a line always come before others. So long sentences are cut, very
+short ones are joined with a neighbour, and where a unit ends depends on REACH words around it and not on what the
+text began with: a repeated passage has the same units in each text, up to a few words at its ends.
+"""
 
 from __future__ import annotations
 
@@ -18,64 +20,24 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, materialize, slices, table
 
-SENTENCES = 3  # in a run, or as many more as it takes to reach MIN_WORDS
-MIN_WORDS = 12
-MAX_SENTENCE = 24  # words; a longer stretch without an end mark is cut into units of so many
-WINDOW = 50  # words; a stretch of so many that appeared before is removed wherever it starts
-GRAM = 20  # words
-EDGE = 2  # words; a single one that such a stretch adds beside removed sentences stays, as it agrees by chance
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
+UNITS = 2  # in a run, or as many more as it takes to reach MIN_WORDS
+MIN_WORDS = 16
+REACH = 4  # words on either side that a unit's end is the least of
+MAX_UNIT = 64  # words; longer units (of one word again and again) are cut every CUT_UNIT
+CUT_UNIT = 32
+HOT_SHARE = 1000  # a hash with over 1 in so many of the sampled runs is joined by broadcast: at most so many are
 _WORD = re.compile(r"\S+")
-_UNIT = re.compile(rf"\s*(?:\S+\s+){{{MAX_SENTENCE - 1}}}\S+\s*")
+_CLOSERS = "\"')]”’»"
 RUNS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 
 
-def sentences(text: str) -> list[str]:
-    """Consecutive parts which together are the text; each ends behind its end mark and white space."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        out.append(text[at : m.end()])
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    cut: list[str] = []
-    for s in out:
-        if len(s) > 2 * MAX_SENTENCE and s.count(" ") + s.count("\t") >= MAX_SENTENCE:
-            at = 0
-            for m in _UNIT.finditer(s):
-                cut.append(s[at : m.end()])
-                at = m.end()
-            if at < len(s):
-                cut.append(s[at:])
-        else:
-            cut.append(s)
-    return cut
-
-
-def _keys(parts: list[str]) -> tuple[list[bytes], list[int]]:
-    """Sentences as they are compared: words in lower case, one space between them; and their word counts."""
-    words = [p.lower().split() for p in parts]
-    return [" ".join(w).encode("utf-8", "replace") for w in words], [len(w) for w in words]
-
-
-def runs_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit hashes cut to (64, 32) bits as columns h and c, and the number of sentences of the run that starts
-    at each sentence; 0 where the text ends before a run is full."""
-    keys, sizes = _keys(sentences(text))
-    total = np.concatenate(([0], np.cumsum(sizes)))
-    end = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), np.arange(len(keys)) + SENTENCES)
-    n = np.where(end <= len(keys), end - np.arange(len(keys)), 0)
-    digests = [xxhash.xxh3_128_intdigest(b"\n".join(keys[i : i + k])) if k else 0 for i, k in enumerate(n.tolist())]
-    h = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
-    c = np.array([d >> 64 & 0xFFFFFFFF for d in digests], np.uint32).view(np.int32)
-    return h, c, n
-
-
 class _WordHashes(dict):
+    """63 bits of a hash of the word, above one bit that says if it ends a sentence."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 1 << 20:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~1 | word.rstrip(_CLOSERS).endswith((".", "!", "?"))
         return h
 
 
@@ -83,111 +45,70 @@ _WORDS = _WordHashes()
 _BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
-def _rolling(words: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """64-bit hashes of all stretches of size words, from prefix sums of a polynomial modulo 2^64."""
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)))) for b in _BASES[kind])
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up)))
-    h = (total[size:] - total[:-size]) * down[: n - size + 1]
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ h >> np.uint64(29)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
-def least_grams(grams: np.ndarray) -> np.ndarray:
-    """The distinct least hashes of the grams in each WINDOW words."""
-    need, have = WINDOW - GRAM + 1, 1
-    while have < need and len(grams):
-        step = min(have, need - have)
-        grams, have = np.minimum(grams[:-step], grams[step:]), have + step
-    return np.unique(grams)
-
-
-MARKS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int32())])
-
-
-def _marks(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
-    sizes = [len(h) for h, *_ in rows]
-    ids, ts = (np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in (2, 3))
-    return batch_of(MARKS, np.concatenate([r[0] for r in rows]).view(np.int64), np.concatenate([r[1] for r in rows]).astype(np.int32), ids, ts.astype(np.int32))
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, 2 << 20):
-        rows = []
-        for doc_id, text, t in zip(*(c.to_pylist() for c in part.columns)):
-            h = least_grams(_rolling(word_hashes(text), GRAM))
-            rows.append((h, np.zeros(len(h)), doc_id, t))
-        yield _marks(rows)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct stretch around a gram in the column of hashes."""
-    for part in slices(batches, 2 << 20):
-        rows = []
-        for doc_id, text, t, hashes in zip(*(c.to_pylist() for c in part.columns)):
-            words = word_hashes(text)
-            hit = np.isin(_rolling(words, GRAM).view(np.int64), np.array(hashes, np.int64))
-            total = np.concatenate(([0], np.cumsum(hit)))
-            span = WINDOW - GRAM + 1
-            near = np.flatnonzero(total[span:] > total[:-span])
-            h, c = _rolling(words, WINDOW)[near], _rolling(words, WINDOW, 1)[near]
-            h, first = np.unique(h, return_index=True)
-            rows.append((h, (c[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc_id, t))
-        yield _marks(rows)
-
-
-def _elsewhere(marks: DataFrame, later: bool) -> DataFrame:
-    """(doc_id, t, hashes) of marks in several documents: of all of them, or of all but the least."""
-    seen = marks.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "c", "least")
-    met = marks.join(seen, ["h", "c"])
-    return (met.filter("doc_id <> least") if later else met).groupBy("doc_id", "t").agg(F.collect_list("h").alias("hashes"))
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, t, hashes): for each text its stretches of WINDOW words that are in a text of a smaller id."""
-    texts = _own(docs, id_col, text_col).filter("doc_id is not null and text is not null")
-    kinds = "h long, c int, doc_id long, t int"
-    grams = _elsewhere(materialize(texts.mapInArrow(_grams, kinds), "grams"), later=False)
-    near = texts.join(grams.withColumnsRenamed({"doc_id": "_id", "t": "_t"}), (F.col("doc_id") == F.col("_id")) & (F.col("t") == F.col("_t"))).select("doc_id", "text", "t", "hashes")
-    return _elsewhere(materialize(near.mapInArrow(_windows, kinds), "windows"), later=True)
-
-
-def again(text: str, hashes: list[int] | None) -> np.ndarray:
-    """For each word, if it lies in a stretch of WINDOW words that is in hashes or came before in the text."""
-    words = word_hashes(text)
-    h = _rolling(words, WINDOW)
-    bad = np.ones(len(h), bool)
-    bad[np.unique(h, return_index=True)[1]] = False
-    if hashes:
-        bad |= np.isin(h.view(np.int64), np.array(hashes, np.int64))
-    at = np.flatnonzero(bad)
-    if not len(at):
-        return np.zeros(len(words), bool)
-    covered = np.zeros(len(words) + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + WINDOW, -1)
-    return np.cumsum(covered)[:-1] > 0
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in lower case, and whether each ends a sentence or a line."""
+    words: list[str] = []
+    lines: list[int] = []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words) - 1)
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ends = (h & np.uint64(1)).astype(bool)
+    ends[[i for i in lines if i >= 0]] = True
+    return h, ends
+
+
+def unit_ends(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of words before the end of each unit; the last one is the number of all words."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    value = np.where(ends, hashes >> np.uint64(9), hashes | np.uint64(1 << 63))
+    most = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, value, most)), REACH).min(axis=1)
+    cut = np.flatnonzero((value < around[:n]) & (value <= around[REACH + 1 :])) + 1
+    out = np.append(cut, n) if not len(cut) or cut[-1] != n else cut
+    sizes = np.diff(out, prepend=0)
+    if sizes.max() > MAX_UNIT:
+        inner = [np.arange(e - s + CUT_UNIT, e, CUT_UNIT) for e, s in zip(out.tolist(), sizes.tolist()) if s > MAX_UNIT]
+        out = np.unique(np.concatenate([out, *inner]))
+    return out
+
+
+def runs_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run its hash (columns h and c of 64 and 32 bits), its first unit and its number of units. The runs:
+    from each unit the shortest one of UNITS units and MIN_WORDS words or more; a text of a single unit is a run
+    if it has MIN_WORDS words."""
+    words, marks = word_hashes(text)
+    ends = unit_ends(words, marks)
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    last = np.maximum(np.searchsorted(ends, starts + MIN_WORDS), np.arange(len(ends)) + UNITS - 1)
+    if len(ends) == 1 and ends[0] >= MIN_WORDS:
+        last[0] = 0
+    first = np.flatnonzero(last < len(ends))
+    last = last[first]
+    a, b = starts[first], ends[last]
+    out = []
+    for base, inverse in _BASES:  # the run's words as digits of a number modulo 2^64
+        up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(len(words) - 1, 0), x, np.uint64)))) for x in (base, inverse))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])))
+        h = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append(h ^ h >> np.uint64(29))
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last - first + 1
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 2 << 20):
-        ids, marks = part.column(0).to_numpy(), part.column(2).to_numpy()
-        columns: list[list[np.ndarray]] = [[] for _ in RUNS]
-        for k, text in enumerate(part.column(1).to_pylist()):
-            h, c, n = runs_of(text)
-            at = np.flatnonzero(n)
-            again = np.ones(len(at), bool)
-            again[np.unique(h[at], return_index=True)[1]] = False
-            for column, values in zip(columns, (h[at], c[at], np.full(len(at), ids[k]), np.full(len(at), marks[k], np.int32), at.astype(np.int32), n[at].astype(np.int32), again)):
-                column.append(values)
-        yield batch_of(RUNS, *map(np.concatenate, columns))
+        rows: list[tuple[np.ndarray, ...]] = []
+        for text in part.column(1).to_pylist():
+            h, c, first, n = runs_of(text)
+            again = np.ones(len(h), bool)
+            again[np.unique(h, return_index=True)[1]] = False
+            rows.append((h, c, first, n, again))
+        sizes = [len(r[0]) for r in rows]
+        h, c, first, n, again = (np.concatenate(x) for x in zip(*rows))
+        yield batch_of(RUNS, h, c, np.repeat(part.column(0).to_numpy(), sizes), np.repeat(part.column(2).to_numpy(), sizes), first.astype(np.int32), n.astype(np.int32), again)
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,47 +116,59 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.withColumn("t", F.hash("text"))
 
 
+def _repeated(runs: DataFrame) -> DataFrame:
+    """(h, c, least) of the runs in several documents."""
+    seen = runs.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return seen.filter("least < most").select("h", "c", "least")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, t, spans): for each text with runs that appeared before, their first sentence and length.
+    """(doc_id, t, spans): for each text with runs that appeared before, their first unit and number of units.
 
     t is a hash of the text, so that rows of one id with different texts stay apart. The first appearance is
-    the first one in the text of the smallest doc_id (in each, if that id has several texts). Hashes are counted with map-side combination, so a
-    passage in a third of all rows is a few rows in that shuffle; AQE may split the join that follows.
+    the first one in the text of the smallest doc_id (in each, if that id has several texts). A run that comes again
+    within its own text needs no join. A hash that many texts have, as of a passage in a third of all rows, would be
+    one task of that join: hashes with more than 1 in HOT_SHARE of a sample of the runs, so at most HOT_SHARE of them,
+    are counted with map-side combination and joined by broadcast. The sample only says which way a hash goes.
     """
     texts = _own(docs, id_col, text_col).filter("doc_id is not null and text is not null")
     runs = materialize(texts.mapInArrow(_runs, "h long, c int, doc_id long, t int, first int, n int, again boolean"), "runs")
-    seen = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("least")).filter("times > 1").select("h", "c", "least")
-    later = runs.join(seen, ["h", "c"]).filter("again or doc_id <> least")
-    return later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-
-
-_HELPERS = ("_text", "spans", "hashes", "_known")
+    sample = runs.filter("not again").sample(0.02, 7).groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    sample = materialize(sample, "sample")
+    many = (sample.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE + 20
+    hot = F.broadcast(sample.filter(F.col("k") > many).select("h", "c"))
+    fresh = runs.filter("not again").drop("again")
+    common = fresh.join(hot, ["h", "c"], "left_semi")
+    rare = fresh.join(hot, ["h", "c"], "left_anti")
+    later = common.join(F.broadcast(_repeated(common)), ["h", "c"]).unionByName(rare.join(_repeated(rare), ["h", "c"])).filter("doc_id <> least")
+    columns = ("doc_id", "t", "first", "n")
+    return later.select(*columns).union(runs.filter("again").select(*columns)).groupBy("doc_id", "t").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+
+
+_HELPERS = ("_text", "spans")
+
+
+def without_spans(text: str, spans: list[dict]) -> tuple[str, list[int]]:
+    """The text without the units of the spans, and the places of these units. What is left before the first
+    word belongs to the first unit, other white space to the unit before it."""
+    ends = unit_ends(*word_hashes(text))
+    if not len(ends):
+        return text, []
+    gone = np.zeros(len(ends) + 1, np.int64)
+    for s in spans:
+        gone[s["first"]] += 1
+        gone[s["first"] + s["n"]] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    at = [m.start() for m in _WORD.finditer(text)]
+    places = [0, *(at[e] for e in ends[:-1].tolist()), len(text)]
+    return "".join(text[places[k] : places[k + 1]] for k in np.flatnonzero(~gone).tolist()), np.flatnonzero(gone).tolist()
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 2 << 20):
-        texts, kept, removed = part.column("_text").to_pylist(), [], []
-        for text, spans, hashes, known in zip(texts, part.column("spans").to_pylist(), part.column("hashes").to_pylist(), part.column("_known").to_pylist()):
-            gone = []
-            words = again(text, hashes) if known and text else np.zeros(0, bool)
-            if spans or words.any():
-                units = sentences(text)
-                ends = np.cumsum([0, *map(len, units)])
-                stay = np.ones(len(text), bool)
-                for s in spans or ():
-                    stay[ends[s["first"]] : ends[s["first"] + s["n"]]] = False
-                if words.any():
-                    starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)])
-                    starts[0] = 0
-                    words &= stay[np.minimum(starts[:-1], len(text) - 1)]
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], words, [False])).astype(np.int8))).tolist()
-                    for a, b in zip(edges[::2], edges[1::2]):
-                        if b - a >= EDGE:
-                            stay[starts[a] : starts[b]] = False
-                lost = np.concatenate(([0], np.cumsum(~stay)))
-                gone = np.flatnonzero(lost[ends[1:]] > lost[ends[:-1]]).tolist()
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], stay, [False])).astype(np.int8))).tolist()
-                text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        kept, removed = [], []
+        for text, spans in zip(part.column("_text").to_pylist(), part.column("spans").to_pylist()):
+            text, gone = without_spans(text, spans) if spans else (text, [])
             kept.append(text)
             removed.append(gone)
         columns = [part.column(i) for i, name in enumerate(part.schema.names) if name not in _HELPERS]
@@ -246,25 +179,27 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_sentences") -> DataFrame:
-    """docs, its text without repeated spans, and removed_col (array<int>, places of the sentences in the old
-    text that went or lost words).
-
-    Nulls: a null text stays null; a row without an id stays as it is and counts nowhere. Rows of one
-    id are one document: a passage that first appears there stays in each of them. A text all of whose sentences appeared before becomes empty; its row stays.
-    Very long texts are read whole; sentences without an end mark are cut into units of 24 words; a
-    repeat of WINDOW words or more goes whole, wherever it starts and ends. Other
-    columns are carried along whatever their names, but for removed_col. Empty table: empty result.
+    """docs, its text without repeated spans, and removed_col (array<int>, places of the units that went).
+
+    Words are compared in lower case, whatever the white space between them. Nulls: a null text stays null; a row
+    without an id stays as it is and counts nowhere. Rows of one id are one document: a passage that first appears
+    there stays in each of them. A text all of whose units appeared before becomes empty; its row stays. Texts of
+    fewer than MIN_WORDS words have no run and stay. Very long texts are read whole; of a repeat some words at its
+    ends may stay, where its units are not those of the other text. Other columns are carried along whatever their
+    names, but for removed_col. Empty table: empty result.
     """
     names = docs.columns
-    inner = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)] + [F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id")])
-    spans = repeated_spans(docs, id_col, text_col).join(repeated_windows(docs, id_col, text_col), ["doc_id", "t"], "full").withColumnsRenamed({"doc_id": "_sid", "t": "_st"})
-    joined = inner.drop(f"_{names.index(text_col)}").join(spans, (F.col("_id") == F.col("_sid")) & (F.hash("_text") == F.col("_st")), "left")
-    joined = joined.withColumn("_known", F.col("_id").isNotNull()).drop("_id", "_sid", "_st")
+    inner = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)] + [F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{id_col}`").cast("long").alias("_id")])
+    inner = inner.drop(f"_{names.index(text_col)}")
+    spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_sid", "t": "_st"})
+    joined = inner.filter("_id is not null").join(spans, (F.col("_id") == F.col("_sid")) & (F.hash("_text") == F.col("_st")), "left").drop("_id", "_sid", "_st")
+    alone = inner.filter("_id is null").drop("_id").withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    joined = joined.unionByName(alone)
     kinds = [f"{c} {k}" for c, k in joined.dtypes if c not in _HELPERS]
     out = joined.mapInArrow(_cleaned, ", ".join([*kinds, "_kept string", "_removed array<int>"]))
     return out.select([F.col("_kept" if c == text_col else f"_{i}").alias(c) for i, c in enumerate(names)] + [F.col("_removed").alias(removed_col)])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, text without the repeats, and the places of the sentences removed."""
+    """doc_id, text without the repeats, and the places of the units removed."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("removed_sentences").alias("n_removed"), "removed_sentences")

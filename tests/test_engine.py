@@ -11,6 +11,7 @@ from twinspan.functions import logmath as lm
 from twinspan.functions.expressions import compile_expression, parse_info
 from twinspan.operators import alignment as al
 from twinspan.operators import calling as ca
+from twinspan.operators import chain
 from twinspan.operators import cigars as cg
 from twinspan.operators import copynumber as cn
 from twinspan.operators import depth as dp
@@ -18,6 +19,7 @@ from twinspan.operators import genotypes as gt
 from twinspan.operators import homology as hm
 from twinspan.operators import intervals as iv
 from twinspan.operators import paralog as pl
+from twinspan.operators import variants as vr
 
 
 def one(spark, column):
@@ -59,8 +61,8 @@ def test_cigar_golden(spark):
     ops = cg.parse_cigar(F.lit("3=1X2D4=2I3="))
     assert [one(spark, cg.cigar_length(ops, k)) for k in (cg.REF_OPS, cg.READ_OPS, cg.BOTH_OPS)] == [13, 13, 11]
     assert one(spark, cg.format_cigar(ops)) == "3=1X2D4=2I3="
-    df = spark.createDataFrame([(1, "3=1X4=1D2=")], "id long, c string").withColumn("segs", cg.segments(cg.parse_cigar(F.col("c"))))
-    got = sorted((r["ref_s"], r["ref_e"], r["read_s"], r["read_e"]) for r in cg.differences(df, "segs", ["id"]).collect())
+    df = spark.createDataFrame([(1, "3=1X4=1D2=")], "id long, c string").withColumn("ops", cg.parse_cigar(F.col("c")))
+    got = sorted((r["ref_s"], r["ref_e"], r["read_s"], r["read_e"]) for r in cg.differences(df, "ops", ["id"]).collect())
     assert got == [(3, 4, 3, 4), (7, 9, 7, 8)]
 
 
@@ -183,14 +185,53 @@ def test_reads_move_between_copies():
     assert (start, own) == (32, "20=")
 
 
+def plain_places(cigar):
+    """(kind, reference base or the one before, read base or the one before) of each base of an alignment."""
+    i = j = 0
+    out = []
+    for n, op in al.parse(cigar):
+        for _ in range(n):
+            r, q = op in "M=XDN", op in "M=XIS"
+            out.append((op, i if r else None, j if q else None))
+            i, j = i + r, j + q
+    return out, i, j
+
+
 def test_lift_follows_aligned_pairs(spark):
-    df = spark.createDataFrame([(1, "5=2I3=4D6=1X2=")], "id long, c string").withColumn("segs", cg.segments(cg.parse_cigar(F.col("c"))))
-    pairs = {r["ref_pos"]: r["read_pos"] for r in cg.aligned_pairs(df, "segs", ["id"]).collect()}
-    for s, e in itertools.combinations(range(22), 2):
-        lifted = df.select(cg.lift(F.col("segs"), F.lit(s), F.lit(e)).alias("l")).first()["l"] if (s, e) in ((0, 3), (4, 6), (8, 12), (9, 10), (7, 15), (0, 21)) else "skip"
-        if lifted != "skip":
-            inside = [pairs[p] for p in range(s, e) if p in pairs]
-            assert (lifted and (lifted["s"], lifted["e"])) == ((min(inside), max(inside) + 1) if inside else None)
+    cigar = "5=2I3=4D6=1X2="
+    df = spark.createDataFrame([(1, cigar)], "id long, c string").withColumn("ops", cg.parse_cigar(F.col("c")))
+    pairs = {r["ref_pos"]: r["read_pos"] for r in cg.aligned_pairs(df.withColumn("segs", cg.segments(F.col("ops"))), "segs", ["id"]).collect()}
+    assert pairs == {r: q for _, r, q in plain_places(cigar)[0] if r is not None and q is not None}
+    spans = list(itertools.combinations(range(22), 2))
+    every = df.crossJoin(spark.createDataFrame(spans, "s long, e long"))
+    for r in every.select("s", "e", cg.lift(F.col("ops"), F.col("s"), F.col("e")).alias("l")).collect():
+        inside = [pairs[p] for p in range(r["s"], r["e"]) if p in pairs]
+        assert (r["l"]["s"], r["l"]["e"]) == ((min(inside), max(inside) + 1) if inside else (None, None))
+
+
+def test_regions_of_an_alignment_by_its_bases(spark):
+    for cigar in ("5=2I3=4D6=1X2=", "4=3D2=1I5="):
+        bases, n_ref, n_read = plain_places(cigar)
+        read_at, at = {}, 0  # of each reference base: read bases before it, and whether it is aligned
+        for _, r, q in bases:
+            if r is not None:
+                read_at[r] = (at, q is not None)
+            at += q is not None
+        df = spark.createDataFrame([(cigar,)], "c string").select(cg.parse_cigar(F.col("c")).alias("ops"))
+        every = df.crossJoin(spark.createDataFrame(list(itertools.combinations(range(n_ref + 1), 2)), "s long, e long"))
+        got = every.select("s", "e", cg.aligned_region(F.col("ops"), F.col("s"), F.col("e")).alias("a"), cg.aligned_region(F.col("ops"), F.col("s"), F.col("e"), 1).alias("l"), cg.read_region(F.col("ops"), F.col("s"), F.col("e")).alias("r")).collect()
+        for r in got:
+            s, e = r["s"], r["e"]
+            end = read_at[e - 1][0] + read_at[e - 1][1]
+            assert (r["a"]["s"], r["a"]["e"]) == (read_at[s][0], end), (cigar, s, e)
+            behind = [i for i, b in enumerate(bases) if b[1] == e - 1][0] + 1
+            assert r["l"]["e"] == end + (behind < len(bases) and bases[behind][0] == "I"), (cigar, s, e)
+            start = read_at[s][0] + (0 if read_at[s][1] else 1)
+            last = n_read if e == n_ref else read_at[e][0] + (0 if read_at[e][1] else 1)
+            if e == n_ref or bases[[i for i, b in enumerate(bases) if b[1] == e][0] - 1][0] == "I" or (read_at[e][1] != read_at[e - 1][1]):
+                last = end if e < n_ref else n_read  # the interval ends with an operation
+            assert (r["r"]["s"], r["r"]["e"]) == (start, last), (cigar, s, e)
+        assert df.select(cg.ref_region(F.col("ops"), F.lit(0), F.lit(n_read)).alias("x")).first()["x"] == (0, n_ref)
 
 
 # ------------------------------------------------------------------ models
@@ -317,3 +358,95 @@ def test_copy_numbers_of_variants_and_unique_regions(spark):
     assert {r["variant_id"]: (r["cn"], r["conflict"]) for r in ca.copy_numbers_of_variants(v, p).collect()} == {1: (2, False), 2: (None, True)}
     contigs = spark.createDataFrame([(0, 30)], "chrom_id long, length long")
     assert [(r["s"], r["e"]) for r in iv.unique_regions(p, contigs).collect()] == [(20, 30)]
+
+
+# ------------------------------------------------------------------ calling, sample by sample
+def simulated_reads(rng, n_samples=4):
+    """Two copies of two chromosomes each, six PSVs (copy 1 has allele 0, copy 2 allele 1) and two variants: 100 is on one
+    chromosome of copy 2 in odd samples, 101 on both of copy 1 in sample 0. A read covers four neighbouring places."""
+    places = [0, 1, 100, 2, 3, 101, 4, 5]
+    rows, read = [], 0
+    for sample in range(n_samples):
+        for copy in (0, 1):
+            for chromosome in (0, 1):
+                for _ in range(40):
+                    read += 1
+                    at = rng.randrange(len(places) - 3)
+                    for v in places[at : at + 4]:
+                        allele = copy if v < 100 else int((v == 100 and copy == 1 and chromosome == 0 and sample % 2 == 1) or (v == 101 and copy == 0 and sample == 0))
+                        if rng.random() < 0.005:
+                            allele = 1 - allele
+                        rows.append((v, sample, read, allele))
+    return rows
+
+
+def test_calling_chain_on_simulated_samples(spark):
+    rng = random.Random(17)
+    obs = spark.createDataFrame(simulated_reads(rng), "variant_id long, sample_id long, read_id long, allele_ix int")
+    numbers = [(v, s, 4, [2, 2]) for v in (0, 1, 2, 3, 4, 5, 100, 101) for s in range(4)]
+    cns = spark.createDataFrame(numbers, "variant_id long, sample_id long, agcn int, pscn array<int>")
+    psvs = spark.createDataFrame([(v, 1, v, [0, 1], [0.99, 0.99]) for v in range(6)], "variant_id long, locus long, rank int, copy_alleles array<int>, f_values array<double>")
+    out = chain.call_samples(obs, cns, psvs, 2)
+    got = {(r["variant_id"], r["sample_id"]): r for r in out["variants"].collect()}
+    assert all(got[v, s]["paralog_gt"] == "0/0;1/1" for v in range(6) for s in range(4))
+    assert all(got[v, s]["gt"] == "0/0/1/1" for v in range(1, 5) for s in range(4))
+    for s in range(4):
+        assert got[100, s]["paralog_gt"] == ("0/0;0/1" if s % 2 else "0/0;0/0"), s
+        assert got[101, s]["paralog_gt"] == ("1/1;0/0" if s == 0 else "0/0;0/0"), s
+    assert all(r["filter"] == "PASS" and r["paralog_gq"] > 10 and len(r["copy_quals"]) == 2 for r in got.values())
+    assert {r["reason"] for r in out["psv_use"].collect()} == {"ok"}
+
+
+def test_a_psv_against_the_others_is_left_out(spark):
+    """The alleles of PSV 2 are put the wrong way round: reads contradict it, and it places none."""
+    rng = random.Random(18)
+    rows = [(v, s, r, 1 - a if v == 2 else a) for v, s, r, a in simulated_reads(rng)]
+    obs = spark.createDataFrame(rows, "variant_id long, sample_id long, read_id long, allele_ix int")
+    cns = spark.createDataFrame([(v, s, 4, [2, 2]) for v in (0, 1, 2, 3, 4, 5, 100, 101) for s in range(4)], "variant_id long, sample_id long, agcn int, pscn array<int>")
+    psvs = spark.createDataFrame([(v, 1, v, [0, 1], [0.99, 0.99 if v != 2 else 0.9]) for v in range(6)], "variant_id long, locus long, rank int, copy_alleles array<int>, f_values array<double>")
+    out = chain.call_samples(obs, cns, psvs, 2)
+    use = {(r["variant_id"], r["sample_id"]): r["reason"] for r in out["psv_use"].collect()}
+    assert all(use[v, s] == ("conflict" if v == 2 else "ok") for v, s in use)
+    assert all(r["paralog_gt"] == ("0/0;0/1" if r["sample_id"] % 2 else "0/0;0/0") for r in out["variants"].filter("variant_id = 100").collect())
+
+
+def test_calls_without_known_copies(spark):
+    obs = spark.createDataFrame([(1, 1, r, r % 2) for r in range(20)] + [(1, 2, r, 0) for r in range(30, 40)], "variant_id long, sample_id long, read_id long, allele_ix int")
+    cns = spark.createDataFrame([(1, 1, 4, [2, None]), (1, 2, None, None)], "variant_id long, sample_id long, agcn int, pscn array<int>")
+    psvs = spark.createDataFrame([], "variant_id long, locus long, rank int, copy_alleles array<int>, f_values array<double>")
+    got = {r["sample_id"]: r for r in chain.call_samples(obs, cns, psvs, 2)["variants"].collect()}
+    assert got[1]["gt"] == "0/0/1/1" and got[1]["paralog_gt"] is None and got[1]["filter"] == "UnknownPsCN"
+    assert got[2]["gt"] is None and got[2]["filter"] == "UnknownAgCN"
+
+
+def test_continued_copies_and_matched_alleles(spark):
+    rng = random.Random(3)
+    span = "array<struct<chrom_id:bigint,s:bigint,e:bigint,forward:boolean>>"
+    rows = []
+    for i in range(300):
+        draw = lambda: [(rng.randrange(2), (s := rng.randrange(60)), s + rng.randint(1, 20), rng.random() < 0.7) for _ in range(rng.randint(0, 3))]
+        rows.append((i, draw(), draw()))
+    df = spark.createDataFrame(rows, f"i long, a {span}, b {span}")
+    got = {r["i"]: r["x"] for r in df.select("i", vr.continued_copies(F.col("a"), F.col("b"), 15).alias("x")).collect()}
+    for i, a, b in rows:
+        used, out = set(), []
+        for x in a:
+            for k, y in enumerate(b):
+                if k in used or y[0] != x[0] or y[3] != x[3]:
+                    continue
+                p, q = (x, y) if x[3] else (y, x)
+                if p[1] <= q[1] and p[2] <= q[2] and q[1] - p[2] < 15:
+                    used.add(k)
+                    out.append((x[0], p[1], q[2], x[3]))
+                    break
+            else:
+                out = None
+                break
+        assert (got[i] if got[i] is None else [tuple(t) for t in got[i]]) == out, (a, b)
+
+
+def test_psvs_and_prior_tables(spark):
+    t = {(r["total"], tuple(r["cns"])): r["prior"] for r in pl.split_table(spark, range(1, 6), 2).collect()}
+    assert math.isclose(sum(math.exp(p) for (n, _), p in t.items() if n == 4), 1) and max((p, c) for (n, c), p in t.items() if n == 4)[1] == (2, 2)
+    d = pl.with_allele_distribution(spark.createDataFrame([([2, 2], [1.0, 1.0])], "k array<int>, f array<double>"), "k", "f", "p").first()["p"]
+    assert np.allclose(d, [0, 0, 1, 0, 0])

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.expressions import compile_expression
-from .operators import alignment, calling, cigars, copynumber, depth, homology, intervals, paralog, relational, variants
+from .operators import alignment, calling, chain, cigars, copynumber, depth, homology, intervals, paralog, relational, variants
+from .sources import models
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,12 @@ def copy_number(window_depths: DataFrame, config: copynumber.HmmConfig = copynum
     return copynumber.copy_number_profiles(window_depths, config, ("locus",), reference_cn)
 
 
+def copy_number_with_model(window_depths: DataFrame, entries: DataFrame, config: copynumber.HmmConfig = copynumber.HmmConfig(), reference_cn: int = 4) -> DataFrame:
+    """The same with the windows of a model as sources.models.read_model() gives it; those that it keeps out of the chain
+    are left out."""
+    return copy_number_using(window_depths, models.model_windows(entries).filter("in_hmm"), config, reference_cn)
+
+
 def copy_number_using(window_depths: DataFrame, multipliers: DataFrame, config: copynumber.HmmConfig = copynumber.HmmConfig(), reference_cn: int = 4) -> DataFrame:
     """The same with window multipliers of a given model: they go into the background, and nothing is fitted."""
     from dataclasses import replace
@@ -103,8 +110,8 @@ def paralog_copy_number(allele_counts: DataFrame) -> DataFrame:
 
 def psvs(alignments: DataFrame) -> DataFrame:
     """alignments: locus, copy, cigar, ref, read. Records of the variants between copy 1 and the others."""
-    rows = alignments.withColumn("_segs", cigars.segments(cigars.parse_cigar(F.col("cigar"))))
-    found = cigars.differences(rows, "_segs", ["locus", "copy"]).join(alignments.select("locus", "copy", "ref", "read"), ["locus", "copy"])
+    rows = alignments.withColumn("_ops", cigars.parse_cigar(F.col("cigar")))
+    found = cigars.differences(rows, "_ops", ["locus", "copy"]).join(alignments.select("locus", "copy", "ref", "read"), ["locus", "copy"])
     cut = lambda seq, s, e: F.substring(F.col(seq), (F.col(s) + 1).cast("int"), (F.col(e) - F.col(s)).cast("int"))
     return variants.combine_psvs(found.select("locus", "copy", F.col("ref_s").alias("s"), F.col("ref_e").alias("e"), cut("ref", "ref_s", "ref_e").alias("ref"), cut("read", "read_s", "read_e").alias("allele")))
 
@@ -133,6 +140,11 @@ def call(observations: DataFrame, copies: int, n_alleles: int, config: CallConfi
     return calling.pooled_genotypes(counts, copies, n_alleles, config.error, config.limit_pooled)
 
 
+def call_samples(observations: DataFrame, copy_numbers: DataFrame, psvs: DataFrame, n_alleles: int, config: chain.ChainConfig = chain.ChainConfig()) -> dict[str, DataFrame]:
+    """Calling sample by sample, down to a genotype of every copy: see operators.chain."""
+    return chain.call_samples(observations, copy_numbers, psvs, n_alleles, config)
+
+
 def pool_variants(records: DataFrame, copies: DataFrame) -> DataFrame:
     """records: variant_id, chrom_id, s, e, alleles, gt (array) of single copies; copies: chrom_id, s, e, offset (where the
     copy lies on copy 1). Records of all copies on copy 1's places, with genotypes put together."""

@@ -33,6 +33,17 @@ def phred_of_best(values: Column, best: Column | int) -> Column:
     return let(values, lambda v: let(F.filter(v, lambda x, i: i != b), lambda others: quality(v, others)))
 
 
+def extended_phred(values: Column, best: Column | int, remaining: Column) -> Column:
+    """The same where the values, which sum up to 1, are what is left besides an event of probability exp(remaining)."""
+    b = F.lit(best) if isinstance(best, int) else best
+
+    def quality(v: Column, others: Column) -> Column:
+        rest = F.when(F.size(others) == 0, F.lit(0.0)).otherwise(F.exp(logsumexp(others) - logsumexp(v)))
+        return F.least(F.lit(MAX_PHRED), F.lit(-10 / LN10) * F.ln((1 - F.exp(remaining)) * rest + F.exp(remaining)))
+
+    return let(values, lambda v: let(F.filter(v, lambda x, i: i != b), lambda others: quality(v, others)))
+
+
 def log1m_sum(values: Column) -> Column:
     """ln(1 - sum(exp(values))), -infinity where nothing is left."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x))

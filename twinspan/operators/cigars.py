@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,8 @@ def extended_cigar(reference: Column, read: Column) -> Column:
 
 
 def segments(ops: Column) -> Column:
-    """Array of (op, len, ref, read): where each operation starts on both sequences."""
+    """Array of (op, len, ref, read): where each operation starts on both sequences. The array grows by copies, so this
+    is for some dozens of operations; lift() and its like need one pass, and segment_rows() suits any number."""
     start = F.struct(F.lit(0).cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("read"), F.array().cast("array<struct<op:string,len:int,ref:bigint,read:bigint>>").alias("out"))
     step = lambda a, x: F.struct(
         (a["ref"] + F.when(x["op"].isin(*REF_OPS), x["len"]).otherwise(0)).alias("ref"),
@@ -96,16 +99,79 @@ def segments(ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda a: a["out"])
 
 
-def lift(segs: Column, s: Column, e: Column) -> Column:
-    """Reference interval -> (s, e) on the read over the aligned blocks that it touches; null where none."""
-    touched = F.filter(segs, lambda x: x["op"].isin(*BOTH_OPS) & (x["ref"] < e) & (x["ref"] + x["len"] > s))
+def _ref(x: Column) -> Column:
+    return F.when(x["op"].isin(*REF_OPS), x["len"]).otherwise(0)
+
+
+def _read(x: Column) -> Column:
+    return F.when(x["op"].isin(*READ_OPS), x["len"]).otherwise(0)
+
+
+def _along(ops: Column, found: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """One pass over the operations with the places on both sequences, in which `found` (name: first value) is kept up
+    to date by step(state, operation). What it costs grows with the number of operations only."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("ref"), zero.alias("read"), *(v.alias(n) for n, v in found.items()))
+    move = lambda a, x: F.struct((a["ref"] + _ref(x)).alias("ref"), (a["read"] + _read(x)).alias("read"), *(v.alias(n) for n, v in step(a, x).items()))
+    return F.aggregate(ops, start, move, lambda a: F.struct(*(a[n].alias(n) for n in found)))
+
+
+def _nothing() -> Column:
+    return F.lit(None).cast("bigint")
+
+
+def lift(ops: Column, s: Column, e: Column) -> Column:
+    """Reference interval -> struct (s, e) on the read over the aligned blocks that it touches; nulls where none."""
+
+    def step(a: Column, x: Column) -> dict[str, Column]:
+        touched = x["op"].isin(*BOTH_OPS) & (a["ref"] < e) & (a["ref"] + x["len"] > s)
+        first = F.when(touched, a["read"] + F.greatest(F.lit(0), s - a["ref"]))
+        return {"s": F.coalesce(a["s"], first), "e": F.when(touched, a["read"] + F.least(x["len"].cast("bigint"), e - a["ref"])).otherwise(a["e"])}
+
+    return _along(ops, {"s": _nothing(), "e": _nothing()}, step)
+
+
+def aligned_region(ops: Column, s: Column, e: Column, longer: Column | int = 0) -> Column:
+    """Reference interval -> struct (s, e) on the read, which may be empty: a place inside a deletion is where the
+    deletion stands. longer: how much longer the alternative allele is than the reference; where the interval ends with its
+    operation, so much of an insertion behind it belongs to it. Needs 0 <= s < e <= the reference's length."""
+    longer = F.lit(longer) if isinstance(longer, int) else longer
 
-    def ends(blocks: Column) -> Column:  # in order on both sequences, so the first and the last block tell
-        a, b = F.get(blocks, F.lit(0)), F.try_element_at(blocks, F.lit(-1))
-        low, high = a["read"] + F.greatest(F.lit(0), s - a["ref"]), b["read"] + F.least(b["len"].cast("bigint"), e - b["ref"])
-        return F.when(F.size(blocks) > 0, F.struct(low.alias("s"), high.alias("e")))
+    def step(a: Column, x: Column) -> dict[str, Column]:
+        end, on_ref, on_read = a["ref"] + x["len"], x["op"].isin(*REF_OPS), x["op"].isin(*READ_OPS)
+        place = lambda p: a["read"] + F.when(on_read, p - a["ref"]).otherwise(0)
+        ends = on_ref & (a["ref"] < e) & (e <= end)
+        waits = a["open"] & ~on_ref
+        return {
+            "s": F.coalesce(a["s"], F.when(on_ref & (a["ref"] <= s) & (s < end), place(s))),
+            "e": F.when(waits, a["e"] + F.least(x["len"].cast("bigint"), longer)).otherwise(F.coalesce(a["e"], F.when(ends, place(e)))),
+            "open": ends & (e == end) & (longer > 0),
+        }
 
-    return let(touched, ends)
+    return let(_along(ops, {"s": _nothing(), "e": _nothing(), "open": F.lit(False)}, step), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
+
+
+def _region(ops: Column, s: Column, e: Column, own: str, other: str) -> Column:
+    own_ops, other_ops = (REF_OPS, READ_OPS) if own == "ref" else (READ_OPS, REF_OPS)
+
+    def step(a: Column, x: Column) -> dict[str, Column]:
+        end = a[own] + x["len"]
+        place = lambda p: F.when(x["op"].isin(*own_ops) & (a[own] <= p) & (p < end), a[other] + F.when(x["op"].isin(*other_ops), p - a[own]).otherwise(1))
+        behind = a[own] == e  # an interval that ends with an operation ends on both sequences there
+        return {"s": F.coalesce(a["s"], place(s)), "e": F.coalesce(a["e"], F.when(behind, a[other]), place(e)), "last": a[other] + F.when(x["op"].isin(*other_ops), x["len"]).otherwise(0)}
+
+    found = _along(ops, {"s": _nothing(), "e": _nothing(), "last": F.lit(0).cast("bigint")}, step)
+    return let(found, lambda r: F.struct(r["s"].alias("s"), F.coalesce(r["e"], r["last"]).alias("e")))
+
+
+def read_region(ops: Column, s: Column, e: Column) -> Column:
+    """struct (s, e) on the read of a reference interval; an end inside a deletion is one behind the base before it."""
+    return _region(ops, s, e, "ref", "read")
+
+
+def ref_region(ops: Column, s: Column, e: Column) -> Column:
+    """struct (s, e) on the reference of a read interval; an end inside an insertion is one behind the base before it."""
+    return _region(ops, s, e, "read", "ref")
 
 
 def lift_strand(lifted: Column, read_length: Column, forward: Column) -> Column:
@@ -125,18 +191,23 @@ def sub_cigar(segs: Column, s: Column, e: Column) -> Column:
 
 
 def alignment_stats(ops: Column) -> Column:
-    """struct(aligned, mismatches, insertions, deletions, similarity, score): score 1, -4 and -(6 + length)."""
-    return let(ops, _stats)
+    """struct(ref_len, read_len, aligned, mismatches, insertions, deletions, similarity, score) in one pass: score 1, -4 and
+    -(6 + length)."""
+    zero = F.lit(0).cast("bigint")
+    sums = ("ref", "read", "aligned", "mismatches", "insertions", "deletions", "score")
+
+    def step(a: Column, x: Column) -> Column:
+        op, n = x["op"], x["len"]
+        of = lambda *kinds: F.when(op.isin(*kinds), n).otherwise(0)
+        more = (_ref(x), _read(x), of(*BOTH_OPS), of("X"), of("I"), of("D"), F.when(op == "=", n).when(op == "X", -4 * n).when(op.isin("I", "D"), -6 - n).otherwise(0))
+        return F.struct(*((a[k] + v).alias(k) for k, v in zip(sums, more)))
 
+    def finished(a: Column) -> Column:
+        nm = a["mismatches"] + a["insertions"] + a["deletions"]
+        similarity = 1 - nm / (a["aligned"] + a["insertions"] + a["deletions"])
+        return F.struct(a["ref"].alias("ref_len"), a["read"].alias("read_len"), *(a[k].alias(k) for k in sums[2:6]), similarity.alias("similarity"), a["score"].alias("score"))
 
-def _stats(ops: Column) -> Column:
-    total = lambda op: cigar_length(ops, (op,))
-    gaps = F.aggregate(ops, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"].isin("I", "D"), 6 + x["len"]).otherwise(0))
-    nm, aligned = total("X") + total("I") + total("D"), cigar_length(ops, BOTH_OPS) + total("I") + total("D")
-    return F.struct(
-        cigar_length(ops, BOTH_OPS).alias("aligned"), total("X").alias("mismatches"), total("I").alias("insertions"), total("D").alias("deletions"),
-        (1 - nm / aligned).alias("similarity"), (total("=") - 4 * total("X") - gaps).alias("score"),
-    )
+    return F.aggregate(ops, F.struct(*(zero.alias(k) for k in sums)), step, finished)
 
 
 def aligned_pairs(df: DataFrame, segs: str, keys: list[str]) -> DataFrame:
@@ -147,9 +218,18 @@ def aligned_pairs(df: DataFrame, segs: str, keys: list[str]) -> DataFrame:
     )
 
 
-def differences(df: DataFrame, segs: str, keys: list[str]) -> DataFrame:
-    """Differences as (ref_s, ref_e, read_s, read_e): mismatch runs, and gaps anchored one base before them."""
-    rows = df.select(*keys, F.posexplode(segs).alias("i", "x"))
+def segment_rows(df: DataFrame, ops: str, keys: list[str]) -> DataFrame:
+    """One row an operation: keys, i, x (op, len, ref, read). keys tell the alignments apart; sums run along each."""
+    rows = df.select(*keys, F.posexplode(ops).alias("i", "o"))
+    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda size: F.coalesce(F.sum(size(F.col("o"))).over(before), F.lit(0)).cast("bigint")
+    return rows.select(*keys, "i", F.struct(F.col("o.op").alias("op"), F.col("o.len").alias("len"), start(_ref).alias("ref"), start(_read).alias("read")).alias("x"))
+
+
+def differences(df: DataFrame, ops: str, keys: list[str]) -> DataFrame:
+    """Differences as (ref_s, ref_e, read_s, read_e): mismatch runs, and gaps anchored one base before them. Alignments of any
+    number of operations; all steps share one partitioning by keys."""
+    rows = segment_rows(df, ops, keys)
     w = Window.partitionBy(*keys).orderBy("i")
     kind = F.when(F.col("x.op") == "X", "X").when(F.col("x.op").isin("I", "D", "N"), "G")
     gap = F.when(F.col("x.op").isin("I", "D", "N") & (F.coalesce(F.lag("x.op").over(w), F.lit("")) != "X"), 1).otherwise(0)
@@ -163,11 +243,15 @@ def differences(df: DataFrame, segs: str, keys: list[str]) -> DataFrame:
     return d.filter("ref_s >= 0 and read_s >= 0").drop("_run")
 
 
-def read_middle(segs: Column, read_length: Column) -> Column:
+def read_middle(ops: Column, read_length: Column) -> Column:
     """Reference position of the read's middle base: null where clipped, of an insertion the base before it."""
     mid = F.floor(read_length / 2)
-    found = F.get(F.filter(segs, lambda x: x["op"].isin(*READ_OPS) & (x["read"] <= mid) & (x["read"] + x["len"] > mid)), F.lit(0))
-    return let(found, lambda at: F.when(at["op"].isin(*BOTH_OPS), at["ref"] + mid - at["read"]).when(at["op"] == "I", at["ref"] - 1))
+
+    def step(a: Column, x: Column) -> dict[str, Column]:
+        here = x["op"].isin(*READ_OPS) & (a["read"] <= mid) & (a["read"] + x["len"] > mid)
+        return {"at": F.when(here & x["op"].isin(*BOTH_OPS), a["ref"] + mid - a["read"]).when(here & (x["op"] == "I"), a["ref"] - 1).otherwise(a["at"])}
+
+    return _along(ops, {"at": _nothing()}, step)["at"]
 
 
 def truly_clipped(ops: Column, qualities: Column, low_quality: int, slack: int) -> Column:

@@ -10,6 +10,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.logmath import golden_section, np_logsumexp
 
@@ -31,6 +32,12 @@ def split_priors(tuples: tuple[tuple[int, ...], ...], reference: int = 2) -> np.
     return p - np_logsumexp(p)
 
 
+def split_table(spark, totals: range, copies: int, reference: int = 2) -> DataFrame:
+    """(total, cns, prior) of every split of the totals: some hundred rows to join with."""
+    rows = [(t, list(x), float(p)) for t in totals for x, p in zip(copy_tuples(t, copies), split_priors(copy_tuples(t, copies), reference))]
+    return spark.createDataFrame(rows, "total int, cns array<int>, prior double")
+
+
 def allele_distribution(cns: tuple[int, ...], f: np.ndarray) -> np.ndarray:
     """P(number of reference-1 alleles) given copies' numbers: copy 1 carries its allele with probability f1, any
     other copy carries it with 1 - f; the convolution of their binomials."""
@@ -42,6 +49,16 @@ def allele_distribution(cns: tuple[int, ...], f: np.ndarray) -> np.ndarray:
     return out
 
 
+def with_allele_distribution(df: DataFrame, cns: str, f: str, out: str) -> DataFrame:
+    """Adds allele_distribution() of each row's copy numbers (array of ints) and f-values (array of doubles)."""
+
+    @F.pandas_udf("array<double>")
+    def mixed(k: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([allele_distribution(tuple(int(i) for i in a), np.asarray(b, float)) for a, b in zip(k, values)])
+
+    return df.withColumn(out, mixed(cns, f))
+
+
 def observation_logs(n1: np.ndarray, n2: np.ndarray, total: int, error: float = 0.01) -> np.ndarray:
     """ln P(counts | k of `total` alleles are of copy 1), (observations, total + 1); the coefficient is left out."""
     share = np.clip(np.arange(total + 1) / max(total, 1), error, 1 - error)

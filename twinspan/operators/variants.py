@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import let
 from .grouped import map_groups
 from .intervals import overlap_join
 
@@ -53,7 +54,7 @@ def drop_near_repeats(reads: DataFrame, radius: int = 100) -> DataFrame:
     def keep(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
         for r in rows:
-            if all(abs(r[at] - k[at]) > radius for k in kept):
+            if not kept or r[at] - kept[-1][at] > radius:  # they come in order, so the last one is the nearest
                 kept.append(r)
         return kept
 
@@ -101,6 +102,40 @@ def consistent_copies(psvs: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.filter((F.size("copies") == F.size("b_copies")) & inside)
 
 
+def match_copies(positions: Column, copies: Column) -> Column:
+    """Which allele stands on each copy: positions are structs (chrom_id, pos, forward, allele_ix, length) of a record's
+    places, copies structs (chrom_id, s, e, forward). Of a reverse place its last base counts. Null where no place lies in
+    a copy; of several the first."""
+    at = lambda p: p["pos"] + F.when(p["forward"], 0).otherwise(p["length"] - 1)
+    inside = lambda c: F.filter(positions, lambda p: (p["chrom_id"] == c["chrom_id"]) & (p["forward"] == c["forward"]) & (at(p) >= c["s"]) & (at(p) < c["e"]))
+    return F.transform(copies, lambda c: F.get(inside(c), F.lit(0))["allele_ix"])
+
+
+def continued_copies(a: Column, b: Column, max_gap: int) -> Column:
+    """Copies of one region continued by those of the next: each of a's takes the first of b's not yet taken that lies on its
+    contig and strand, behind it (before it on the reverse strand), less than max_gap away. An array of the spans in a's
+    order, or null where one of a's has none. a, b: arrays of (chrom_id, s, e, forward), a few entries."""
+    span = "array<struct<chrom_id:bigint,s:bigint,e:bigint,forward:boolean>>"
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(span).alias("out"), F.lit(True).alias("ok"))
+
+    def step(state: Column, x: Column) -> Column:
+        def follows(y: Column, i: Column) -> Column:
+            first, second = F.when(x["forward"], x).otherwise(y), F.when(x["forward"], y).otherwise(x)
+            near = (second["s"] - first["e"] < max_gap) & (first["s"] <= second["s"]) & (first["e"] <= second["e"])
+            return (y["chrom_id"] == x["chrom_id"]) & (y["forward"] == x["forward"]) & ~F.array_contains(state["taken"], i) & near
+
+        found = F.get(F.filter(F.transform(b, lambda y, i: F.when(follows(y, i), i)), lambda i: i.isNotNull()), F.lit(0))
+
+        def taken(k: Column) -> Column:
+            y = F.get(b, k)
+            whole = F.struct(x["chrom_id"].cast("bigint").alias("chrom_id"), F.least(x["s"], y["s"]).cast("bigint").alias("s"), F.greatest(x["e"], y["e"]).cast("bigint").alias("e"), x["forward"].alias("forward"))
+            return F.struct(F.array_append(state["taken"], F.coalesce(k, F.lit(-1))).alias("taken"), F.array_append(state["out"], whole).alias("out"), (state["ok"] & k.isNotNull()).alias("ok"))
+
+        return let(found, taken)
+
+    return F.aggregate(a, start, step, lambda state: F.when(state["ok"], state["out"]))
+
+
 def best_two(probabilities: DataFrame, keys: Sequence[str], state: str, ln_prob: str, least: float = 0.05) -> DataFrame:
     """States whose probability is at least this, or else the best two: an array of (state, prob), best first."""
     w = Window.partitionBy(*keys).orderBy(F.desc(ln_prob), state)
@@ -114,7 +149,8 @@ def best_two(probabilities: DataFrame, keys: Sequence[str], state: str, ln_prob:
 def best_of_copies(df: DataFrame, keys: Sequence[str], pscn_qual: str, agcn_qual: str) -> DataFrame:
     """Of overlapping copies' rows the one with the largest of min(pscn, agcn) quality."""
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    best = df.groupBy(*keys).agg(F.max_by(row, F.struct(F.least(pscn_qual, agcn_qual), F.col(pscn_qual), F.col(agcn_qual))).alias("_r"))
+    order = F.struct(F.least(pscn_qual, agcn_qual), F.col(pscn_qual), F.col(agcn_qual), row)  # of equals the largest row
+    best = df.groupBy(*keys).agg(F.max_by(row, order).alias("_r"))
     return best.select(*keys, "_r.*")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _DAY = "((year({d})-1992)*372+(month({d})-1)*31+day({d})-1)*10"
-_ACGT = "translate(substr(text,1,2000),'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
+_ACGT = "translate(text,'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
 _HOM = "(l_orderkey * 8 + l_linenumber)"
 
 # Each body reads the same on Spark and DuckDB.
@@ -33,13 +33,12 @@ BODIES = {
         concat('SEP=', CAST(CAST(l_partkey * 37 % 5000 AS BIGINT) AS STRING), ';ALENGTH=', CAST(CAST(l_quantity AS BIGINT) AS STRING), ';SS=0.', CAST(CAST(900 + {_HOM} % 100 AS BIGINT) AS STRING), ';av_mult=', CAST(CAST(1 + l_partkey % 4 AS BIGINT) AS STRING)) AS info FROM lineitem""",
     "seqs": f"SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, {_ACGT} AS seq FROM documents",
 }
-BODIES["whole_seqs"] = BODIES["seqs"].replace("substr(text,1,2000)", "text")
 BODIES["win_depth"] = """SELECT sample_id, CAST(floor(pos/43200.0) AS BIGINT) AS window_ix, CAST(30+(CAST(floor(pos/43200.0) AS BIGINT)*7)%21 AS BIGINT) AS gc,
         CAST(sum(CASE WHEN is_read2=0 THEN 1 ELSE 0 END) AS BIGINT) AS depth1, CAST(sum(CASE WHEN is_read2=1 THEN 1 ELSE 0 END) AS BIGINT) AS depth2,
         CAST(sum(CASE WHEN mapq<10 THEN 1 ELSE 0 END) AS BIGINT) AS low_mapq, CAST(sum(clipped) AS BIGINT) AS clipped, CAST(sum(unpaired) AS BIGINT) AS unpaired
         FROM reads WHERE flag & 3844 = 0 GROUP BY 1,2,3"""
 BODIES["cn_runs"] = """SELECT CAST(user_id % 10 AS BIGINT) AS sample_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS BIGINT) AS ix, event_type AS state FROM events"""
-SOURCES = {"iv_a": "lineitem", "iv_b": "orders", "contigs": "supplier", "reads": "events", "allele_counts": "lineitem", "hom": "lineitem", "seqs": "documents", "whole_seqs": "documents", "cn_runs": "events"}
+SOURCES = {"iv_a": "lineitem", "iv_b": "orders", "contigs": "supplier", "reads": "events", "allele_counts": "lineitem", "hom": "lineitem", "seqs": "documents", "cn_runs": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

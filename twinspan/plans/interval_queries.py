@@ -44,16 +44,6 @@ def p02_typed_info(spark, d) -> DataFrame:
     return info.select("dup_id", number("SEP").alias("sep"), number("ALENGTH").alias("length"), number("SS").alias("seq_sim"), number("av_mult").alias("av_mult"))
 
 
-@query("""SELECT dup_id, chrom2, start2, end2 FROM hom h WHERE EXISTS (SELECT 1 FROM (SELECT concat('chr', CAST(CAST(chrom_id % 5 AS BIGINT) AS STRING)) AS c, s, e FROM iv_b WHERE b_id % 500 = 0) r
-    WHERE r.c = h.chrom2 AND r.s < h.end2 AND h.start2 < r.e)""", "hom", "iv_b")
-def p04_second_region_overlap(spark, d) -> DataFrame:
-    regions = view(spark, d, "iv_b").filter("b_id % 500 = 0").select(F.concat(F.lit("chr"), (F.col("chrom_id") % 5).cast("string")).alias("chrom_id"), "s", "e")
-    hom = view(spark, d, "hom").select("dup_id", F.col("chrom2").alias("chrom_id"), F.col("start2").alias("s"), F.col("end2").alias("e"))
-    rows = ["dup_id", "chrom_id", "s", "e"]
-    merged = iv.merge_overlapping(regions).drop("n")
-    return iv.overlap_semi(hom, merged, rows, width=512).select("dup_id", F.col("chrom_id").alias("chrom2"), F.col("s").alias("start2"), F.col("e").alias("end2"))
-
-
 @query("SELECT sample_id, count(*) AS n, CAST(sum(mapq) AS BIGINT) AS mapq FROM reads WHERE flag & 3844 = 0 GROUP BY 1", "reads")
 def p05_flag_filter(spark, d) -> DataFrame:
     return rel.primary_reads(view(spark, d, "reads")).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("mapq").alias("mapq"))
@@ -81,12 +71,6 @@ def p11_filter_sets(spark, d) -> DataFrame:
     return c.select("c_custkey", rel.filter_tags(LowBalance=F.col("c_acctbal") < 0, FewReliable=F.col("c_nationkey") < 5).alias("tags"))
 
 
-@query("SELECT doc_id, length(seq) AS len, length(seq) - length(translate(seq, 'ACGT', '')) AS known, CAST(length(translate(seq, 'ACGT', '')) AS DOUBLE) / greatest(length(seq), 1) > 0.1 AS too_unknown FROM seqs", "seqs")
-def p18_unknown_fraction(spark, d) -> DataFrame:
-    known = F.length("seq") - F.length(F.translate("seq", "ACGT", ""))
-    return view(spark, d, "seqs").select("doc_id", F.length("seq").cast("bigint").alias("len"), known.cast("bigint").alias("known"), ((F.length("seq") - known) / F.greatest(F.length("seq"), F.lit(1)) > 0.1).alias("too_unknown"))
-
-
 @query("""SELECT w.sample_id, w.window_ix FROM win_depth w JOIN (SELECT sample_id, quantile_cont(depth1, 0.5) m1, quantile_cont(depth2, 0.5) m2 FROM win_depth GROUP BY 1) q
     ON w.sample_id = q.sample_id WHERE w.depth1 <= 1.2 * q.m1 AND w.depth2 <= 1.2 * q.m2""", "win_depth")
 def p19_depth_cap(spark, d) -> DataFrame:
@@ -209,14 +193,6 @@ def j16_unique_overlap(spark, d) -> DataFrame:
     return pairs.groupBy("b_id").agg(F.count(F.lit(1)).alias("k"), F.min("b_a_id").alias("a_id")).filter("k = 1").select("b_id", "a_id")
 
 
-@query("""WITH ov AS (SELECT chrom_id, s, e, b_id % 7 AS cn FROM iv_b WHERE b_id % 50 = 1) SELECT a.b_id, count(o.cn) AS n_entries,
-    CAST(CASE WHEN count(o.cn) = 0 THEN 2 WHEN count(o.cn) = 1 THEN min(o.cn) ELSE -1 END AS BIGINT) AS cn FROM iv_b a LEFT JOIN ov o ON a.chrom_id = o.chrom_id AND o.s <= a.s AND o.e >= a.e GROUP BY 1""", "iv_b")
-def j20_cn_lookup_default(spark, d) -> DataFrame:
-    b = view(spark, d, "iv_b")
-    entries = b.filter("b_id % 50 = 1").select("chrom_id", "s", "e", (F.col("b_id") % 7).cast("bigint").alias("cn"))
-    return iv.lookup_with_default(b, entries, "cn", 2, ["b_id"]).select("b_id", "n_entries", F.coalesce("cn", F.lit(-1)).cast("bigint").alias("cn"))
-
-
 @query("""SELECT x.b_id AS id1, y.b_id AS id2 FROM iv_b x JOIN iv_b y ON x.chrom_id = y.chrom_id AND (x.s < y.s OR (x.s = y.s AND x.b_id < y.b_id)) AND x.b_id % 2 = y.b_id % 2 AND x.s < y.e AND y.s < x.e AND y.e > x.e""", "iv_b")
 def j21_graph_edges(spark, d) -> DataFrame:
     """Edges of the homology graph: same strand, overlapping, the second one reaching further."""
@@ -337,13 +313,6 @@ def w24_unphased_neighbours(spark, d) -> DataFrame:
     return rel.neighbour_pairs(het, "sample_id", "psv_ix", ahead=2, max_distance=2).select("sample_id", F.col("psv_ix").alias("psv1"), F.col("y_psv_ix").alias("psv2"))
 
 
-@query("SELECT sample_id, window_ix, CAST(coalesce((lag(window_ix) OVER w + window_ix + 1) // 2, -1) AS BIGINT) AS left_bound, CAST(coalesce((lead(window_ix) OVER w + window_ix + 1) // 2, -1) AS BIGINT) AS right_bound FROM win_depth WHERE depth1 % 3 > 0 WINDOW w AS (PARTITION BY sample_id ORDER BY window_ix)", "win_depth")
-def w25_window_boundaries(spark, d) -> DataFrame:
-    w = Window.partitionBy("sample_id").orderBy("window_ix")
-    half = lambda f: F.coalesce(F.floor((f("window_ix").over(w) + F.col("window_ix") + 1) / 2), F.lit(-1))
-    return view(spark, d, "win_depth").filter("depth1 % 3 > 0").select("sample_id", "window_ix", half(F.lag).alias("left_bound"), half(F.lead).alias("right_bound"))
-
-
 @query("SELECT sample_id, window_ix, round(avg(depth1) OVER (PARTITION BY sample_id ORDER BY window_ix ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling FROM win_depth", "win_depth")
 def w26_rolling_average(spark, d) -> DataFrame:
     w = Window.partitionBy("sample_id").orderBy("window_ix").rowsBetween(-4, 0)
@@ -406,11 +375,3 @@ def u04_set_union(spark, d) -> DataFrame:
 
 
 _EDGES = "e AS (SELECT DISTINCT l_suppkey % 60 AS a, l_partkey % 60 AS b FROM lineitem WHERE l_suppkey % 60 < l_partkey % 60 AND l_orderkey % 40 = 0)"
-
-
-@query(f"WITH {_EDGES} SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b)")
-def u05_transitive_reduction(spark, d) -> DataFrame:
-    e = view(spark, d, "lineitem").filter("l_orderkey % 40 = 0").select((F.col("l_suppkey") % 60).alias("a"), (F.col("l_partkey") % 60).alias("b")).filter("a < b").distinct()
-    return rel.transitive_reduction(e)
-
-

@@ -91,15 +91,6 @@ def g11_reason_histogram(spark, d) -> DataFrame:
     return counts.withColumn("percent", F.round(100 * share, 6))
 
 
-@query("""WITH k AS (SELECT doc_id, substr(seq, CAST(i AS INTEGER), 4) AS w FROM seqs, range(1, 1998) t(i) WHERE i <= length(seq) - 3), c AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS u FROM k WHERE regexp_matches(w, '^[ACGT]+$') GROUP BY 1)
-    SELECT doc_id, n, u AS distinct_kmers, round(CAST(u AS DOUBLE) / least(n, 256), 6) AS complexity, round(CAST(n AS DOUBLE) / u, 6) AS multiplicity FROM c""", "seqs")
-def g12_kmer_complexity(spark, d) -> DataFrame:
-    sizes = let(cg.kmers(F.col("seq"), 4), lambda k: F.struct(F.size(k).cast("bigint").alias("n"), F.size(F.array_distinct(k)).cast("bigint").alias("distinct_kmers")))
-    counted = view(spark, d, "seqs").select("doc_id", F.inline(F.array(sizes))).filter("n > 0")
-    u, n = F.col("distinct_kmers"), F.col("n")
-    return counted.withColumn("complexity", F.round(u / F.least(n, F.lit(256)), 6)).withColumn("multiplicity", F.round(n / u, 6))
-
-
 @query("SELECT chrom_id, cn, round(w / sum(w) OVER (PARTITION BY chrom_id), 9) AS freq FROM (SELECT a.chrom_id, b.b_id % 5 AS cn, CAST(sum(least(a.e,b.e)-greatest(a.s,b.s)) AS DOUBLE) AS w FROM iv_a a JOIN iv_b b ON a.chrom_id = b.chrom_id AND a.s < b.e AND b.s < a.e GROUP BY 1, 2)", "iv_a", "iv_b")
 def g13_weighted_frequency(spark, d) -> DataFrame:
     """Copy numbers of a region weighted by the bases that each covers."""
@@ -186,11 +177,6 @@ def g30_transitions(spark, d) -> DataFrame:
 
 
 # ----------------------------------------------------------------scalar functions and genotypes
-@query("SELECT doc_id, md5(translate(reverse(regexp_replace(seq, '[^ACGTN]', 'X', 'g')), 'ACGT', 'TGCA')) AS rc, CAST(length(regexp_replace(seq, '[^GC]', '', 'g')) AS BIGINT) AS gc FROM seqs", "seqs")
-def f01_revcomp_gc(spark, d) -> DataFrame:
-    return view(spark, d, "seqs").select("doc_id", F.md5(cg.reverse_complement(F.col("seq"))).alias("rc"), cg.gc_count(F.col("seq")).cast("bigint").alias("gc"))
-
-
 @query("""WITH x AS (SELECT psv_ix, sample_id, unnest([-n0/10.0, -n1/10.0, -n2/10.0]) AS lp, unnest([0, 1, 2]) AS k FROM allele_counts)
     SELECT psv_ix, sample_id, round(ln(sum(exp(lp))), 9) AS total, round(least(10000, -10 * log10(sum(exp(lp)) FILTER (k <> 0) / sum(exp(lp)))), 6) AS phred FROM x GROUP BY 1, 2""", "allele_counts")
 def f04_phred(spark, d) -> DataFrame:
@@ -247,61 +233,6 @@ def f21_safe_name(spark, d) -> DataFrame:
     return view(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", "[^0-9a-zA-Z_:-]", "_").alias("name"))
 
 
-# ----------------------------------------------------------------CIGAR
-_CIG = "concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), '=1X', CAST(l_linenumber AS STRING), 'I', CAST(l_suppkey % 9 + 1 AS STRING), '=', CAST(l_linenumber + 1 AS STRING), 'D5=')"
-
-
-def _cigars(spark, d) -> DataFrame:
-    return spark.sql(f"SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS ln, CAST(l_suppkey % 9 + 1 AS BIGINT) AS m, {_CIG} AS cigar FROM {{src}}", src=view(spark, d, "lineitem"))
-
-
-_C = f"(SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS ln, CAST(l_suppkey % 9 + 1 AS BIGINT) AS m, {_CIG} AS cigar FROM lineitem)"
-
-
-@query(f"SELECT id, cigar, q + 1 + m + ln + 1 + 5 AS ref_len, q + 1 + ln + m + 5 AS read_len, q + 1 + m + 5 AS aligned, 1 + ln + ln + 1 AS edits, q + m + 5 - 4 - (6 + ln) - (6 + ln + 1) AS score FROM {_C}")
-def l01_cigar_lengths(spark, d) -> DataFrame:
-    c = _cigars(spark, d).withColumn("ops", cg.parse_cigar(F.col("cigar")))
-    s = cg.alignment_stats(F.col("ops"))
-    return c.select(
-        "id", cg.format_cigar(F.col("ops")).alias("cigar"), cg.cigar_length(F.col("ops"), cg.REF_OPS).alias("ref_len"), cg.cigar_length(F.col("ops"), cg.READ_OPS).alias("read_len"),
-        s["aligned"].alias("aligned"), (s["mismatches"] + s["insertions"] + s["deletions"]).alias("edits"), s["score"].alias("score"),
-    )
-
-
-@query(f"""WITH b AS (SELECT id, unnest([0, q, q + 1, q + 1 + m + ln + 1]) AS r, unnest([0, q, q + 1 + ln, q + 1 + ln + m]) AS p, unnest([q, 1, m, 5]) AS n, q // 2 AS s, q + 3 AS e FROM {_C})
-    SELECT id, CAST(min(p + greatest(0, s - r)) AS BIGINT) AS s, CAST(max(p + least(n, e - r)) AS BIGINT) AS e FROM b WHERE r < e AND r + n > s GROUP BY 1""")
-def l03_liftover(spark, d) -> DataFrame:
-    """Lifts one interval of each alignment to its read; rows of equal ids are folded as in the oracle."""
-    c = _cigars(spark, d).withColumn("segs", cg.segments(cg.parse_cigar(F.col("cigar"))))
-    lifted = c.select("id", cg.lift(F.col("segs"), F.floor(F.col("q") / 2), F.col("q") + 3).alias("l"))
-    return lifted.filter("l is not null").groupBy("id").agg(F.min("l.s").alias("s"), F.max("l.e").alias("e"))
-
-
-@query(f"SELECT id, count(*) AS n FROM (SELECT id, unnest(range(q + 1 + m + 5)) FROM {_C} WHERE id % 50 = 0) GROUP BY 1")
-def l07_aligned_pairs(spark, d) -> DataFrame:
-    c = _cigars(spark, d).filter("id % 50 = 0").withColumn("segs", cg.segments(cg.parse_cigar(F.col("cigar"))))
-    return cg.aligned_pairs(c, "segs", ["id"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT id, CASE WHEN len // 2 < q + 1 THEN len // 2 WHEN len // 2 < q + 1 + ln THEN q ELSE len // 2 - ln + CASE WHEN len // 2 >= q + 1 + ln + m THEN ln + 1 ELSE 0 END END AS middle FROM (SELECT *, q + 1 + ln + m + 5 AS len FROM {_C})")
-def f22_read_middle(spark, d) -> DataFrame:
-    c = _cigars(spark, d).withColumn("ops", cg.parse_cigar(F.col("cigar")))
-    return c.select("id", cg.read_middle(cg.segments(F.col("ops")), cg.cigar_length(F.col("ops"), cg.READ_OPS)).alias("middle"))
-
-
-@query(f"SELECT id, CAST(q AS STRING) || '=1X' || CAST(ln AS STRING) || 'D' || CAST(m AS STRING) || '=' || CAST(ln + 1 AS STRING) || 'I5=' AS reverted, '5=' || CAST(ln + 1 AS STRING) || 'D' || CAST(m AS STRING) || '=' || CAST(ln AS STRING) || 'I1X' || CAST(q AS STRING) || '=' AS reversed FROM {_C}")
-def l10_reverse_revert(spark, d) -> DataFrame:
-    c = _cigars(spark, d).withColumn("ops", cg.parse_cigar(F.col("cigar")))
-    return c.select("id", cg.format_cigar(cg.revert_cigar(F.col("ops"))).alias("reverted"), cg.format_cigar(cg.reverse_cigar(F.col("ops"))).alias("reversed"))
-
-
-@query("SELECT doc_id, CAST(i * 150 AS BIGINT) AS start, length(substr(seq, CAST(i * 150 + 1 AS INTEGER), 900)) AS len FROM seqs, range(0, 13) t(i) WHERE i * 150 <= length(seq) - 300 AND length(seq) >= 300 AND regexp_matches(substr(translate(seq, ' ', 'A'), CAST(i * 150 + 1 AS INTEGER), 900), '^[ACGT]+$')", "seqs")
-def s24_artificial_reads(spark, d) -> DataFrame:
-    s = view(spark, d, "seqs").withColumn("seq", F.translate("seq", " ", "A"))
-    r = s.select("doc_id", F.explode(cg.sliding_reads(F.col("seq"), 900, 150, 300)).alias("r"))
-    return r.select("doc_id", F.col("r.start").cast("bigint").alias("start"), F.length("r.seq").cast("bigint").alias("len"))
-
-
 @query("SELECT sample_id, state, start_ix, end_ix FROM (WITH c AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS ch FROM cn_runs WINDOW w AS (PARTITION BY sample_id ORDER BY ix)), r AS (SELECT *, sum(ch) OVER (PARTITION BY sample_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT sample_id, min(state) AS state, min(ix) AS start_ix, max(ix) + 1 AS end_ix FROM r GROUP BY sample_id, k) WHERE end_ix - start_ix >= 2", "cn_runs")
 def w21_compatible_rows(spark, d) -> DataFrame:
     """Adjacent rows of one sample and state merged, single ones left out."""
@@ -320,11 +251,6 @@ def m33_paralog_rows(spark, d) -> DataFrame:
     return view(spark, d, "allele_counts").select("sample_id", "psv_ix", F.posexplode(F.array("n0", "n1", "n2")).alias("p", "cn")).select("sample_id", "psv_ix", "cn", (F.col("p") + 1).cast("bigint").alias("copy"))
 
 
-@query("SELECT psv_ix, sample_id, round(-1.5 * ln(10) * (abs(n0 - 2) + abs(n1 - 2)), 6) + 0.0 AS prior FROM allele_counts", "allele_counts")
-def m14_pscn_prior(spark, d) -> DataFrame:
-    return view(spark, d, "allele_counts").select("psv_ix", "sample_id", (F.round(F.lit(-1.5 * lm.LN10) * (F.abs(F.col("n0") - 2) + F.abs(F.col("n1") - 2)), 6) + F.lit(0.0)).alias("prior"))
-
-
 @query("SELECT psv_ix, count(*) AS n, CASE WHEN count(DISTINCT n0 > n1) = 1 THEN CAST(min(n0 > n1) AS STRING) ELSE '!' END AS value FROM allele_counts GROUP BY 1", "allele_counts")
 def m34_matrix_value(spark, d) -> DataFrame:
     """A matrix cell: the one value of a region, or `!` where its rows disagree."""

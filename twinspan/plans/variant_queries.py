@@ -66,12 +66,6 @@ def p15_low_quality_removal(spark, d) -> DataFrame:
     return vr.keep_variants(o, 100000).select("o_orderkey")
 
 
-@query("SELECT doc_id, CAST(p AS BIGINT) AS pos FROM seqs, range(0, 200, 10) t(p) WHERE length(substr(seq, CAST(p + 2 AS INTEGER), 2)) = 2 AND substr(seq, CAST(p + 2 AS INTEGER), 1) = substr(seq, CAST(p + 3 AS INTEGER), 1)", "seqs")
-def p16_homopolymers(spark, d) -> DataFrame:
-    s = view(spark, d, "seqs").select("doc_id", F.substring("seq", 1, 210).alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(190), F.lit(10))).alias("pos"))
-    return s.filter(cg.homopolymer_behind(F.col("seq"), F.col("pos"), 2)).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
-
-
 @query("SELECT psv_ix, sample_id FROM allele_counts WHERE n0 >= 18 AND n1 >= 18 AND n2 >= 18", "allele_counts")
 def p20_reliable_mask(spark, d) -> DataFrame:
     return view(spark, d, "allele_counts").filter(gt.reliable(F.array("n0", "n1", "n2"), 18)).select("psv_ix", "sample_id")
@@ -114,24 +108,11 @@ def t03_probable_states(spark, d) -> DataFrame:
     return vr.best_two(p.filter("lp is not null"), ["sample_id", "psv_ix"], "state", "lp").select("sample_id", "psv_ix", F.get("states", F.lit(0))["state"].alias("state"))
 
 
-@query("SELECT sample_id, psv_ix, n0, n1, n2 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY least(n0, n1) DESC, n0 DESC, n1 DESC, psv_ix DESC) AS rn FROM allele_counts) WHERE rn = 1", "allele_counts")
-def t09_best_of_copies(spark, d) -> DataFrame:
-    a = view(spark, d, "allele_counts").select("sample_id", "n0", "n1", "psv_ix", "n2")
-    best = Window.partitionBy("sample_id").orderBy(F.desc(F.least("n0", "n1")), F.desc("n0"), F.desc("n1"), F.desc("psv_ix"))
-    return a.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
-
-
 @query()
 def w07_peaks(spark, d) -> DataFrame:
     return vr.pick_peaks(view(spark, d, "win_depth"), "sample_id", "window_ix", "depth1", 5, 5)
 
 
-@query("SELECT locus, s, e, cn, printf('%02d-%02d', cn, g) AS region_group FROM (SELECT *, CAST(sum(nw) OVER (PARTITION BY locus, cn ORDER BY s, b_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM (SELECT chrom_id AS locus, s, e, b_id, b_id % 3 * 2 + 2 AS cn, CASE WHEN s - lag(e) OVER (PARTITION BY chrom_id, b_id % 3 ORDER BY s, b_id) < 500 THEN 0 ELSE 1 END AS nw FROM iv_b WHERE b_id % 7 = 1))", "iv_b")
-def w09_region_groups(spark, d) -> DataFrame:
-    r = view(spark, d, "iv_b").filter("b_id % 7 = 1").select(F.col("chrom_id").alias("locus"), "s", "e", (F.col("b_id") % 3 * 2 + 2).alias("cn"))
-    return hm.region_groups(r, 500)
-
-
 @query()
 def w14_smoothed_runs(spark, d) -> DataFrame:
     return vr.smooth_runs(view(spark, d, "win_depth").withColumn("high", F.col("depth1") > 8), "sample_id", "window_ix", "high", 3)
@@ -147,19 +128,6 @@ def w19_grouped_regions(spark, d) -> DataFrame:
     return vr.group_small_regions(view(spark, d, "iv_b").select("chrom_id", "b_id", "s", "e"), "chrom_id", 500, 95)
 
 
-@query("SELECT chrom_id, s, e, b_id FROM iv_b WHERE b_id % 20 = 0 AND NOT EXISTS (SELECT 1 FROM iv_b y WHERE y.b_id % 20 = 1 AND y.chrom_id = iv_b.chrom_id AND y.s < iv_b.e AND iv_b.s < y.e)", "iv_b")
-def p21_result_regions(spark, d) -> DataFrame:
-    """Regions without those that something to be left out touches."""
-    b = view(spark, d, "iv_b")
-    out = iv.merge_overlapping(b.filter("b_id % 20 = 1").select("chrom_id", "s", "e"))
-    return iv.overlap_semi(b.filter("b_id % 20 = 0"), out, ["b_id"], anti=True).select("chrom_id", "s", "e", "b_id")
-
-
-@query("SELECT user_id, count(*) AS n FROM reads GROUP BY 1 HAVING count(*) > 1", "reads")
-def x05_duplicate_samples(spark, d) -> DataFrame:
-    return view(spark, d, "reads").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 @query("SELECT psv_ix, array_to_string([CAST(n0 AS STRING), CASE WHEN n1 >= 5 THEN CAST(n1 AS STRING) WHEN n0 + n1 = n0 + n2 THEN '0' ELSE '?' END], ',') AS text, sample_id FROM allele_counts WHERE n1 <> n2 AND n0 >= 5 OR n0 >= 5 AND n1 >= 5", "allele_counts")
 def f19_paralog_text(spark, d) -> DataFrame:
     a = view(spark, d, "allele_counts").filter("n1 <> n2 and n0 >= 5 or n0 >= 5 and n1 >= 5")
@@ -167,21 +135,6 @@ def f19_paralog_text(spark, d) -> DataFrame:
     return a.select("psv_ix", text.alias("text"), "sample_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN v = 0 THEN 0.0 ELSE round(v, 0) END AS quality FROM (SELECT o_orderkey, CAST(o_orderkey % 1000 AS DOUBLE) AS v FROM orders WHERE o_orderkey % 1000 >= 100)")
-def f18_rounded_quality(spark, d) -> DataFrame:
-    from ..functions.logmath import round_significant
-
-    o = view(spark, d, "orders").filter("o_orderkey % 1000 >= 100")
-    return o.select("o_orderkey", round_significant((F.col("o_orderkey") % 1000).cast("double"), 3).alias("quality"))
-
-
-@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def s11_read_groups(spark, d) -> DataFrame:
-    """Labels put over each group's own."""
-    r = view(spark, d, "region").select("r_regionkey", "r_name")
-    return view(spark, d, "nation").select("n_nationkey", "n_regionkey").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-
-
 @query("SELECT o_orderkey, round(greatest(0.1, 20 - length(o_orderpriority) - 1) / greatest(greatest(0.1, 20 - length(o_orderpriority) - 1), greatest(0.1, 20 - length(o_orderstatus) - 1)), 9) AS p1, round(greatest(0.1, 20 - length(o_orderstatus) - 1) / greatest(greatest(0.1, 20 - length(o_orderpriority) - 1), greatest(0.1, 20 - length(o_orderstatus) - 1)), 9) AS p2 FROM orders")
 def f14_allele_coverage(spark, d) -> DataFrame:
     p = gt.allele_coverage(F.array("o_orderpriority", "o_orderstatus"), 20)

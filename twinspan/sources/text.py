@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import parse_info
 from ..operators.intervals import parse_region
+from .scratch import exists
 
 HOMOLOGY = ("chrom1", "start1", "end1", "strand", "chrom2", "start2", "end2", "info")
 SAM = ("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "qual")
@@ -49,6 +50,16 @@ def fetch(chunks: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFra
     return joined.select("region_id", "chrom", "s", "e", F.array_join(F.transform("_p", lambda x: x["p"]), "").alias("seq"))
 
 
+def merge_sequences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Chunks of two genomes as one. A contig that both have must have the same length in both; its chunks are taken from a."""
+    sizes = lambda x, n: x.groupBy("chrom").agg(F.sum(F.length("seq")).alias(n))
+    both = sizes(a, "na").join(sizes(b, "nb"), "chrom")
+    wrong = both.filter("na <> nb").select(F.array_sort(F.collect_list("chrom")).alias("c")).first()["c"]  # names of contigs
+    if wrong:
+        raise ValueError(f"contigs of different length in the two genomes: {', '.join(wrong[:10])}")
+    return a.unionByName(b.join(both.select("chrom"), "chrom", "left_anti"))
+
+
 def contigs_of_header(spark: SparkSession, path: str) -> DataFrame:
     """(chrom_id, name, length) of a `# Chromosomes: name:length, ...` line."""
     head = _lines(spark, path).filter("value rlike '^# *Chromosomes:'").select(F.posexplode(F.split(F.regexp_replace("value", r"^# *Chromosomes:\s*", ""), r",\s*")).alias("chrom_id", "v"))
@@ -86,10 +97,11 @@ def pretty_homology(df: DataFrame) -> DataFrame:
 
 
 def read_regions(texts: DataFrame, contigs: DataFrame, column: str = "region") -> DataFrame:
-    """`chrom`, `chrom:s-e`, each with `::name`: trimmed to the contig (name, length), unknown contigs left out."""
+    """`chrom`, `chrom:s-e`, each with `::name`: trimmed to the contig (name, length), which `trimmed` tells; unknown contigs and
+    regions behind a contig's end are left out."""
     named = texts.withColumn("name", F.when(F.instr(column, "::") > 0, F.substring_index(column, "::", -1)).otherwise(F.col(column))).withColumn("_r", parse_region(F.substring_index(column, "::", 1)))
     joined = named.join(contigs.select(F.col("name").alias("_c"), "length"), F.col("_r.chrom") == F.col("_c"))
-    return joined.select(F.col("_r.chrom").alias("chrom"), F.coalesce("_r.start", F.lit(0)).alias("s"), F.least(F.coalesce("_r.end", "length"), F.col("length")).alias("e"), "name").filter("s < e").dropDuplicates(["name"])
+    return joined.select(F.col("_r.chrom").alias("chrom"), F.coalesce("_r.start", F.lit(0)).alias("s"), F.least(F.coalesce("_r.end", "length"), F.col("length")).alias("e"), "name", F.coalesce(F.col("_r.end") > F.col("length"), F.lit(False)).alias("trimmed")).filter("s < e").dropDuplicates(["name"])
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -136,12 +148,56 @@ def vcf_lines(df: DataFrame, samples: list[str], header: list[str] = ()) -> Data
     return top.unionByName(df.select(F.lit(0).alias("ord"), "chrom", "start", line.alias("value"))).orderBy("ord", "chrom", "start")
 
 
+def write_vcf(df: DataFrame, path: str, samples: list[str], header: list[str] = ()) -> None:
+    """vcf_lines() as text: the part files in order are the sorted file, its header first."""
+    vcf_lines(df, samples, header).select("value").write.mode("overwrite").text(path)
+
+
 def read_depth(spark: SparkSession, path: str, ploidy: int = 2) -> DataFrame:
     """Background rows of the first read end: sample, gc, nb_n of one copy, nb_p."""
     rows = spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=False)
     return rows.filter("read_end = '1'").select("sample", F.col("gc_content").cast("int").alias("gc"), (F.col("nbinom_n").cast("double") / ploidy).alias("nb_n"), F.col("nbinom_p").cast("double").alias("nb_p"))
 
 
+def depth_header(spark: SparkSession, path: str) -> dict[str, str]:
+    """The `# key: value` lines of a depth table: its parameters, a few."""
+    lines = _lines(spark, path).filter("value rlike '^# [^:]+:'").select(F.regexp_extract("value", "^# ([^:]+):", 1).alias("k"), F.trim(F.regexp_extract("value", "^# [^:]+:(.*)$", 1)).alias("v"))
+    return {r["k"]: r["v"] for r in lines.collect()}
+
+
+DEPTH_COLUMNS = ("sample", "gc_content", "read_end", "n_windows", "mean", "var", "nbinom_n", "nbinom_p")
+
+
+def write_depth(df: DataFrame, path: str, parameters: dict[str, object]) -> None:
+    """A depth table with its parameters as `# key: value` lines and its header line first; rows by sample, GC and read end."""
+    spark = df.sparkSession
+    head = [*(f"# {k}: {v}" for k, v in parameters.items()), "\t".join(DEPTH_COLUMNS)]
+    top = spark.createDataFrame([(i - len(head), "", 0, "", x) for i, x in enumerate(head)], "ord int, sample string, gc_content int, read_end string, value string")
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in DEPTH_COLUMNS))
+    rows = df.select(F.lit(0).alias("ord"), F.col("sample").cast("string").alias("sample"), F.col("gc_content").cast("int").alias("gc_content"), F.col("read_end").cast("string").alias("read_end"), line.alias("value"))
+    top.unionByName(rows).orderBy("ord", "sample", "gc_content", "read_end").select("value").write.mode("overwrite").text(path)
+
+
+def merge_depths(spark: SparkSession, paths: list[str], samples: DataFrame, gc_range: tuple[int, int], same: tuple[str, ...] = ("window size", "ploidy"), ploidy: int = 2) -> DataFrame:
+    """Depth tables of several files as one, for the samples asked for. An error where parameters in `same` differ, a sample
+    comes twice, or a sample lacks a GC bin of the range (low, and one behind the high end)."""
+    headers = [depth_header(spark, p) for p in paths]
+    for p, h in zip(paths[1:], headers[1:]):
+        if any(h.get(k) != headers[0].get(k) for k in same):
+            raise ValueError(f"parameters of {paths[0]} and {p} differ")
+    out = read_depth(spark, paths[0], ploidy)
+    for p in paths[1:]:
+        out = out.unionByName(read_depth(spark, p, ploidy))
+    out = out.join(samples.select("sample").distinct(), "sample", "left_semi")
+    if twice := [r["sample"] for r in duplicated_samples(out).orderBy("sample").limit(10).collect()]:
+        raise ValueError(f"samples that come twice: {', '.join(twice)}")
+    have = out.filter((F.col("gc") >= gc_range[0]) & (F.col("gc") < gc_range[1]) & ~F.isnan("nb_n") & ~F.isnan("nb_p")).groupBy("sample").agg(F.count_distinct("gc").alias("n"))
+    short = samples.select("sample").distinct().join(have, "sample", "left").filter(F.coalesce("n", F.lit(0)) < gc_range[1] - gc_range[0])
+    if lacking := [r["sample"] for r in short.orderBy("sample").limit(10).collect()]:
+        raise ValueError(f"samples without values of all GC bins: {', '.join(lacking)}")
+    return out
+
+
 def duplicated_samples(depths: DataFrame) -> DataFrame:
     """Samples with more than one row of a GC bin; a merge of depth tables must give none."""
     return depths.groupBy("sample", "gc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sample").distinct()
@@ -164,6 +220,69 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get("_p", F.lit(0)).alias("file"), F.get("_p", F.lit(1)).alias("sample"))
 
 
+def select_files(files: DataFrame, contigs: DataFrame, genome: DataFrame, vmr: DataFrame | None = None, most: float | None = None) -> DataFrame:
+    """files: file, sample; contigs: file, name, length of each file's header; genome: name, length. Files whose samples have a
+    variance-to-mean ratio (vmr: sample, ratio) of at most `most`, and `fault`: how many of the genome's contigs a
+    file lacks or has with another length. A file with faults must not be read."""
+    kept = files if vmr is None else files.join(vmr.filter(F.col("ratio") <= most).select("sample").distinct(), "sample", "left_semi")
+    n = genome.agg(F.count(F.lit(1)).alias("n"))
+    right = contigs.join(genome, ["name", "length"]).groupBy("file").agg(F.count_distinct("name").alias("right"))
+    return kept.join(right, "file", "left").join(F.broadcast(n)).select("file", "sample", (F.col("n") - F.coalesce("right", F.lit(0))).alias("fault"))
+
+
+def pooled_header(contig: str, length: int, groups: DataFrame, max_mate_distance: int) -> DataFrame:
+    """(ord, value) header lines of pooled reads: the contig, each read group (rg, sample) and the mate distance as a comment."""
+    spark = groups.sparkSession
+    ends = spark.createDataFrame([(0, f"@SQ\tSN:{contig}\tLN:{length}"), (2, f"@CO\tmax_mate_dist={max_mate_distance}")], "ord int, value string")
+    return ends.unionByName(groups.select(F.lit(1).alias("ord"), F.concat(F.lit("@RG\tID:"), "rg", F.lit("\tSM:"), "sample").alias("value")))
+
+
+def pooled_files(spark: SparkSession, prefix: str, n: int | None = None) -> list[str] | None:
+    """Files of pooled reads: `prefix.bam` or `prefix.cram` with its index, or the numbered ones in the folder `prefix` if it
+    holds `success`, `n` of them or as far as they go. None where there is no such set."""
+    indexed = lambda base: next((f"{base}.{k}" for k, ix in (("cram", "crai"), ("bam", "bai")) if exists(spark, f"{base}.{k}") and exists(spark, f"{base}.{k}.{ix}")), None)
+    if one := indexed(prefix):
+        return [one]
+    if not exists(spark, f"{prefix}/success"):
+        return None
+    out: list[str] = []
+    while n is None or len(out) < n:
+        name = indexed(f"{prefix}/{len(out)}")
+        if name is None:
+            return out if n is None and out else None
+        out.append(name)
+    return out
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as a tab-separated folder with a header line, for looking into a run."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", sep="\t", header=True)
+
+
+def position_rows(columns: DataFrame) -> DataFrame:
+    """columns: locus, row_ix, chrom1, pos1, base1, chrom2, pos2, text (what stands there in copy 2: bases, or `-`). One row a
+    base: chrom2, pos2, chrom1, pos1, base1, base2; a deleted base has nulls for copy 2, an inserted one a place between two
+    of copy 1 and no base there."""
+    size = F.length("text")
+    cells = columns.withColumn("_k", F.explode(F.sequence(F.lit(0), size - 1)))
+    gone = F.col("text") == "-"
+    return cells.select(
+        "locus", "row_ix", F.when(~gone, F.col("chrom2")).alias("chrom2"), F.when(~gone, F.abs(F.col("pos2") + F.col("_k"))).alias("pos2"), "chrom1",
+        F.round(F.col("pos1") + F.col("_k") / size, 2).alias("pos1"), F.when(F.col("_k") == 0, F.col("base1")).alias("base1"), F.when(~gone, F.expr("substring(text, _k + 1, 1)")).alias("base2"),
+    )
+
+
+def clustal_blocks(lines: DataFrame, names: DataFrame, width: int = 60) -> DataFrame:
+    """lines: locus, row_ix, line (of homology.multiple_alignment, -1 the marks); names: locus, row_ix, name. (locus, block, row_ix,
+    value): each block the names, padded to the longest, and `width` columns of every row, the marks last."""
+    named = lines.join(names, ["locus", "row_ix"], "left").withColumn("name", F.coalesce("name", F.lit("")))
+    widest = named.groupBy("locus").agg(F.max(F.length("name")).alias("_w"))
+    cut = named.join(widest, "locus").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / width).cast("int"))))
+    row = F.when(F.col("row_ix") < 0, F.lit(1 << 30)).otherwise(F.col("row_ix"))
+    return cut.select("locus", "block", row.cast("bigint").alias("row_ix"), F.concat(F.rpad("name", F.col("_w"), F.lit(" ")), F.lit("  "), F.expr(f"substring(line, block * {width} + 1, {width})")).alias("value"))
+
+
 def background_windows(bed: DataFrame, sequences: DataFrame) -> DataFrame:
     """Windows (chrom, s, e) with their GC per cent; those with an N are left out. sequences: region_id, seq."""
     joined = bed.join(sequences, "region_id").filter(F.instr("seq", "N") == 0)

@@ -450,3 +450,33 @@ def test_psvs_and_prior_tables(spark):
     assert math.isclose(sum(math.exp(p) for (n, _), p in t.items() if n == 4), 1) and max((p, c) for (n, c), p in t.items() if n == 4)[1] == (2, 2)
     d = pl.with_allele_distribution(spark.createDataFrame([([2, 2], [1.0, 1.0])], "k array<int>, f array<double>"), "k", "f", "p").first()["p"]
     assert np.allclose(d, [0, 0, 1, 0, 0])
+
+
+def test_combined_rows_are_stitched_alignments(spark):
+    """Windows of one long alignment, forward and reverse, come together as that alignment."""
+    rng = random.Random(6)
+    for forward in (1, 0):
+        ops = [(rng.randint(8, 30), "=") if k % 2 == 0 else (rng.randint(1, 3), rng.choice("XDI")) for k in range(31)]
+        n1, n2 = sum(n for n, op in ops if op in "=XD"), sum(n for n, op in ops if op in "=XI")
+        pairs = {}  # reference -> place along copy 2
+        i = j = 0
+        for n, op in ops:
+            for _ in range(n):
+                if op in "=X":
+                    pairs[i] = j
+                i, j = i + (op in "=XD"), j + (op in "=XI")
+        rows = []
+        for k, start in enumerate(range(0, n1 - 60, 40)):
+            s, e = min(p for p in pairs if p >= start), max(p for p in pairs if p < start + 100) + 1
+            part = al.cut(ops, s, e)
+            while part[0][1] == "I":
+                part = part[1:]
+            a, b = pairs[s], pairs[e - 1] + 1
+            s2, e2 = (1000 + a, 1000 + b) if forward else (1000 + n2 - b, 1000 + n2 - a)
+            rows.append((k, 1, 500 + s, 500 + e, forward, 2, s2, e2, al.text(part)))
+        df = spark.createDataFrame(rows, "hit_id long, chrom_id long, s long, e long, strand long, chrom2 long, s2 long, e2 long, cigar string")
+        got = hm.combine(df, cigar="cigar").collect()
+        assert len(got) == 1 and got[0]["n_parts"] == len(rows)
+        r = got[0]
+        assert (r["s"], r["e"], r["s2"], r["e2"]) == (500, max(x[3] for x in rows), min(x[6] for x in rows), max(x[7] for x in rows))
+        assert r["cigar"] == al.text(al.cut(ops, 0, r["e"] - 500))

@@ -99,14 +99,6 @@ def as_of_window(points: DataFrame, windows: DataFrame, width: int = BIN, pos: s
     return overlap_join(p, windows, width).drop("s", "e")
 
 
-def mutual_nearest(a: DataFrame, b: DataFrame, keys: Sequence[str], max_distance: int, ids: tuple[str, str] = ("a_id", "b_id"), pos: tuple[str, str] = ("a_pos", "b_pos")) -> DataFrame:
-    """Pairs of equal keys within max_distance, each the other's nearest (ties: the smaller id)."""
-    pairs = a.join(b, list(keys)).withColumn("dist", F.abs(F.col(pos[0]) - F.col(pos[1]))).filter(F.col("dist") <= max_distance)
-    by_a = Window.partitionBy(*keys, ids[0]).orderBy("dist", ids[1])
-    by_b = Window.partitionBy(*keys, ids[1]).orderBy("dist", ids[0])
-    return pairs.withColumn("_ra", F.row_number().over(by_a)).withColumn("_rb", F.row_number().over(by_b)).filter("_ra = 1 and _rb = 1").drop("_ra", "_rb")
-
-
 def lookup_with_default(a: DataFrame, entries: DataFrame, value: str, default, ids: Sequence[str], width: int = BIN) -> DataFrame:
     """value of the entry that contains a's interval, default where none does, null where several do."""
     found = overlap_join(a.select(*ids, "chrom_id", "s", "e"), entries, width, (F.col("b_s") <= F.col("s")) & (F.col("b_e") >= F.col("e")))

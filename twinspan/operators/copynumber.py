@@ -190,3 +190,33 @@ def smooth_short_runs(values: list[bool], least: int) -> list[bool]:
         if short is None or len(cuts) <= 2:
             return out
         out[short[0] : short[1]] = [not out[short[0]]] * (short[1] - short[0])
+
+
+def with_emissions(df: DataFrame, depth: str, nb_n: str, nb_p: str, n_states: int, out: str = "emissions") -> DataFrame:
+    """Adds emissions() of each row's depth under its background: ln P(depth | copies) for 0 to n_states - 1 copies, normalized."""
+
+    @F.pandas_udf("array<double>")
+    def logs(d: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        e = emissions(d.to_numpy(float)[None, :], n.to_numpy(float)[None, :], p.to_numpy(float)[None, :], np.ones(len(d)), n_states)
+        return pd.Series(list(e[0]))
+
+    return df.withColumn(out, logs(depth, nb_n, nb_p))
+
+
+def chain_scores(df: DataFrame, keys: list[str], order: str, emission: str, stay: float) -> DataFrame:
+    """A chain of each key's rows in order, over the states of an array of ln emissions: even start, `stay` to remain and the rest
+    even over the others. total: ln likelihood of all paths; best: that of the likeliest, as path_log_likelihood gives it; path:
+    its runs of states."""
+    kinds = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        e = np.stack(rows[emission].to_numpy()).astype(float)
+        n = e.shape[1]
+        a = np.full((n, n), np.log((1 - stay) / max(n - 1, 1)))
+        a[np.diag_indices(n)] = np.log(stay)
+        a, start = np.broadcast_to(a, (len(e) - 1, n, n)), np.full(n, -np.log(n))
+        path = viterbi(e, a, start)
+        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), forward_backward(e, a, start)[2], path_log_likelihood(e, a, start, path), run_length_text(path))], columns=[*keys, "total", "best", "path"])
+
+    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "total double, best double, path string"]))

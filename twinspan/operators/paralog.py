@@ -73,6 +73,16 @@ def psv_support(n1: np.ndarray, n2: np.ndarray, tuples: tuple[tuple[int, ...], .
     return np_logsumexp(logs[:, None, :] + mix[None, :, :], axis=2)
 
 
+def with_psv_support(df: DataFrame, n1: str, n2: str, f: str, total: int, out: str = "support") -> DataFrame:
+    """Adds psv_support() of each row's counts and f-values: ln P(counts | split) for every split of `total` in copy_tuples order."""
+
+    @F.pandas_udf("array<double>")
+    def logs(a: pd.Series, b: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([psv_support(np.array([x], float), np.array([y], float), copy_tuples(total, len(v)), np.asarray(v, float))[0] for x, y, v in zip(a, b, values)])
+
+    return df.withColumn(out, logs(n1, n2, f))
+
+
 def information(n1: np.ndarray, n2: np.ndarray) -> float:
     """Mean share of the other copies' allele where there are reads, times four (1 for even counts)."""
     depth = n1 + n2

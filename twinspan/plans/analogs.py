@@ -55,7 +55,10 @@ def with_views(sql: str, *names: str) -> str:
     """The SQL with the views it needs in front."""
     needed = [n for n in (["reads"] if "win_depth" in names and "reads" not in names else []) + list(names)]
     body = ", ".join(f"{n} AS ({BODIES[n]})" for n in needed)
-    return f"WITH {body}, {sql[5:].lstrip()}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {body} {sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{body}, {sql.lstrip()[len(start) :]}"
+    return f"WITH {body} {sql}"
 
 
 __all__ = ["BODIES", "view", "with_views"]

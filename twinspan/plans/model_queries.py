@@ -133,3 +133,38 @@ def l12_alignment(spark, d) -> DataFrame:
 def m27_location_probabilities(spark, d) -> DataFrame:
     weights = view(spark, d, "allele_counts").select("sample_id", F.col("psv_ix").alias("read_id"), F.posexplode(F.array(*(-F.col(c) / 5 for c in ("n0", "n1", "n2")))).alias("copy", "ln_weight"))
     return ca.location_probabilities(weights).select(F.col("read_id").alias("variant_id"), "sample_id", "copy", F.round("ln_prob", 9).alias("ln_prob"))
+
+
+_NB = "lgamma(d + n) - lgamma(n) - lgamma(d + 1) + n * ln(0.3) + d * ln(0.7)"
+
+
+@query(f"""WITH e AS (SELECT sample_id, window_ix, c, {_NB} AS x FROM (SELECT sample_id, window_ix, CAST(depth1 AS DOUBLE) AS d, c, gc / 10.0 * CASE WHEN c = 0 THEN 0.01 ELSE c END AS n FROM win_depth, range(0, 5) t(c)))
+    SELECT sample_id, window_ix, c AS cn, round(x - m - ln(sum(exp(x - m)) OVER (PARTITION BY sample_id, window_ix)), 6) AS ln_p FROM (SELECT *, max(x) OVER (PARTITION BY sample_id, window_ix) AS m FROM e)""", "win_depth")
+def m07_emissions(spark, d) -> DataFrame:
+    """Negative binomial emissions of each window's depth for up to four copies."""
+    w = view(spark, d, "win_depth").select("sample_id", "window_ix", "depth1", (F.col("gc") / 10).alias("n"), F.lit(0.3).alias("p"))
+    return cn.with_emissions(w, "depth1", "n", "p", 5).select("sample_id", "window_ix", F.posexplode("emissions").alias("cn", "ln_p")).withColumn("cn", F.col("cn").cast("bigint")).withColumn("ln_p", F.round("ln_p", 6))
+
+
+_LSE = "greatest({a}, {b}) + ln(1 + exp(-abs({a} - ({b}))))"
+_STEP = {k: {"a": f"r.{k}0 + ln(0.9)", "b": f"r.{k}1 + ln(0.1)"} for k in "av"}
+_BACK = {k: {"a": f"r.{k}0 + ln(0.1)", "b": f"r.{k}1 + ln(0.9)"} for k in "av"}
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY window_ix) AS i, count(*) OVER (PARTITION BY sample_id) AS n, -depth1 / 10.0 AS e0, -pow(depth1 - 8, 2) / 20.0 AS e1 FROM win_depth),
+    r AS (SELECT sample_id, i, n, ln(0.5) + e0 AS a0, ln(0.5) + e1 AS a1, ln(0.5) + e0 AS v0, ln(0.5) + e1 AS v1 FROM w WHERE i = 1
+    UNION ALL SELECT w.sample_id, w.i, w.n, w.e0 + {_LSE.format(**_STEP['a'])}, w.e1 + {_LSE.format(**_BACK['a'])}, w.e0 + greatest({_STEP['v']['a']}, {_STEP['v']['b']}), w.e1 + greatest({_BACK['v']['a']}, {_BACK['v']['b']}) FROM r JOIN w ON w.sample_id = r.sample_id AND w.i = r.i + 1)
+    SELECT sample_id, round({_LSE.format(a='a0', b='a1')}, 6) AS total, round(greatest(v0, v1), 6) AS best FROM r WHERE i = n""", "win_depth")
+def m04_chain_likelihoods(spark, d) -> DataFrame:
+    """Forward, Viterbi and path likelihoods of a chain with two states over each sample's windows."""
+    e = F.array(-F.col("depth1") / 10, -F.pow(F.col("depth1") - 8, F.lit(2.0)) / 20)
+    scores = cn.chain_scores(view(spark, d, "win_depth").select("sample_id", "window_ix", e.alias("e")), ["sample_id"], "window_ix", "e", 0.9)
+    return scores.select("sample_id", F.round("total", 6).alias("total"), F.round("best", 6).alias("best"))
+
+
+@query("SELECT psv_ix, sample_id, concat(CAST(4 - k AS STRING), ',', CAST(k AS STRING)) AS split, round(n0 * ln(greatest(0.01, least(0.99, (4 - k) / 4.0))) + n1 * ln(greatest(0.01, least(0.99, k / 4.0))), 6) AS ln_p FROM allele_counts, range(0, 5) t(k)", "allele_counts")
+def m13_psv_support(spark, d) -> DataFrame:
+    """ln P(counts | split) of every variant and sample, where each copy always has its own allele."""
+    rows = pl.with_psv_support(view(spark, d, "allele_counts").withColumn("f", F.array(F.lit(1.0), F.lit(1.0))), "n0", "n1", "f", 4)
+    each = rows.select("psv_ix", "sample_id", F.posexplode("support").alias("k", "p"))
+    return each.select("psv_ix", "sample_id", F.concat_ws(",", (4 - F.col("k")).cast("string"), F.col("k").cast("string")).alias("split"), F.round("p", 6).alias("ln_p"))

@@ -1,5 +1,9 @@
 """Text formats: written here, read back."""
 
+import pytest
+from pyspark.sql import functions as F
+from twinspan.sources import models as md
+from twinspan.sources import scratch as sc
 from twinspan.sources import text as tx
 
 
@@ -60,3 +64,78 @@ def test_depth_lists_and_overrides(spark, tmp_path):
     o = tx.read_overrides(spark, write(tmp_path, "o.bed", "c\t0\tinf\t*\t4\nc\t5\t9\tx\t3\n"), contigs, samples)
     assert sorted(map(tuple, o.collect())) == [("c", 0, 100, "x", 4), ("c", 0, 100, "y", 4), ("c", 5, 9, "x", 3)]
     assert tx.genome_name("hg38") == "grch38"
+
+
+def test_genomes_files_and_headers(spark, tmp_path):
+    a = spark.createDataFrame([("c1", 0, "ACGT"), ("c2", 0, "AA")], "chrom string, chunk int, seq string")
+    b = spark.createDataFrame([("c2", 0, "TT"), ("c3", 0, "G")], "chrom string, chunk int, seq string")
+    assert sorted(map(tuple, tx.merge_sequences(a, b).collect())) == [("c1", 0, "ACGT"), ("c2", 0, "AA"), ("c3", 0, "G")]
+    with pytest.raises(ValueError, match="c2"):
+        tx.merge_sequences(a, b.withColumn("seq", F.lit("TTT")))
+    groups = spark.createDataFrame([("g1", "s1")], "rg string, sample string")
+    assert [r["value"] for r in tx.pooled_header("c1", 9, groups, 50).orderBy("ord").collect()] == ["@SQ\tSN:c1\tLN:9", "@RG\tID:g1\tSM:s1", "@CO\tmax_mate_dist=50"]
+    prefix = str(tmp_path / "pooled")
+    assert tx.pooled_files(spark, prefix) is None
+    folder = tmp_path / "pooled"
+    folder.mkdir()
+    for name in ("0.cram", "0.cram.crai", "1.bam", "1.bam.bai"):
+        (folder / name).write_text("")
+    assert tx.pooled_files(spark, prefix) is None
+    (folder / "success").write_text("")
+    assert tx.pooled_files(spark, prefix) == [f"{prefix}/0.cram", f"{prefix}/1.bam"] and tx.pooled_files(spark, prefix, 3) is None
+    (tmp_path / "pooled.bam").write_text("")
+    (tmp_path / "pooled.bam.bai").write_text("")
+    assert tx.pooled_files(spark, prefix) == [f"{prefix}.bam"]
+    tx.write_tables({"groups": groups}, str(tmp_path / "debug"))
+    assert spark.read.csv(str(tmp_path / "debug/groups"), sep="\t", header=True).collect() == groups.collect()
+
+
+def test_depth_tables_that_do_not_fit(spark, tmp_path):
+    rows = [(s, gc, "1", 5, 1.0, 2.0, 8.0, 0.5) for s in ("a", "b") for gc in (40, 41)]
+    df = spark.createDataFrame(rows, "sample string, gc_content int, read_end string, n_windows int, mean double, var double, nbinom_n double, nbinom_p double")
+    one, two, other = (str(tmp_path / n) for n in ("one", "two", "other"))
+    tx.write_depth(df.filter("sample = 'a'"), one, {"ploidy": 2, "window size": 100})
+    tx.write_depth(df.filter("sample = 'b' and gc_content = 40"), two, {"ploidy": 2, "window size": 100})
+    tx.write_depth(df.filter("sample = 'b'"), other, {"ploidy": 2, "window size": 50})
+    samples = df.select("sample").distinct()
+    assert tx.merge_depths(spark, [one], samples.filter("sample = 'a'"), (40, 42)).count() == 2
+    for paths, match in (([one, two], "all GC bins: b"), ([one, other], "parameters"), ([one, one], "twice: a")):
+        with pytest.raises(ValueError, match=match):
+            tx.merge_depths(spark, paths, samples, (40, 42))
+
+
+def test_models_and_loci(spark, tmp_path):
+    entries = spark.createDataFrame(
+        [("main", "x", "c1", 0, 100, None, {"version": "1"}), ("const_region", "x", "c1", 0, 50, [("c2", 5, 55, False)], {}), ("const_region", "y", "c1", 60, 90, [], {})], md.ENTRY
+    )
+    path = str(tmp_path / "model")
+    md.write_model(entries, path)
+    got = {(r["kind"], r["locus"]): r for r in md.read_model(spark, path).collect()}
+    assert got["main", "x"]["info"] == {"version": "1"} and got["const_region", "x"]["regions2"] == [("c2", 5, 55, False)] and got["const_region", "y"]["s"] == 60
+    run = entries.filter("kind = 'const_region'").select("locus", "chrom", "s", F.when(F.col("locus") == "y", 91).otherwise(F.col("e")).alias("e"), "regions2")
+    assert sorted((r["where"], r["e"]) for r in md.region_mismatches(md.read_model(spark, path), run).collect()) == [("model", 90), ("run", 91)]
+    assert {r["locus"] for r in md.select_loci(entries, ["!x"]).collect()} == {"y"} and md.select_loci(entries, ["x"]).count() == 2
+    with pytest.raises(ValueError, match="z"):
+        md.select_loci(entries, ["z"])
+    (tmp_path / "bad" / "locus=q").mkdir(parents=True)
+    (tmp_path / "bad" / "locus=q" / "a.txt").write_text("nonsense\tc1:1-2\t*\t*\n")
+    with pytest.raises(Exception, match="unexpected entry"):
+        md.read_model(spark, str(tmp_path / "bad")).collect()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    assert sc.scratch_dir(spark)
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        sc.scratch_dir(Session())

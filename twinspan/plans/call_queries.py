@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import logmath as lm
 from ..operators import calling as ca
 from ..operators import chain
@@ -14,7 +15,9 @@ from ..operators import genotypes as gt
 from ..operators import homology as hm
 from ..operators import intervals as iv
 from ..operators import paralog as pl
+from ..operators import relational as rel
 from ..operators import variants as vr
+from ..sources import scratch as sc
 from ..sources import text as tx
 from .analogs import view, with_views
 
@@ -239,6 +242,64 @@ def w08_const_regions(spark, d) -> DataFrame:
     return r.select("chrom_id", "s", "e", F.col("cn").cast("bigint").alias("cn"), "skip", total("s").alias("starts"), total("e").alias("ends"))
 
 
+_ISLANDS = """o AS (SELECT chrom_id, s, e, max(e) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv_b), k AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
+    m AS (SELECT chrom_id, min(s) AS s, max(e) AS e FROM k GROUP BY chrom_id, k)"""
+
+
+@query(f"""WITH {_ISLANDS}, g AS (SELECT chrom_id, coalesce(lag(e) OVER (PARTITION BY chrom_id ORDER BY s), 0) AS s, s AS e FROM m UNION ALL SELECT c.chrom_id, coalesce(max(m.e), 0), c.length FROM contigs c LEFT JOIN m ON c.chrom_id = m.chrom_id GROUP BY c.chrom_id, c.length),
+    u AS (SELECT * FROM g WHERE s < e AND chrom_id IN (SELECT chrom_id FROM contigs)) SELECT r.a_id, CAST(sum(least(r.e, u.e) - greatest(r.s, u.s)) AS BIGINT) AS unique_bases FROM (SELECT DISTINCT a_id, chrom_id, s, e FROM iv_a) r JOIN u ON r.chrom_id = u.chrom_id AND r.s < u.e AND u.s < r.e GROUP BY 1""", "iv_b", "contigs", "iv_a")
+def j26_unique_bases(spark, d) -> DataFrame:
+    """How much of each interval lies in what no duplication covers."""
+    unique = iv.unique_regions(view(spark, d, "iv_b"), view(spark, d, "contigs"))
+    pairs = iv.overlap_join(view(spark, d, "iv_a").distinct(), unique)
+    return pairs.groupBy("a_id").agg(F.sum(iv.overlap_size(F.col("s"), F.col("e"), F.col("b_s"), F.col("b_e"))).cast("bigint").alias("unique_bases"))
+
+
+@query("""WITH p AS (SELECT b_id, chrom_id, s, s + 2 AS e, s + 5 + b_id % 3 AS s2, b_id % 2 AS f FROM iv_b), r AS (SELECT DISTINCT chrom_id, s // 50 * 50 AS s, s // 50 * 50 + 50 AS e, s // 50 * 50 + 5 AS s2, s // 50 * 50 + 56 AS e2, s // 50 % 2 AS f FROM iv_b)
+    SELECT DISTINCT p.b_id FROM p JOIN r ON p.chrom_id = r.chrom_id AND p.s >= r.s AND p.e <= r.e AND p.s2 >= r.s2 AND p.s2 + 2 <= r.e2 AND p.f = r.f""", "iv_b")
+def j17_consistent_copies(spark, d) -> DataFrame:
+    """Variants all copies of which lie in a copy of the region around them."""
+    b = view(spark, d, "iv_b")
+    copy = lambda s, e, f: F.array(F.struct(F.col("chrom_id"), s.alias("s"), e.alias("e"), f.alias("strand"))).alias("copies")
+    psvs = b.select("b_id", "chrom_id", "s", (F.col("s") + 2).alias("e"), copy(F.col("s") + 5 + F.col("b_id") % 3, F.col("s") + 7 + F.col("b_id") % 3, F.col("b_id") % 2))
+    at = b.select("chrom_id", (F.floor(F.col("s") / 50) * 50).alias("s")).distinct()
+    regions = at.select("chrom_id", "s", (F.col("s") + 50).alias("e"), copy(F.col("s") + 5, F.col("s") + 56, F.col("s") / 50 % 2))
+    return vr.consistent_copies(psvs, regions).select("b_id").distinct()
+
+
+@query("SELECT sample_id, round(avg(50 + mapq), 6) AS mean_length FROM reads WHERE flag & 3844 = 0 GROUP BY 1", "reads")
+def g22_mean_read_length(spark, d) -> DataFrame:
+    """Over primary reads, 50 and their mapping quality long here."""
+    return rel.primary_reads(view(spark, d, "reads")).groupBy("sample_id").agg(F.round(F.avg(50 + F.col("mapq")), 6).alias("mean_length"))
+
+
+@query("SELECT sample_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM reads WHERE sample_id % 2 = 0 GROUP BY 1", "reads")
+def s22_read_store(spark, d) -> DataFrame:
+    """Reads kept by sample, of which half of the samples are read: folders in place of an index."""
+    path = sc.scratch_path(spark, "reads")
+    view(spark, d, "reads").repartition("sample_id").write.partitionBy("sample_id").parquet(path)
+    kept = spark.read.schema("read_id long, user_id long, pos long, mapq long, is_read2 long, sample_id long").parquet(path).filter("sample_id % 2 = 0")
+    return kept.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("places"))
+
+
+@query("SELECT item_id AS read_id, CAST(40 AS BIGINT) AS pos, '60=' AS cigar FROM benchmark WHERE length(text) >= 120")
+def m36_pooled_reads(spark, d) -> DataFrame:
+    """Reads of a copy of each passage, put on the passage itself."""
+    b = view(spark, d, "benchmark").filter("length(text) >= 120").withColumn("text", F.translate("text", "\n", " "))
+    reads = b.select(F.col("item_id").alias("read_id"), F.col("item_id").cast("bigint").alias("chrom_id"), F.lit(40).cast("bigint").alias("s"), F.lit(100).cast("bigint").alias("e"), F.expr("substring(text, 41, 60)").alias("seq"), F.lit(40).cast("bigint").alias("start2"))
+    copies = b.select(F.col("item_id").cast("bigint").alias("chrom_id"), F.lit(0).cast("bigint").alias("s"), F.length("text").cast("bigint").alias("e"), F.col("text").alias("copy1"), F.col("text").alias("copy2"), F.concat(F.length("text").cast("string"), F.lit("=")).alias("cigar"))
+    return api.pool(reads, copies)
+
+
+@query("SELECT o_orderkey AS locus, CAST(1 + o_custkey % 9 AS BIGINT) AS s, CAST(2 + o_custkey % 9 AS BIGINT) AS e, 'C,G' AS alleles FROM orders")
+def m37_psv_records(spark, d) -> DataFrame:
+    """The one difference between two copies of each locus, from their alignment."""
+    o = view(spark, d, "orders").select(F.col("o_orderkey").alias("locus"), (F.col("o_custkey") % 9 + 1).cast("int").alias("q"))
+    text = lambda letter: F.concat(F.expr("repeat('A', q)"), F.lit(letter + "TTTTT"))
+    rows = o.select("locus", F.lit(1).alias("copy"), F.concat(F.col("q").cast("string"), F.lit("=1X5=")).alias("cigar"), text("C").alias("ref"), text("G").alias("read"))
+    return api.psvs(rows).select("locus", "s", "e", F.array_join("alleles", ",").alias("alleles"))
+
+
 # ------------------------------------------------------------------ the whole chain
 @query()
 def x07_sample_calls(spark, d) -> DataFrame:

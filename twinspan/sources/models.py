@@ -60,6 +60,17 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(known.alias("kind"), "locus", region["chrom"].alias("chrom"), region["start"].alias("s"), region["end"].alias("e"), parse_regions2(f(2)).alias("regions2"), info.alias("info"))
 
 
+def select_loci(entries: DataFrame, subset: list[str]) -> DataFrame:
+    """Entries of the loci asked for: names, or all where none is given, without those that come as `!name`. A name that no
+    locus has is an error."""
+    taken, out = [n for n in subset if not n.startswith("!")], [n[1:] for n in subset if n.startswith("!")]
+    names = {r["locus"] for r in entries.filter(F.col("locus").isin(taken + out)).select("locus").distinct().collect()}  # of those given by hand
+    if missing := sorted({*taken, *out} - names):
+        raise ValueError(f"no such locus: {', '.join(missing)}")
+    kept = entries.filter(F.col("locus").isin(taken)) if taken else entries
+    return kept.filter(~F.col("locus").isin(out)) if out else kept
+
+
 def window_entries(windows: DataFrame) -> DataFrame:
     """windows: locus, window_ix, chrom, s, e, regions2, gc, multiplier, in_hmm."""
     text = lambda c: F.col(c).cast("string")

@@ -3,6 +3,9 @@ features and the probabilities of the categories before it. Later models are tra
 probabilities of the earlier ones, so that they see what they will see on new documents.
 
 A document's features are the hashed presences of its words and of their first four and five letters.
+
+The labels have one flag, `toxic`. The categories before it are KINDS of toxic documents, found among the labelled
+ones themselves: clusters of those with the same telling features, whatever their language.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_of, slices, table
+from .common import batch_of, materialize, slices, table
 
 DIM = 1 << 18
 SAMPLE = 12_000  # labelled documents that the chain is trained on, those with the least hashes; the bound of the fit
@@ -27,10 +30,10 @@ L2 = 1e-4
 EVIDENCE = 15.0  # least G^2 of a feature against the class, so that chance alone brings in next to none
 CUT = 0.5
 REMEMBERED = 200_000
-# Words that name the two earlier categories in labelled toxic documents.
-INSULT = ("idiot", "moron", "loser", "clown", "scum")
-CONTEMPT = ("stupid", "worthless", "pathetic", "disgusting", "trash")
-CATEGORIES = ("insult", "contempt", "toxic")
+FIRST_CUT = 5.0  # the same over the whole sample: features under it don't reach the driver
+KINDS = 2
+TURNS = 20  # of the clustering
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -61,18 +64,54 @@ class Features:
         return np.fromiter(sorted(found), np.int32, len(found))
 
 
-def _evidence(flat: np.ndarray, y_flat: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """G^2 of the 2 x 2 table of each feature's presence against the class."""
-    n, pos = len(y), y.sum()
-    a = np.bincount(flat, y_flat, DIM)
-    b = np.bincount(flat, minlength=DIM) - a
-    g = np.zeros(DIM)
-    for k, row, column in ((a, a + b, pos), (b, a + b, n - pos), (pos - a, n - a - b, pos), (n - pos - b, n - a - b, n - pos)):
+def _g2(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """G^2 of the 2 x 2 table of a feature's presence against the class; a, b: documents of either class that have it."""
+    n = pos + neg
+    g = np.zeros(len(a))
+    for k, row, column in ((a, a + b, pos), (b, a + b, neg), (pos - a, n - a - b, pos), (neg - b, n - a - b, neg)):
         expected = row * column / n
         g += np.where(k > 0, 2 * k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
     return g
 
 
+def _evidence(flat: np.ndarray, y_flat: np.ndarray, y: np.ndarray) -> np.ndarray:
+    a = np.bincount(flat, y_flat, DIM)
+    return _g2(a, np.bincount(flat, minlength=DIM) - a, y.sum(), len(y) - y.sum())
+
+
+def kinds_of(rows: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """A column of 0 and 1 per kind: clusters of the toxic rows by spherical k-means over their telling features. The
+    first centre is the row most like all, each further one the row least like the centres so far; ties go
+    to the first row. A toxic row without telling features is of no kind."""
+    out = np.zeros((len(rows), kinds))
+    flat, starts = _flat(rows)
+    sizes = np.diff(np.append(starts, len(flat)))
+    own = np.flatnonzero(toxic == 1)
+    if not len(own) or len(own) == len(rows):
+        return out
+    telling = _evidence(flat, np.repeat(toxic, sizes), toxic) >= EVIDENCE
+    telling &= np.bincount(flat, np.repeat(toxic, sizes), DIM) * len(rows) > np.bincount(flat, minlength=DIM) * len(own)
+    telling[0] = False
+    used = np.flatnonzero(telling)
+    picked = [np.searchsorted(used, rows[i][telling[rows[i]]]) for i in own]
+    own, picked = own[[len(p) > 0 for p in picked]], [p for p in picked if len(p)]
+    if not len(own):
+        return out
+    ids, at = _flat(picked)
+    norms = np.repeat(1 / np.sqrt([len(p) for p in picked]), [len(p) for p in picked])
+    unit = lambda v: v / max(np.sqrt(v @ v), 1e-12)
+    alike = lambda c: np.add.reduceat(c[ids] * norms, at)
+    centres = [unit(np.bincount(picked[np.argmax(alike(unit(np.bincount(ids, norms, len(used)))))], minlength=len(used)).astype(float))]
+    while len(centres) < kinds:
+        centres.append(unit(np.bincount(picked[np.argmin(np.max([alike(c) for c in centres], axis=0))], minlength=len(used)).astype(float)))
+    for _ in range(TURNS):
+        cluster = np.argmax([alike(c) for c in centres], axis=0)
+        of_id = np.repeat(cluster, [len(p) for p in picked])
+        centres = [unit(np.bincount(ids[of_id == k], norms[of_id == k], len(used))) for k in range(kinds)]
+    out[own, cluster] = 1
+    return out
+
+
 class Linear:
     """Logistic regression over the presences that tell the classes apart and a few dense inputs, both classes
     of equal weight; Adagrad over the whole sample in a fixed number of steps, so each fit is the same."""
@@ -139,37 +178,54 @@ class Chain:
         return out
 
 
-def labelled_categories(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, insult, contempt, toxic) of the SAMPLE labelled rows with the least hashes. `toxic` is
-    the label; the two others are its toxic documents that hold one of a category's words."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the SAMPLE labelled rows with the least hashes."""
     some = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    has = lambda words: ((F.col("toxic") == 1) & ascii_lower(F.col("text")).rlike(rf"\b({'|'.join(words)})\b")).cast("int")
-    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", has(INSULT).alias("insult"), has(CONTEMPT).alias("contempt"), "toxic")
+    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
 
 
-def fit(sample: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Chain:
-    """sample: doc_id, text and a 0/1 column per category, of a bounded number of rows; features reach the driver."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *((c, pa.int32()) for c in categories)])
+def fit(sample: DataFrame) -> Chain:
+    """sample: doc_id, text and toxic (0 or 1), of a bounded number of rows. The driver gets at most DIM pairs of counts, summed
+    by partition, and then of each row the features that tell anything about the class over the whole sample."""
+    sample = materialize(sample.select("doc_id", "text", "toxic"), "labelled")
+    sums = pa.schema([("at", pa.int32()), ("toxic", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("toxic", pa.int32())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, total = Features(), np.zeros((2, DIM), np.int64)
+        for part in slices(batches):
+            for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                ids = features(text)
+                total[:, ids] += [[toxic], [1]]
+        at = np.flatnonzero(total[1])
+        yield batch_of(sums, at.astype(np.int32), total[0][at], total[1][at])
+
+    a, n = np.zeros(DIM), np.zeros(DIM)
+    for r in sample.mapInArrow(count, "at int, toxic long, n long").groupBy("at").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect():
+        a[r["at"]], n[r["at"]] = r["toxic"], r["n"]
+    keep = _g2(a, n - a, a[0], n[0] - a[0]) >= FIRST_CUT if n[0] else np.zeros(DIM, bool)  # feature 0 is in every row
+    keep[0] = True
+    keep = sample.sparkSession.sparkContext.broadcast(np.packbits(keep))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, kept = Features(), np.unpackbits(keep.value).astype(bool)
         for part in slices(batches):
-            yield batch_of(schema, part.column(0), [features(t) for t in part.column(1).to_pylist()], *(part.column(2 + k) for k in range(len(categories))))
+            rows = [features(t) for t in part.column(1).to_pylist()]
+            yield batch_of(schema, part.column(0), [r[kept[r]] for r in rows], part.column(2))
 
-    kinds = ", ".join(["doc_id long", "ids array<int>", *(f"{c} int" for c in categories)])
-    got = sample.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).mapInArrow(compute, kinds).toArrow().combine_chunks()
+    got = sample.mapInArrow(compute, "doc_id long, ids array<int>, toxic int").toArrow().combine_chunks()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     lists = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ends, flat = (lists.offsets.to_numpy(), lists.values.to_numpy()) if got.num_rows else (np.zeros(1, int), np.zeros(0, np.int32))
     rows = [flat[ends[i] : ends[i + 1]] for i in order]
-    y = np.array([got[c].to_numpy()[order] for c in categories], np.float64).T.reshape(len(rows), len(categories))
+    toxic = got["toxic"].to_numpy()[order].astype(np.float64)
     folds = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in got["doc_id"].to_numpy()[order].tolist()], int)
-    return Chain(rows, y, folds)
+    return Chain(rows, np.concatenate((kinds_of(rows, toxic), toxic[:, None]), axis=1), folds)
 
 
 def predict(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +249,4 @@ def op2_toxicity_chain(spark, sf_dir: str) -> DataFrame:
     0 and 1 are left out, of repeated labels the largest counts. No labelled rows, or of one class only:
     constant probabilities. Repeated rows each get their row, other columns are not read."""
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(labelled_categories(docs, table(spark, sf_dir, "labels"))))
+    return predict(docs, fit(labelled(docs, table(spark, sf_dir, "labels"))))

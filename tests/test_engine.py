@@ -480,3 +480,40 @@ def test_combined_rows_are_stitched_alignments(spark):
         r = got[0]
         assert (r["s"], r["e"], r["s2"], r["e2"]) == (500, max(x[3] for x in rows), min(x[6] for x in rows), max(x[7] for x in rows))
         assert r["cigar"] == al.text(al.cut(ops, 0, r["e"] - 500))
+
+
+def test_sweeps_do_not_depend_on_the_bins(spark):
+    """Islands, sessions, runs and gaps with bins of a few places, against loops."""
+    rng = random.Random(12)
+    rows = random_intervals(rng, 300, contigs=2, length=4000, widest=30)
+    df = frame(spark, rows)
+    for gap in (1, 8):
+        want = []
+        for c in (0, 1):
+            end, out = None, []
+            for _, s, e in sorted(r for r in rows if r[0] == c):
+                if end is not None and s <= end + gap - 1:
+                    out[-1] = (c, out[-1][1], max(out[-1][2], e), out[-1][3] + 1)
+                else:
+                    out.append((c, s, e, 1))
+                end = out[-1][2]
+            want += out
+        for width in (16, 1 << 16):
+            assert sorted(map(tuple, iv.merge_overlapping(df, gap, width=width).collect())) == sorted(want)
+    for width in (16, 1 << 16):
+        sessions = {(r["chrom_id"], r["s"], r["e"], r["n"]) for r in iv.gap_sessions(df, 12, ["chrom_id"], "s", width).collect()}
+        want = set()
+        for c in (0, 1):
+            places = sorted(s for x, s, _ in rows if x == c)
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] - places[i - 1] > 12), len(places)]
+            want |= {(c, places[a], places[b - 1] + 1, b - a) for a, b in zip(cuts, cuts[1:])}
+        assert sessions == want
+    states = [(k, i, rng.choice(["a", "b", None])) for k in (0, 1) for i in range(200) if i % 7 != 3]
+    df = spark.createDataFrame(states, "key long, ix long, state string")
+    want = set()
+    for k in (0, 1):
+        for state, group in itertools.groupby((r for r in states if r[0] == k), key=lambda r: r[2]):
+            own = [r[1] for r in group]
+            want.add((k, own[0], own[-1] + 1, state))
+    for width in (8, 1 << 16):
+        assert set(map(tuple, iv.run_lengths(df, "key", "ix", "state", width).collect())) == want

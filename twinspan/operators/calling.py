@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logmath import LN10, binomial_log_tail, fisher_exact, genotypes, np_logsumexp
 from .grouped import map_groups
-from .intervals import overlap_join
+from .intervals import overlap_join, with_islands, with_sessions
 
 MISSING_PENALTY, MATE_PENALTY = -4 * LN10, -5 * LN10
 LOW_DEPTH, HIGH_DEPTH, MAX_BIAS = 3, 2000, 30.0
@@ -171,9 +171,7 @@ def variant_filters(depth: Column, strand_bias: Column, pair_bias: Column, agcn:
 def resolve_overlaps(variants: DataFrame, part: str = "chrom_id") -> DataFrame:
     """variants: variant_id, chrom_id, s, e, quality. Of overlapping ones the better stay: islands of overlapping
     variants first, which are tiny, and then greedily inside each."""
-    w = Window.partitionBy(part).orderBy("s", "e", "variant_id")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = variants.withColumn("_n", F.when(F.col("s") < before, 0).otherwise(1)).withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = with_islands(variants, [part], "_i", 0)
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
     i_s, i_e, i_q, i_id = (names.index(c) for c in ("s", "e", "quality", "variant_id"))
 
@@ -190,8 +188,7 @@ def resolve_overlaps(variants: DataFrame, part: str = "chrom_id") -> DataFrame:
 def suppress_close(variants: DataFrame, radius: int = 100, part: str = "chrom_id") -> DataFrame:
     """variants: variant_id, chrom_id, s, info, is_snp. By information, single bases first, then by place; others
     within the radius of one that stays go. Inside runs without a gap of the radius, which are short."""
-    w = Window.partitionBy(part).orderBy("s", "variant_id")
-    marked = variants.withColumn("_n", F.when(F.col("s") - F.lag("s").over(w) <= radius, 0).otherwise(1)).withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = with_sessions(variants, [part], "s", radius, "_i")
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
     i_s, i_info, i_snp, i_id = (names.index(c) for c in ("s", "info", "is_snp", "variant_id"))
 

@@ -2,13 +2,13 @@
 
 Two intervals overlap where each starts before the other ends. Touching intervals have distance 1, overlapping
 ones 0. Joins put both sides into bins of a fixed width and keep a pair in the first bin that both touch, so a
-pair is found once and no contig becomes one task. Sweeps over a contig first work inside (contig, bin) and
-then on what is left of each bin, so that their last window sees rows in proportion to the contig's length.
+pair is found once and no contig becomes one task. Sweeps over a contig work inside (contig, bin), with what the bins
+before leave behind, so that only a row a bin meets in one window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,19 +108,55 @@ def lookup_with_default(a: DataFrame, entries: DataFrame, value: str, default, i
 
 
 # ------------------------------------------------------------------ sweeps
-def _islands(df: DataFrame, part: Sequence[str], gap: int) -> DataFrame:
-    order = Window.partitionBy(*part).orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col("s") <= before + (gap - 1), 0).otherwise(1))
-    runs = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*part, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("_island")
+# Rows of a part in order, without the part in one task: windows are over (part, bin), and what a bin needs from those
+# before it is summed up in one row a bin first.
+STRETCH = 1 << 16
 
 
-def merge_overlapping(df: DataFrame, max_distance: int = 1, part: Sequence[str] = ("chrom_id",), width: int = 1 << 16) -> DataFrame:
+def _across(rows: DataFrame, part: Sequence[str], value: Column, over: Callable[[Column], Column], name: str) -> DataFrame:
+    """Adds what `over` makes of the values of all bins before each row's; value is an aggregate of a bin."""
+    w = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*part, "_bin").agg(value.alias("_v")).select(*part, "_bin", over(F.col("_v")).over(w).alias(name))
+    return rows.join(bins, [*part, "_bin"])
+
+
+def previous_row(df: DataFrame, part: Sequence[str], order: str, columns: Sequence[str], width: int = STRETCH) -> DataFrame:
+    """Adds _bin and _previous, a struct of columns of the row before by a numeric order (null for a part's first)."""
+    row = F.struct(*columns)
+    rows = df.withColumn("_bin", F.floor(F.col(order) / width))
+    rows = _across(rows, part, F.max_by(row, order), lambda v: F.last(v, True), "_before")
+    here = F.lag(row).over(Window.partitionBy(*part, "_bin").orderBy(order))
+    return rows.withColumn("_previous", F.coalesce(here, "_before")).drop("_before")
+
+
+def _numbered(rows: DataFrame, part: Sequence[str], order: Sequence[str], new: str, name: str) -> DataFrame:
+    """Numbers the runs that rows with new = 1 begin; rows have _bin. Equal rows get one number, whichever of them comes
+    first, as the window's frame ends with the last of them."""
+    local = Window.partitionBy(*part, "_bin").orderBy(*order)
+    rows = _across(rows, part, F.sum(new), F.sum, "_so_far")
+    return rows.withColumn(name, F.coalesce("_so_far", F.lit(0)) + F.sum(new).over(local)).drop("_so_far", "_bin")
+
+
+def with_islands(df: DataFrame, part: Sequence[str], name: str, max_distance: int = 1, width: int = STRETCH) -> DataFrame:
+    """Numbers the islands of intervals (s, e) whose distance is at most max_distance (0: only overlapping ones are one)."""
+    rows = _across(df.withColumn("_bin", F.floor(F.col("s") / width)), part, F.max("e"), F.max, "_reach")
+    local = F.max("e").over(Window.partitionBy(*part, "_bin").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("s") <= F.greatest(local, F.col("_reach")) + (max_distance - 1), 0).otherwise(1)).drop("_reach")
+    return _numbered(rows, part, ("s", "e"), "_new", name).drop("_new")
+
+
+def with_sessions(df: DataFrame, part: Sequence[str], pos: str, max_gap: int, name: str, width: int = STRETCH) -> DataFrame:
+    """Numbers the runs of positions without a gap of more than max_gap."""
+    rows = previous_row(df, part, pos, [pos], width)
+    rows = rows.withColumn("_new", F.when(F.col(pos) - F.col(f"_previous.{pos}") <= max_gap, 0).otherwise(1)).drop("_previous")
+    return _numbered(rows, part, [pos], "_new", name).drop("_new")
+
+
+def merge_overlapping(df: DataFrame, max_distance: int = 1, part: Sequence[str] = ("chrom_id",), width: int = STRETCH) -> DataFrame:
     """Islands of intervals whose distance is at most max_distance (1: touching ones merge), with how many
-    intervals are in each. Intervals that start in one bin are merged first, then the bins' islands."""
-    rows = df.select(*part, "s", "e").withColumn("n", F.lit(1).cast("bigint")).withColumn("_bin", F.floor(F.col("s") / width))
-    return _islands(_islands(rows, [*part, "_bin"], max_distance).drop("_bin"), part, max_distance).withColumn("n", F.col("n").cast("bigint"))
+    intervals are in each."""
+    runs = with_islands(df.select(*part, "s", "e"), part, "_island", max_distance, width)
+    return runs.groupBy(*part, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
 def coverage(df: DataFrame, part: Sequence[str] = ("chrom_id",), width: int = 1 << 16) -> DataFrame:
@@ -150,26 +186,23 @@ def disjoint_regions(df: DataFrame, id_col: str, part: Sequence[str] = ("chrom_i
 def complement(df: DataFrame, contigs: DataFrame, part: str = "chrom_id") -> DataFrame:
     """Gaps of each contig (chrom_id, length) outside the intervals; whole contigs where there is none."""
     merged = merge_overlapping(df, 1, (part,))
-    order = Window.partitionBy(part).orderBy("s")
-    gaps = merged.select(part, F.coalesce(F.lag("e").over(order), F.lit(0)).alias("gs"), F.col("s").alias("ge"))
+    gaps = previous_row(merged, [part], "s", ["e"]).select(part, F.coalesce(F.col("_previous.e"), F.lit(0)).alias("gs"), F.col("s").alias("ge"))
     tails = merged.groupBy(part).agg(F.max("e").alias("gs")).join(contigs, part).select(part, "gs", F.col("length").alias("ge"))
     whole = contigs.join(merged, part, "left_anti").select(part, F.lit(0).cast("bigint").alias("gs"), F.col("length").alias("ge"))
     return gaps.unionByName(tails).unionByName(whole).filter("gs < ge").select(part, F.col("gs").alias("s"), F.col("ge").alias("e"))
 
 
-def run_lengths(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
+def run_lengths(df: DataFrame, key: str, order: str, state: str, width: int = STRETCH) -> DataFrame:
     """Runs of equal states: (key, start_ix, end_ix exclusive, state)."""
-    w = Window.partitionBy(key).orderBy(order)
-    change = df.withColumn("_c", F.when(F.lag(state).over(w).eqNullSafe(F.col(state)) & F.lag(order).over(w).isNotNull(), 0).otherwise(1))
-    runs = change.withColumn("_r", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous_row(df.select(key, order, state), [key], order, [state, order], width)
+    same = F.col("_previous").isNotNull() & F.col(f"_previous.{state}").eqNullSafe(F.col(state))
+    runs = _numbered(rows.withColumn("_c", F.when(same, 0).otherwise(1)).drop("_previous"), [key], [order], "_c", "_r")
     return runs.groupBy(key, "_r").agg(F.min(order).alias("start_ix"), (F.max(order) + 1).alias("end_ix"), F.first(state).alias("state")).drop("_r")
 
 
-def gap_sessions(df: DataFrame, max_gap: int, part: Sequence[str], pos: str = "pos") -> DataFrame:
+def gap_sessions(df: DataFrame, max_gap: int, part: Sequence[str], pos: str = "pos", width: int = STRETCH) -> DataFrame:
     """A new region where the next position is more than max_gap behind the last one."""
-    w = Window.partitionBy(*part).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) <= max_gap, 0).otherwise(1)
-    runs = df.withColumn("_n", new).withColumn("_r", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = with_sessions(df.select(*part, pos), part, pos, max_gap, "_r", width)
     return runs.groupBy(*part, "_r").agg(F.min(pos).alias("s"), (F.max(pos) + 1).alias("e"), F.count(F.lit(1)).alias("n")).drop("_r")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lambdas import let
 from .grouped import map_groups
-from .intervals import overlap_join
+from .intervals import overlap_join, with_islands, with_sessions
 
 RELIABLE_COMPLETE, LEAST_INFO, FEW = 0.99, 0.9, 3
 
@@ -65,9 +65,7 @@ def drop_near_repeats(reads: DataFrame, radius: int = 100) -> DataFrame:
 def combine_psvs(differences: DataFrame) -> DataFrame:
     """differences: locus, copy, s, e, allele (of that copy), ref. Overlapping ones of all copies become one record:
     its span, reference allele first, each other allele once, and the copies with their allele numbers."""
-    w = Window.partitionBy("locus").orderBy("s", "e")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = differences.withColumn("_n", F.when(F.col("s") < before, 0).otherwise(1)).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = with_islands(differences, ["locus"], "_g", 0)
     rec = runs.groupBy("locus", "_g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max_by("ref", F.length("ref")).alias("ref"), F.array_sort(F.collect_set(F.struct("copy", "allele"))).alias("_c"))
     alleles = F.array_distinct(F.concat(F.array("ref"), F.transform("_c", lambda x: x["allele"])))
     out = rec.withColumn("alleles", alleles)
@@ -174,20 +172,21 @@ def pick_peaks(df: DataFrame, key: str, order: str, value: str, least: float, di
 
 
 def read_clusters(df: DataFrame, key: str, pos: str, max_gap: int, max_span: int, padding: int) -> DataFrame:
-    """Positions of a read end gathered into places: a new one behind a gap, or where the place would get too long."""
-    i, j = df.columns.index(key), df.columns.index(pos)
+    """Positions of a read end gathered into places: a new one behind a gap, or where the place would get too long. Runs
+    without a gap come first, so what is gathered in one list is one of them and not all of a key's positions."""
+    df = with_sessions(df.select(key, pos), [key], pos, max_gap, "_run")
 
     def gather(rows: list[tuple]) -> list[tuple]:
         out: list[list[int]] = []
         for r in rows:
-            if out and r[j] - out[-1][1] <= max_gap and r[j] - out[-1][0] <= max_span:
-                out[-1][1] = r[j]
+            if out and r[1] - out[-1][0] <= max_span:
+                out[-1][1] = r[1]
                 out[-1][2] += 1
             else:
-                out.append([r[j], r[j], 1])
-        return [(rows[0][i], max(0, s - padding), e + padding + 1, n) for s, e, n in out]
+                out.append([r[1], r[1], 1])
+        return [(rows[0][0], max(0, s - padding), e + padding + 1, n) for s, e, n in out]
 
-    return map_groups(df, [key], [pos], gather, f"{key} {dict(df.dtypes)[key]}, s bigint, e bigint, n bigint")
+    return map_groups(df.select(key, pos, "_run"), [key, "_run"], [pos], gather, f"{key} {dict(df.dtypes)[key]}, s bigint, e bigint, n bigint")
 
 
 def group_small_regions(df: DataFrame, key: str, target: int = 20_000_000, alone: int = 1_000_000) -> DataFrame:

@@ -28,7 +28,7 @@ RATE = 8000
 FRAME, HOP = 256, 192
 PEAKS, FAN, REACH = 2, 2, 3
 BLOCK = 4096  # frames transformed at once
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME + 2)[1:-1].astype(np.float32)  # no sample weighs nothing
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -88,7 +88,10 @@ def peak_pairs(samples: np.ndarray) -> np.ndarray:
 
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media (binary, a WAV file) of every row: the text's UTF-8 bytes, padded. Narrow."""
+    """doc_id, n_bytes and media (binary, a WAV file) of every row: the text's UTF-8 bytes, padded. Narrow.
+
+    A null or empty text is one unit of padding, a null id is carried along. Repeated rows each get their row, other
+    columns are not read whatever their names, an empty table gives an empty result."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,8 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def fingerprints(media: DataFrame) -> DataFrame:
     """Reads the media column of with_media() back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256 and pairs (array<long>, the time-coded peak pairs)."""
+    media_bytes, media_sha256 and pairs (array<long>, the time-coded peak pairs; empty where no peak has a partner). A row
+    without media isn't made by with_media(), and fails here."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
          ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("pairs", pa.list_(pa.int64()))]

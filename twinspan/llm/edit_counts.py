@@ -4,6 +4,11 @@ the pre-tokens it touches and those whose ends it can move, and then updates the
 A pre-token's match never depends on more than the two characters behind it, so matching restarts at the
 first pre-token that ends later than two characters before the edit, and it stops at the first boundary
 behind the edit that is a boundary of the old text too: from there on, equal text gives equal matches.
+
+The tree is a treap in the order of the text, each node a segment of pre-tokens with the sums of its subtree. An edit
+within a segment updates the sums on the path to it; one that crosses segments, or fills one, splits the tree around
+them and joins in the new ones, which touches some paths and never the other segments. Strings of added tokens are
+ordinary text here, as an edit could make or break one anywhere.
 """
 
 from __future__ import annotations
@@ -16,11 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import batch_of, slices, table
 from .packing import PATTERN, token_ids
 
-LEAF = 64  # pre-tokens in a leaf; a leaf may grow to twice as many
+SEGMENT = 64  # pre-tokens in a segment; it may grow to twice as many
 REACH = 2  # characters behind a match that it may depend on
 REMEMBERED = 200_000
 _MATCH = regex.compile(PATTERN)
@@ -30,8 +36,10 @@ class Counter:
     """Tokens of a pre-token; the last some 100,000 different ones are remembered."""
 
     def __init__(self, path: str):
-        ids = token_ids(path)
-        self.count = (lambda t: len(ids.fast.encode_ordinary(t))) if ids.fast else (lambda t: len(ids.exact.encode(t, add_special_tokens=False).ids))
+        fast = token_ids(path).fast
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        self.count = (lambda t: len(fast.encode_ordinary(t))) if fast else (lambda t: len(plain.encode(t, add_special_tokens=False).ids))
         self.known: dict[str, int] = {}
 
     def __call__(self, tokens: list[str]) -> list[int]:
@@ -49,67 +57,136 @@ class Counter:
         return out
 
 
+class Segment:
+    """A node: its own pre-tokens and their counts, and of its subtree the segments, characters, tokens and pre-tokens."""
+
+    __slots__ = ("texts", "counts", "rank", "left", "right", "own", "segments", "chars", "tokens", "pretokens")
+
+    def __init__(self, texts: list[str], counts: list[int], rank: int):
+        self.rank, self.left, self.right = rank, None, None
+        self.fill(texts, counts)
+
+    def fill(self, texts: list[str], counts: list[int]) -> None:
+        self.texts, self.counts, self.own = texts, counts, (sum(map(len, texts)), sum(counts))
+
+    def add_up(self) -> None:
+        self.segments, self.pretokens = 1, len(self.texts)
+        self.chars, self.tokens = self.own
+        for x in (self.left, self.right):
+            if x is not None:
+                self.segments += x.segments
+                self.chars += x.chars
+                self.tokens += x.tokens
+                self.pretokens += x.pretokens
+
+
 class TokenTree:
-    """Leaves of pre-tokens with their counts; inner nodes sum up (characters, tokens) of two below them."""
+    """A treap of segments. `touched` counts the sums made since the start, `reencoded` the pre-tokens matched by edits."""
 
     def __init__(self, text: str, count: Callable[[list[str]], list[int]]):
         self.count = count
+        self.reencoded = self.touched = 0
+        self._state = 1
         tokens = _MATCH.findall(text)
-        counts = count(tokens)
-        self.leaves = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)] or [[]]
-        self.counts = [counts[i : i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
-        self.reencoded = 0
-        self._build()
-
-    def _build(self) -> None:
-        n = self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for i, (leaf, counts) in enumerate(zip(self.leaves, self.counts)):
-            self.chars[n + i], self.tokens[n + i] = sum(map(len, leaf)), sum(counts)
-        for k in range(n - 1, 0, -1):
-            self._sum(k)
-
-    def _sum(self, k: int) -> None:
-        self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-        self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        self.root = self._tree(tokens, count(tokens)) or self._node([], [])
+
+    def _node(self, texts: list[str], counts: list[int]) -> Segment:
+        self._state = (self._state * 6364136223846793005 + 1442695040888963407) & (1 << 64) - 1
+        node = Segment(texts, counts, self._state >> 33)
+        self._sum(node)
+        return node
+
+    def _sum(self, node: Segment) -> Segment:
+        self.touched += 1
+        node.add_up()
+        return node
+
+    def _tree(self, texts: list[str], counts: list[int]) -> Segment | None:
+        """The segments of some pre-tokens: the highest rank becomes the root of those around it."""
+        spine: list[Segment] = []
+        for k in range(0, len(texts), SEGMENT):
+            node, last = self._node(texts[k : k + SEGMENT], counts[k : k + SEGMENT]), None
+            while spine and spine[-1].rank < node.rank:
+                last = self._sum(spine.pop())
+            node.left = last
+            if spine:
+                spine[-1].right = node
+            spine.append(node)
+        for node in reversed(spine):
+            self._sum(node)
+        return spine[0] if spine else None
+
+    def _split(self, node: Segment | None, n: int) -> tuple[Segment | None, Segment | None]:
+        """The first n segments of a tree, and the rest."""
+        if node is None:
+            return None, None
+        before = node.left.segments if node.left else 0
+        if n <= before:
+            first, node.left = self._split(node.left, n)
+            return first, self._sum(node)
+        node.right, rest = self._split(node.right, n - before - 1)
+        return self._sum(node), rest
+
+    def _join(self, a: Segment | None, b: Segment | None) -> Segment | None:
+        if a is None or b is None:
+            return a or b
+        if a.rank > b.rank:
+            a.right = self._join(a.right, b)
+            return self._sum(a)
+        b.left = self._join(a, b.left)
+        return self._sum(b)
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return self.root.chars
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
 
     @property
     def n_pretokens(self) -> int:
-        return sum(map(len, self.leaves))
+        return self.root.pretokens
 
     def text(self) -> str:
-        return "".join(t for leaf in self.leaves for t in leaf)
-
-    def _leaf_at(self, pos: int) -> tuple[int, int]:
-        """The leaf that holds character pos (the last one with characters if none does), and where it starts."""
-        pos, k, start = min(pos, self.chars[1] - 1), 1, 0
-        while k < self.width:
-            k *= 2
-            if pos - start >= self.chars[k]:
-                start += self.chars[k]
-                k += 1
-        return k - self.width, start
-
-    def _following(self, leaf: int, j: int) -> Iterator[tuple[int, int, str]]:
-        while leaf < len(self.leaves):
-            for j in range(j, len(self.leaves[leaf])):
-                yield leaf, j, self.leaves[leaf][j]
-            leaf, j = leaf + 1, 0
+        return "".join(t for _, _, t in self._following(0, 0))
+
+    def _segment(self, n: int) -> list[Segment]:
+        """The path from the root to segment n."""
+        node, path = self.root, []
+        while True:
+            path.append(node)
+            before = node.left.segments if node.left else 0
+            if n == before:
+                return path
+            node, n = (node.left, n) if n < before else (node.right, n - before - 1)
+
+    def _segment_at(self, pos: int) -> tuple[int, int]:
+        """The segment that holds character pos (the last one with characters if none does), and where it starts."""
+        pos, node, n, start = min(pos, self.n_chars - 1), self.root, 0, 0
+        while True:
+            if node.left:
+                if pos - start < node.left.chars:
+                    node = node.left
+                    continue
+                n, start = n + node.left.segments, start + node.left.chars
+            if pos - start < node.own[0]:
+                return n, start
+            n, start, node = n + 1, start + node.own[0], node.right
+
+    def _following(self, n: int, j: int) -> Iterator[tuple[int, int, str]]:
+        while n < self.root.segments:
+            texts = self._segment(n)[-1].texts
+            for j in range(j, len(texts)):
+                yield n, j, texts[j]
+            n, j = n + 1, 0
 
     def edit(self, pos: int, delete: int, insert: str) -> None:
         """Replaces `delete` characters from pos by insert; both are cut to the text as it is by now."""
         pos = min(max(pos, 0), self.n_chars)
         delete = min(max(delete, 0), self.n_chars - pos)
-        leaf, start = self._leaf_at(max(pos - REACH, 0)) if self.n_chars else (0, 0)
-        ends = list(accumulate(map(len, self.leaves[leaf]), initial=start))
+        leaf, start = self._segment_at(max(pos - REACH, 0)) if self.n_chars else (0, 0)
+        ends = list(accumulate(map(len, self._segment(leaf)[-1].texts), initial=start))
         j = max(min(bisect_right(ends, max(pos - REACH, 0)), len(ends) - 1) - 1, 0)
         at = ends[j]
         old, place = [], [(leaf, j)]  # place[k]: where old token k stands; the last: behind all read so far
@@ -146,18 +223,17 @@ class TokenTree:
 
     def _replace(self, first: tuple[int, int], behind: tuple[int, int], new: list[str]) -> None:
         (i, j), (i2, j2) = first, behind
-        counts = self.counts[i][:j] + self.count(new) + self.counts[i2][j2:]
-        tokens = self.leaves[i][:j] + new + self.leaves[i2][j2:]
-        if i == i2 and len(tokens) <= 2 * LEAF:
-            self.leaves[i], self.counts[i] = tokens, counts
-            k = self.width + i
-            self.chars[k], self.tokens[k] = sum(map(len, tokens)), sum(counts)
-            while k := k // 2:
-                self._sum(k)
+        path, last = self._segment(i), self._segment(i2)[-1]
+        counts = path[-1].counts[:j] + self.count(new) + last.counts[j2:]
+        texts = path[-1].texts[:j] + new + last.texts[j2:]
+        if i == i2 and (0 < len(texts) <= 2 * SEGMENT or self.root.segments == 1 and not texts):
+            path[-1].fill(texts, counts)
+            for node in reversed(path):
+                self._sum(node)
         else:
-            self.leaves[i : i2 + 1] = [tokens[k : k + LEAF] for k in range(0, len(tokens), LEAF)] or [[]]
-            self.counts[i : i2 + 1] = [counts[k : k + LEAF] for k in range(0, len(counts), LEAF)] or [[]]
-            self._build()
+            before, rest = self._split(self.root, i)
+            rest = self._split(rest, i2 + 1 - i)[1]
+            self.root = self._join(self._join(before, self._tree(texts, counts)), rest) or self._node([], [])
 
 
 _counters: dict[str, Counter] = {}

@@ -8,7 +8,6 @@ scores and the means of the statistics, whatever the number of documents.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 

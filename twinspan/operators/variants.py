@@ -58,7 +58,8 @@ def drop_near_repeats(reads: DataFrame, radius: int = 100) -> DataFrame:
                 kept.append(r)
         return kept
 
-    return map_groups(reads, ["name", "is_first"], ["pos"], keep, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reads.schema))
+    others = [c for c in reads.columns if c not in ("name", "is_first", "pos")]
+    return map_groups(reads, ["name", "is_first"], ["pos", *others], keep, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reads.schema))
 
 
 # ------------------------------------------------------------------ records and filters
@@ -206,7 +207,8 @@ def group_small_regions(df: DataFrame, key: str, target: int = 20_000_000, alone
                 group, held = group + 1, 0
         return out
 
-    return map_groups(df, [key], ["s"], gather, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), "group_ix bigint"]))
+    others = [c for c in names if c not in (key, "s")]
+    return map_groups(df, [key], ["s", *others], gather, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), "group_ix bigint"]))
 
 
 def smooth_runs(df: DataFrame, key: str, order: str, flag: str, least: int) -> DataFrame:

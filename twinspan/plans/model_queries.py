@@ -48,7 +48,11 @@ def l18_hit_reasons(spark, d) -> DataFrame:
     return hm.classify_hits(hits(spark, d), 10, 0.96).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT dup_id, CAST(regexp_extract(chrom1, '([0-9]+)$', 1) AS BIGINT) AS chrom_id, start1 AS s, end1 AS e, CAST(CASE WHEN strand = '+' THEN 1 ELSE 0 END AS BIGINT) AS strand, CAST(regexp_extract(chrom2, '([0-9]+)$', 1) AS BIGINT) AS chrom2, start2 AS s2, end2 AS e2,
+    CASE WHEN {_SELF} >= 0.9 * (end1 - start1) THEN 'itself' WHEN {_SELF} > 0 THEN 'tangled' WHEN end1 - start1 < 10 THEN 'short' WHEN {_SS} < 0.96 THEN 'dissimilar' ELSE 'kept' END AS reason FROM hom), k AS (SELECT * FROM c WHERE reason IN ('kept', 'tangled')),
+    p AS (SELECT chrom_id, s AS x, 1 AS d FROM k UNION ALL SELECT chrom_id, e, -1 FROM k), q AS (SELECT chrom_id, x, sum(d) AS d FROM p GROUP BY 1, 2), z AS (SELECT chrom_id, x AS s, lead(x) OVER w AS e, sum(d) OVER w AS n FROM q WINDOW w AS (PARTITION BY chrom_id ORDER BY x)), crowded AS (SELECT * FROM z WHERE n > 10),
+    out AS (SELECT DISTINCT dup_id FROM k JOIN crowded z ON z.chrom_id = k.chrom_id AND z.s < k.e AND k.s < z.e)
+    SELECT dup_id AS hit_id, chrom_id, s, e, strand, chrom2, s2, e2, reason = 'tangled' AS is_tangled FROM k WHERE dup_id NOT IN (SELECT dup_id FROM out)""", "hom")
 def pretable_hits(spark, d) -> DataFrame:
     """Duplications of hits, without stretches that too many share."""
     return hm.pretable(hits(spark, d), max_homologies=10, shortest=10).select("hit_id", "chrom_id", "s", "e", "strand", "chrom2", "s2", "e2", "is_tangled")
@@ -102,20 +106,27 @@ def m28_pooled_genotypes(spark, d) -> DataFrame:
     return ca.pooled_genotypes(a, 4, 3).withColumn("gq", F.round("gq", 4))
 
 
-@query()
+@query("""WITH c AS (SELECT psv_ix AS variant_id, CAST(sum(n0) AS BIGINT) AS a0, CAST(sum(n1) AS BIGINT) AS a1, CAST(sum(n2) AS BIGINT) AS a2 FROM allele_counts GROUP BY 1), t AS (SELECT variant_id, unnest([a0, a1]) AS x, unnest([a1, a2]) AS y, a0 + a1 AS tx, a1 + a2 AS ty FROM c),
+    k AS (SELECT *, unnest(range(greatest(0, x + y + tx - tx - ty), least(x + y, tx) + 1)) AS k FROM t), l AS (SELECT *, lgamma(x + y + 1) + lgamma(tx + ty - x - y + 1) + lgamma(tx + 1) + lgamma(ty + 1) - lgamma(tx + ty + 1) - lgamma(k + 1) - lgamma(x + y - k + 1) - lgamma(tx - k + 1) - lgamma(ty - x - y + k + 1) AS p FROM k),
+    s AS (SELECT *, max(CASE WHEN k = x THEN p END) OVER (PARTITION BY variant_id, x, y) AS own FROM l), q AS (SELECT variant_id, x, y, least(1, sum(exp(p)) FILTER (p <= own + 1e-7)) AS p FROM s GROUP BY 1, 2, 3)
+    SELECT variant_id, round(max(abs(-10 * log10(greatest(p, 1e-300)))), 4) AS bias FROM q GROUP BY 1""", "allele_counts")
 def g19_strand_bias(spark, d) -> DataFrame:
     c = view(spark, d, "allele_counts").groupBy(F.col("psv_ix").alias("variant_id")).agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"), F.sum("n2").alias("a2"))
     counts = c.select("variant_id", F.posexplode(F.array(F.struct(F.col("a0").alias("f"), F.col("a1").alias("r")), F.struct(F.col("a1").alias("f"), F.col("a2").alias("r")))).alias("allele_ix", "v"))
     return ca.bias(counts.select("variant_id", "allele_ix", F.col("v.f").alias("fwd"), F.col("v.r").alias("rev")), ("fwd", "rev")).withColumn("bias", F.round("bias", 4))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT b_id AS variant_id, chrom_id, s, least(e, s + 12) AS e, CAST(b_id % 101 AS BIGINT) AS quality FROM iv_b), m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM v), g AS (SELECT *, sum(nw) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m), o AS (SELECT variant_id, chrom_id, s, e, quality, g, row_number() OVER (PARTITION BY chrom_id, g ORDER BY quality DESC, s, variant_id) AS i FROM g),
+    r AS (SELECT *, [{'s': s, 'e': e}] AS kept, true AS stays FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN len(list_filter(r.kept, lambda k: o.e > k.s AND o.s < k.e)) = 0 THEN list_append(r.kept, {'s': o.s, 'e': o.e}) ELSE r.kept END, len(list_filter(r.kept, lambda k: o.e > k.s AND o.s < k.e)) = 0 FROM r JOIN o ON o.chrom_id = r.chrom_id AND o.g = r.g AND o.i = r.i + 1)
+    SELECT variant_id, chrom_id, s, e, quality FROM r WHERE stays""", "iv_b")
 def w15_resolved_variants(spark, d) -> DataFrame:
     v = view(spark, d, "iv_b").select(F.col("b_id").alias("variant_id"), "chrom_id", "s", F.least("e", F.col("s") + 12).alias("e"), (F.col("b_id") % 101).alias("quality"))
     return ca.resolve_overlaps(v)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT b_id AS variant_id, chrom_id, s, (b_id % 101) / 100.0 AS info, b_id % 2 = 0 AS is_snp FROM iv_b), m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY chrom_id ORDER BY s, variant_id) <= 40 THEN 0 ELSE 1 END AS nw FROM v), g AS (SELECT *, sum(nw) OVER (PARTITION BY chrom_id ORDER BY s, variant_id ROWS UNBOUNDED PRECEDING) AS g FROM m), o AS (SELECT variant_id, chrom_id, s, info, is_snp, g, row_number() OVER (PARTITION BY chrom_id, g ORDER BY info DESC, NOT is_snp, s, variant_id) AS i FROM g),
+    r AS (SELECT *, [s] AS kept, true AS stays FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN len(list_filter(r.kept, lambda k: abs(o.s - k) <= 40)) = 0 THEN list_append(r.kept, o.s) ELSE r.kept END, len(list_filter(r.kept, lambda k: abs(o.s - k) <= 40)) = 0 FROM r JOIN o ON o.chrom_id = r.chrom_id AND o.g = r.g AND o.i = r.i + 1)
+    SELECT variant_id, chrom_id, s, info, is_snp FROM r WHERE stays""", "iv_b")
 def w16_suppressed_variants(spark, d) -> DataFrame:
     v = view(spark, d, "iv_b").select(F.col("b_id").alias("variant_id"), "chrom_id", "s", ((F.col("b_id") % 101) / 100).alias("info"), (F.col("b_id") % 2 == 0).alias("is_snp"))
     return ca.suppress_close(v, 40)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logmath as lm
-from ..functions.lambdas import let
 from ..operators import cigars as cg
 from ..operators import depth as dp
 from ..operators import genotypes as gt

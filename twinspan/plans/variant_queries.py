@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calling as ca
-from ..operators import cigars as cg
 from ..operators import genotypes as gt
-from ..operators import homology as hm
-from ..operators import intervals as iv
 from ..operators import variants as vr
 from .analogs import view, with_views
 
@@ -78,7 +75,9 @@ def j08_missing_mates(spark, d) -> DataFrame:
     return vr.missing_mates(r).select(F.col("name").alias("user_id"), "is_first", "pos")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, is_read2, read_id, pos, row_number() OVER (PARTITION BY user_id, is_read2 ORDER BY pos, read_id) AS i FROM reads),
+    r AS (SELECT *, pos AS last, true AS kept FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN o.pos - r.last > 3600 THEN o.pos ELSE r.last END, o.pos - r.last > 3600 FROM r JOIN o ON o.user_id = r.user_id AND o.is_read2 = r.is_read2 AND o.i = r.i + 1)
+    SELECT user_id AS name, is_read2 = 0 AS is_first, pos, read_id FROM r WHERE kept""", "reads")
 def j10_near_repeats(spark, d) -> DataFrame:
     r = view(spark, d, "reads").select(F.col("user_id").alias("name"), (F.col("is_read2") == 0).alias("is_first"), "pos", "read_id")
     return vr.drop_near_repeats(r, 3600)
@@ -108,7 +107,10 @@ def t03_probable_states(spark, d) -> DataFrame:
     return vr.best_two(p.filter("lp is not null"), ["sample_id", "psv_ix"], "state", "lp").select("sample_id", "psv_ix", F.get("states", F.lit(0))["state"].alias("state"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT sample_id, window_ix, depth1, lag(depth1) OVER w AS l, lead(depth1) OVER w AS n FROM win_depth WINDOW w AS (PARTITION BY sample_id ORDER BY window_ix)),
+    o AS (SELECT sample_id, window_ix, depth1, row_number() OVER (PARTITION BY sample_id ORDER BY depth1 DESC, window_ix) AS i FROM x WHERE depth1 >= 5 AND (l IS NULL OR depth1 >= l) AND (n IS NULL OR depth1 > n)),
+    r AS (SELECT *, [window_ix] AS kept, true AS stays FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN len(list_filter(r.kept, lambda k: abs(k - o.window_ix) < 5)) = 0 THEN list_append(r.kept, o.window_ix) ELSE r.kept END,
+    len(list_filter(r.kept, lambda k: abs(k - o.window_ix) < 5)) = 0 FROM r JOIN o ON o.sample_id = r.sample_id AND o.i = r.i + 1) SELECT sample_id, window_ix, depth1 FROM r WHERE stays""", "win_depth")
 def w07_peaks(spark, d) -> DataFrame:
     return vr.pick_peaks(view(spark, d, "win_depth"), "sample_id", "window_ix", "depth1", 5, 5)
 
@@ -118,12 +120,16 @@ def w14_smoothed_runs(spark, d) -> DataFrame:
     return vr.smooth_runs(view(spark, d, "win_depth").withColumn("high", F.col("depth1") > 8), "sample_id", "window_ix", "high", 3)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS i FROM reads),
+    r AS (SELECT *, pos AS first, 1 AS g FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN o.pos - r.pos <= 20000 AND o.pos - r.first <= 60000 THEN r.first ELSE o.pos END, r.g + CASE WHEN o.pos - r.pos <= 20000 AND o.pos - r.first <= 60000 THEN 0 ELSE 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+    SELECT user_id, greatest(0, min(pos) - 10) AS s, max(pos) + 11 AS e, count(*) AS n FROM r GROUP BY user_id, g""", "reads")
 def w18_read_clusters(spark, d) -> DataFrame:
     return vr.read_clusters(view(spark, d, "reads").select("user_id", "pos"), "user_id", "pos", 20_000, 60_000, 10)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT chrom_id, b_id, s, e, row_number() OVER (PARTITION BY chrom_id ORDER BY s, b_id, e) AS i FROM iv_b),
+    r AS (SELECT *, 0 AS g, e - s AS held FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN r.e - r.s >= 95 OR o.e - o.s >= 95 OR r.held + o.e - o.s > 500 THEN r.g + 1 ELSE r.g END, CASE WHEN r.e - r.s >= 95 OR o.e - o.s >= 95 OR r.held + o.e - o.s > 500 THEN o.e - o.s ELSE r.held + o.e - o.s END
+    FROM r JOIN o ON o.chrom_id = r.chrom_id AND o.i = r.i + 1) SELECT chrom_id, b_id, s, e, CAST(g AS BIGINT) AS group_ix FROM r""", "iv_b")
 def w19_grouped_regions(spark, d) -> DataFrame:
     return vr.group_small_regions(view(spark, d, "iv_b").select("chrom_id", "b_id", "s", "e"), "chrom_id", 500, 95)
 

@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import batch_of, materialize, slices, table
 from .components import connected_components
@@ -153,7 +152,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # ---------------------------------------------------------------- links
-def _walk(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+def _walk(fps: np.ndarray, ids: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """A spanning forest of the links in one large group: what a member reaches leaves the rest at once,
     so a dense group costs a few passes over it and a group never emits more edges than members."""
     edges, rest = [], np.arange(len(fps))
@@ -161,7 +160,7 @@ def _walk(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             p = front.pop()
-            hit = np.bitwise_count(fps[rest] ^ fps[p]) <= MAX_BITS
+            hit = np.bitwise_count(fps[rest] ^ fps[p]) <= bits
             if hit.any():
                 reached = rest[hit]
                 edges += [(int(ids[p]), int(ids[q])) for q in reached]
@@ -271,10 +270,10 @@ def near_groups(fps: DataFrame, most: int = MAX_GROUP) -> DataFrame:
     most 3 differing bits. Copies are folded into one row before any key is made, so a fingerprint shared
     by a third of all rows costs one row from there on. A key with over `most` fingerprints isn't held by one task:
     its members are compared again by pairs of blocks."""
-    one = materialize(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
+    one = materialize(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "fingerprints", narrow=True)
     keys = one.select("id", "fp").mapInArrow(_keys, "key long, fp long, id long")
     kinds = "a long, b long, size long"
-    found = materialize(grouped(keys).mapInArrow(lambda b: _links(b, most), kinds), "links")
+    found = materialize(grouped(keys).mapInArrow(lambda b: _links(b, most), kinds), "links", narrow=True)
     edges = found.filter("size is null").select("a", "b")
     large = found.filter("size is not null").select(F.col("a").alias("key"), "size")
     if large.head(1):
@@ -290,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links nothing and takes the component of an equal fingerprint, else null. Repeated rows each get
     their row. Other columns of docs are not read, whatever their names. Empty table: empty result.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    fps = materialize(fingerprints(docs, id_col, text_col), "simhash", narrow=True)
     groups = near_groups(fps)
     return fps.join(groups, "fp", "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")

@@ -37,11 +37,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     is written to the shared folder, so a lost executor repeats one round at most. Hub nodes are
     pre-aggregated before the shuffle, and salted where their edges are joined.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     mark = None
     for _ in range(max_rounds):
         then = now
-        now = materialize(_small_star(_large_star(then)).distinct(), "edges")
+        now = materialize(_small_star(_large_star(then)).distinct(), "edges", narrow=True)
         discard(then)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

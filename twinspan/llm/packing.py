@@ -172,7 +172,7 @@ def with_ranks(cut: DataFrame) -> DataFrame:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places every piece (columns of pieces()) at a sequence_id and offset; each sequence is filled from 0
     without gaps. The histogram that reaches the driver has at most `capacity` rows."""
-    cut = materialize(cut, "pieces")
+    cut = materialize(cut, "pieces", narrow=True)
     runs = {length: tuple(np.array(c, np.int64) for c in zip(*r)) for length, r in plan([(r["length"], r["count"]) for r in cut.groupBy("length").count().collect()], capacity).items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,7 @@ def fit(computed: DataFrame, labels: DataFrame) -> Model:
     HELD_OUT are never read; fold CALIBRATE calibrates, the others fit. No labelled rows: every score 0.5."""
     used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y in (0, 1) and doc_id is not null")
     used = used.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("fold", fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
-    known = materialize(computed.filter("doc_id is not null").join(used, "doc_id"), "labelled")
+    known = materialize(computed.filter("doc_id is not null").join(used, "doc_id"), "labelled", narrow=True)
     k = len(STATS)
     sums = known.select([F.count(F.lit(1)).alias("n")] + [f(F.col("stats")[i].cast("double")).alias(f"{f.__name__}{i}") for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
     if not sums["n"]:
@@ -196,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     is not held out. Labels that are null or neither 0 nor 1 are left out, of repeated labels the largest
     counts. Repeated rows each get their row. Very long texts are read whole. Other columns are not read.
     """
-    computed = materialize(stats(docs, id_col, text_col), "stats")
+    computed = materialize(stats(docs, id_col, text_col), "stats", narrow=True)
     return score(computed, fit(computed, labels)).select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )

@@ -35,7 +35,7 @@ class _WordHashes(dict):
     """63 bits of a hash of the word, above one bit that says if it ends a sentence."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~1 | word.rstrip(_CLOSERS).endswith((".", "!", "?"))
         return h
@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _own(docs, id_col, text_col).filter("doc_id is not null and text is not null")
     runs = materialize(texts.mapInArrow(_runs, "h long, c int, doc_id long, t int, first int, n int, again boolean"), "runs")
     sample = runs.filter("not again").sample(0.02, 7).groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-    sample = materialize(sample, "sample")
+    sample = materialize(sample, "sample", narrow=True)
     many = (sample.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE + 20
     hot = F.broadcast(sample.filter(F.col("k") > many).select("h", "c"))
     fresh = runs.filter("not again").drop("again")

@@ -122,7 +122,7 @@ def with_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
     kind = lambda k, c: F.transform(runs(F.col(c)), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("token")))
     each = urls.select("host", "path", F.explode(F.concat(kind("h:", "host"), kind("p:", "path"))).alias("t")).select("host", "path", "t.*")
     letters = each.filter(F.col("token").rlike(r"^\p{L}"))
-    split = materialize(split_tokens(letters.select("token").distinct(), counts), "tokens")
+    split = materialize(split_tokens(letters.select("token").distinct(), counts), "tokens", narrow=True)
     named = letters.join(split, "token").select("host", "path", F.transform("words", lambda w: F.concat("kind", w)).alias("words"))
     numbers = each.filter(~F.col("token").rlike(r"^\p{L}")).select("host", "path", F.array(F.concat("kind", F.lit(NUMBER))).alias("words"))
     found = named.union(numbers).groupBy("host", "path").agg(F.flatten(F.collect_list("words")).alias("words"))
@@ -183,11 +183,11 @@ def fit_bayes(words: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray
 def url_words(parts: DataFrame, pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(host, path, n, words, seeded) of the different urls of parts (host, path) with digits written as 0; counts are of
     all words of pages."""
-    counts = materialize(word_counts(pages), "words")
+    counts = materialize(word_counts(pages), "words", narrow=True)
     usual = 1 + int(counts.agg(F.sum("n")).first()[0] or 0) // SEED_SHARE
     own = pages.sparkSession.createDataFrame([(w, usual) for w in seeds], "word string, n long")
     counts = counts.union(own).groupBy("word").agg(F.max("n").alias("n"))
-    urls = materialize(parts.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
+    urls = materialize(parts.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls", narrow=True)
     seeded = F.arrays_overlap("words", F.array(*(F.lit(f"{k}:{w}") for w in seeds for k in "hp")))
     return with_words(urls, counts).withColumn("seeded", seeded)
 
@@ -203,7 +203,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, see
     host, path = url_parts(F.col("url").cast("string"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     alike = lambda c: F.regexp_replace(F.lower(F.col(c)), r"\p{N}+", "0")
-    words = materialize(url_words(parts.select(alike("host").alias("host"), alike("path").alias("path")), pages, seeds), "url_words")
+    words = materialize(url_words(parts.select(alike("host").alias("host"), alike("path").alias("path")), pages, seeds), "url_words", narrow=True)
     prior, odds = fit_bayes(words)
     sent = pages.sparkSession.sparkContext.broadcast(odds)
     schema = pa.schema([("_host", pa.string()), ("_path", pa.string()), ("log_odds", pa.float64())])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .edit_counts import op6_edit_counts
 from .media import op5_media_columns
 from .packing import op3_best_fit_packing
@@ -15,8 +13,16 @@ from .substrings import op10_substring_dedup
 from .toxicity import op2_toxicity_chain
 from .url_filter import op1_url_filter
 
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline  # at the repository's top, over the stages of this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
     "op1_url_filter": op1_url_filter,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_best_fit_packing": op3_best_fit_packing,

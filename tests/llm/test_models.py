@@ -1,13 +1,16 @@
 """Classifiers, rules, URL filter and the pipeline: held-out accuracy, brute force and edge cases."""
 
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from twinspan.llm import quality_classifier as qc
 from twinspan.llm import quality_rules as qr
 from twinspan.llm import stages, url_filter
@@ -50,6 +53,33 @@ def test_classifier_without_labels_and_with_nulls(spark):
     assert qc.accepted(docs, qc.fit(qc.stats(docs), none)).count() == 0
 
 
+def test_weights_solve_the_ridge_equations(spark, tables):
+    """The model from plain loops over the collected statistics: means, features, normal equations, calibration."""
+    stats = {r["doc_id"]: np.array(r["stats"], np.float64) for r in qc.stats(tables["documents"]).collect()}
+    model = qc.fit(qc.stats(tables["documents"]), tables["labels"])
+    rows = [(stats[r["doc_id"]], r["quality"], zlib.crc32(str(r["doc_id"]).encode()) % 4) for r in tables["labels"].collect()]
+    rows = [r for r in rows if r[2] != qc.HELD_OUT]
+    x = np.array([r[0] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    train = [r for r in rows if r[2] != qc.CALIBRATE]
+    z = np.array([[*(math.sqrt(2 / qc.FEATURES) * np.cos(np.clip((s - x.mean(axis=0)) / model.scale, -8, 8) @ model.w + model.b)), 1.0] for s, *_ in train])
+    y = np.array([float(r[1]) for r in train])
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    penalty = qc.RIDGE * len(train) * np.diag([*[1.0] * qc.FEATURES, 1e-6])
+    beta = np.linalg.solve((z * weight[:, None]).T @ z + penalty, (z * weight[:, None]).T @ y)
+    assert np.allclose(model.raw(x), model.features(x) @ beta, atol=1e-5)
+
+
+def test_isotonic_against_the_formula():
+    """The fit at k is the largest over i <= k of the least over j >= k of the mean of i..j."""
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 9, 40).astype(float), rng.random(40)
+    y = np.floor(p * n)
+    edges, levels = qc.isotonic(np.arange(40.0), y, n)
+    want = [max(min(y[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, 40)) for i in range(k + 1)) for k in range(40)]
+    assert np.allclose(np.interp(np.arange(40.0), edges, levels), want)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     s = np.sort(rng.normal(size=200))
@@ -79,32 +109,54 @@ def test_base_counts_are_the_contracts(spark, tables):
         assert got[i]["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and got[i]["kept"] == (not got[i]["base_failed"])
 
 
+def spark_hash(values):
+    """xxhash64 of several strings or longs: each hash is the seed of the next."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_grams(text):
+    h = [spark_hash([w]) for w in re.findall("[^\x20\x09-\x0d]+", text or "")]
+    return [x % qr.BUCKETS for x in h] + [spark_hash(pair) % qr.BUCKETS for pair in zip(h, h[1:])]
+
+
 def test_ratio_against_brute_force(spark, tables):
-    docs = tables["documents"].limit(200)
-    trusted = docs.filter("doc_id % 3 = 0").select("doc_id")
+    docs = tables["documents"].limit(200).union(spark.createDataFrame([(None, "a row without an id", "en", "s", 1), (7, None, "en", "s", 1)], DOCS))
+    trusted = docs.filter("doc_id % 3 = 0").select("doc_id").union(spark.createDataFrame([(None,), (9**9,)], "doc_id long"))
     ratio = qr.fit_ratio(docs, trusted)
-    # the same buckets, counted in Python
-    hashed = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs.collect()], "doc_id long, text string").select("doc_id", qr.let(qr.words(qr.F.col("text")), qr.grams).alias("g")).collect()
-    raw, target = np.ones(qr.BUCKETS), np.ones(qr.BUCKETS)
-    for r in hashed:
-        c = np.bincount(r["g"], minlength=qr.BUCKETS)
+    rows = [(r["doc_id"], plain_grams(r["text"])) for r in docs.collect()]
+    raw, target = np.zeros(qr.BUCKETS), np.zeros(qr.BUCKETS)
+    for i, g in rows:
+        c = np.bincount(np.array(g, int), minlength=qr.BUCKETS)
         raw += c
-        if r["doc_id"] % 3 == 0:
+        if i is not None and i % 3 == 0:
             target += c
-    want = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = np.log((target + qr.PRIOR) / (raw * target.sum() / raw.sum() + qr.PRIOR))
     assert np.allclose(ratio, want)
-    got = {r["doc_id"]: r["ratio"] for r in qr.judge(docs, ratio).collect()}
-    for r in hashed:
-        assert math.isclose(got[r["doc_id"]], np.mean(want[r["g"]]) if r["g"] else 0.0, abs_tol=1e-9)
+    got = {r["doc_id"]: r["ratio"] for r in qr.judge(docs, ratio).collect() if r["doc_id"] != 7}
+    for i, g in rows:
+        if i != 7:
+            assert math.isclose(got[i], np.mean(want[g]) if g else 0.0, abs_tol=1e-9)
 
 
-def test_rules_keep_good_and_drop_bad(spark, tables):
-    docs = tables["documents"]
-    out = {r["doc_id"]: r for r in qr.judge(docs, qr.fit_ratio(docs, tables["labels"].filter("quality = 1").select("doc_id"))).collect()}
-    for r in tables["labels"].collect():
-        if not out[r["doc_id"]]["base_failed"]:
-            assert out[r["doc_id"]]["kept"] == (r["quality"] == 1)
-    assert qr.fit_ratio(docs.limit(0), tables["labels"].limit(0)) == [0.0] * qr.BUCKETS
+def test_all_trusted_rows_count(spark):
+    """However many they are: 30,000 documents of one word each, every second one trusted."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'good', 'bad') as text")
+    ratio = qr.fit_ratio(docs, docs.filter("doc_id % 2 = 0").select("doc_id"))
+    assert math.isclose(ratio[spark_hash(["good"]) % qr.BUCKETS], math.log((15_000 + qr.PRIOR) / (7_500 + qr.PRIOR)))
+
+
+def test_rules_on_labels_that_the_fit_did_not_see(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    half = lambda i: zlib.crc32(str(i).encode()) % 2
+    seen = [(r["doc_id"],) for r in labels.filter("quality = 1").collect() if half(r["doc_id"]) == 0]
+    held = {r["doc_id"]: r["quality"] for r in labels.collect() if half(r["doc_id"]) == 1}
+    out = [r for r in qr.judge(docs, qr.fit_ratio(docs, spark.createDataFrame(seen, "doc_id long"))).collect() if r["doc_id"] in held and not r["base_failed"]]
+    for quality in (0, 1):
+        assert np.mean([r["kept"] == (quality == 1) for r in out if held[r["doc_id"]] == quality]) > 0.98
+    assert qr.fit_ratio(docs.limit(0), labels.limit(0)) == [0.0] * qr.BUCKETS
 
 
 def test_rules_run_without_python(tables):
@@ -113,18 +165,84 @@ def test_rules_run_without_python(tables):
 
 
 # ------------------------------------------------------------------ toxicity
-def test_held_out_toxicity(spark, tables):
+@pytest.fixture(scope="module")
+def toxic_run(spark):
+    """Fitted on two thirds of the labelled rows of the 0.1 table; (toxic, found, text) of the others."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
-    sample = tx.labelled_categories(docs, labels).filter("doc_id % 3 <> 0")
-    out = {r["doc_id"]: r["toxic"] for r in tx.predict(docs, tx.fit(sample)).collect()}
-    held = [(r["toxic"], out[r["doc_id"]]) for r in labels.collect() if r["doc_id"] % 3 == 0]
-    assert np.mean([p for t, p in held if t]) > 0.8 and np.mean([p for t, p in held if not t]) < 0.02
+    sample = tx.labelled(docs, labels).filter("doc_id % 3 <> 0")
+    chain = tx.fit(sample)
+    out = {r["doc_id"]: r for r in tx.predict(docs, chain).collect()}
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.join(labels, "doc_id", "left_semi").collect()}
+    return [(r["toxic"], out[r["doc_id"]], *texts[r["doc_id"]]) for r in labels.collect() if r["doc_id"] % 3 == 0], sample.collect()
+
+
+def test_held_out_toxicity(toxic_run):
+    held, _ = toxic_run
+    assert np.mean([p["toxic"] for t, p, *_ in held if t]) > 0.9 and np.mean([p["toxic"] for t, p, *_ in held if not t]) < 0.02
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([p["toxic"] for t, p, _, x in held if t and x == lang]) > 0.6, lang
+
+
+def test_chain_beats_a_list_of_the_most_telling_words(toxic_run):
+    """The list: the ten words with the largest share of toxic documents among those that have them, from the same rows."""
+    held, sample = toxic_run
+    words = lambda text: {tx._EDGE.sub("", w) for w in (text or "").lower().split()}
+    n, bad = Counter(), Counter()
+    for r in sample:
+        n.update(words(r["text"]))
+        bad.update(words(r["text"]) if r["toxic"] else ())
+    best = {w for w, _ in sorted(((w, bad[w] ** 2 / n[w]) for w in bad), key=lambda x: -x[1])[:10]}
+    listed = np.mean([bool(words(text) & best) for t, _, text, _ in held if t])
+    assert np.mean([p["toxic"] for t, p, *_ in held if t]) > listed + 0.1
+
+
+def test_kinds_are_found_in_the_labelled_rows():
+    rng = random.Random(2)
+    rows, toxic, kind = [], [], []
+    for i in range(600):
+        k = i % 3  # 0: not toxic
+        rows.append(np.array(sorted({0, *rng.sample(range(1000, 1400), 5), *(rng.sample(range(10 * k, 10 * k + 8), 3) if k else ())}), np.int32))
+        toxic.append(float(k > 0))
+        kind.append(k)
+    found = tx.kinds_of(rows, np.array(toxic))
+    assert found.shape == (600, 2) and not found[np.array(kind) == 0].any()
+    assert {tuple(found[i]) for i in range(600) if kind[i] == 1} | {tuple(found[i]) for i in range(600) if kind[i] == 2} == {(0, 1), (1, 0)}
+    assert len({tuple(found[i]) for i in range(600) if kind[i] == 1}) == 1
+    assert not tx.kinds_of([], np.zeros(0)).any() and not tx.kinds_of(rows, np.ones(600)).any()
+
+
+def test_evidence_and_gradient_steps_against_loops():
+    rng = random.Random(1)
+    rows = [np.array(sorted({0, *rng.sample(range(1, 12), 4)}), np.int32) for _ in range(60)]
+    y = np.array([float(3 in r) if rng.random() < 0.9 else 1.0 for r in rows])
+    flat, starts = tx._flat(rows)
+    got = tx._evidence(flat, np.repeat(y, [len(r) for r in rows]), y)
+    for f in range(12):
+        g, n = 0.0, len(y)
+        for has in (True, False):
+            for c in (0, 1):
+                k = sum((f in r) == has and t == c for r, t in zip(rows, y))
+                e = sum((f in r) == has for r in rows) * sum(y == c) / n
+                g += 2 * k * math.log(k / e) if k else 0
+        assert math.isclose(got[f], g, abs_tol=1e-9)
+    model = tx.Linear(flat, starts, np.zeros((60, 0)), y)
+    used = [0, *(f for f in range(1, 12) if got[f] >= tx.EVIDENCE)]
+    w, g2 = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8)
+    weight = [0.5 / (y.mean() if t else 1 - y.mean()) / 60 for t in y]
+    for _ in range(tx.STEPS):
+        p = [1 / (1 + math.exp(-sum(w[f] for f in r.tolist() if f in w))) for r in rows]
+        d = {f: sum((p[i] - y[i]) * weight[i] for i in range(60) if f in rows[i]) + tx.L2 * w[f] for f in used}
+        for f in used:
+            g2[f] += d[f] ** 2
+            w[f] -= tx.RATE * d[f] / math.sqrt(g2[f])
+    assert all(math.isclose(model.w[f], w[f], rel_tol=1e-6, abs_tol=1e-9) for f in used) and len(used) > 1
+    assert np.count_nonzero(model.w) <= len(used)
 
 
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "you idiot"), (3, "w " * 100_000), (3, "w")], "doc_id long, text string").selectExpr("*", "1 as toxic", "2 as p_toxic")
     for labels in ([], [(1, 1)], [(1, 0), (2, 1), (2, None), (3, 5)]):
-        chain = tx.fit(tx.labelled_categories(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
+        chain = tx.fit(tx.labelled(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
         rows = tx.predict(docs, chain).collect()
         assert len(rows) == 5 and all(0 <= r["p_toxic"] <= 1 for r in rows)
     assert tx.predict(docs.limit(0), chain).count() == 0
@@ -171,27 +289,70 @@ def test_rules_and_parts(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
-def brute_split(token, seg):
-    ways = [[]] if not token else []
-    for k in range(1, min(len(token), url_filter.MAX_WORD) + 1):
-        for rest in brute_split(token[k:], seg):
-            ways.append([token[:k], *rest])
-    return ways
-
-
-def test_viterbi_finds_the_likeliest_split():
-    seg = url_filter.Segmenter({"free": 90, "bet": 30, "bets": 50, "be": 40, "news": 70, "new": 60, "s": 5, "the": 500})
-    cost = lambda ws: sum(seg.cost.get(w, seg.unknown[len(w)]) for w in ws)
-    for token in ("freebets", "thenews", "betnews", "zzfree", "newsthe"):
-        assert math.isclose(cost(seg.split(token)), min(map(cost, brute_split(token, seg))))
-    assert seg.split("freebets") == ["free", "bets"]
+def split_costs(token, counts, total):
+    """Costs of all ways to cut a token: (cost, words)."""
+    if not token:
+        return [(0.0, [])]
+    out = []
+    for k in range(1, len(token) + 1):
+        head = token[:k]
+        ways = [(math.log(total) + k * math.log(10), [])] + ([(math.log(total / counts[head]), [head])] if head in counts else [])
+        out += [(c + rest, w + more) for c, w in ways for rest, more in split_costs(token[k:], counts, total)]
+    return out
+
+
+def test_viterbi_finds_the_likeliest_split(spark):
+    counts = {"free": 90, "bet": 30, "bets": 50, "be": 40, "news": 70, "new": 60, "the": 500, "größe": 7, "an": 3}
+    total = sum(counts.values()) + 1
+    tokens = ["freebets", "thenews", "betnews", "zzfree", "newsthe", "q", "xfreexbex", "größean", "zzzz"]
+    got = {r["token"]: r["words"] for r in url_filter.split_tokens(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    for token in tokens:
+        best = min(split_costs(token, counts, total))
+        if token in got:
+            cost = lambda ws: [c for c, w in split_costs(token, counts, total) if w == ws]
+            assert math.isclose(min(cost(got[token])), best[0]), token
+        else:
+            assert best[1] == [], token
+    assert got["freebets"] == ["free", "bets"] and got["größean"] == ["größe", "an"]
+    long = "".join(["free", "bets", "news"] * 700)
+    pieces = [(a, len(w), n) for w, n in counts.items() for a in range(len(long)) if long.startswith(w, a)]
+    assert url_filter.best_split(long, pieces, total) == ["free", "bets", "news"] * 700
+
+
+def test_bayes_against_brute_force(spark):
+    rows = [(["h:free", "h:bets", "p:en"], True, 3), (["h:free", "p:en", "p:en"], False, 10), (["h:news", "p:de"], False, 7), ([], False, 2)]
+    words = spark.createDataFrame(rows, "words array<string>, seeded boolean, n long")
+    prior, odds = url_filter.fit_bayes(words, rounds=1)
+    every = sorted({w for ws, _, _ in rows for w in ws})
+    p = [url_filter.TRUST if s else 0.0 for _, s, _ in rows]
+    for step in range(2):
+        pages = [sum(n * (x if c else 1 - x) for (_, _, n), x in zip(rows, p)) for c in (0, 1)]
+        count = [{w: sum(n * ws.count(w) * (x if c else 1 - x) for (ws, _, n), x in zip(rows, p)) for w in every} for c in (0, 1)]
+        share = [{w: math.log((count[c][w] + url_filter.SMOOTHING) / (sum(count[c].values()) + url_filter.SMOOTHING * (len(every) + 1))) for w in every} for c in (0, 1)]
+        want_prior = math.log(pages[1] / pages[0])
+        want = {w: share[1][w] - share[0][w] for w in every}
+        p = [url_filter.TRUST if s else 1 / (1 + math.exp(-(want_prior + sum(want[w] for w in ws)))) for ws, s, _ in rows]
+    assert math.isclose(prior, want_prior) and all(math.isclose(odds[url_filter.bucket(w)], want[w]) for w in every)
+
+
+def test_company_of_seed_words_is_learned(spark):
+    """Held out: pages whose seed words are hidden, in training and judgement alike. A list of the words finds none of them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bad = re.compile("casino|bets|ads|spam|pills|adult")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    hidden = {i for i, u, _ in rows if bad.search(u) and zlib.crc32(str(i).encode()) % 2}
+    rows = [(i, bad.sub("zq", u) if i in hidden else u, h) for i, u, h in rows]
+    out = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    clean = [i for i, u, _ in rows if i not in hidden and not bad.search(u)]
+    assert np.mean([out[i]["log_odds"] > 0 for i in hidden]) > 0.8 and np.mean([out[i]["log_odds"] > 0 for i in clean]) < 0.01
 
 
 def test_spam_hosts_are_blocked(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     out = [r for r in url_filter.judge_urls(pages).collect() if r["rule"] is None]
     bad = re.compile("casino|bets|ads-track|spam|pills|adult")
-    assert all((r["verdict"] == "block") == bool(bad.search(r["host"])) for r in out)
+    assert np.mean([r["verdict"] == "block" for r in out if bad.search(r["host"])]) > 0.99
+    assert np.mean([r["verdict"] == "block" for r in out if not bad.search(r["host"])]) < 0.01
 
 
 # ------------------------------------------------------------------ pipeline
@@ -209,6 +370,20 @@ def test_pipeline_stages(spark, tables):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_run_is_the_stages_one_after_the_other(spark, tables, tmp_path):
+    """run() against the stages, each written and read again; the pieces cover the texts that are left."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect())) and got.count() > 0
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+
+
 def test_stages_with_nulls_and_repeats(spark):
     rows = [(1, None, "en", "s", 0), (1, None, "en", "s", 0), (None, "text " * 80, None, None, None), (2, "", "en", "s", 0), (3, "many plain words here. " * 30, "en", None, 1), (3, "many plain words here. " * 30, "en", None, 1)]
     for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame([], DOCS)):

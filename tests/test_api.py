@@ -1,5 +1,7 @@
 """The commands end to end on small made-up inputs."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 from twinspan import api
@@ -72,3 +74,17 @@ def test_reads_of_a_sequence_and_observations(spark):
     assert got == {1: ("AC", False), 2: ("G", True)}
     moved = vr.remap_alleles(spark.createDataFrame([(1, 0), (1, 1)], "variant_id long, allele_ix int"), spark.createDataFrame([(1, ["A", "C"])], "variant_id long, alleles array<string>"), spark.createDataFrame([(1, ["C", "T"])], "variant_id long, alleles array<string>"))
     assert sorted(r["allele_ix"] for r in moved.collect()) == [-1, 0]
+
+
+def test_a_table_from_sequences_alone(spark):
+    """A stretch of 1,500 letters that stands twice: reads, hits, pretable and table find it."""
+    rng = random.Random(50)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = draw(1500)
+    sequences = spark.createDataFrame([(0, draw(900) + core + draw(900)), (1, draw(1200) + core + draw(600))], "seq_id long, seq string")
+    config = api.TableConfig(read_len=300, read_step=100)
+    pre = api.pretable(api.self_hits(sequences, config), config)
+    table = [r for r in api.table(pre).collect() if (r["chrom_id"], r["chrom2"]) == (0, 1)]
+    assert len(table) == 1
+    r = table[0]
+    assert abs(r["s"] - 900) <= 120 and abs(r["e"] - 2400) <= 120 and abs(r["s2"] - 1200) <= 120 and abs(r["e2"] - 2700) <= 120

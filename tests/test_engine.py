@@ -19,6 +19,7 @@ from twinspan.operators import genotypes as gt
 from twinspan.operators import homology as hm
 from twinspan.operators import intervals as iv
 from twinspan.operators import paralog as pl
+from twinspan.operators import selfalign as sa
 from twinspan.operators import variants as vr
 
 
@@ -517,3 +518,36 @@ def test_sweeps_do_not_depend_on_the_bins(spark):
             want.add((k, own[0], own[-1] + 1, state))
     for width in (8, 1 << 16):
         assert set(map(tuple, iv.run_lengths(df, "key", "ix", "state", width).collect())) == want
+
+
+# ------------------------------------------------------------------ hits without an external aligner
+def test_minimizers_of_both_strands_and_of_shifted_texts():
+    rng = random.Random(40)
+    seq = "".join(rng.choice("ACGT") for _ in range(500))
+    h, pos, forward = sa.minimizers(seq)
+    back = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    h2, pos2, forward2 = sa.minimizers(back)
+    one = {(x, p, f) for x, p, f in zip(h.tolist(), pos.tolist(), forward.tolist())}
+    assert one == {(x, len(seq) - sa.K - p, not f) for x, p, f in zip(h2.tolist(), pos2.tolist(), forward2.tolist())}
+    inner = {x for x, p, _ in one if 130 <= p < 400 - sa.K}
+    assert inner <= set(sa.minimizers(seq[100:430])[0].tolist()) and len(inner) > 30
+    assert not len(sa.minimizers("ACGTN" * 40)[0]) and not len(sa.minimizers("ACG")[0])
+
+
+def test_hits_are_where_copies_lie(spark):
+    """A sequence with a copy of 1,000 letters, changed in 2 %, forward in one contig and reversed in another."""
+    rng = random.Random(41)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = draw(1000)
+    changed = "".join(rng.choice("ACGT") if rng.random() < 0.02 else c for c in core)
+    turned = changed.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    contigs = [(0, draw(700) + core + draw(300)), (1, draw(70_000) + changed + draw(500)), (2, draw(200) + turned + draw(400))]
+    sequences = spark.createDataFrame(contigs, "seq_id long, seq string")
+    reads = spark.createDataFrame([(k, core[k * 100 : k * 100 + 300]) for k in range(8)] + [(99, draw(300))], "seq_id long, seq string")
+    got = {(r["read_id"], r["seq_id"], r["forward"]): r for r in sa.hits(reads, sequences).collect()}
+    assert set(got) == {(k, c, c != 2) for k in range(8) for c in (0, 1, 2)}
+    for (k, c, _), r in got.items():
+        start = {0: 700 + k * 100, 1: 70_000 + k * 100, 2: 200 + 1000 - k * 100 - 300}[c]
+        assert abs(r["s"] - start) <= 3 and abs(r["e"] - start - 300) <= 3
+        if c == 0:
+            assert (r["s"], r["cigar"], r["similarity"]) == (start, "300=", 1.0)

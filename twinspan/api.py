@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.expressions import compile_expression
-from .operators import alignment, calling, chain, cigars, copynumber, depth, homology, intervals, paralog, relational, variants
+from .operators import alignment, calling, chain, cigars, copynumber, depth, homology, intervals, paralog, relational, selfalign, variants
 from .sources import models
 
 
@@ -53,6 +53,19 @@ def artificial_reads(sequences: DataFrame, config: TableConfig = TableConfig())
     return reads.select("region_id", "r.start", "r.seq")
 
 
+def self_hits(sequences: DataFrame, config: TableConfig = TableConfig(), most_places: int | None = None) -> DataFrame:
+    """Where artificial reads of sequences (seq_id, seq) lie in them, as hits for pretable(): hit_id, chrom_id, s, e (of the
+    read), strand, chrom2, s2, e2, similarity, cigar. Takes the place of an external aligner."""
+    reads = artificial_reads(sequences.withColumnRenamed("seq_id", "region_id"), config)
+    reads = reads.withColumn("read_id", F.xxhash64("region_id", "start"))
+    found = selfalign.hits(reads.select(F.col("read_id").alias("seq_id"), "seq"), sequences, config.min_seq_sim, most_places=most_places)
+    own = reads.select("read_id", F.col("region_id").cast("bigint").alias("chrom_id"), F.col("start").cast("bigint").alias("s"), (F.col("start") + F.length("seq")).cast("bigint").alias("e"))
+    made = found.withColumnsRenamed({"seq_id": "chrom2", "s": "s2", "e": "e2"}).join(own, "read_id")
+    return made.select(
+        F.xxhash64("read_id", "chrom2", "s2", "forward").alias("hit_id"), "chrom_id", "s", "e", F.col("forward").cast("bigint").alias("strand"), "chrom2", "s2", "e2", "similarity", "cigar"
+    )
+
+
 def pretable(hits: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     return homology.pretable(hits, config.max_homologies, config.min_aln_len, config.min_seq_sim)
 

@@ -551,3 +551,13 @@ def test_hits_are_where_copies_lie(spark):
         assert abs(r["s"] - start) <= 3 and abs(r["e"] - start - 300) <= 3
         if c == 0:
             assert (r["s"], r["cigar"], r["similarity"]) == (start, "300=", 1.0)
+
+
+def test_homopolymer_places(spark):
+    rng = random.Random(60)
+    texts = ["", "A", "AAA", "CAAAAAAG", "éééa", *("".join(rng.choice("ACé") for _ in range(60)) for _ in range(20))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for n in (2, 3, 5):
+        got = {r["i"]: r["p"] for r in df.select("i", cg.homopolymer_places(F.col("t"), n).alias("p")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == [p for p in range(len(t)) if len(t[p + 1 : p + 1 + n]) == n and len(set(t[p + 1 : p + 1 + n])) == 1], (t, n)

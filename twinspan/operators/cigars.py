@@ -47,6 +47,16 @@ def homopolymer_behind(seq: Column, pos: Column, n: int = 5) -> Column:
     return (F.length(tail) == n) & (F.length(F.replace(tail, F.substring(tail, 1, 1), F.lit(""))) == 0)
 
 
+def homopolymer_places(seq: Column, n: int = 5) -> Column:
+    """All positions (0-based) that n equal letters follow; letters are taken from an array, where each is found at once."""
+
+    def places(letters: Column) -> Column:
+        same = lambda i: F.forall(F.sequence(F.lit(2), F.lit(n)), lambda k: F.get(letters, i + k) == F.get(letters, i + 1)) if n > 2 else F.get(letters, i + 2) == F.get(letters, i + 1)
+        return F.filter(F.sequence(F.lit(0), F.size(letters) - 1 - n), same)
+
+    return F.when(F.length(seq) > n, let(F.split(seq, ""), places)).otherwise(F.array().cast("array<int>"))
+
+
 def length_text(v: Column) -> Column:
     """`950 bp`, `12.3 kb`, `4.0 Mb`; digits that aren't shown are cut off."""
     scaled = lambda by, unit: F.concat(F.floor(v / by).cast("string"), F.lit("."), F.floor(v % by / (by // 10)).cast("string"), F.lit(unit))

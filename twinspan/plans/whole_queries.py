@@ -99,8 +99,8 @@ def p18_unknown_fraction(spark, d) -> DataFrame:
 
 @query("SELECT doc_id, CAST(p AS BIGINT) AS pos FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 2)) AS p FROM seqs) WHERE substr(seq, CAST(p + 2 AS INTEGER), 1) = substr(seq, CAST(p + 3 AS INTEGER), 1)", "seqs")
 def p16_homopolymers(spark, d) -> DataFrame:
-    """Every place of the whole sequence; read in blocks, as a place far inside a long string is dear to reach."""
+    """Every place of the whole sequence, in blocks that share what a place looks ahead at."""
     starts = F.sequence(F.lit(0), F.length("seq") - 3, F.lit(1000))
     blocks = view(spark, d, "seqs").filter("length(seq) > 2").select("doc_id", "seq", F.explode(starts).alias("start"))
-    places = blocks.select("doc_id", "start", F.expr("substring(seq, start + 1, 1002)").alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.length("block") - 3)).alias("i"))
-    return places.filter(cg.homopolymer_behind(F.col("block"), F.col("i"), 2)).select("doc_id", (F.col("start") + F.col("i")).cast("bigint").alias("pos"))
+    cut = blocks.select("doc_id", "start", F.expr("substring(seq, start + 1, 1002)").alias("block"))
+    return cut.select("doc_id", "start", F.explode(cg.homopolymer_places(F.col("block"), 2)).alias("i")).select("doc_id", (F.col("start") + F.col("i")).cast("bigint").alias("pos"))

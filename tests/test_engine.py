@@ -583,3 +583,12 @@ def test_contained_rows_against_all_pairs(spark):
     df = spark.createDataFrame([*rows, (999, None, 1, 5, 6)], "hit_id long, chrom_id long, strand long, s long, e long")
     out = rel.drop_contained(df, "hit_id")
     assert sorted(r["hit_id"] for r in out.collect()) == [*want, 999]
+
+
+def test_support_of_deep_counts():
+    """Where each copy surely has its own allele, only one number of alleles is possible, however unlikely the counts are."""
+    tuples = pl.copy_tuples(4, 2)
+    got = pl.psv_support(np.array([40.0, 9000.0]), np.array([1000.0, 12.0]), tuples, np.ones(2))
+    for n1, n2, logs in zip((40, 9000), (1000, 12), got):
+        share = [min(max(t[0] / 4, 0.01), 0.99) for t in tuples]
+        assert np.allclose(logs, [n1 * math.log(q) + n2 * math.log(1 - q) for q in share], rtol=1e-12)

@@ -69,7 +69,8 @@ def psv_support(n1: np.ndarray, n2: np.ndarray, tuples: tuple[tuple[int, ...], .
     """ln P(counts of each sample | split) of one variant: (samples, splits)."""
     total = sum(tuples[0])
     logs = observation_logs(n1, n2, total)
-    mix = np.log(np.maximum(np.array([allele_distribution(t, f) for t in tuples]), 1e-300))
+    with np.errstate(divide="ignore"):
+        mix = np.log(np.array([allele_distribution(t, f) for t in tuples]))  # -inf: no floor stands up to deep counts
     return np_logsumexp(logs[:, None, :] + mix[None, :, :], axis=2)
 
 

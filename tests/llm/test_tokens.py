@@ -125,6 +125,24 @@ def test_agenda_on_a_whole_table(spark):
     assert [model.encode(t) for t in texts] == model.lib.encode(texts, add_eos=True)
 
 
+def test_every_merged_stretch_is_compared():
+    """A wrong merge in any text of a batch is found, also where it is remembered or stands behind a line's end."""
+
+    class Wrong(pc.MergeModel):
+        def merge(self, stretch):
+            return list(stretch) if "zebra" in stretch else super().merge(stretch)
+
+    for odd in ("a zebra", "a\nzebra.", "  zebra" * 30):
+        model, texts = Wrong(PIECES), ["one two", "three", odd, "", "four \n\n five▁six\x00é漢"]
+        want = model.lib.encode(texts, add_eos=True)
+        assert [model.encode(t) for t in texts] != want
+        for _ in range(2):
+            assert pc.encode_batch(model, texts) == want and model.differs
+    model = pc.MergeModel(PIECES)
+    right = [t.replace("zebra", "horse") for t in texts]
+    assert pc.encode_batch(model, right) == model.lib.encode(right, add_eos=True) and not model.differs
+
+
 # ------------------------------------------------------------------ edits
 def segments_in_order(node):
     return [] if node is None else [*segments_in_order(node.left), node, *segments_in_order(node.right)]

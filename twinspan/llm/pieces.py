@@ -7,8 +7,8 @@ something, none touches a newline. Each stretch is merged by itself, and frequen
 
 Why the ids are the library's: it merges the adjacent pair whose result has the best score, the leftmost of equals,
 until no pair is a piece, and so does the agenda; a merge changes which pairs are adjacent only beside it, so stretches
-that no piece reaches across don't bear on each other. Besides, one text in CHECK_EVERY is encoded by the
-library in every batch, and tests compare whole tables.
+that no piece reaches across don't bear on each other. Besides, the library encodes every stretch that a batch has merged
+before the batch's ids are used, so that all of every text is compared, and tests compare whole tables.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import batch_of, slices, table
 
 SPACE = "▁"
 REMEMBERED = 500_000  # stretches in each of two generations, about 250 MB in all
-CHECK_EVERY = 16
+CHECK_TOGETHER = 1000  # stretches in one text for the library
 SHORT = 40
 MARKS = ".,;:!?\"'#*$%&|)]}"
 NEVER = float("inf")
@@ -52,8 +52,13 @@ class MergeModel:
         newline = any("\n" in pair for pair in pairs)
         own = "" if newline else "\n"
         self.stretches = None if crosses else re.compile(f"{SPACE}+[^{SPACE}{own}]*|[^{SPACE}{own}]+" + (f"|{own}" if own else ""))
+        self.parted = not (crosses or newline)  # lines don't bear on each other
+        self.lead = lib.encode("\n")
+        self.newline = lib.encode("\n\n")[len(self.lead) :]
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
+        self.unchecked: list[tuple[str, list[int]]] = []  # stretches merged since check_merged()
+        self.differs = False
 
     def merge(self, stretch: str) -> list[str]:
         """Takes the best-scored adjacent pair, the leftmost of equals, until no pair is a piece.
@@ -111,8 +116,23 @@ class MergeModel:
                 ids += [self.byte[b] for b in s.encode()]
             else:
                 ids.append(self.unknown)
+        self.unchecked.append((stretch, ids))
         return ids
 
+    def check_merged(self) -> bool:
+        """Whether the library gives the ids of all stretches merged since the last call, each of them in a line of its own. After
+        one difference it stays false, as what is remembered can't be trusted any more."""
+        merged, self.unchecked = self.unchecked, []
+        for at in range(0, len(merged), CHECK_TOGETHER):
+            part = merged[at : at + CHECK_TOGETHER]
+            text = "\n" + "\n".join([s for s, _ in part])
+            want = self.lead + part[0][1]
+            for _, ids in part[1:]:
+                want += self.newline
+                want += ids
+            self.differs = self.differs or self.lib.encode(text) != want
+        return not self.differs
+
     def remembered(self, stretch: str) -> list[int]:
         ids = self.young.get(stretch)
         if ids is None:
@@ -148,13 +168,12 @@ def merge_model(path: str) -> MergeModel:
 
 
 def encode_batch(model: MergeModel, texts: list[str]) -> list[list[int]]:
-    """Ids with the end id. One text in CHECK_EVERY is also encoded by the library; a batch with a difference is the
-    library's as a whole."""
-    out = [model.encode(t) for t in texts]
-    some = range(0, len(texts), CHECK_EVERY)
-    if [out[i] for i in some] != model.lib.encode([texts[i] for i in some], add_eos=True, num_threads=1):
-        return model.lib.encode(texts, add_eos=True, num_threads=1)
-    return out
+    """Ids with the end id. Each stretch that was merged for them is encoded by the library too, or the texts themselves where
+    lines bear on each other; with a difference the batch is the library's as a whole."""
+    out = [] if model.differs else [model.encode(t) for t in texts]
+    if model.parted and model.check_merged():
+        return out
+    return model.lib.encode(texts, add_eos=True, num_threads=1)
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

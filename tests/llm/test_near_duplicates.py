@@ -343,6 +343,22 @@ def test_a_large_group_of_near_copies_without_a_centre(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in docs) >= 0.985 * len(docs)
     assert all(want[got[i]] == want[i] for i in docs)  # nothing is linked that isn't similar
 
+def test_large_groups_leave_out_no_pair_that_small_ones_have():
+    """In a group of any size every two members that differ in MOST_BITS at most are a candidate, or in one cluster."""
+    rng = random.Random(12)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(40), n))
+    for n in (2, 4, 5, 40):
+        base = rng.getrandbits(60)
+        fps = [base, *(flip(base, k % 2) for k in range(n - 2)), flip(base, 9)]
+        rows = similar.batch_of(similar.KEYS, [7] * n, list(range(n)), fps)
+        edges = [(r["a"], r["b"]) for b in similar._candidates(iter([rows])) for r in b.to_pylist()]
+        parent = list(range(n))
+        root = lambda x: x if parent[x] == x else root(parent[x])
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        near = [(a, b) for a in range(n) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= similar.MOST_BITS]
+        assert (n - 1, 0) in near and all(root(a) == root(b) for a, b in near), n
+
 
 def test_near_copies_of_the_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("n_chars < 4000").collect() if r["text"]}

@@ -28,8 +28,7 @@ FEATURE = 2  # words
 FINGERPRINTS = 12
 MOST_BITS = 10  # of the 64 whose key a pair shares; of pairs of similarity 0.8 that share one, 999 in 1000 differ in 6 at most
 MOST_APART = 132  # of the bits of all fingerprints, 768; such pairs differ in 60 to 64 on average, 130 at most (seen in 84,796)
-SMALL_GROUP = 4  # members of a key that are compared pair by pair
-CLUSTER_BITS = 6  # larger ones are joined to clusters over members that differ in so many bits of the 64
+SMALL_GROUP = 4  # members of a key that are compared pair by pair; larger groups are joined to clusters over the same pairs
 BLOCK = 256  # nodes of a cluster; blocks are compared two by two
 _COLUMNS = 4096  # shingles looked at together in a pair of blocks
 _rng = np.random.default_rng(5)
@@ -112,9 +111,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of KEYS sorted by key: near pairs of small groups; of larger ones (many) a forest over members that are
-    nearer still, which never has more edges than members. A group too large to hold goes in parts, each of which is
-    tied to the first member of the part before."""
+    """From rows of KEYS sorted by key: pairs of small groups that differ in MOST_BITS at most; of larger ones (many) a forest
+    that joins the members of all such pairs, which never has more edges than members. A group too large to hold goes in
+    parts, each of which is tied to the first member of the part before."""
     last_key, last_node = None, 0
     for sizes, columns in key_groups(batches, MAX_GROUP, parts=True):
         if isinstance(columns, int):
@@ -127,7 +126,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.cumsum(sizes) - sizes
         trees = []
         for at, n in zip(starts.tolist(), sizes.tolist()):
-            if n > SMALL_GROUP and (edges := _walk(fp[at : at + n], nodes[at : at + n], CLUSTER_BITS)):
+            if n > SMALL_GROUP and (edges := _walk(fp[at : at + n], nodes[at : at + n], MOST_BITS)):
                 trees.append(np.array(edges, np.int64).T)
         if key[0] == last_key:
             trees.append(np.stack([np.full(sizes[0], last_node), nodes[: sizes[0]]]))
@@ -207,9 +206,9 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component, of those with its smallest id, that stands for it.
 
     Texts with equal sets are one node, so exact copies cost a row each and no pair. Null and wordless texts are copies
-    of each other. Candidates are pairs that share a key. Where many share one they are no pairs: near ones make a
-    cluster, which is cut into blocks, and two blocks at a time are compared whole, so no task holds more than two blocks
-    and only links come out.
+    of each other. Candidates are pairs that share a key and differ in MOST_BITS of that fingerprint and MOST_APART of all at
+    most. Where many share a key no pairs are made: those within MOST_BITS join their texts to a cluster, which is cut into
+    blocks, and two blocks at a time are compared whole, so no task holds more than two blocks and only links come out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     texts = texts.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -47,9 +47,13 @@ def f05_extended_phred(spark, d) -> DataFrame:
     return _numbers(spark, d).select("psv_ix", "sample_id", F.round(lm.extended_phred(values, 0, F.lit(math.log(0.1))), 6).alias("quality"))
 
 
-@query("SELECT CAST(t AS INTEGER) AS total, concat_ws(',', CAST(a AS STRING), CAST(b AS STRING), CAST(t - a - b AS STRING)) AS cns FROM range(1, 9) x(t), range(0, 9) y(a), range(0, 9) z(b) WHERE a + b <= t")
+@query("""WITH n AS (SELECT psv_ix, sample_id, CAST(1 + (n0 + n1 + n2) % 8 AS INTEGER) AS total FROM allele_counts)
+    SELECT psv_ix, sample_id, total, concat_ws(',', CAST(a AS STRING), CAST(b AS STRING), CAST(total - a - b AS STRING)) AS cns FROM n, range(0, 9) y(a), range(0, 9) z(b) WHERE a + b <= total""", "allele_counts")
 def f11_copy_tuples(spark, d) -> DataFrame:
-    return pl.split_table(spark, range(1, 9), 3).select("total", F.concat_ws(",", F.transform("cns", lambda c: c.cast("string"))).alias("cns"))
+    """All ways in which each variant's copies in a sample may be dealt to three places; the ways of a total are a table to join with."""
+    n = _numbers(spark, d).select("psv_ix", "sample_id", (1 + (F.col("n0") + F.col("n1") + F.col("n2")) % 8).cast("int").alias("total"))
+    ways = pl.split_table(spark, range(1, 9), 3)
+    return n.join(F.broadcast(ways), "total").select("psv_ix", "sample_id", "total", F.concat_ws(",", F.transform("cns", lambda c: c.cast("string"))).alias("cns"))
 
 
 @query("""SELECT psv_ix, sample_id, round(pow(1 - f, 2) * pow(g, 2), 9) AS none, round(pow(f, 2) * pow(1 - g, 2), 9) AS full_, 1.0 AS total FROM (SELECT *, 0.5 + n0 % 10 / 20.0 AS f, 0.5 + n1 % 10 / 20.0 AS g FROM allele_counts)""", "allele_counts")
@@ -194,8 +198,8 @@ def j18_continued_copies(spark, d) -> DataFrame:
     return b.select("b_id", F.coalesce(text, F.lit("-")).alias("spans"))
 
 
-_COMBINED = """WITH d AS (SELECT chrom_id AS locus, s, least(e, s + 4) AS e, b_id % 2 AS copy, 'A' || CAST(b_id % 3 AS STRING) AS allele FROM iv_b), m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY locus ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM d),
-    g AS (SELECT *, sum(nw) OVER (PARTITION BY locus ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT locus, min(s) AS s, max(e) AS e, CAST(count(DISTINCT allele) + 1 AS INTEGER) AS alleles, CAST(count(DISTINCT (copy, allele)) AS INTEGER) AS copies FROM g GROUP BY locus, g"""
+_COMBINED = """WITH d AS (SELECT b_id, chrom_id AS locus, s, least(e, s + 4) AS e, b_id % 2 AS copy, 'A' || CAST(b_id % 3 AS STRING) AS allele FROM iv_b), m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY locus ORDER BY s, e, b_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM d),
+    g AS (SELECT *, sum(nw) OVER (PARTITION BY locus ORDER BY s, e, b_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT locus, min(s) AS s, max(e) AS e, CAST(count(DISTINCT allele) + 1 AS INTEGER) AS alleles, CAST(count(DISTINCT (copy, allele)) AS INTEGER) AS copies FROM g GROUP BY locus, g"""
 
 
 @query(_COMBINED, "iv_b")

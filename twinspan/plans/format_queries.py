@@ -166,11 +166,17 @@ def s15_merged_depths(spark, d) -> DataFrame:
     return merged.groupBy("sample").agg(F.count(F.lit(1)).alias("bins"), F.sum("nb_n").alias("total"))
 
 
-@query("SELECT k AS key, v AS value FROM (VALUES ('ploidy', '2'), ('window size', '100'), ('loess fraction', '0.2')) t(k, v)")
+@query(f"""WITH r AS ({_DEPTH}) SELECT 'samples' AS key, CAST(count(DISTINCT sample_id) AS STRING) AS value FROM r UNION ALL SELECT 'windows', CAST(CAST(sum(n_windows) AS BIGINT) AS STRING) FROM r UNION ALL SELECT 'GC range', concat(CAST(min(gc) AS STRING), '-', CAST(max(gc) AS STRING)) FROM r
+    UNION ALL SELECT concat('lines of s', CAST(sample_id AS STRING)), CAST(count(*) * 2 AS STRING) FROM r GROUP BY sample_id""", "win_depth")
 def s16_depth_header(spark, d) -> DataFrame:
-    path = sc.scratch_path(spark, "depth")
-    tx.write_depth(_depth_rows(spark, d), path, {"ploidy": 2, "window size": 100, "loess fraction": 0.2})
-    return spark.createDataFrame(sorted(tx.depth_header(spark, path).items()), "key string, value string")
+    """A depth table's parameters, which say what it was made of, and its lines by sample, from the text as it was written."""
+    rows, path = _depth_rows(spark, d), sc.scratch_path(spark, "depth")
+    made = rows.agg(F.count_distinct("sample").alias("samples"), (F.sum("n_windows") / 2).cast("bigint").alias("windows"), F.concat_ws("-", F.min("gc_content").cast("string"), F.max("gc_content").cast("string")).alias("range")).first()
+    tx.write_depth(rows, path, {"samples": made["samples"], "windows": made["windows"], "GC range": made["range"]})
+    lines = spark.read.text(path)
+    head = lines.filter("value like '# %'").select(F.regexp_extract("value", "^# ([^:]+): ", 1).alias("key"), F.regexp_extract("value", "^# [^:]+: (.*)$", 1).alias("value"))
+    own = lines.filter("value not like '#%' and value not like 'sample%'").groupBy(F.split("value", "\t")[0].alias("sample")).agg(F.count(F.lit(1)).alias("n"))
+    return head.unionByName(own.select(F.concat(F.lit("lines of "), "sample").alias("key"), F.col("n").cast("string").alias("value")))
 
 
 def _model(spark, d) -> DataFrame:

@@ -117,7 +117,7 @@ def g19_strand_bias(spark, d) -> DataFrame:
     return ca.bias(counts.select("variant_id", "allele_ix", F.col("v.f").alias("fwd"), F.col("v.r").alias("rev")), ("fwd", "rev")).withColumn("bias", F.round("bias", 4))
 
 
-@query("""WITH RECURSIVE v AS (SELECT b_id AS variant_id, chrom_id, s, least(e, s + 12) AS e, CAST(b_id % 101 AS BIGINT) AS quality FROM iv_b), m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM v), g AS (SELECT *, sum(nw) OVER (PARTITION BY chrom_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m), o AS (SELECT variant_id, chrom_id, s, e, quality, g, row_number() OVER (PARTITION BY chrom_id, g ORDER BY quality DESC, s, variant_id) AS i FROM g),
+@query("""WITH RECURSIVE v AS (SELECT b_id AS variant_id, chrom_id, s, least(e, s + 12) AS e, CAST(b_id % 101 AS BIGINT) AS quality FROM iv_b), m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY chrom_id ORDER BY s, e, variant_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM v), g AS (SELECT *, sum(nw) OVER (PARTITION BY chrom_id ORDER BY s, e, variant_id ROWS UNBOUNDED PRECEDING) AS g FROM m), o AS (SELECT variant_id, chrom_id, s, e, quality, g, row_number() OVER (PARTITION BY chrom_id, g ORDER BY quality DESC, s, variant_id) AS i FROM g),
     r AS (SELECT *, [{'s': s, 'e': e}] AS kept, true AS stays FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN len(list_filter(r.kept, lambda k: o.e > k.s AND o.s < k.e)) = 0 THEN list_append(r.kept, {'s': o.s, 'e': o.e}) ELSE r.kept END, len(list_filter(r.kept, lambda k: o.e > k.s AND o.s < k.e)) = 0 FROM r JOIN o ON o.chrom_id = r.chrom_id AND o.g = r.g AND o.i = r.i + 1)
     SELECT variant_id, chrom_id, s, e, quality FROM r WHERE stays""", "iv_b")
 def w15_resolved_variants(spark, d) -> DataFrame:

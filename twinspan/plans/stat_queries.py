@@ -176,8 +176,9 @@ def g30_transitions(spark, d) -> DataFrame:
 
 
 # ----------------------------------------------------------------scalar functions and genotypes
-@query("""WITH x AS (SELECT psv_ix, sample_id, unnest([-n0/10.0, -n1/10.0, -n2/10.0]) AS lp, unnest([0, 1, 2]) AS k FROM allele_counts)
-    SELECT psv_ix, sample_id, round(ln(sum(exp(lp))), 9) AS total, round(least(10000, -10 * log10(sum(exp(lp)) FILTER (k <> 0) / sum(exp(lp)))), 6) AS phred FROM x GROUP BY 1, 2""", "allele_counts")
+@query("""WITH x AS (SELECT psv_ix, sample_id, unnest([-n0/10.0, -n1/10.0, -n2/10.0]) AS lp, unnest([0, 1, 2]) AS k FROM allele_counts), m AS (SELECT *, max(lp) OVER (PARTITION BY psv_ix, sample_id) AS m, max(lp) FILTER (k <> 0) OVER (PARTITION BY psv_ix, sample_id) AS o FROM x),
+    t AS (SELECT psv_ix, sample_id, max(m) + ln(sum(exp(lp - m))) AS total, max(o) + ln(sum(exp(lp - o)) FILTER (k <> 0)) AS others FROM m GROUP BY 1, 2)
+    SELECT psv_ix, sample_id, round(total, 9) AS total, round(least(10000, (total - others) * 10 / ln(10)), 6) AS phred FROM t""", "allele_counts")
 def f04_phred(spark, d) -> DataFrame:
     values = F.array(*(-F.col(c) / 10 for c in ("n0", "n1", "n2")))
     return view(spark, d, "allele_counts").select("psv_ix", "sample_id", F.round(lm.logsumexp(values), 9).alias("total"), F.round(lm.phred_of_best(values, 0), 6).alias("phred"))

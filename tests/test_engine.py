@@ -114,6 +114,36 @@ def test_overlap_joins_against_all_pairs(spark):
     assert {r["a_id"] for r in iv.overlap_semi(A, B, ["a_id"], anti=True).collect()} == set(range(len(a))) - {i for i, _ in hit}
 
 
+def test_overlap_join_of_all_lengths(spark):
+    """Lengths from 1 to ten million: all pairs, once each; an interval is in a few bins; an equi join without a cartesian product."""
+    rng = random.Random(8)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            length = int(10 ** rng.uniform(0, 7))
+            s = rng.choice([rng.randrange(20_000_000), rng.choice([128, 512, 1 << 20]) * rng.randrange(1, 15)])
+            rows.append((i, rng.choice([1, 1, 2]), s, s + length))
+        return rows
+
+    a, b = some(250), some(220)
+    A, B = spark.createDataFrame(a, "a_id long, chrom_id long, s long, e long"), spark.createDataFrame(b, "id long, chrom_id long, s long, e long")
+    joined = iv.overlap_join(A, B)
+    got = [(r["a_id"], r["b_id"]) for r in joined.collect()]
+    want = {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    each = F.transform(F.array(*map(F.lit, range(iv.LEVELS))), lambda k: F.struct(k.alias("k"), F.lit(0).alias("r")))
+    binned = iv._in_bins(iv.with_level(A), iv.BIN, F.filter(each, lambda p: p["k"] >= F.col("_level"))).groupBy("a_id").count()
+    assert binned.agg(F.max("count")).first()[0] <= 2 * iv.LEVELS
+    assert iv.overlap_join(A, B.limit(0)).count() == 0 and iv.overlap_join(A.limit(0), B).count() == 0
+
+
+def test_alignment_tells_all_letters_apart():
+    assert al.align("aΩb", "aЖb")[0] == "1=1X1=" and al.align("日本", "日本") == ("2=", 2)
+
+
 def test_sweeps_against_positions(spark):
     rng = random.Random(2)
     rows = random_intervals(rng, 80, length=900)

@@ -1,8 +1,8 @@
 """Interval algebra on columns (chrom_id, s, e), half-open: scalar functions, binned joins, sweeps.
 
 Two intervals overlap where each starts before the other ends. Touching intervals have distance 1, overlapping
-ones 0. Joins put both sides into bins of a fixed width and keep a pair in the first bin that both touch, so a
-pair is found once and no contig becomes one task. Sweeps over a contig work inside (contig, bin), with what the bins
+ones 0. Joins put intervals into bins about as wide as they are long, and keep a pair in the first bin that both touch, so a
+pair is found once, no contig becomes one task, and an interval is in a few bins whatever its length. Sweeps over a contig work inside (contig, bin), with what the bins
 before leave behind, so that only a row a bin meets in one window.
 """
 
@@ -13,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 128
+BIN = 128  # width of the finest bins
+FAN, LEVELS = 4, 16  # each level's bins are so many times as wide as those of the one below
 FAR = 2**62  # distance across contigs
 
 
@@ -63,18 +64,50 @@ def format_region(chrom, start, end) -> Column:
 
 
 # ------------------------------------------------------------------ joins
-def with_bins(df: DataFrame, width: int = BIN, s: str = "s", e: str = "e") -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width))))
+def with_level(df: DataFrame, width: int = BIN) -> DataFrame:
+    """Adds _level, the finest one whose bins are as wide as the interval is long: it touches at most two of them."""
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.col("e") - F.col("s") <= width * FAN**k, k).otherwise(level)
+    return df.withColumn("_level", level)
+
+
+def _levels(df: DataFrame, width: int) -> Column:
+    """The levels that a table's intervals have, as bits of one number."""
+    return F.coalesce(with_level(df.select("s", "e"), width).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_level")))).scalar(), F.lit(0))
+
+
+def _has(levels: Column, k: Column) -> Column:
+    return levels.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0
+
+
+def _in_bins(df: DataFrame, width: int, places: Column) -> DataFrame:
+    """A row for each bin that the interval touches at each of its places, an array<struct<k level, r role>>; _key is one number
+    of level, bin and role."""
+    rows = df.withColumn("_p", F.explode(places)).withColumn("_w", F.lit(width) * F.pow(F.lit(FAN), F.col("_p.k")).cast("bigint"))
+    rows = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("s") / F.col("_w")), F.floor((F.col("e") - 1) / F.col("_w")))))
+    return rows.withColumn("_key", (F.col("_bin") * LEVELS + F.col("_p.k")) * 2 + F.col("_p.r")).drop("_p", "_level")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, residual: Column | None = None) -> DataFrame:
     """All pairs that overlap: a's columns as they are, b's with a `b_` in front (contig and ends of both named
-    chrom_id, s, e). residual: a further condition over both."""
-    left = with_bins(a, width)
-    right = with_bins(b, width).select([F.col(c).alias(f"b_{c}") for c in [*b.columns, "_bin"]])
-    first = F.greatest(F.floor(F.col("s") / width), F.floor(F.col("b_s") / width))
-    on = (F.col("chrom_id") == F.col("b_chrom_id")) & (F.col("_bin") == F.col("b__bin")) & (F.col("s") < F.col("b_e")) & (F.col("b_s") < F.col("e")) & (F.col("_bin") == first)
-    return left.join(right, on if residual is None else on & residual).drop("_bin", "b__bin")
+    chrom_id, s, e). residual: a further condition over both.
+
+    A pair meets at the coarser of its two levels: there the longer one waits in its own bins, and the shorter one, which
+    touches at most two bins of any coarser level, comes by. It visits only levels that the other table has, which is all
+    that is known of it beforehand (one number). Role 0: a waits, b comes, at equal levels too; role 1: b waits."""
+    levels_a, levels_b = _levels(a, width), _levels(b, width)
+    levels, place = F.array(*map(F.lit, range(LEVELS))), lambda k, role: F.struct(k.alias("k"), F.lit(role).alias("r"))
+    own = F.col("_level")
+    comes_a = F.transform(F.filter(levels, lambda k: (k > F.col("_level")) & _has(F.col("_other"), k)), lambda k: place(k, 1))
+    comes_b = F.transform(F.filter(levels, lambda k: (k >= F.col("_level")) & _has(F.col("_other"), k)), lambda k: place(k, 0))
+    lower = F.exists(levels, lambda k: (k < F.col("_level")) & _has(F.col("_other"), k))
+    left = _in_bins(with_level(a, width).withColumn("_other", levels_b), width, F.concat(F.array(place(own, 0)), comes_a)).drop("_other")
+    right = _in_bins(with_level(b, width).withColumn("_other", levels_a), width, F.concat(comes_b, F.when(lower, F.array(place(own, 1))).otherwise(F.array().cast("array<struct<k:int,r:int>>"))))
+    right = right.select([F.col(c).alias(f"b_{c}") for c in [*b.columns, "_key"]])
+    first = F.greatest(F.floor(F.col("s") / F.col("_w")), F.floor(F.col("b_s") / F.col("_w")))
+    on = (F.col("chrom_id") == F.col("b_chrom_id")) & (F.col("_key") == F.col("b__key")) & (F.col("s") < F.col("b_e")) & (F.col("b_s") < F.col("e")) & (F.col("_bin") == first)
+    return left.join(right, on if residual is None else on & residual).drop("_bin", "_key", "_w", "b__key")
 
 
 def containment_join(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:

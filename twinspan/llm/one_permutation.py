@@ -23,7 +23,7 @@ from .common import batch_of, materialize, slices, table
 BINS, BITS = 512, 4
 SHINGLE = 5
 SEED = 42
-REMEMBERED = 500_000
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -50,19 +50,16 @@ class OnePermutation:
             powers.append(powers[-1] * 0xD6E8FEB86659FD93 % 2**64)
         self.powers = [np.uint64(p) for p in reversed(powers)]
         self.words: dict[bytes, int] = {}
+        self.held = 0  # bytes of these words
+        self.tries = np.zeros((0, bins), np.int64)
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.words
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            digest = xxhash.xxh64_intdigest
-            for w in set(words):
-                if w not in known and len(w) < 64:
-                    known[w] = digest(w, SEED)
-            return np.fromiter((h if (h := known.get(w)) is not None else digest(w, SEED) for w in words), np.uint64, len(words))
+        if len(self.words) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.words, self.held = {}, 0
+        new = [w for w in set(words) if w not in self.words]
+        self.words.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in new)
+        self.held += sum(map(len, new))
+        return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str) -> np.ndarray:
         """A 64-bit hash of each run of `width` words (A-Z lower-cased); fewer words are one run, no words one of none."""
@@ -85,17 +82,25 @@ class OnePermutation:
         out[at[first]] = ordered[first]
         return out
 
+    def tried(self, upto: int) -> np.ndarray:
+        """(attempt, bin): the bins that each empty bin tries, one after the other; at least `upto` of them."""
+        while len(self.tries) < upto:
+            more = np.arange(len(self.tries) + 1, 2 * len(self.tries) + 65, dtype=np.uint64)
+            self.tries = np.concatenate((self.tries, (mixed(self.number[None, :] + more[:, None]) % np.uint64(self.bins)).astype(np.int64)))
+        return self.tries
+
     def sources(self, filled: np.ndarray) -> np.ndarray:
         """For each bin the bin that its value comes from: itself, or the first filled one of its own sequence."""
         out = np.arange(self.bins)
         open_ = np.flatnonzero(~filled)
-        attempt = 1
+        at, step = 0, 4
         while len(open_):
-            tried = (mixed(self.number[open_] + np.uint64(attempt)) % np.uint64(self.bins)).astype(np.int64)
+            tried = self.tried(at + step)[at : at + step, open_]
             hit = filled[tried]
-            out[open_[hit]] = tried[hit]
-            open_ = open_[~hit]
-            attempt += 1
+            first, any_ = hit.argmax(axis=0), hit.any(axis=0)
+            out[open_[any_]] = tried[first, np.arange(len(open_))][any_]
+            open_ = open_[~any_]
+            at, step = at + step, min(2 * step, 256)
         return out
 
     def fingerprint(self, text: str) -> bytes:
@@ -118,10 +123,10 @@ class OnePermutation:
 
 _makers: dict[tuple[int, int, int], OnePermutation] = {}
 ROWS = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
      ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("last", pa.bool_()), ("text", pa.string())]
 )
-KINDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,8 +149,8 @@ def edited(text: str, following: str) -> str:
 def _row(make: OnePermutation, own: tuple, text: str, following: str, fp: bytes, fp_following: bytes) -> tuple:
     new = edited(text, following)
     fp_new = fp if new == text else make.fingerprint(new)
-    sha = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
-    return (*own, len(text), sha, fp.hex(), fp_new.hex(), make.likeness(fp, fp_new), make.likeness(fp, fp_following))
+    sha = hashlib.sha256(new.encode("utf-8", "replace")).digest()
+    return (*own, len(text), sha, fp, fp_new, make.likeness(fp, fp_new), make.likeness(fp, fp_following))
 
 
 def with_following(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -201,7 +206,8 @@ def with_following(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: i
     order = spark.createDataFrame(list(zip(held, [*held[1:], *held[:1]])), "part int, next int")
     firsts = ends.filter("not last").select(F.col("part").alias("next"), F.col("text").alias("following"))
     lasts = ends.filter("last").select("part", "doc_id", "text").join(F.broadcast(order), "part").join(firsts, "next")
-    return inner.union(lasts.select("doc_id", "text", "following").mapInArrow(close, KINDS))
+    out = inner.union(lasts.select("doc_id", "text", "following").mapInArrow(close, KINDS))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op13_document_fingerprints(spark, sf_dir: str) -> DataFrame:

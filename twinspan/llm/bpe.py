@@ -1,15 +1,16 @@
 """ids of byte-level BPE vocabularies by the tokenizers library, each different pre-token encoded once.
 
 A text is cut by the vocabulary's own pattern, and within a pre-token merges depend on nothing around it, so the ids of a
-text are those of its pre-tokens in order. The library encodes every pre-token when it is first met; those of under 64
-characters are remembered in two generations.
+text are those of its pre-tokens in order. The library encodes every pre-token when it is first met; ids are kept flat,
+and a text's are gathered from there.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -17,12 +18,18 @@ from tokenizers import Tokenizer
 
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000  # pre-tokens in each generation, about 150 MB in all
-LONGEST = 64
+REMEMBERED = 300_000  # different pre-tokens, about 60 MB in all; beyond it the memory starts anew
+TOGETHER = 1_000  # pre-tokens in one call; what the library makes of each takes some KB for a moment
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all (start, size), one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class BytePairIds:
-    """Strings of the file's added tokens are ordinary text in plain() and pretokens(), and have their ids in with_added().
+    """Strings of the file's added tokens are ordinary text in flat(), plain() and counts(), and have their ids in with_added().
     Files with a normalizer or another pre-tokenizer are encoded by the library as whole texts."""
 
     def __init__(self, path: str):
@@ -34,31 +41,45 @@ class BytePairIds:
         pre = spec.get("pre_tokenizer") or {}
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
         self.parted = spec["model"].get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = regex.compile(PATTERN).findall if self.parted else lambda text: [text]
         self.vocabulary = self.library.get_vocab()
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def pretokens(self, tokens: list[str]) -> list[list[int]]:
-        """The ids of each of some pre-tokens."""
-        found = list(map(self.young.get, tokens))
-        if None not in found:
-            return found
-        missing = {t for t, ids in zip(tokens, found) if ids is None}
-        known = {t: ids for t in missing if (ids := self.old.get(t)) is not None}
-        new = [t for t in missing if t not in known]
-        known.update(zip(new, (e.ids for e in self.ordinary.encode_batch(new, add_special_tokens=False))))
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young.update((t, ids) for t, ids in known.items() if len(t) < LONGEST)
-        return [known[t] if ids is None else ids for t, ids in zip(tokens, found)]
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        if not self.parted:
-            return [e.ids for e in self.ordinary.encode_batch(texts, add_special_tokens=False)]
+        self.slot: dict[str, int] = {}
+        self.ids = self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def slots(self, tokens: list[str]) -> np.ndarray:
+        """Where starts and sizes say which of self.ids are those of each pre-token; until the next call."""
+        if len(self.slot) > REMEMBERED:
+            self.slot = {}
+            self.ids = self.starts = self.sizes = np.zeros(0, np.int64)
+        out = np.fromiter(map(self.slot.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unknown = np.flatnonzero(out < 0).tolist()
+        if unknown:
+            met = list(map(tokens.__getitem__, unknown))
+            new = list(dict.fromkeys(met))
+            found = [e.ids for at in range(0, len(new), TOGETHER) for e in self.ordinary.encode_batch(new[at : at + TOGETHER], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))))
+            self.slot.update(zip(new, range(len(self.slot), len(self.starts))))
+            out[unknown] = np.fromiter(map(self.slot.__getitem__, met), np.int64, len(met))
+        return out
+
+    def counts(self, tokens: list[str]) -> list[int]:
+        """How many ids each pre-token has."""
+        return self.sizes[self.slots(tokens)].tolist() if tokens else []
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has."""
         cuts = list(map(self.cut, texts))
-        ids = iter(self.pretokens(list(chain.from_iterable(cuts))))
-        return [list(chain.from_iterable([next(ids) for _ in cut])) for cut in cuts]
+        slots = self.slots(list(chain.from_iterable(cuts)))
+        sizes = self.sizes[slots]
+        before = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cuts)])]
+        return gathered(self.ids, self.starts[slots], sizes), np.diff(before)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        ids, counts = self.flat(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
     def with_added(self, texts: list[str]) -> list[np.ndarray]:
         search = self.added.search
@@ -81,5 +102,6 @@ _loaded: dict[str, BytePairIds] = {}
 
 def byte_pair_ids(path: str) -> BytePairIds:
     if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         _loaded[path] = BytePairIds(path)
     return _loaded[path]

@@ -6,8 +6,8 @@ documents of the corpus hold the same pair of ids linked. Nothing here needs all
 1. Each task aligns its documents and writes, beside a row a document, postings by A id: for one A id and one slice of
    documents the B ids it is linked to, the documents and how often (lists in one row).
 2. Postings are shuffled by A id and sorted by it (Spark's sort spills). A task counts the documents of each pair of an id
-   and their maximum, and emits to each document its links' share of n_best and count_sum.
-3. The shares are summed by document.
+   and their maximum, and emits to each document its links' share of n_best and count_sum, again as lists by slice.
+3. The shares are shuffled by slice and summed by document.
 
 An id with more than SPLIT postings (every frequent one in a large corpus) is dealt to several tasks by the hash of its
 slices. Its counts are summed before, by pair and with a partial sum in each task, and each of its parts meets them in
@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_pair_ids
+from .bpe import byte_pair_ids, gathered
 from .common import batch_of, materialize, slices, table
 
 SPACE = "▁"
@@ -37,7 +37,8 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = pa.schema(
     [("key", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("groups_sha256", pa.string()), ("a", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("b", "row", "m"))]
 )
-SHARES = pa.schema([("key", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+SHARES = pa.schema([("key", pa.int64()), ("row", pa.list_(pa.int32())), ("n_best", pa.list_(pa.int64())), ("count_sum", pa.list_(pa.int64()))])
+TOTALS = pa.schema([("key", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 
 
 def piece_bytes(lib: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -53,30 +54,36 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a = byte_pair_ids(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.bytes_a, self.bytes_b = self.a.token_bytes(), piece_bytes(self.b)
-        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        na, nb = len(self.bytes_a), len(self.bytes_b)
+        bytes_a, bytes_b = self.a.token_bytes(), piece_bytes(self.b)
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (bytes_a, bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (bytes_a, bytes_b))
+        na, nb = self.n_a, self.n_b = len(bytes_a), len(bytes_b)
         self.texts = np.array([f"{i}{mark}" for n, marks in ((na, ",|"), (nb, ",;")) for mark in marks for i in range(n)], object)
         self.first_b = 2 * na
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of space+text in A and of text in B; none of both where a text is empty or the bytes of either aren't space+text."""
-        ids_a, ids_b = self.a.plain([" " + t if t else "" for t in texts]), self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(texts):
-            raw = b" " + t.encode("utf-8", "replace") if t else b""
-            if any(b"".join(map(of.__getitem__, ids)) != raw for of, ids in ((self.bytes_a, ids_a[i]), (self.bytes_b, ids_b[i]))):
-                ids_a[i], ids_b[i] = [], []
-        return ids_a, ids_b
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids in A of space+text and in B of text, each flat and with the numbers of the texts; none of both where a text is empty
+        or the bytes of either aren't space+text."""
+        n = len(texts)
+        ids = self.b.encode(texts, num_threads=1)
+        count = np.fromiter(map(len, ids), np.int64, n)
+        sides = [self.a.flat([" " + t if t else "" for t in texts]), (np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())), count)]
+        raw = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
+        good = np.ones(n, bool)
+        for (ids, count), flat, length in zip(sides, (self.flat_a, self.flat_b), (self.length_a, self.length_b)):
+            made = gathered(flat, (np.cumsum(length) - length)[ids], length[ids]).tobytes()
+            if made != b"".join(raw):
+                at = np.concatenate(([0], np.cumsum(length[ids])))[np.concatenate(([0], np.cumsum(count)))].tolist()
+                good &= np.array([made[i:j] == r for i, j, r in zip(at, at[1:], raw)])
+        return sides if good.all() else [(ids[np.repeat(good, count)], count * good) for ids, count in sides]
 
     def align(self, texts: list[str]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, ...]]:
         """Counts of each text, the hashes of their groups, and (a, b, text, times) of each linked pair of ids, in that order.
 
         The texts are laid out behind one another. A link is a stretch between two neighbouring ends of either side:
         it lies in one token of each, and tokens that overlap share exactly one such stretch."""
-        ids_a, ids_b = self.encode(texts)
+        (a, count_a), (b, count_b) = self.encode(texts)
         n = len(texts)
-        count_a, count_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())) for ids, count in ((ids_a, count_a), (ids_b, count_b)))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         is_a, is_b = np.zeros((2, (int(end_a[-1]) if len(a) else 0) + 1), bool)
         is_a[end_a] = is_b[end_b] = True
@@ -90,11 +97,11 @@ class Aligner:
         group_a, group_b = np.cumsum(common_a) - common_a, np.cumsum(common_b) - common_b
         until_a, until_b = (np.concatenate(([0], np.flatnonzero(c) + 1)) for c in (common_a, common_b))
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + until_b[group_a]] = a + len(self.bytes_a) * common_a
-        codes[np.arange(len(b)) + until_a[group_b + 1]] = self.first_b + b + len(self.bytes_b) * common_b
+        codes[np.arange(len(a)) + until_b[group_a]] = a + self.n_a * common_a
+        codes[np.arange(len(b)) + until_a[group_b + 1]] = self.first_b + b + self.n_b * common_b
         marked, bounds = self.texts[codes].tolist(), np.cumsum(np.concatenate(([0], count_a + count_b))).tolist()
         hashes = [hashlib.sha256("".join(marked[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:])]
-        bits_b, bits_t = int(len(self.bytes_b)).bit_length(), int(n).bit_length()
+        bits_b, bits_t = self.n_b.bit_length(), n.bit_length()
         pairs, times = np.unique((a[of_a] << bits_b | b[of_b]) << bits_t | text, return_counts=True)
         return counts, hashes, (pairs >> bits_b + bits_t, pairs >> bits_t & (1 << bits_b) - 1, pairs & (1 << bits_t) - 1, times)
 
@@ -109,7 +116,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 1 << 20):
             keys = part.column(0).to_numpy()
             counts, hashes, (a, b, text, times) = _aligners[a_path, b_path].align([t or "" for t in part.column(2).to_pylist()])
             none = pa.nulls(len(keys))
@@ -129,24 +136,30 @@ def _flat(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _summed(key: np.ndarray, best: np.ndarray, count: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    keys, at = np.unique(key, return_inverse=True)
-    sums = []
-    for x in (times * best, times * count):
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, x)
-        sums.append(total)
-    return batch_of(SHARES, keys, *sums)
+def _added(first: np.ndarray, row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each document, in order: (first, row, sums)."""
+    order = np.argsort(first + row, kind="stable")
+    first, row = first[order], row[order]
+    starts = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (row[1:] != row[:-1]))))
+    return first[starts], row[starts], *(np.add.reduceat(x[order], starts) for x in values)
+
+
+def _summed(first: np.ndarray, row: np.ndarray, best: np.ndarray, count: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A row for each slice of documents: lists of its documents and their sums."""
+    first, row, best, count = _added(first, row, times * best, times * count)
+    starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+    ends = pa.array(np.append(starts, len(first)), pa.int32())
+    return batch_of(SHARES, first[starts], *(pa.ListArray.from_arrays(ends, pa.array(x, f.type.value_type)) for x, f in zip((row, best, count), list(SHARES)[1:])))
 
 
 def _counted_here(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Shares from whole groups (a, b, key, times), sorted by a."""
-    a, b, key, times = (np.concatenate(c) for c in zip(*parts))
+    """Shares from whole groups (a, b, first key, row, times), sorted by a."""
+    a, b, first, row, times = (np.concatenate(c) for c in zip(*parts))
     _, at, count = np.unique(a << 32 | b, return_inverse=True, return_counts=True)
     count = count[at]
     starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     most = np.repeat(np.maximum.reduceat(count, starts), np.diff(np.append(starts, len(a))))
-    return _summed(key, count == most, count, times)
+    return _summed(first, row, count == most, count, times)
 
 
 def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,15 +167,13 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A split id's counts come in front of its postings; other ids are counted once their group has ended."""
     held: list[tuple[np.ndarray, ...]] = []
     n, of, count, most = 0, None, None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches):
         ids, split, is_counts = batch.column(0).to_numpy(), batch.column(1).to_numpy() >= 0, batch.column(2).to_numpy() == 0
         b, row, m = (batch.column(i) for i in (4, 5, 6))
-        sizes = np.diff(b.offsets.to_numpy())
+        sizes = b.value_lengths().to_numpy()
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         b, row, m = _flat(b), _flat(row), _flat(m)
-        key = np.repeat(batch.column(3).to_numpy(), sizes) + row
+        first = np.repeat(batch.column(3).to_numpy(), sizes)
         a = np.repeat(ids, sizes).astype(np.int64)
         cuts = np.flatnonzero((split[1:] != split[:-1]) | split[1:] & ((ids[1:] != ids[:-1]) | is_counts[1:] | is_counts[:-1])) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
@@ -173,9 +184,9 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 most = int(count.max())
             elif split[i]:
                 assert of == ids[i]
-                yield _summed(key[own], count[b[own]] == most, count[b[own]], m[own])
+                yield _summed(first[own], row[own], count[b[own]] == most, count[b[own]], m[own])
             else:
-                held.append((a[own], b[own], key[own], m[own]))
+                held.append((a[own], b[own], first[own], row[own], m[own]))
                 n += bounds[j] - bounds[i]
         if n > AT_ONCE:
             whole = [np.concatenate(c) for c in zip(*held)]
@@ -188,6 +199,29 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted_here(held)
 
 
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's sums, from the rows of shares() sorted by key."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def out(first: np.ndarray, row: np.ndarray, best: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return batch_of(TOTALS, first + row, best, count)
+
+    for batch in slices(batches):
+        lists = [batch.column(i) for i in (1, 2, 3)]
+        held.append((np.repeat(batch.column(0).to_numpy(), lists[0].value_lengths().to_numpy()), *map(_flat, lists)))
+        n += len(held[-1][0])
+        if n > AT_ONCE:
+            whole = _added(*(np.concatenate(c) for c in zip(*held)))
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last slice may go on
+            if cut:
+                yield out(*(c[:cut] for c in whole))
+            held = [tuple(c[cut:] for c in whole)]
+            n = len(held[0][0])
+    if n:
+        yield out(*_added(*(np.concatenate(c) for c in zip(*held))))
+
+
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -207,8 +241,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     dealt = postings.join(F.broadcast(parts), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.lit(-1)))
     dealt = dealt.select("a", "part", F.lit(1).alias("is_posting"), "key", "b", "row", "m").union(counts)
     order = ("a", "part", "is_posting")
-    given = dealt.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(shares, "key long, n_best long, count_sum long")
-    total = given.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = dealt.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(shares, "key long, row array<int>, n_best array<long>, count_sum array<long>")
+    total = given.repartition("key").sortWithinPartitions("key").mapInArrow(totals, "key long, n_best long, count_sum long")
     sums = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum"))
     return rows.join(total, "key", "left").select("doc_id", *COUNTS, *sums, "groups_sha256")
 

@@ -198,20 +198,39 @@ def merge_overlapping(df: DataFrame, max_distance: int = 1, part: Sequence[str]
     return runs.groupBy(*part, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
-def coverage(df: DataFrame, part: Sequence[str] = ("chrom_id",), width: int = 1 << 16) -> DataFrame:
-    """Depth of each elementary segment (s, e, depth), gaps left out: +1 and -1 events, summed up in order. The
-    sums start in each bin with what the bins before it leave open."""
-    events = df.select(*part, F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("v"))
-    points = events.groupBy(*part, F.col("v.pos").alias("s")).agg(F.sum("v.d").alias("d")).withColumn("_bin", F.floor(F.col("s") / width))
-    bins = points.groupBy(*part, "_bin").agg(F.sum("d").alias("_d"), F.min("s").alias("_next"))
+def sweep(events: DataFrame, part: Sequence[str], counters: Sequence[str], width: int = STRETCH) -> DataFrame:
+    """Elementary segments (s, e) between the positions of events, with what each counter adds up to there. events: part, pos
+    and by how much each counter grows. The sums start in each bin with what the bins before it leave."""
+    points = events.groupBy(*part, F.col("pos").alias("s")).agg(*(F.sum(c).alias(c) for c in counters)).withColumn("_bin", F.floor(F.col("s") / width))
+    bins = points.groupBy(*part, "_bin").agg(*(F.sum(c).alias(f"_d_{c}") for c in counters), F.min("s").alias("_next"))
     by_bin = Window.partitionBy(*part).orderBy("_bin")
-    opened = bins.select(
-        *part, "_bin", F.coalesce(F.sum("_d").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_open"), F.lead("_next").over(by_bin).alias("_next")
-    )
+    before = by_bin.rowsBetween(Window.unboundedPreceding, -1)
+    opened = bins.select(*part, "_bin", *(F.coalesce(F.sum(f"_d_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counters), F.lead("_next").over(by_bin).alias("_next"))
     local = Window.partitionBy(*part, "_bin").orderBy("s")
     out = points.join(opened, [*part, "_bin"]).withColumn("e", F.coalesce(F.lead("s").over(local), F.col("_next")))
-    out = out.withColumn("depth", (F.col("_open") + F.sum("d").over(local.rowsBetween(Window.unboundedPreceding, 0))).cast("bigint"))
-    return out.filter("depth > 0 and e is not null").select(*part, "s", "e", "depth")
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    sums = [(F.col(f"_o_{c}") + F.sum(c).over(so_far)).cast("bigint").alias(c) for c in counters]
+    return out.select(*part, "s", "e", *sums).filter("e is not null")
+
+
+def coverage(df: DataFrame, part: Sequence[str] = ("chrom_id",), width: int = STRETCH) -> DataFrame:
+    """Depth of each elementary segment (s, e, depth), gaps left out: +1 and -1 events, summed up in order."""
+    events = df.select(*part, F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("v"))
+    segments = sweep(events.select(*part, "v.pos", F.col("v.d").alias("depth")), part, ["depth"], width)
+    return segments.filter("depth > 0").select(*part, "s", "e", "depth")
+
+
+def kept_stretches(marks: DataFrame, part: Sequence[str], by_reference: bool = False, width: int = STRETCH) -> DataFrame:
+    """Where nothing is discarded, something is kept and, by_reference, as many marks keep as are expected to (kind ref); without,
+    none is expected. marks: part, s, e, kind (keep, discard or ref) and lo, hi, the region that they are cut to. Stretches end
+    at the ends of marks; touching ones are left apart."""
+    kinds = ("keep", "discard", "ref")
+    cut = lambda c: F.least(F.greatest(F.col(c), F.col("lo")), F.col("hi"))
+    ends = F.array(F.struct(cut("s").alias("pos"), F.lit(1).alias("d")), F.struct(cut("e").alias("pos"), F.lit(-1).alias("d")))
+    events = marks.filter("s <= e").select(*part, "kind", F.explode(ends).alias("v"))
+    events = events.select(*part, "v.pos", *(F.when(F.col("kind") == k, F.col("v.d")).otherwise(0).alias(k) for k in kinds))
+    expected = F.col("keep") if by_reference else F.lit(0)
+    return sweep(events, part, kinds, width).filter((F.col("discard") == 0) & (F.col("keep") > 0) & (F.col("ref") == expected)).select(*part, "s", "e")
 
 
 def disjoint_regions(df: DataFrame, id_col: str, part: Sequence[str] = ("chrom_id",), width: int = BIN) -> DataFrame:

@@ -5,9 +5,10 @@ words, the one of greatest probability under the word counts of the pages' own t
 split once; which words it holds is a join, so that no vocabulary is cut off or sent around.
 
 The classifier counts the words of hosts and of paths as different tokens, hashed into BUCKETS. No table labels
-urls: training starts from the pages that hold a seed word, and expectation maximization then gives every other
-page the class that its words make likely, so that words that keep the seeds' company tell too. Seeds are words
-like any other to the model. Urls that differ in digits only are one row of all this, with their number of pages.
+urls: the first fit takes the pages that hold a seed word as ones to block, and learns them by their other words alone. From
+then on expectation maximization gives every page, with or without a seed, the class that its words make likely; seeds are
+words like any other, which tell something only as far as they keep such company. A verdict is the model's, never the
+list's. Urls that differ in digits only are one row of all this, with their number of pages.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ MAX_RULES = 1_000
 BUCKETS = 1 << 18
 SMOOTHING = 0.1
 ROUNDS = 2  # of expectation maximization after the first fit
-TRUST = 0.99  # probability that a page with a seed is one to block
+TRUST = 0.99  # probability in the first fit that a page with a seed is one to block
+OFTEN = 1_000  # a token in over 1 of so many urls is joined where the urls lie
 SEED_SHARE = 1_000  # each seed word counts as one in so many words of the pages at least
 NUMBER = "<number>"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -117,15 +119,20 @@ def split_tokens(tokens: DataFrame, counts: DataFrame) -> DataFrame:
 
 def with_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds words (array<string>) to different rows (host, path, ...): h:word for hosts, p:word for paths. Runs of
-    letters are split, digits are NUMBER."""
+    letters are split (one letter is a word as it is), digits are NUMBER."""
     runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
     kind = lambda k, c: F.transform(runs(F.col(c)), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("token")))
     each = urls.select("host", "path", F.explode(F.concat(kind("h:", "host"), kind("p:", "path"))).alias("t")).select("host", "path", "t.*")
-    letters = each.filter(F.col("token").rlike(r"^\p{L}"))
-    split = materialize(split_tokens(letters.select("token").distinct(), counts), "tokens")
-    named = letters.join(split, "token").select("host", "path", F.transform("words", lambda w: F.concat("kind", w)).alias("words"))
-    numbers = each.filter(~F.col("token").rlike(r"^\p{L}")).select("host", "path", F.array(F.concat("kind", F.lit(NUMBER))).alias("words"))
-    found = named.union(numbers).groupBy("host", "path").agg(F.flatten(F.collect_list("words")).alias("words"))
+    letters = each.filter(F.col("token").rlike(r"^\p{L}{2}"))
+    tokens = materialize(letters.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "url-tokens")
+    most = int(tokens.agg(F.sum("n")).first()[0] or 0) // OFTEN
+    split = materialize(split_tokens(tokens, counts).join(tokens, "token"), "tokens")
+    often = letters.join(F.broadcast(split.filter(F.col("n") > most)), "token")  # fewer than OFTEN tokens
+    seldom = letters.join(F.broadcast(tokens.filter(F.col("n") > most).select("token")), "token", "left_anti").join(split, "token")
+    named = often.unionByName(seldom).select("host", "path", F.transform("words", lambda w: F.concat("kind", w)).alias("words"))
+    short = F.when(F.col("token").rlike(r"^\p{L}"), F.col("token")).otherwise(F.lit(NUMBER))
+    others = each.filter(~F.col("token").rlike(r"^\p{L}{2}")).select("host", "path", F.array(F.concat("kind", short)).alias("words"))
+    found = named.union(others).groupBy("host", "path").agg(F.flatten(F.collect_list("words")).alias("words"))
     return urls.join(found, ["host", "path"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
@@ -139,20 +146,21 @@ def log_odds(counts: np.ndarray, pages: np.ndarray) -> tuple[float, np.ndarray]:
     without pages: even odds."""
     if not pages.min() > 0:
         return 0.0, np.zeros(BUCKETS)
-    used = np.count_nonzero(counts.sum(axis=0)) + 1
-    allow, block = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * used)
-    return float(np.log(pages[1]) - np.log(pages[0])), block - allow
+    met = counts.sum(axis=0) > 0  # other words tell nothing
+    allow, block = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * (np.count_nonzero(met) + 1))
+    return float(np.log(pages[1]) - np.log(pages[0])), np.where(met, block - allow, 0.0)
 
 
-def _summed(words: DataFrame, weight) -> tuple[np.ndarray, np.ndarray]:
-    """Soft counts of tokens and pages by class; weight(ids of a url's tokens, seeded): its probability to be blocked."""
+def _summed(words: DataFrame, weight, masked: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Soft counts of tokens and pages by class; weight(ids of a url's tokens, seeded): its probability to be blocked. Words of
+    `masked` don't count in urls that hold one."""
     schema = pa.schema([("at", pa.int32()), ("allow", pa.float64()), ("block", pa.float64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + 1))  # the last place: pages
         for part in slices(batches):
             for ws, seeded, n in zip(*(part.column(c).to_pylist() for c in ("words", "seeded", "n"))):
-                ids = np.array([*map(bucket, ws), BUCKETS], np.int64)
+                ids = np.array([*(bucket(w) for w in ws if w[2:] not in masked), BUCKETS], np.int64)
                 p = weight(ids[:-1], seeded)
                 np.add.at(sums[1], ids, n * p)
                 np.add.at(sums[0], ids, n * (1 - p))
@@ -166,15 +174,15 @@ def _summed(words: DataFrame, weight) -> tuple[np.ndarray, np.ndarray]:
     return total[:, :BUCKETS], total[:, BUCKETS]
 
 
-def fit_bayes(words: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """words: words, seeded and n (pages) by url. At first all pages without a seed are allowed; each round of
-    expectation maximization gives them the probability that the model so far has for them."""
-    prior, odds = log_odds(*_summed(words, lambda ids, seeded: TRUST if seeded else 0.0))
+def fit_bayes(words: DataFrame, rounds: int = ROUNDS, seeds: tuple[str, ...] = SEEDS) -> tuple[float, np.ndarray]:
+    """words: words, seeded and n (pages) by url. The first fit allows all pages without a seed and sees no seed word; each
+    round of expectation maximization then gives every page, seeded or not, the probability that the model so far has for it."""
+    prior, odds = log_odds(*_summed(words, lambda ids, seeded: TRUST if seeded else 0.0, frozenset(seeds)))
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast((prior, odds))  # BUCKETS doubles
 
         def likely(ids: np.ndarray, seeded: bool, sent=sent) -> float:
-            return TRUST if seeded else 1 / (1 + math.exp(-min(max(sent.value[0] + sent.value[1][ids].sum(), -30), 30)))
+            return 1 / (1 + math.exp(-min(max(sent.value[0] + sent.value[1][ids].sum(), -30), 30)))
 
         prior, odds = log_odds(*_summed(words, likely))
     return prior, odds
@@ -198,13 +206,14 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, see
     Nulls: a null url has an empty host and path (verdict by the prior), a null html has no words, a null
     page_id is carried along. Repeated rows each get their row. Tokens of any length are searched whole. Other
     columns are not read. Empty table: empty result. Rules win over the classifier, which blocks where its log
-    odds are above zero; with no page of either class it allows all.
+    odds are above zero (a tie at zero is allowed); with no page of either class it allows all. Ties of the longest rule can't
+    be: rules that fit one url and are equally long are equal.
     """
     host, path = url_parts(F.col("url").cast("string"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     alike = lambda c: F.regexp_replace(F.lower(F.col(c)), r"\p{N}+", "0")
     words = materialize(url_words(parts.select(alike("host").alias("host"), alike("path").alias("path")), pages, seeds), "url_words")
-    prior, odds = fit_bayes(words)
+    prior, odds = fit_bayes(words, seeds=seeds)
     sent = pages.sparkSession.sparkContext.broadcast(odds)
     schema = pa.schema([("_host", pa.string()), ("_path", pa.string()), ("log_odds", pa.float64())])
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .alignment import align, parse, text
 from .grouped import map_groups
 from .intervals import kept_stretches, merge_overlapping, overlap_join, with_islands
@@ -232,14 +233,14 @@ def pooled_records(haps: DataFrame, lifted: DataFrame, copies: DataFrame) -> Dat
     """haps: copy_id, sample_id, hap, edits (every haplotype). Records of differences that overlap: locus, s, e, alleles (copy
     1's first), and of each sample gt (allele numbers by copy and haplotype) and cn (haplotypes of each copy, by copy_id), over
     the copies that lie there."""
-    places = with_islands(lifted.select("locus", "s", "e").distinct(), ["locus"], "record", 0)
+    places = written(with_islands(lifted.select("locus", "s", "e").distinct(), ["locus"], "record", 0), "record-places")
     spans = places.groupBy("locus", "record").agg(F.min("s").alias("rs"), F.max("e").alias("re"))
     first = copies.groupBy("locus").agg(F.min_by("seq1", "copy_id").alias("seq1"), F.min_by("s1", "copy_id").alias("s1"))
     spans = spans.join(first, "locus").select("locus", "record", "rs", "re", F.expr("substring(seq1, cast(rs - s1 + 1 as int), cast(re - rs as int))").alias("ref"))
     # an allele is the reference with a haplotype's differences put in; done once for each haplotype that is different
     own = lifted.join(places, ["locus", "s", "e"]).groupBy("locus", "record", "copy_id", "edits").agg(F.array_sort(F.collect_list(F.struct("s", "e", "alt"))).alias("d")).join(spans, ["locus", "record"])
     tail = lambda acc: F.substring(F.col("ref"), (acc["at"] - F.col("rs") + 1).cast("int"), F.length("ref"))
-    step = lambda acc, x: F.struct((F.concat(acc["t"], F.substring(F.col("ref"), (acc["at"] - F.col("rs") + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), x["alt"])).alias("t"), x["e"].alias("at"))
+    step = lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("ref"), (acc["at"] - F.col("rs") + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), x["alt"]).alias("t"), x["e"].alias("at"))
     allele = F.aggregate("d", F.struct(F.lit("").alias("t"), F.col("rs").alias("at")), step, lambda acc: F.concat(acc["t"], tail(acc)))
     own = own.withColumn("allele", allele).select("locus", "record", "copy_id", "edits", "allele", "ref")
     alleles = own.groupBy("locus", "record").agg(F.first("ref").alias("ref"), F.array_sort(F.collect_set("allele")).alias("a"))
@@ -284,14 +285,14 @@ def pool_variants(records: DataFrame, calls: DataFrame, copies: DataFrame, sampl
 
     variants: pooled_records(). regions: result_regions(). A sample without records in a copy has PLOIDY haplotypes like the
     copy itself; one whose genotypes in a copy are missing or of different sizes is an error."""
-    placed = accepted_records(records_in_copies(records, copies, limits))
+    placed = written(accepted_records(written(records_in_copies(records, copies, limits), "records-in-copies")), "placed-records")
     called = placed.join(calls, "variant_id")
-    made = sample_haplotypes(called, distance)
+    made = written(sample_haplotypes(called, distance), "sample-haplotypes")
     with_records = made.filter("hap is not null").select("copy_id", "sample_id", "hap", "edits")
     others = copies.select("copy_id").crossJoin(samples.select("sample_id").distinct()).join(with_records.select("copy_id", "sample_id").distinct(), ["copy_id", "sample_id"], "left_anti")
     plain = others.select("copy_id", "sample_id", F.explode(F.sequence(F.lit(0), F.lit(PLOIDY - 1))).alias("hap"), F.lit("").alias("edits"))
     haps = with_records.unionByName(plain)
-    lifted = lifted_edits(haps.select("copy_id", "edits").distinct(), copies)
+    lifted = written(lifted_edits(haps.select("copy_id", "edits").distinct(), copies), "lifted-edits")
     marks = placed.filter("mark_s is not null").select("copy_id", F.col("mark_s").alias("s"), F.col("mark_e").alias("e"))
     marks = marks.unionByName(made.filter("mark_s is not null").select("copy_id", F.col("mark_s").alias("s"), F.col("mark_e").alias("e")))
     return {"variants": pooled_records(haps, lifted, copies), "regions": result_regions(marks, copies, limits)}

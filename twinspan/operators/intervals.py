@@ -72,13 +72,11 @@ def with_level(df: DataFrame, width: int = BIN) -> DataFrame:
     return df.withColumn("_level", level)
 
 
-def _levels(df: DataFrame, width: int) -> Column:
-    """The levels that a table's intervals have, as bits of one number."""
-    return F.coalesce(with_level(df.select("s", "e"), width).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_level")))).scalar(), F.lit(0))
-
-
-def _has(levels: Column, k: Column) -> Column:
-    return levels.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0
+def _levels(a: DataFrame, b: DataFrame, width: int) -> tuple[list[int], list[int]]:
+    """The levels that two tables' intervals have: one pass over their ends, a few numbers to the driver."""
+    sides = [with_level(df.select("s", "e"), width).agg(F.array_sort(F.collect_set("_level")).alias("k")).select("k", F.lit(i).alias("i")) for i, df in enumerate((a, b))]
+    found = {r["i"]: r["k"] for r in sides[0].union(sides[1]).collect()}
+    return found[0], found[1]
 
 
 def _in_bins(df: DataFrame, width: int, places: Column) -> DataFrame:
@@ -89,30 +87,41 @@ def _in_bins(df: DataFrame, width: int, places: Column) -> DataFrame:
     return rows.withColumn("_key", (F.col("_bin") * LEVELS + F.col("_p.k")) * 2 + F.col("_p.r")).drop("_p", "_level")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, residual: Column | None = None) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, residual: Column | None = None, longest: int | None = None) -> DataFrame:
     """All pairs that overlap: a's columns as they are, b's with a `b_` in front (contig and ends of both named
     chrom_id, s, e). residual: a further condition over both.
 
     A pair meets at the coarser of its two levels: there the longer one waits in its own bins, and the shorter one, which
-    touches at most two bins of any coarser level, comes by. It visits only levels that the other table has, which is all
-    that is known of it beforehand (one number). Role 0: a waits, b comes, at equal levels too; role 1: b waits."""
-    levels_a, levels_b = _levels(a, width), _levels(b, width)
-    levels, place = F.array(*map(F.lit, range(LEVELS))), lambda k, role: F.struct(k.alias("k"), F.lit(role).alias("r"))
+    touches at most two bins of any coarser level, comes by. It visits only levels that the other table has; for that their
+    ends are looked through once, unless the caller says how long intervals are at most (longer ones are found, too, in
+    more bins). Role 0: a waits, b comes, at equal levels too; role 1: b waits."""
+    if longest is None:
+        levels_a, levels_b = _levels(a, b, width)
+    else:
+        levels_a = levels_b = [k for k in range(LEVELS) if not k or width * FAN ** (k - 1) < longest]
+    top = levels_a[-1:] + levels_b[-1:]
+    level = with_level if longest is None else lambda df, width: with_level(df, width).withColumn("_level", F.least(F.lit(max(top)), "_level"))
+    place = lambda k, role: F.struct(k.alias("k"), F.lit(role).alias("r"))
+
+    def at(levels: list[int], role: int, wanted) -> Column:
+        return F.transform(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), wanted), lambda k: place(k, role))
+
     own = F.col("_level")
-    comes_a = F.transform(F.filter(levels, lambda k: (k > F.col("_level")) & _has(F.col("_other"), k)), lambda k: place(k, 1))
-    comes_b = F.transform(F.filter(levels, lambda k: (k >= F.col("_level")) & _has(F.col("_other"), k)), lambda k: place(k, 0))
-    lower = F.exists(levels, lambda k: (k < F.col("_level")) & _has(F.col("_other"), k))
-    left = _in_bins(with_level(a, width).withColumn("_other", levels_b), width, F.concat(F.array(place(own, 0)), comes_a)).drop("_other")
-    right = _in_bins(with_level(b, width).withColumn("_other", levels_a), width, F.concat(comes_b, F.when(lower, F.array(place(own, 1))).otherwise(F.array().cast("array<struct<k:int,r:int>>"))))
+    to_a = F.array(place(own, 0))
+    left = _in_bins(level(a, width), width, F.concat(to_a, at(levels_b, 1, lambda k: k > own)) if levels_a and levels_b and levels_b[-1] > levels_a[0] else to_a)
+    to_b = at(levels_a, 0, lambda k: k >= own)
+    if levels_a and levels_b and levels_b[-1] > levels_a[0]:
+        to_b = F.concat(to_b, F.when(own > levels_a[0], F.array(place(own, 1))).otherwise(F.array().cast("array<struct<k:int,r:int>>")))
+    right = _in_bins(level(b, width), width, to_b)
     right = right.select([F.col(c).alias(f"b_{c}") for c in [*b.columns, "_key"]])
     first = F.greatest(F.floor(F.col("s") / F.col("_w")), F.floor(F.col("b_s") / F.col("_w")))
     on = (F.col("chrom_id") == F.col("b_chrom_id")) & (F.col("_key") == F.col("b__key")) & (F.col("s") < F.col("b_e")) & (F.col("b_s") < F.col("e")) & (F.col("_bin") == first)
     return left.join(right, on if residual is None else on & residual).drop("_bin", "_key", "_w", "b__key")
 
 
-def containment_join(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
+def containment_join(a: DataFrame, b: DataFrame, width: int = BIN, longest: int | None = None) -> DataFrame:
     """Pairs where b lies inside a."""
-    return overlap_join(a, b, width, (F.col("b_s") >= F.col("s")) & (F.col("b_e") <= F.col("e")))
+    return overlap_join(a, b, width, (F.col("b_s") >= F.col("s")) & (F.col("b_e") <= F.col("e")), longest)
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, ids: Sequence[str], width: int = BIN, anti: bool = False) -> DataFrame:

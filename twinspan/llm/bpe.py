@@ -67,7 +67,8 @@ class BytePairIds:
 
     def counts(self, tokens: list[str]) -> list[int]:
         """How many ids each pre-token has."""
-        return self.sizes[self.slots(tokens)].tolist() if tokens else []
+        slots = self.slots(tokens)
+        return self.sizes[slots].tolist()
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""

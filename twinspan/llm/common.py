@@ -43,11 +43,11 @@ def _path(spark: SparkSession, path: str):
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, so a lost
     executor never repeats what came before. The table goes when the application ends. narrow: rows of some
-    numbers, which many tasks make few of; they are gathered in a 16th of the shuffle partitions, as a file each
-    would be thousands of tiny ones."""
+    numbers, which many tasks make few of; adaptive execution deals them to files by their bytes, as a file each
+    would be thousands of tiny ones. Where few bytes make much work, the reader deals them out again (spread())."""
     spark = df.sparkSession
     if narrow:
-        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/twinspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, p = _path(spark, path)
@@ -58,6 +58,11 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, n_rows: int, *keys: str, rows: int = 100_000) -> DataFrame:
+    """The rows of a small table over as many tasks as its work is worth: one for each `rows`, and all of the shuffle's at least."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // rows)), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by materialize() which nothing reads any more."""
     _delete(df.sparkSession, [df._twinspan_path])

@@ -21,10 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from .bpe import PATTERN, byte_pair_ids
 from .common import batch_of, slices, table
-from .packing import PATTERN, token_ids
 
 SEGMENT = 64  # pre-tokens in a segment; it may grow to twice as many
 REACH = 2  # characters behind a match that it may depend on
@@ -33,27 +32,21 @@ _MATCH = regex.compile(PATTERN)
 
 
 class Counter:
-    """Tokens of a pre-token; the last some 100,000 different ones are remembered."""
+    """Tokens of pre-tokens; the library encodes each different one when it is first met (bpe.BytePairIds)."""
 
     def __init__(self, path: str):
-        fast = token_ids(path).fast
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
-        self.count = (lambda t: len(fast.encode_ordinary(t))) if fast else (lambda t: len(plain.encode(t, add_special_tokens=False).ids))
+        self.ids = byte_pair_ids(path)
         self.known: dict[str, int] = {}
 
     def __call__(self, tokens: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for t in tokens:
-            n = known.get(t)
-            if n is None:
-                n = self.count(t)
-                if len(t) < 64:
-                    known[t] = n
-            out.append(n)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out = list(map(self.known.get, tokens))
+        if None in out:
+            new = list(dict.fromkeys(t for t, n in zip(tokens, out) if n is None))
+            counted = dict(zip(new, self.ids.counts(new)))
+            self.known.update((t, n) for t, n in counted.items() if len(t) < 64)
+            out = [counted[t] if n is None else n for t, n in zip(tokens, out)]
         return out
 
 
@@ -248,7 +241,7 @@ def count_edits(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     Nulls: a null text is empty, a null array has no edits, a null edit is skipped, null fields are 0 and
     empty; a null id is carried along. Positions outside the text are moved to its nearest end. Very long
-    texts cost memory in proportion to the one text. Repeated rows each get their row; other columns are not
+    texts cost memory in proportion to the one text. Of edits at one place the earlier one comes first. Repeated rows each get their row; other columns are not
     read; an empty table gives an empty result.
     """
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, slices, table
+from .common import batch_of, materialize, slices, spread, table
 from .components import connected_components
 
 SEED = 42
@@ -271,7 +271,7 @@ def near_groups(fps: DataFrame, most: int = MAX_GROUP) -> DataFrame:
     by a third of all rows costs one row from there on. A key with over `most` fingerprints isn't held by one task:
     its members are compared again by pairs of blocks."""
     one = materialize(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "fingerprints", narrow=True)
-    keys = one.select("id", "fp").mapInArrow(_keys, "key long, fp long, id long")
+    keys = spread(one.select("id", "fp"), one.count(), "fp").mapInArrow(_keys, "key long, fp long, id long")
     kinds = "a long, b long, size long"
     found = materialize(grouped(keys).mapInArrow(lambda b: _links(b, most), kinds), "links", narrow=True)
     edges = found.filter("size is null").select("a", "b")

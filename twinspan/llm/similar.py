@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, discard, materialize, slices
+from .common import batch_of, discard, materialize, slices, spread
 from .components import connected_components
 from .simhash import MAX_GROUP, _walk, bit_counts, grouped, key_groups, pairs_of_small, segment_keys
 
@@ -215,7 +215,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = materialize(texts.mapInArrow(_sketches(width), "id long, t long, own long, fps array<long>"), "sketches", narrow=True)
     one = made.groupBy("own").agg(F.min_by(F.struct("id", "t", "fps"), F.struct("id", "t")).alias("s"))
     one = materialize(one.select("own", F.monotonically_increasing_id().alias("node"), "s.*"), "sets")  # ids are given once, as the table is written
-    keys = one.select("node", "fps").mapInArrow(_keys, "key long, id long, fp long")
+    keys = spread(one.select("node", "fps"), one.count(), "node", rows=50_000).mapInArrow(_keys, "key long, id long, fp long")
     found = materialize(grouped(keys).mapInArrow(_candidates, "a long, b long, many boolean"), "candidates", narrow=True)
     cluster = materialize(connected_components(found.filter("many").select("a", "b")), "clusters", narrow=True)
     inside = lambda n: cluster.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))

@@ -378,13 +378,6 @@ def test_alignments_are_stitched():
         assert len(segments) == 2 and (segments[1][0] == 5 or (top.replace("-", ""), bottom.replace("-", "")) == (a, b))
 
 
-def test_totals_are_refined():
-    f, counts = np.full((4, 2), 0.99), np.zeros((4, 2, 2))
-    counts[:, 0], counts[:, 1] = (200, 100), (150, 150)
-    post = pl.refine_totals(counts, np.log(np.full((2, 4), 0.25)), f, np.ones(4, bool), np.ones(4))
-    assert post[0].argmax() == 2 and np.allclose(np.exp(post).sum(axis=1), 1)
-
-
 def test_copy_numbers_of_variants_and_unique_regions(spark):
     v = spark.createDataFrame([(1, 0, 5, 6), (2, 0, 9, 11), (3, 0, 50, 51)], "variant_id long, chrom_id long, s long, e long")
     p = spark.createDataFrame([(7, 0, 0, 10, 2), (7, 0, 10, 20, 3)], "sample_id long, chrom_id long, s long, e long, cn long")

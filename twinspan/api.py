@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.expressions import compile_expression
-from .operators import alignment, calling, chain, cigars, copynumber, depth, homology, intervals, paralog, relational, selfalign, variants
+from .operators import alignment, calling, chain, cigars, copynumber, depth, haplotypes, homology, intervals, paralog, relational, segments, selfalign, variants
 from .sources import models
 
 
@@ -117,6 +117,17 @@ def copy_number_using(window_depths: DataFrame, multipliers: DataFrame, config:
     return copynumber.copy_number_profiles(scaled, replace(config, least_samples=1 << 30), ("locus",), reference_cn)
 
 
+def paralog_segments(window_depths: DataFrame, psvs: DataFrame, forced: DataFrame | None = None, hmm: copynumber.HmmConfig = copynumber.HmmConfig(), config: segments.SegmentConfig = segments.SegmentConfig(), reference_cn: int = 4) -> DataFrame:
+    """The whole of `cn`: runs of one aggregate number, forced by hand or refined by their variants, linked and split up over the
+    copies. window_depths with region_ix, ws and we; see operators.segments."""
+    return segments.paralog_segments(copynumber.segment_copy_numbers(window_depths, hmm, ("locus",), reference_cn), psvs, forced, config)
+
+
+def pool_vcf(records: DataFrame, calls: DataFrame, copies: DataFrame, samples: DataFrame, limits: DataFrame | None = None, unphased_distance: int = 500) -> dict[str, DataFrame]:
+    """Records of all copies on copy 1 by way of haplotypes, and the regions in which they hold: see operators.haplotypes."""
+    return haplotypes.pool_variants(records, calls, copies, samples, limits, unphased_distance)
+
+
 def paralog_copy_number(allele_counts: DataFrame) -> DataFrame:
     return paralog.paralog_copy_numbers(allele_counts)
 

@@ -58,9 +58,8 @@ def emissions(depth: np.ndarray, nb_n: np.ndarray, nb_p: np.ndarray, multiplier:
     return e - np_logsumexp(e, axis=2)[:, :, None]
 
 
-def forward_backward(e: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """One sample: ln posteriors (windows, states), expected ln transition mass (windows - 1, states, states), and
-    the ln likelihood."""
+def passes(e: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One sample: ln of what leads to each state of each window (its emission included), of what follows, and of all."""
     t, n = e.shape
     alpha, beta = np.empty((t, n)), np.zeros((t, n))
     alpha[0] = start + e[0]
@@ -68,11 +67,33 @@ def forward_backward(e: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[n
         alpha[i] = e[i] + np_logsumexp(alpha[i - 1][:, None] + a[i - 1], axis=0)
     for i in range(t - 2, -1, -1):
         beta[i] = np_logsumexp(a[i] + (e[i + 1] + beta[i + 1])[None, :], axis=1)
-    total = np_logsumexp(alpha[-1])
+    return alpha, beta, np_logsumexp(alpha[-1])
+
+
+def forward_backward(e: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One sample: ln posteriors (windows, states), expected ln transition mass (windows - 1, states, states), and
+    the ln likelihood."""
+    alpha, beta, total = passes(e, a, start)
     xi = alpha[:-1, :, None] + a + (e[1:] + beta[1:])[:, None, :] - total
     return alpha + beta - total, xi, total
 
 
+def segment_posteriors(e: np.ndarray, a: np.ndarray, start: np.ndarray, segments: list[tuple[int, int, int]], reach: int = 2) -> list[list[tuple[int, float]]]:
+    """For each (first window, window behind, state): ln P that the chain stays in a state all through the segment, for the
+    states up to `reach` beside its own, normalized over these, the own one first. What leads to the segment and what follows is summed up
+    over all paths."""
+    alpha, beta, _ = passes(e, a, start)
+    n = e.shape[1]
+    k = np.arange(n)
+    stays = np.vstack([np.zeros(n), np.cumsum(a[:, k, k] + e[1:], axis=0)])  # from window 0 on
+    out = []
+    for i, j, own in segments:
+        states = [own, *(c for c in range(max(0, own - reach), min(n, own + reach + 1)) if c != own)]
+        logs = alpha[i, states] + stays[j - 1, states] - stays[i, states] + beta[j - 1, states]
+        out.append(list(zip(states, (logs - np_logsumexp(logs)).tolist())))
+    return out
+
+
 def viterbi(e: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Best path; of equal ways the lowest previous state."""
     t, n = e.shape
@@ -146,6 +167,37 @@ def fit_group(depth: np.ndarray, nb_n: np.ndarray, nb_p: np.ndarray, config: Hmm
     return {"gamma": gamma, "paths": np.array([viterbi(e[s], a, start) for s in range(samples)]), "multiplier": multiplier, "up": up, "down": down, "history": history, "e": e, "a": a, "start": start}
 
 
+def fitted(rows: pd.DataFrame, config: HmmConfig, reference_cn: int) -> tuple[pd.DataFrame, dict]:
+    """The grid of depths (samples, windows) of a group's rows, and its fit."""
+    grid = {c: rows.pivot_table(index="sample_id", columns="window_ix", values=c, aggfunc="mean").sort_index() for c in ("depth", "nb_n", "nb_p")}
+    depth = grid["depth"].fillna(0)
+    nb_n, nb_p = (grid[c].fillna(rows[c].mean()).to_numpy() for c in ("nb_n", "nb_p"))
+    return depth, fit_group(depth.to_numpy().round(), nb_n, nb_p, config, reference_cn)
+
+
+def segment_copy_numbers(depths: DataFrame, config: HmmConfig = HmmConfig(), by: tuple[str, ...] = ("locus",), reference_cn: int = 4, reach: int = 2) -> DataFrame:
+    """Runs of one copy number on each sample's best path, which also end where windows change their const region. depths as in
+    copy_number_profiles(), with region_ix, ws and we of the windows. Per run: segment, region_ix, s, e, cn, cn_qual (Phred of all
+    other probable numbers) and probable (cn, ln_p), the run's own first."""
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in depths.schema if f.name in by)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        depth, m = fitted(rows, config, reference_cn)
+        place = rows.groupby("window_ix")[["region_ix", "ws", "we"]].min().reindex(depth.columns)
+        out = []
+        for k, sample in enumerate(depth.index):
+            path, region = m["paths"][k], place["region_ix"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(path) != 0) | (np.diff(region) != 0)) + 1).tolist(), len(path)]
+            runs = [(i, j, int(path[i])) for i, j in zip(cuts, cuts[1:])]
+            for n, ((i, j, state), probable) in enumerate(zip(runs, segment_posteriors(m["e"][k], m["a"], m["start"], runs, reach))):
+                others = [p for _, p in probable[1:]]
+                qual = min(1000.0, -10 / np.log(10) * float(np_logsumexp(np.array(others)))) if others else 1000.0
+                out.append((*(rows[c].iloc[0] for c in by), sample, n, region[i], place["ws"].iloc[i], place["we"].iloc[j - 1], state, max(qual, 0.0), [{"cn": c, "ln_p": p} for c, p in probable]))
+        return pd.DataFrame(out, columns=[*by, "sample_id", "segment", "region_ix", "s", "e", "cn", "cn_qual", "probable"])
+
+    return depths.groupBy(*by).applyInPandas(fit, f"{keys}, sample_id bigint, segment bigint, region_ix bigint, s bigint, e bigint, cn bigint, cn_qual double, probable array<struct<cn:bigint,ln_p:double>>")
+
+
 def copy_number_profiles(depths: DataFrame, config: HmmConfig = HmmConfig(), by: tuple[str, ...] = ("locus",), reference_cn: int = 4) -> DataFrame:
     """depths: the keys, sample_id, window_ix, depth, nb_n, nb_p (of one copy). Returns per sample and window:
     cn (Viterbi), cn_qual (Phred of the posterior of that state), second_cn, multiplier, path (run lengths).
@@ -154,10 +206,7 @@ def copy_number_profiles(depths: DataFrame, config: HmmConfig = HmmConfig(), by:
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in depths.schema if f.name in by)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = {c: rows.pivot_table(index="sample_id", columns="window_ix", values=c, aggfunc="mean").sort_index() for c in ("depth", "nb_n", "nb_p")}
-        depth = grid["depth"].fillna(0)
-        nb_n, nb_p = (grid[c].fillna(rows[c].mean()).to_numpy() for c in ("nb_n", "nb_p"))
-        m = fit_group(depth.to_numpy().round(), nb_n, nb_p, config, reference_cn)
+        depth, m = fitted(rows, config, reference_cn)
         s, w = m["paths"].shape
         posterior = np.take_along_axis(m["gamma"], m["paths"][:, :, None], 2)[:, :, 0]
         others = m["gamma"].copy()

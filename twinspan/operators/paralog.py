@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -246,21 +245,3 @@ def gene_conversions(logs: np.ndarray, main: int, stay: float = 0.99, least: int
     path.reverse()
     cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
     return [(s, e, path[s]) for s, e in zip(cuts, cuts[1:]) if path[s] != main and e - s >= least]
-
-
-def all_splits(totals: list[int], copies: int) -> list[tuple[tuple[int, ...], ...]]:
-    """Combinations of splits over several region groups, for joint priors."""
-    return list(product(*(copy_tuples(t, copies) for t in totals)))
-
-
-def refine_totals(counts: np.ndarray, priors: np.ndarray, f: np.ndarray, use: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """ln posteriors of total copy numbers 1.. of each sample: priors (samples, totals) from windows, and the support of
-    each total's best splits by the variants in use, weighted as a neighbourhood's share."""
-    out = np.array(priors, float)
-    for t in range(out.shape[1]):
-        tuples = copy_tuples(t + 1, f.shape[1])
-        logs = np.tile(split_priors(tuples), (len(out), 1))
-        for v in np.flatnonzero(use):
-            logs = logs + weights[v] * psv_support(counts[v, :, 0], counts[v, :, 1], tuples, f[v])
-        out[:, t] += np_logsumexp(logs, axis=1)
-    return out - np_logsumexp(out, axis=1)[:, None]

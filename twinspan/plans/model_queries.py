@@ -62,7 +62,7 @@ def pretable_hits(spark, d) -> DataFrame:
 @query()
 def m01_combined_table(spark, d) -> DataFrame:
     """The homology table: overlapping duplications joined along their graph."""
-    return hm.combine(rel.one_of_each(hits(spark, d).filter("similarity >= 0.97"), "hit_id"))
+    return hm.combine(rel.one_of_each(hits(spark, d).filter("similarity >= 0.96"), "hit_id"))
 
 
 @query()

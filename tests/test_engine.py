@@ -16,6 +16,7 @@ from twinspan.operators import cigars as cg
 from twinspan.operators import copynumber as cn
 from twinspan.operators import depth as dp
 from twinspan.operators import genotypes as gt
+from twinspan.operators import grouped as gr
 from twinspan.operators import homology as hm
 from twinspan.operators import intervals as iv
 from twinspan.operators import paralog as pl
@@ -140,6 +141,35 @@ def test_overlap_join_of_all_lengths(spark):
     assert iv.overlap_join(A, B.limit(0)).count() == 0 and iv.overlap_join(A.limit(0), B).count() == 0
 
 
+def test_greedy_steps_against_plain_loops():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, least = rng.randrange(0, 40), rng.randrange(1, 6)
+        values = [rng.random() < 0.5 for _ in range(n)]
+        want = list(values)
+        while True:
+            cuts = [0, *(i for i in range(1, len(want)) if want[i] != want[i - 1]), len(want)]
+            short = next(((s, e) for s, e in zip(cuts, cuts[1:]) if e - s < least), None)
+            if short is None or len(cuts) <= 2:
+                break
+            want[short[0] : short[1]] = [not want[short[0]]] * (short[1] - short[0])
+        assert cn.smooth_short_runs(values, least) == want
+        near, apart, places, kept = gr.Spaced(least), gr.Apart(), [], []
+        for _ in range(n):
+            p = rng.randrange(60)
+            far = all(abs(p - q) >= least for q in places)
+            assert near.take(p) == far
+            places += [p] if far else []
+            s = rng.randrange(60)
+            e = s + rng.randrange(0, 9)
+            free = all(e <= x or s >= y for x, y in kept)
+            assert apart.take(s, e) == free
+            kept += [(s, e)] if free else []
+    many = gr.Spaced(3)
+    assert sum(many.take(rng.randrange(10**6)) for _ in range(100_000)) > 60_000
+    assert len(cn.smooth_short_runs([i % 3 == 0 for i in range(100_000)], 2)) == 100_000
+
+
 def test_alignment_tells_all_letters_apart():
     assert al.align("aΩb", "aЖb")[0] == "1=1X1=" and al.align("日本", "日本") == ("2=", 2)
 

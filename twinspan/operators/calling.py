@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.logmath import LN10, binomial_log_tail, fisher_exact, genotypes, np_logsumexp
-from .grouped import map_groups
+from .grouped import Apart, Spaced, map_groups
 from .intervals import overlap_join, with_islands, with_sessions
 
 MISSING_PENALTY, MATE_PENALTY = -4 * LN10, -5 * LN10
@@ -170,34 +170,28 @@ def variant_filters(depth: Column, strand_bias: Column, pair_bias: Column, agcn:
 
 def resolve_overlaps(variants: DataFrame, part: str = "chrom_id") -> DataFrame:
     """variants: variant_id, chrom_id, s, e, quality. Of overlapping ones the better stay: islands of overlapping
-    variants first, which are tiny, and then greedily inside each."""
+    variants first, and then greedily inside each, in n log n steps."""
     marked = with_islands(variants, [part], "_i", 0)
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
     i_s, i_e, i_q, i_id = (names.index(c) for c in ("s", "e", "quality", "variant_id"))
 
     def greedy(island: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
-        for r in sorted(island, key=lambda r: (-r[i_q], r[i_s], r[i_id])):
-            if all(r[i_e] <= k[i_s] or r[i_s] >= k[i_e] for k in kept):
-                kept.append(r)
-        return [r[: len(names)] for r in kept]
+        apart = Apart()
+        return [r[: len(names)] for r in sorted(island, key=lambda r: (-r[i_q], r[i_s], r[i_id])) if apart.take(r[i_s], r[i_e])]
 
     return map_groups(marked.select(*names, "_i"), [part, "_i"], ["s"], greedy, fields)
 
 
 def suppress_close(variants: DataFrame, radius: int = 100, part: str = "chrom_id") -> DataFrame:
     """variants: variant_id, chrom_id, s, info, is_snp. By information, single bases first, then by place; others
-    within the radius of one that stays go. Inside runs without a gap of the radius, which are short."""
+    within the radius of one that stays go. Inside runs without a gap of the radius, in n log n steps."""
     marked = with_sessions(variants, [part], "s", radius, "_i")
     names, fields = list(variants.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
     i_s, i_info, i_snp, i_id = (names.index(c) for c in ("s", "info", "is_snp", "variant_id"))
 
     def greedy(run: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
-        for r in sorted(run, key=lambda r: (-r[i_info], not r[i_snp], r[i_s], r[i_id])):
-            if all(abs(r[i_s] - k[i_s]) > radius for k in kept):
-                kept.append(r)
-        return [r[: len(names)] for r in kept]
+        near = Spaced(radius + 1)
+        return [r[: len(names)] for r in sorted(run, key=lambda r: (-r[i_info], not r[i_snp], r[i_s], r[i_id])) if near.take(r[i_s])]
 
     return map_groups(marked.select(*names, "_i"), [part, "_i"], ["s"], greedy, fields)
 

@@ -119,16 +119,6 @@ def run_length_text(path: np.ndarray) -> str:
     return ";".join(f"{path[s]}x{e - s}" for s, e in zip(cuts, cuts[1:]))
 
 
-def find_peaks(values: np.ndarray, least: float, distance: int) -> list[int]:
-    """Local maxima of at least this height, the higher first, none closer than distance to one before."""
-    inner = [i for i in range(len(values)) if values[i] >= least and (i == 0 or values[i] >= values[i - 1]) and (i + 1 == len(values) or values[i] > values[i + 1])]
-    out: list[int] = []
-    for i in sorted(inner, key=lambda i: (-values[i], i)):
-        if all(abs(i - j) >= distance for j in out):
-            out.append(i)
-    return sorted(out)
-
-
 def fit_group(depth: np.ndarray, nb_n: np.ndarray, nb_p: np.ndarray, config: HmmConfig, reference_cn: int = 4) -> dict:
     """Baum-Welch over all samples of a group: transition rates by window, start probabilities and multipliers.
 
@@ -231,14 +221,26 @@ def path_weights(profiles: DataFrame, by: tuple[str, ...] = ("locus",), least: f
 
 
 def smooth_short_runs(values: list[bool], least: int) -> list[bool]:
-    """Flips the first run shorter than `least` until there is none, or one run is left."""
-    out = list(values)
-    while True:
-        cuts = [0, *(i for i in range(1, len(out)) if out[i] != out[i - 1]), len(out)]
-        short = next(((s, e) for s, e in zip(cuts, cuts[1:]) if e - s < least), None)
-        if short is None or len(cuts) <= 2:
-            return out
-        out[short[0] : short[1]] = [not out[short[0]]] * (short[1] - short[0])
+    """Flips the first run shorter than `least` until there is none, or one run is left. Runs behind which all is settled are kept
+    on a list: a flipped one takes its neighbours in, and with one before it, which isn't short, neither is the whole."""
+    cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+    runs = [[values[s], e - s] for s, e in zip(cuts, cuts[1:]) if s < e]
+    done: list[list] = []
+    k = 0
+    while k < len(runs):
+        value, n = runs[k]
+        k += 1
+        while n < least and not done and k < len(runs):
+            value, n = runs[k][0], n + runs[k][1]
+            k += 1
+        if n < least and done:
+            done[-1][1] += n
+            if k < len(runs):
+                done[-1][1] += runs[k][1]
+                k += 1
+        else:
+            done.append([value, n])
+    return [v for v, n in done for _ in range(n)]
 
 
 def with_emissions(df: DataFrame, depth: str, nb_n: str, nb_p: str, n_states: int, out: str = "emissions") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lambdas import let
-from .grouped import map_groups
+from .grouped import Spaced, map_groups
 from .intervals import overlap_join, with_islands, with_sessions
 
 RELIABLE_COMPLETE, LEAST_INFO, FEW = 0.99, 0.9, 3
@@ -156,20 +156,19 @@ def best_of_copies(df: DataFrame, keys: Sequence[str], pscn_qual: str, agcn_qual
 # ------------------------------------------------------------------ ordered greedy steps
 def pick_peaks(df: DataFrame, key: str, order: str, value: str, least: float, distance: int) -> DataFrame:
     """Local maxima of each key, the higher first, none closer than distance to one that stays. Maxima are found with
-    lag and lead, so the greedy step only sees those."""
+    lag and lead, so the greedy step only sees those, and only a run of them without a gap of the distance at a time."""
     w = Window.partitionBy(key).orderBy(order)
     left, right = F.lag(value).over(w), F.lead(value).over(w)
     maxima = df.filter(F.lit(True)).withColumn("_l", left).withColumn("_r", right).filter((F.col(value) >= least) & (F.col("_l").isNull() | (F.col(value) >= F.col("_l"))) & (F.col("_r").isNull() | (F.col(value) > F.col("_r"))))
 
+    maxima = with_sessions(maxima.select(key, order, value), [key], order, distance - 1, "_run")
+
     def keep(rows: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
-        for r in sorted(rows, key=lambda r: (-r[2], r[1])):
-            if all(abs(r[1] - k[1]) >= distance for k in kept):
-                kept.append(r)
-        return sorted(kept, key=lambda r: r[1])
+        near = Spaced(distance)
+        return sorted((r[:3] for r in sorted(rows, key=lambda r: (-r[2], r[1])) if near.take(r[1])), key=lambda r: r[1])
 
     kinds = dict(df.dtypes)
-    return map_groups(maxima.select(key, order, value), [key], [order], keep, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}")
+    return map_groups(maxima.select(key, order, value, "_run"), [key, "_run"], [order], keep, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}")
 
 
 def read_clusters(df: DataFrame, key: str, pos: str, max_gap: int, max_span: int, padding: int) -> DataFrame:

@@ -378,6 +378,26 @@ def test_copy_genotypes_and_reads():
     assert ca.keep_consistent(4, {(0, 1), (2, 3)}, [1.0, 0.5, 0.9, 0.8]) == [0, 2] and ca.extended_copies([2, None, None], 5) == [2, 3]
 
 
+def test_dealt_genotypes_are_all_multisets():
+    for counts, copies in (((3, 1), (2, 2)), ((4, 4, 4), (4, 4, 4)), ((2, 1, 1), (1, 2, 1)), ((5, 0), (2, 3)), ((6, 6), (4, 4, 2, 2))):
+        dealt = ca.copy_genotypes(counts, copies)
+        assert len(set(dealt)) == len(dealt) and all(tuple(map(len, g)) == copies for g in dealt)
+        assert all([sum(own.count(a) for own in g) for a in range(len(counts))] == list(counts) for g in dealt)
+        total = math.factorial(sum(counts)) // math.prod(map(math.factorial, counts))
+        assert sum(map(ca.arrangements, dealt)) == total
+    assert set(ca.copy_genotypes((2, 1, 1), (1, 2, 1))) == {tuple((tuple(sorted(p[a:b])) for a, b in ((0, 1), (1, 3), (3, 4)))) for p in itertools.permutations((0, 0, 1, 2))}
+    assert ca.extended_copies([2, None], 2) == [] and ca.extended_copies([2, 2], 5) == [] and ca.extended_copies([2, 2], 4) == [2, 2]
+
+
+def test_unknown_copies_are_called_as_one(spark):
+    rows = [(1, 7, i, 1 if i < 10 else 0) for i in range(60)]
+    obs = spark.createDataFrame([(0, v, s, r, a) for v, s, r, a in rows], "locus long, variant_id long, sample_id long, read_id long, allele_ix long")
+    calls = spark.createDataFrame([(1, 7, 6, [2, None, None], "0/0/0/0/0/1")], "variant_id long, sample_id long, agcn long, pscn array<int>, gt string")
+    where = spark.createDataFrame([(7, i, c, math.log(p)) for i in range(60) for c, p in enumerate((0.9, 0.05, 0.05) if i >= 40 else (0.02, 0.49, 0.49))], "sample_id long, read_id long, copy int, ln_prob double")
+    got = chain.paralog_calls(obs, calls, where, 2).collect()
+    assert len(got) == 1 and got[0]["paralog_gt"] == "0/0;0/0/0/1;+" and len(got[0]["copy_quals"]) == 3 and got[0]["copy_quals"][1] == got[0]["copy_quals"][2] > 10
+
+
 def test_overlaps_are_resolved_by_quality(spark):
     rows = [(1, 0, 0, 10, 5), (2, 0, 5, 15, 9), (3, 0, 12, 20, 8), (4, 0, 40, 50, 1), (5, 1, 0, 10, 2)]
     got = ca.resolve_overlaps(spark.createDataFrame(rows, "variant_id long, chrom_id long, s long, e long, quality long"))

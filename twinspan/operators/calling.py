@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -110,19 +109,34 @@ def pooled_genotypes(observations: DataFrame, copies: int, n_alleles: int, error
 
 
 @lru_cache(maxsize=None)
+def parts_of(counts: tuple[int, ...], size: int) -> tuple[tuple[int, ...], ...]:
+    """All ways to take `size` of some alleles, given how many there are of each: how many of each are taken."""
+    if len(counts) == 1:
+        return ((size,),) if size <= counts[0] else ()
+    return tuple((k, *rest) for k in range(min(size, counts[0]), -1, -1) if size - k <= sum(counts[1:]) for rest in parts_of(counts[1:], size - k))
+
+
+@lru_cache(maxsize=1 << 14)
 def copy_genotypes(counts: tuple[int, ...], copies: tuple[int, ...]) -> tuple[tuple[tuple[int, ...], ...], ...]:
-    """All different ways to deal a pooled genotype's alleles out to copies of the given numbers."""
-    alleles = [i for i, k in enumerate(counts) for _ in range(k)]
-    out = set()
-    for order in set(permutations(alleles)):
-        at, dealt = 0, []
-        for k in copies:
-            dealt.append(tuple(sorted(order[at : at + k])))
-            at += k
-        out.add(tuple(dealt))
+    """All different ways to deal a pooled genotype's alleles out to copies of the given numbers: copy by copy what it may
+    take of the alleles that are left, so the work grows with the result."""
+    if not copies:
+        return ((),)
+    out = []
+    for taken in parts_of(counts, copies[0]):
+        own = tuple(i for i, k in enumerate(taken) for _ in range(k))
+        out += [(own, *rest) for rest in copy_genotypes(tuple(c - k for c, k in zip(counts, taken)), copies[1:])]
     return tuple(sorted(out))
 
 
+def arrangements(dealt: tuple[tuple[int, ...], ...]) -> int:
+    """In how many orders of single chromosomes this is what the copies have."""
+    out = 1
+    for own in dealt:
+        out *= math.factorial(len(own)) // math.prod(math.factorial(own.count(a)) for a in set(own))
+    return out
+
+
 def read_support(location: np.ndarray, allele: np.ndarray, table: list[tuple[tuple[int, ...], ...]], error: float = 0.01) -> np.ndarray:
     """ln P(reads | per-copy genotype): location (reads, copies) in ln, allele of each read. A read's probability is
     the sum over copies of P(copy) times the share of its allele there."""
@@ -137,10 +151,12 @@ def read_support(location: np.ndarray, allele: np.ndarray, table: list[tuple[tup
 
 
 def extended_copies(cns: list[int | None], total: int) -> list[int]:
-    """Known copies as they are; the unknown ones are one copy with what remains of the total."""
+    """Known copies as they are; the unknown ones are one copy with what remains of the total. Empty where nothing fits."""
     known = [c for c in cns if c is not None]
     rest = total - sum(known)
-    return known + ([rest] if len(known) < len(cns) and rest > 0 else [])
+    if rest < 0 or (rest > 0) != (len(known) < len(cns)):
+        return []
+    return known + ([rest] if rest else [])
 
 
 # ------------------------------------------------------------------ biases, filters, overlaps

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logmath import LN10, genotypes, np_logsumexp
-from .calling import common_reads, conflicting, copy_genotypes, keep_consistent, location_probabilities, pooled_genotypes, read_support, variant_filters
+from .calling import common_reads, conflicting, copy_genotypes, extended_copies, keep_consistent, location_probabilities, pooled_genotypes, read_support, variant_filters
 from .grouped import map_groups
 from .variants import usability
 
@@ -98,32 +98,45 @@ def likely_genotypes(counts: list[int], total: int, config: ChainConfig) -> list
     return [g for g, p in zip(table, logs) if p >= np.log(config.threshold) or p == logs.max()]
 
 
+def _joined(logs: list[float], at: list[int], unknown: list[int]) -> list[float]:
+    """A read's ln probabilities of the known copies, and of all unknown ones together."""
+    return [logs[i] for i in at] + ([float(np_logsumexp(np.array([logs[i] for i in unknown])))] if unknown else [])
+
+
 def paralog_calls(observations: DataFrame, calls: DataFrame, locations: DataFrame, n_alleles: int, config: ChainConfig = ChainConfig()) -> DataFrame:
     """variant_id, sample_id, paralog_gt (`0/0;0/1`: a genotype for each copy), paralog_gq, copy_quals. All ways to deal the
     alleles of the pooled genotypes that are likely enough out to the copies are weighed by the reads, each with what is
-    known of its copy; a read that covers no informative PSV is from any copy, in proportion to their numbers."""
-    known = calls.filter(F.col("gt").isNotNull() & (F.size("pscn") > 0) & ~F.exists("pscn", lambda c: c.isNull()))
-    known = known.filter(F.aggregate("pscn", F.lit(0), lambda a, c: a + c.cast("int")) == F.col("agcn"))
+    known of its copy; a read that covers no informative PSV is from any copy, in proportion to their numbers. Copies of unknown
+    numbers are one copy with what the known ones leave of the total: its genotype stands in the place of the first of them, `+` in those
+    of the others, and all have its quality."""
+    known = calls.filter(F.col("gt").isNotNull() & (F.size("pscn") > 0) & F.exists("pscn", lambda c: c.isNotNull()))
+    rest = F.col("agcn") - F.aggregate("pscn", F.lit(0), lambda a, c: a + F.coalesce(c.cast("int"), F.lit(0)))
+    known = known.filter(F.when(F.exists("pscn", lambda c: c.isNull()), rest > 0).otherwise(rest == 0))
     where = locations.groupBy("sample_id", "read_id").agg(F.array_sort(F.collect_list(F.struct("copy", "ln_prob"))).alias("where"))
     reads = observations.select("variant_id", "sample_id", "read_id", "allele_ix").join(where, ["sample_id", "read_id"], "left")
-    rows = reads.join(known.select("variant_id", "sample_id", "pscn"), ["variant_id", "sample_id"]).select("variant_id", "sample_id", "pscn", "allele_ix", "where")
+    rows = reads.join(known.select("variant_id", "sample_id", "pscn", "agcn"), ["variant_id", "sample_id"]).select("variant_id", "sample_id", "pscn", "allele_ix", "where", "agcn")
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         for (variant, sample), group in groupby(every, key=lambda r: r[:2]):
             part = list(group)
-            copies = tuple(int(c) for c in part[0][2])
+            pscn = [None if c is None else int(c) for c in part[0][2]]
+            copies = tuple(extended_copies(pscn, int(part[0][5])))
+            at = [i for i, c in enumerate(pscn) if c is not None]  # places of the copies; the unknown ones behind all others
+            unknown = [i for i, c in enumerate(pscn) if c is None]
             pooled = likely_genotypes([sum(r[3] == i for r in part) for i in range(n_alleles)], sum(copies), config)
             table = [g for counts in pooled for g in copy_genotypes(counts, copies)]
             even = np.log(np.maximum(np.array(copies, float) / sum(copies), 1e-13))
-            location = np.array([[x["ln_prob"] for x in r[4]] if r[4] and len(r[4]) == len(copies) else even for r in part])
+            location = np.array([_joined([x["ln_prob"] for x in r[4]], at, unknown) if r[4] and len(r[4]) == len(pscn) else even for r in part])
             logs = read_support(location, np.array([r[3] for r in part]), table, config.error)
             best = int(np.round(logs, 9).argmax())
             apart = lambda same: min(MAX_PHRED, -10 / LN10 * float(np_logsumexp(logs[~same]))) if (~same).any() else MAX_PHRED
             quals = [max(0.0, apart(np.array([g[c] == table[best][c] for g in table]))) for c in range(len(copies))]
             whole = max(0.0, apart(np.arange(len(table)) == best))
-            out.append((variant, sample, ";".join("/".join(map(str, own)) if own else "." for own in table[best]), whole, quals))
+            texts = ["/".join(map(str, own)) if own else "." for own in table[best]]
+            shown = {i: (texts[k], quals[k]) for k, i in enumerate(at)} | {i: ("+" if n else texts[-1], quals[-1]) for n, i in enumerate(unknown)}
+            out.append((variant, sample, ";".join(shown[i][0] for i in range(len(pscn))), whole, [shown[i][1] for i in range(len(pscn))]))
             if len(out) >= 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), CALLS)], schema=CALLS)
                 out = []

@@ -29,7 +29,7 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class BytePairIds:
-    """Strings of the file's added tokens are ordinary text in flat(), plain() and counts(), and have their ids in with_added().
+    """Strings of the file's added tokens are ordinary text in flat(), plain() and encoded(), and have their ids in with_added().
     Files with a normalizer or another pre-tokenizer are encoded by the library as whole texts."""
 
     def __init__(self, path: str):
@@ -56,7 +56,7 @@ class BytePairIds:
         if unknown:
             met = list(map(tokens.__getitem__, unknown))
             new = list(dict.fromkeys(met))
-            found = [e.ids for at in range(0, len(new), TOGETHER) for e in self.ordinary.encode_batch(new[at : at + TOGETHER], add_special_tokens=False)]
+            found = self.encoded(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
@@ -65,10 +65,9 @@ class BytePairIds:
             out[unknown] = np.fromiter(map(self.slot.__getitem__, met), np.int64, len(met))
         return out
 
-    def counts(self, tokens: list[str]) -> list[int]:
-        """How many ids each pre-token has."""
-        slots = self.slots(tokens)
-        return self.sizes[slots].tolist()
+    def encoded(self, tokens: list[str]) -> list[list[int]]:
+        """The ids of each of some pre-tokens, which aren't remembered."""
+        return [e.ids for at in range(0, len(tokens), TOGETHER) for e in self.ordinary.encode_batch(tokens[at : at + TOGETHER], add_special_tokens=False)]
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""

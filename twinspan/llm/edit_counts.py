@@ -44,7 +44,7 @@ class Counter:
         out = list(map(self.known.get, tokens))
         if None in out:
             new = list(dict.fromkeys(t for t, n in zip(tokens, out) if n is None))
-            counted = dict(zip(new, self.ids.counts(new)))
+            counted = dict(zip(new, map(len, self.ids.encoded(new))))
             self.known.update((t, n) for t, n in counted.items() if len(t) < 64)
             out = [counted[t] if n is None else n for t, n in zip(tokens, out)]
         return out

@@ -66,7 +66,7 @@ class TokenIds:
         return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _exactly(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.exact.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(self.exact.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast:

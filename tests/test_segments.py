@@ -120,3 +120,12 @@ def test_segments_of_samples(spark):
     assert [(r["s"], r["e"], r["cn"]) for r in out[4]] == [(0, 1000, 4), (1000, 2000, 6), (2000, 5900, 4), (5900, 6000, 2)]
     assert {r["filter"] for r in out[7]} == {"NoGoodPSVs"} and len(out) == 12
     assert sg.paralog_segments(found.limit(0), psvs.limit(0)).count() == 0
+
+
+def test_profile_and_matrix(spark):
+    rows = [(1, 0, 5, 0, 100, 2, 30), (2, 0, 5, 50, 150, 3, 90), (3, 0, 5, 150, 200, 3, 10), (4, 0, 5, 300, 300, 1, 1), (5, 1, 5, 60, 80, None, 5), (6, 0, 6, 0, 10, 2, 30)]
+    df = spark.createDataFrame(rows, "entry_id long, sample_id long, chrom_id long, s long, e long, cn long, qual long")
+    got = sorted((tuple(r) for r in sg.copy_profile(df).collect()), key=str)
+    assert got == sorted([(0, 5, 0, 50, 2, 30), (0, 5, 50, 200, 3, 10), (1, 5, 60, 80, None, 5), (0, 6, 0, 10, 2, 30)], key=str)
+    cells = {(r["chrom_id"], r["s"]): r["values"] for r in sg.copy_matrix(df, [0, 1]).collect()}
+    assert cells == {(5, 0): ["2", "."], (5, 50): ["!", "."], (5, 60): ["!", "?"], (5, 80): ["!", "."], (5, 100): ["3", "."], (5, 150): ["3", "."], (6, 0): ["2", "."]}

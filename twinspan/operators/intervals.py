@@ -171,7 +171,7 @@ def previous_row(df: DataFrame, part: Sequence[str], order: str, columns: Sequen
     return rows.withColumn("_previous", F.coalesce(here, "_before")).drop("_before")
 
 
-def _numbered(rows: DataFrame, part: Sequence[str], order: Sequence[str], new: str, name: str) -> DataFrame:
+def numbered_runs(rows: DataFrame, part: Sequence[str], order: Sequence[str], new: str, name: str) -> DataFrame:
     """Numbers the runs that rows with new = 1 begin; rows have _bin. Equal rows get one number, whichever of them comes
     first, as the window's frame ends with the last of them."""
     local = Window.partitionBy(*part, "_bin").orderBy(*order)
@@ -190,14 +190,14 @@ def with_islands(df: DataFrame, part: Sequence[str], name: str, max_distance: in
     """Numbers the islands of intervals (s, e) whose distance is at most max_distance (0: only overlapping ones are one)."""
     rows = with_reach(df, part, ["e"], "_reach", width)
     rows = rows.withColumn("_new", F.when(F.col("s") <= F.col("_reach") + (max_distance - 1), 0).otherwise(1)).drop("_reach")
-    return _numbered(rows, part, ("s", "e"), "_new", name).drop("_new")
+    return numbered_runs(rows, part, ("s", "e"), "_new", name).drop("_new")
 
 
 def with_sessions(df: DataFrame, part: Sequence[str], pos: str, max_gap: int, name: str, width: int = STRETCH) -> DataFrame:
     """Numbers the runs of positions without a gap of more than max_gap."""
     rows = previous_row(df, part, pos, [pos], width)
     rows = rows.withColumn("_new", F.when(F.col(pos) - F.col(f"_previous.{pos}") <= max_gap, 0).otherwise(1)).drop("_previous")
-    return _numbered(rows, part, [pos], "_new", name).drop("_new")
+    return numbered_runs(rows, part, [pos], "_new", name).drop("_new")
 
 
 def merge_overlapping(df: DataFrame, max_distance: int = 1, part: Sequence[str] = ("chrom_id",), width: int = STRETCH) -> DataFrame:
@@ -263,7 +263,7 @@ def run_lengths(df: DataFrame, key: str, order: str, state: str, width: int = ST
     """Runs of equal states: (key, start_ix, end_ix exclusive, state)."""
     rows = previous_row(df.select(key, order, state), [key], order, [state, order], width)
     same = F.col("_previous").isNotNull() & F.col(f"_previous.{state}").eqNullSafe(F.col(state))
-    runs = _numbered(rows.withColumn("_c", F.when(same, 0).otherwise(1)).drop("_previous"), [key], [order], "_c", "_r")
+    runs = numbered_runs(rows.withColumn("_c", F.when(same, 0).otherwise(1)).drop("_previous"), [key], [order], "_c", "_r")
     return runs.groupBy(key, "_r").agg(F.min(order).alias("start_ix"), (F.max(order) + 1).alias("end_ix"), F.first(state).alias("state")).drop("_r")
 
 

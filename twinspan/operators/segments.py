@@ -1,5 +1,5 @@
 """Segments of one copy number: forced by hand, refined by the variants in them, linked where neighbours agree, and split up
-over the copies.
+over the copies; and what comes out of it by place of each copy.
 
 A group is one sample in one locus: its segments and the variants that tell copies apart there, some hundred rows.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logmath import np_logsumexp
 from .grouped import map_groups
+from .intervals import STRETCH, disjoint_regions, numbered_runs, previous_row
 from .paralog import copy_tuples, gene_conversions, psv_support
 
 MOST = 1000.0  # Phred
@@ -194,3 +195,37 @@ def paralog_segments(segments: DataFrame, psvs: DataFrame, forced: DataFrame | N
         " pscn string, pscn_qual string, marginals array<array<double>>, filter string, conversions string"
     )
     return map_groups(rows, ["locus", "sample_id"], ["kind", "s", "e"], run, schema)
+
+
+# ------------------------------------------------------------------ results by copy
+def by_copy(results: DataFrame, id_col: str = "result_id") -> DataFrame:
+    """results: id, sample_id, copies (array<struct<chrom_id,s,e>>), pscn and qual (arrays, one value a copy; null where unknown). A
+    row for each copy: id, copy (from 1), sample_id, chrom_id, s, e, cn, qual."""
+    each = results.select(id_col, "sample_id", F.posexplode(F.arrays_zip("copies", "pscn", "qual")).alias("k", "x"))
+    return each.select(id_col, (F.col("k") + 1).alias("copy"), "sample_id", "x.copies.chrom_id", "x.copies.s", "x.copies.e", F.col("x.pscn").alias("cn"), F.col("x.qual").alias("qual"))
+
+
+def copy_profile(entries: DataFrame, width: int = STRETCH) -> DataFrame:
+    """entries: entry_id, sample_id, chrom_id, s, e, cn, qual, which may overlap. What is known of each place of each sample: where
+    entries overlap, the one of the best quality (of equal ones the smaller id); then neighbours that touch and agree are one, with
+    the lowest of their qualities. sample_id, chrom_id, s, e, cn, qual."""
+    place = F.struct("sample_id", "chrom_id")
+    keyed = entries.filter("s < e").select("entry_id", place.alias("chrom_id"), "s", "e", "cn", "qual")
+    pieces = disjoint_regions(keyed, "entry_id").select("chrom_id", "s", "e", F.explode("covering").alias("entry_id"))
+    of = keyed.select("entry_id", F.struct("qual", (-F.col("entry_id")).alias("i"), "cn").alias("v")).groupBy("entry_id").agg(F.max("v").alias("v"))
+    best = pieces.join(of, "entry_id").groupBy("chrom_id", "s", "e").agg(F.max("v").alias("v")).select("chrom_id", "s", "e", F.col("v.cn").alias("cn"), F.col("v.qual").alias("qual"))
+    rows = previous_row(best, ["chrom_id"], "s", ["e", "cn"], width)
+    same = (F.col("_previous.e") == F.col("s")) & F.col("_previous.cn").eqNullSafe(F.col("cn"))
+    runs = numbered_runs(rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).drop("_previous"), ["chrom_id"], ["s"], "_new", "_run")
+    out = runs.groupBy("chrom_id", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("cn").alias("cn"), F.min("qual").alias("qual"))
+    return out.select("chrom_id.sample_id", "chrom_id.chrom_id", "s", "e", "cn", "qual")
+
+
+def copy_matrix(entries: DataFrame, samples: list[int]) -> DataFrame:
+    """entries as in copy_profile(). A row for each stretch that the same entries cover (chrom_id, s, e), with a text for each of the
+    samples in order: its number, `!` where its entries disagree, `?` where the one number is unknown, `.` where it has none."""
+    pieces = disjoint_regions(entries.filter("s < e"), "entry_id").select("chrom_id", "s", "e", F.explode("covering").alias("entry_id"))
+    values = pieces.join(entries.select("entry_id", "sample_id", F.coalesce(F.col("cn").cast("string"), F.lit("?")).alias("v")), "entry_id")
+    cells = values.groupBy("chrom_id", "s", "e", "sample_id").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise("!").alias("v"))
+    rows = cells.groupBy("chrom_id", "s", "e").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "v"))).alias("m"))
+    return rows.select("chrom_id", "s", "e", F.transform(F.array(*(F.lit(x).cast("bigint") for x in samples)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit("."))).alias("values"))

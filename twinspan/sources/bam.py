@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -42,11 +43,18 @@ def block_size(head: bytes) -> int | None:
     return int.from_bytes(head[16:18], "little") + 1
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path or URI lies, and its name there."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), urlparse(path).path
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class Blocks:
     """A file's blocks by their places, the last ones inflated kept."""
 
     def __init__(self, path: str):
-        where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        where, name = file_system(path)
         self.file, self.size = where.open_input_file(name), where.get_file_info(name).size
 
     def raw(self, at: int, n: int) -> bytes:
@@ -214,8 +222,8 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        where, name = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        info, scheme = where.get_file_info(name), self.path[: len(self.path) - len(name)] if "://" in self.path else ""
+        where, name = file_system(self.path)
+        info, scheme = where.get_file_info(name), self.path[: len(self.path) - len(name)] if self.path.endswith(name) else ""
         files = [info] if info.is_file else [f for f in where.get_file_info(fs.FileSelector(name)) if f.path.endswith(".bam")]
         return [Range(scheme + f.path, at, min(at + self.bytes, f.size)) for f in files for at in range(0, f.size, self.bytes)]
 
@@ -258,7 +266,7 @@ class BamWriter(DataSourceWriter):
         self.path, self.contigs = options["path"], [(n, int(k)) for n, k in (x.rsplit(":", 1) for x in options["contigs"].split(","))]
 
     def write(self, iterator) -> Written:
-        where, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        where, folder = file_system(self.path)
         where.create_dir(folder, recursive=True)
         name, index = f"{folder}/part-{uuid.uuid4().hex}.bam", {n: i for i, (n, _) in enumerate(self.contigs)}
         held = header_of(self.contigs)
@@ -273,7 +281,7 @@ class BamWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         """Files get their names when all are there, so a failed or repeated task leaves none behind."""
-        where, _ = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        where, _ = file_system(self.path)
         for m in messages:
             if m is not None:
                 where.move(m.path + ".tmp", m.path)

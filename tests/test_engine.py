@@ -491,7 +491,8 @@ def test_calls_without_known_copies(spark):
     cns = spark.createDataFrame([(1, 1, 4, [2, None]), (1, 2, None, None)], "variant_id long, sample_id long, agcn int, pscn array<int>")
     psvs = spark.createDataFrame([], "variant_id long, locus long, rank int, copy_alleles array<int>, f_values array<double>")
     got = {r["sample_id"]: r for r in chain.call_samples(obs, cns, psvs, 2)["variants"].collect()}
-    assert got[1]["gt"] == "0/0/1/1" and got[1]["paralog_gt"] is None and got[1]["filter"] == "UnknownPsCN"
+    assert got[1]["gt"] == "0/0/1/1" and got[1]["filter"] == "UnknownPsCN"
+    assert got[1]["paralog_gt"] in ("0/0;1/1", "0/1;0/1", "1/1;0/0") and got[1]["paralog_gq"] < 10  # nothing says which copy has what
     assert got[2]["gt"] is None and got[2]["filter"] == "UnknownAgCN"
 
 

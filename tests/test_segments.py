@@ -129,3 +129,73 @@ def test_profile_and_matrix(spark):
     assert got == sorted([(0, 5, 0, 50, 2, 30), (0, 5, 50, 200, 3, 10), (1, 5, 60, 80, None, 5), (0, 6, 0, 10, 2, 30)], key=str)
     cells = {(r["chrom_id"], r["s"]): r["values"] for r in sg.copy_matrix(df, [0, 1]).collect()}
     assert cells == {(5, 0): ["2", "."], (5, 50): ["!", "."], (5, 60): ["!", "?"], (5, 80): ["!", "."], (5, 100): ["3", "."], (5, 150): ["3", "."], (6, 0): ["2", "."]}
+
+
+# ------------------------------------------------------------------ f-values
+def mixture(rng, f, samples=40, copies=2):
+    totals = rng.choice([3, 4, 5], samples)
+    tuples = {t: pl.copy_tuples(int(t), copies) for t in np.unique(totals)}
+    groups = {t: np.flatnonzero(totals == t) for t in tuples}
+    posterior = {t: rng.dirichlet(np.ones(len(tuples[t])) * 0.3, len(own)) for t, own in groups.items()}
+    counts = np.zeros((samples, 2))
+    for t, own in groups.items():
+        for k, i in enumerate(own):
+            mix = pl.allele_distribution(tuples[t][int(posterior[t][k].argmax())], np.array(f))
+            share = rng.choice(t + 1, p=mix / mix.sum()) / t
+            counts[i, 0] = rng.binomial(30, min(max(share, 0.01), 0.99))
+            counts[i, 1] = 30 - counts[i, 0]
+    return pl.Mixture(counts, groups, tuples, posterior)
+
+
+@pytest.mark.parametrize("f", [(0.97, 0.9), (0.5, 0.5), (0.99, 0.2), (0.3, 0.95)])
+def test_f_values_are_at_least_as_likely_as_a_fine_grid(f):
+    rng = np.random.default_rng(int(f[0] * 100))
+    target = mixture(rng, f)
+    for x in (np.array([0.4, 0.7]), np.array([0.9, 0.2])):
+        slope = target(x)[1]
+        for c in range(2):
+            step = np.eye(2)[c] * 1e-6
+            assert math.isclose(slope[c], (target(x + step)[0] - target(x - step)[0]) / 2e-6, rel_tol=1e-4, abs_tol=1e-3)
+    _, value = pl.best_f_values(target, np.full(2, 0.98))
+    grid = np.linspace(pl.LOW_F, pl.HIGH_F, 60)
+    assert value >= max(target(np.array([a, b]))[0] for a in grid for b in grid) - 1e-6
+
+
+def test_three_copies_and_bounds():
+    target = mixture(np.random.default_rng(5), (0.98, 0.9, 0.95), 30, 3)
+    x, value = pl.best_f_values(target, np.full(3, 0.98))
+    grid = np.linspace(pl.LOW_F, pl.HIGH_F, 9)
+    assert value >= max(target(np.array(p))[0] for p in itertools.product(grid, repeat=3)) - 1e-6 and (x >= pl.LOW_F).all() and (x <= pl.HIGH_F).all()
+    x, _ = pl.climb(lambda x: (float(x.sum()), np.ones(2)), np.array([0.5, 0.5]))
+    assert np.allclose(x, pl.HIGH_F)
+
+
+def test_correlations_of_what_both_rows_have():
+    rng = np.random.default_rng(1)
+    share = rng.random((6, 30))
+    share[rng.random((6, 30)) < 0.3] = np.nan
+    share[5, 4:] = np.nan
+    got = pl.masked_correlation(share)
+    for i in range(6):
+        for j in range(6):
+            both = ~np.isnan(share[i]) & ~np.isnan(share[j])
+            if i == j or both.sum() < 5:
+                assert got[i, j] == 1 if i == j else np.isnan(got[i, j])
+            else:
+                assert math.isclose(got[i, j], np.corrcoef(share[i, both], share[j, both])[0, 1], abs_tol=1e-9)
+
+
+def test_a_masked_variant_does_not_move_the_clusters():
+    rng = np.random.default_rng(3)
+    base = rng.random((2, 40))
+    share = np.array([base[k // 7] + rng.normal(0, 0.05, 40) for k in range(14)]).clip(0.02, 0.98)
+    counts = np.stack([np.round(share * 50), 50 - np.round(share * 50)], axis=2)
+    halves = {tuple(np.flatnonzero(m)) for m in pl.variant_clusters(counts)}
+    assert halves == {tuple(range(7)), tuple(range(7, 14))}
+    masked = counts.copy()
+    masked[13, 3:] = 0
+    again = [set(np.flatnonzero(m).tolist()) - {13} for m in pl.variant_clusters(masked)]
+    assert {tuple(sorted(x)) for x in again} == {tuple(range(7)), tuple(range(7, 13))}
+    assert pl.variant_clusters(counts[:9]) == []
+    labels = pl.cluster_two(np.array([[0, 1, 9, 9], [1, 0, 8, 9], [9, 8, 0, 2], [9, 9, 2, 0]], float))
+    assert labels.tolist() == [0, 0, 1, 1]

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.logmath import golden_section, np_logsumexp
+from ..functions.logmath import np_logsumexp
 
 RELIABLE, SEMI_RELIABLE = 0.95, 0.80
 LN_PRIOR = -1.5 * math.log(10)
@@ -48,6 +49,25 @@ def allele_distribution(cns: tuple[int, ...], f: np.ndarray) -> np.ndarray:
     return out
 
 
+def allele_distribution_slopes(cns: tuple[int, ...], f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """allele_distribution() and how it changes with each f-value, (copies, total + 1): a binomial of k changes with its q as
+    k times the difference of two of k - 1."""
+    ones, slopes = [], []
+    for i, k in enumerate(cns):
+        q = f[i] if i == 0 else 1 - f[i]
+        pmf = lambda n: np.array([math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(n + 1)])  # noqa: B023, E731
+        ones.append(pmf(k))
+        less = pmf(k - 1) if k else np.zeros(0)
+        slopes.append((1 if i == 0 else -1) * k * (np.append(0.0, less) - np.append(less, 0.0)) if k else np.zeros(1))
+    out = []
+    for i in range(len(cns) + 1):
+        total = np.ones(1)
+        for j in range(len(cns)):
+            total = np.convolve(total, slopes[j] if i == j else ones[j])
+        out.append(total)
+    return out[-1], np.array(out[:-1])
+
+
 def with_allele_distribution(df: DataFrame, cns: str, f: str, out: str) -> DataFrame:
     """Adds allele_distribution() of each row's copy numbers (array of ints) and f-values (array of doubles)."""
 
@@ -93,42 +113,157 @@ def information(n1: np.ndarray, n2: np.ndarray) -> float:
     return float(min(1.0, 4 * np.mean(share * (1 - share))))
 
 
+LOW_F, HIGH_F = 0.03, 0.999
+STARTS = (0.05, 0.35, 0.65, 0.95)
+
+
+class Mixture:
+    """A variant's counts under the splits of its samples, as a function of its f-values: the expected ln likelihood over the samples'
+    posteriors, and a Beta(5, 1) prior on the largest f-value."""
+
+    def __init__(self, counts: np.ndarray, groups: dict, tuples: dict, posterior: dict):
+        self.parts = []
+        for t, own in groups.items():
+            logs = observation_logs(counts[own, 0], counts[own, 1], int(t))
+            top = logs.max(axis=1, keepdims=True)
+            self.parts.append((np.exp(logs - top), float((posterior[t] * top).sum()), posterior[t], tuples[t]))
+
+    def __call__(self, f: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value and its gradient."""
+        best = int(f.argmax())
+        value, slope = math.log(5) + 4 * math.log(max(f[best], 1e-12)), np.zeros(len(f))
+        slope[best] = 4 / max(f[best], 1e-12)
+        for seen, base, weight, splits in self.parts:
+            each = [allele_distribution_slopes(x, f) for x in splits]
+            p = np.maximum(seen @ np.array([m for m, _ in each]).T, 1e-300)  # samples, splits
+            value += base + float((weight * np.log(p)).sum())
+            share = weight / p
+            for c in range(len(f)):
+                slope[c] += float((share * (seen @ np.array([d[c] for _, d in each]).T)).sum())
+        return value, slope
+
+
+def climb(target, start: np.ndarray, low: float = LOW_F, high: float = HIGH_F, steps: int = 60, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """The top of target (value, gradient) near start, within a box, by a quasi-Newton method: the inverse Hessian is built up
+    from gradients, steps are cut off at the box, and coordinates that push against their bound are held there."""
+    x = np.clip(np.asarray(start, float), low, high)
+    value, slope = target(x)
+    inverse = np.eye(len(x)) * 1e-3
+    for _ in range(steps):
+        free = ~(((x <= low) & (slope < 0)) | ((x >= high) & (slope > 0)))
+        if not free.any() or np.abs(slope[free]).max() < tolerance * max(1.0, abs(value)):
+            break
+        way = np.where(free, inverse @ np.where(free, slope, 0), 0)
+        if way @ slope <= 0:
+            inverse, way = np.eye(len(x)) * 1e-3, np.where(free, slope, 0) * 1e-3
+        size = min(1.0, 0.5 / max(np.abs(way).max(), 1e-300))
+        while size > 1e-12:
+            new = np.clip(x + size * way, low, high)
+            then, slope_then = target(new)
+            if then >= value + 1e-4 * float(slope @ (new - x)):
+                break
+            size /= 2
+        else:
+            break
+        if np.abs(new - x).max() < 1e-9:
+            break
+        s, y = new - x, slope - slope_then  # of the function turned over, which is convex near a top
+        if s @ y > 1e-12:
+            rho, left = 1 / (s @ y), np.eye(len(x))
+            left = left - rho * np.outer(s, y)
+            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+        else:
+            inverse = inverse * 4  # straight or hollow here: longer steps
+        x, value, slope = new, then, slope_then
+    return x, value
+
+
+def best_f_values(target: Mixture, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """From the last values and from the best of a coarse grid, as there may be several tops."""
+    if len(start) <= 3:
+        grid = [np.array(x) for x in product(STARTS, repeat=len(start))]
+    else:
+        grid = [np.full(len(start), x) for x in STARTS]
+    coarse = max(grid, key=lambda x: target(x)[0])
+    return max((climb(target, x) for x in (start, coarse)), key=lambda r: r[1])
+
+
+def masked_correlation(share: np.ndarray, least: int = 5) -> np.ndarray:
+    """Pearson correlation of each two rows over the columns that both have; nan where these are fewer than `least`, or one row
+    is constant there."""
+    here = ~np.isnan(share)
+    x, h = np.where(here, share, 0.0), here.astype(float)
+    n = h @ h.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        own, other = x @ h.T, h @ x.T  # sums of a row where the other one is there, and the other way round
+        across = x @ x.T - own * other / n
+        spread = (x * x) @ h.T - own * own / n
+        r = across / np.sqrt(np.maximum(spread, 0) * np.maximum(spread.T, 0))
+    r[(n < least) | ~np.isfinite(r)] = np.nan
+    np.fill_diagonal(r, 1.0)
+    return np.clip(r, -1, 1)
+
+
+def row_distances(cor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances of the rows of a correlation matrix over the entries that both have, by their number; and the rows to
+    use: of two without any in common the one with fewer is left out."""
+    here = ~np.isnan(cor)
+    n = len(cor)
+    out, use = np.full((n, n), np.nan), np.ones(n, bool)
+    np.fill_diagonal(out, 0.0)
+    for i in range(n):
+        for j in range(i + 1, n) if use[i] else ():
+            both = here[i] & here[j]
+            if not use[j]:
+                continue
+            if both.any():
+                out[i, j] = out[j, i] = math.sqrt(((cor[i, both] - cor[j, both]) ** 2).sum()) / both.sum()
+            elif here[i].sum() > here[j].sum():
+                use[j] = False
+            else:
+                use[i] = False
+                break
+    return out, use
+
+
+LEAST_CLUSTER = 5
+
+
+def variant_clusters(counts: np.ndarray) -> list[np.ndarray]:
+    """Masks of the variants that go together over the samples, two groups at most; those of fewer than LEAST_CLUSTER are left
+    out, and all where there are too few variants to tell. A sample without reads of a variant counts for nothing there."""
+    depth = counts.sum(axis=2)
+    share = np.where(depth > 0, counts[:, :, 0] / np.maximum(depth, 1), np.nan)
+    distance, use = row_distances(masked_correlation(share))
+    at = np.flatnonzero(use)
+    if len(at) < 2 * LEAST_CLUSTER:
+        return []
+    labels = cluster_two(distance[np.ix_(at, at)])
+    return [np.isin(np.arange(len(counts)), at[labels == k]) for k in (0, 1) if LEAST_CLUSTER <= (labels == k).sum() < len(counts)]
+
+
 def fit_f_values(counts: np.ndarray, totals: np.ndarray, iterations: int = 100, tolerance: float = 0.01, copies: int = 2) -> dict:
     """Fits that start from all variants and from either cluster of variants that go together; the one under which
     all variants' counts are likeliest is taken. A noisy variant can hold a fit from all of them back."""
-    variants = len(counts)
-    starts = [np.ones(variants, bool)]
-    if variants >= 4:
-        share = counts[:, :, 0] / np.maximum(counts.sum(axis=2), 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            r = np.nan_to_num(np.corrcoef(share))
-        labels = cluster_two(1 - r)
-        starts += [labels == k for k in (0, 1) if 2 <= (labels == k).sum() < variants]
+    starts = [np.ones(len(counts), bool), *variant_clusters(counts)]
     return max((_fit(counts, totals, iterations, tolerance, copies, use) for use in starts), key=lambda m: m["explained"])
 
 
 def _fit(counts: np.ndarray, totals: np.ndarray, iterations: int, tolerance: float, copies: int, use: np.ndarray) -> dict:
     """counts: (variants, samples, 2); totals: copy number of each sample. E-step: posteriors of the splits of each
-    sample by the variants in use, weighted with their information and f-values; M-step: each variant's f-values one
-    after the other under a Beta(5, 1) prior on the larger one. Semi-reliable variants are in use from then on, if
-    there are any. Ends when the likelihood changes by less than tolerance."""
-    variants, samples, _ = counts.shape
+    sample by the variants in use, weighted with their information and f-values; M-step: all f-values of a variant at once
+    (best_f_values). Semi-reliable variants are in use from then on, if there are any. Ends when the likelihood changes by less than
+    tolerance."""
+    variants = len(counts)
     f = np.full((variants, copies), 0.98)
     tuples = {t: copy_tuples(int(t), copies) for t in np.unique(totals)}
     priors = {t: split_priors(x) for t, x in tuples.items()}
     groups = {t: np.flatnonzero(totals == t) for t in tuples}
     weights = np.array([information(counts[v, :, 0], counts[v, :, 1]) for v in range(variants)])
     history: list[float] = []
-    posterior: dict = {}
-
-    def variant_log(v: int, fv: np.ndarray) -> float:
-        out = math.log(5) + 4 * math.log(max(fv.max(), 1e-12))
-        for t, own in groups.items():
-            out += float((posterior[t] * psv_support(counts[v, own, 0], counts[v, own, 1], tuples[t], fv)).sum())
-        return out
-
+    values = np.zeros(variants)
     for _ in range(iterations):
-        total = 0.0
+        total, posterior = 0.0, {}
         for t, own in groups.items():
             logs = np.tile(priors[t], (len(own), 1))
             for v in np.flatnonzero(use):
@@ -138,18 +273,12 @@ def _fit(counts: np.ndarray, totals: np.ndarray, iterations: int, tolerance: flo
             posterior[t] = np.exp(logs - norm[:, None])
         history.append(total)
         for v in range(variants):
-            for c in range(copies):
-                def loss(x: float, v: int = v, c: int = c) -> float:
-                    fv = f[v].copy()
-                    fv[c] = x
-                    return -variant_log(v, fv)
-
-                f[v, c] = golden_section(loss, 0.03, 0.999, 20)
+            f[v], values[v] = best_f_values(Mixture(counts[v], groups, tuples, posterior), f[v])
         good = (f >= SEMI_RELIABLE).all(axis=1)
         use = good if good.any() else use
         if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
             break
-    explained = sum(variant_log(v, f[v]) for v in range(variants)) + sum(float((posterior[t] * priors[t]).sum()) for t in groups)
+    explained = float(values.sum()) + sum(float((posterior[t] * priors[t]).sum()) for t in groups)
     return {"f": f, "history": history, "explained": explained, "weights": weights, "reliable": (f >= RELIABLE).all(axis=1), "semi": (f >= SEMI_RELIABLE).all(axis=1)}
 
 
@@ -211,14 +340,17 @@ def f_values(allele_counts: DataFrame, by: tuple[str, ...] = ("locus",)) -> Data
 
 def cluster_two(distance: np.ndarray) -> np.ndarray:
     """Complete linkage down to two clusters; labels 0 and 1."""
-    clusters = [[i] for i in range(len(distance))]
-    while len(clusters) > 2:
-        _, a, b = min((distance[np.ix_(x, y)].max(), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j)
-        clusters[a] += clusters.pop(b)
-    labels = np.zeros(len(distance), int)
-    if len(clusters) == 2:
-        labels[clusters[1]] = 1
-    return labels
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    labels = np.arange(len(d))
+    for _ in range(len(d) - 2):
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        i, j = min(i, j), max(i, j)
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        labels[labels == j] = i
+    return (labels != labels.min()).astype(int) if len(d) else labels
 
 
 def gene_conversions(logs: np.ndarray, main: int, stay: float = 0.99, least: int = 2) -> list[tuple[int, int, int]]:

@@ -131,6 +131,32 @@ def test_profile_and_matrix(spark):
     assert cells == {(5, 0): ["2", "."], (5, 50): ["!", "."], (5, 60): ["!", "?"], (5, 80): ["!", "."], (5, 100): ["3", "."], (5, 150): ["3", "."], (6, 0): ["2", "."]}
 
 
+# ------------------------------------------------------------------ jumps
+def test_jumps_are_gathered_at_peaks():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 200):
+        for _ in range(20):
+            mass = rng.random(n) ** 6
+            got = cn.gathered_jumps(mass, 1e-3, int(rng.integers(2, 12)))
+            assert math.isclose(got.sum(), mass.sum()) and (got >= 0).all() and np.count_nonzero(got) <= np.count_nonzero(mass)
+    blurred = np.zeros(60)
+    blurred[18:23], blurred[40:43] = (0.01, 0.03, 0.05, 0.02, 0.01), (0.2, 0.3, 0.1)
+    got = cn.gathered_jumps(blurred, 1e-3)
+    assert np.flatnonzero(got).tolist() == [20, 41] and np.allclose(got[[20, 41]], [0.12, 0.6])
+    assert cn.peaks_of(np.array([0, 2, 2, 2, 1, 3, 0.0]), 1, 2) == [2, 5] and cn.peaks_of(np.array([0, 2, 2, 2, 1, 3, 0.0]), 1, 4) == [5]
+
+
+def test_shared_breakpoints_are_recovered():
+    """A third of the samples lose a copy at window 30 and have it back at 55: transitions peak there within one window."""
+    rng = np.random.default_rng(12)
+    copies = np.full((60, 80), 4)
+    copies[:20, 30:55] = 3
+    depth = rng.negative_binomial(8 * copies, 0.4)
+    m = cn.fit_group(depth, np.full(depth.shape, 8.0), np.full(depth.shape, 0.4), cn.HmmConfig(least_samples=10, iterations=15))
+    assert abs(int(m["down"].argmax()) - 29) <= 1 and abs(int(m["up"].argmax()) - 54) <= 1
+    assert np.count_nonzero(m["down"] > 1e-3) <= 3 and (m["paths"] == copies).mean() > 0.97
+
+
 # ------------------------------------------------------------------ f-values
 def mixture(rng, f, samples=40, copies=2):
     totals = rng.choice([3, 4, 5], samples)

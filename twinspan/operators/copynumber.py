@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logmath import golden_section, nb_logpmf, np_logsumexp
+from .grouped import Spaced
 
 TINY = 0.01  # copies that an absent region seems to have
 
@@ -30,6 +31,7 @@ class HmmConfig:
     multiplier_high: float = 2.1
     least_samples: int = 50
     best_states: int = 2
+    jump_reach: int = 10  # windows around a peak of jumps that are taken for one breakpoint
 
 
 def transitions(n: int, up: np.ndarray, down: np.ndarray, jump: int) -> np.ndarray:
@@ -119,6 +121,36 @@ def run_length_text(path: np.ndarray) -> str:
     return ";".join(f"{path[s]}x{e - s}" for s, e in zip(cuts, cuts[1:]))
 
 
+def peaks_of(values: np.ndarray, least: float, distance: int) -> list[int]:
+    """Local maxima of at least this height (of a plateau its middle), the higher first, none closer than distance to one before."""
+    rise = np.diff(np.concatenate(([-np.inf], values)))
+    starts = np.flatnonzero(rise != 0)
+    ends = np.append(starts[1:], len(values))
+    level = values[starts]
+    high = np.concatenate(([-np.inf], level[:-1])) < level
+    high &= np.append(level[1:], -np.inf) < level
+    places = ((starts + ends - 1) // 2)[high & (level >= least)]
+    near = Spaced(distance)
+    return sorted(int(i) for i in sorted(places, key=lambda i: (-values[i], i)) if near.take(int(i)))
+
+
+def gathered_jumps(mass: np.ndarray, least: float, distance: int = 10) -> np.ndarray:
+    """The expected jumps by position, with those around each peak moved to it: from the last peak's reach, or `distance` before,
+    to the middle to the next peak, or `distance` behind. Samples that change at one breakpoint then share its transition
+    however blurred their depths are. The sum stays."""
+    out, before = mass.copy(), 0
+    peaks = peaks_of(mass, least, distance)
+    for k, at in enumerate(peaks):
+        low, high = max(before, at - distance), min(len(mass), at + distance)
+        if k + 1 < len(peaks):
+            high = min(high, (at + peaks[k + 1]) // 2)
+        high = max(high, at + 1)
+        out[low:high] = 0
+        out[at] = mass[low:high].sum()
+        before = high
+    return out
+
+
 def fit_group(depth: np.ndarray, nb_n: np.ndarray, nb_p: np.ndarray, config: HmmConfig, reference_cn: int = 4) -> dict:
     """Baum-Welch over all samples of a group: transition rates by window, start probabilities and multipliers.
 
@@ -144,8 +176,8 @@ def fit_group(depth: np.ndarray, nb_n: np.ndarray, nb_p: np.ndarray, config: Hmm
         last = total
         xi = np.exp(np.array([r[1] for r in results])).sum(axis=0)
         mass = xi.sum(axis=(1, 2))
-        up = np.clip((xi * np.triu(np.ones((n, n)), 1)).sum(axis=(1, 2)) / np.maximum(mass, 1e-9), config.transition, 0.1)
-        down = np.clip((xi * np.tril(np.ones((n, n)), -1)).sum(axis=(1, 2)) / np.maximum(mass, 1e-9), config.transition, 0.1)
+        rates = ((xi * part).sum(axis=(1, 2)) / np.maximum(mass, 1e-9) for part in (np.triu(np.ones((n, n)), 1), np.tril(np.ones((n, n)), -1)))
+        up, down = (np.clip(gathered_jumps(r, config.transition, config.jump_reach), config.transition, 0.1) for r in rates)
         start = np.log((gamma[:, 0].sum(axis=0) + 1e-3) / (samples + n * 1e-3))
         cn = np.maximum(np.arange(n), TINY)
         expected = (gamma * cn).sum(axis=2)

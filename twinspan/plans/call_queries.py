@@ -277,21 +277,25 @@ def g22_mean_read_length(spark, d) -> DataFrame:
     return rel.primary_reads(view(spark, d, "reads")).groupBy("sample_id").agg(F.round(F.avg(50 + F.col("mapq")), 6).alias("mean_length"))
 
 
-@query("SELECT sample_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM reads WHERE sample_id % 2 = 0 GROUP BY 1", "reads")
+@query("SELECT sample_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM reads WHERE sample_id IN (SELECT r_regionkey FROM region) GROUP BY 1", "reads")
 def s22_read_store(spark, d) -> DataFrame:
-    """Reads kept by sample, of which half of the samples are read: folders in place of an index."""
+    """Reads kept by sample, of which those are read that a table names: folders in place of an index."""
     path = sc.scratch_path(spark, "reads")
     view(spark, d, "reads").repartition("sample_id").write.partitionBy("sample_id").parquet(path)
-    kept = spark.read.schema("read_id long, user_id long, pos long, mapq long, is_read2 long, sample_id long").parquet(path).filter("sample_id % 2 = 0")
+    kept = spark.read.schema("read_id long, user_id long, pos long, mapq long, is_read2 long, sample_id long").parquet(path)
+    kept = kept.join(F.broadcast(view(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("sample_id"))), "sample_id")
     return kept.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("places"))
 
 
-@query("SELECT item_id AS read_id, CAST(40 AS BIGINT) AS pos, '60=' AS cigar FROM benchmark WHERE length(text) >= 120")
+@query("SELECT item_id * 100000 + k AS read_id, CAST(k + 3 AS BIGINT) AS pos, '60=' AS cigar FROM (SELECT item_id, unnest(range(12, length(text) - 62, 40)) AS k FROM benchmark WHERE length(text) >= 75)")
 def m36_pooled_reads(spark, d) -> DataFrame:
-    """Reads of a copy of each passage, put on the passage itself."""
-    b = view(spark, d, "benchmark").filter("length(text) >= 120").withColumn("text", F.translate("text", "\n", " "))
-    reads = b.select(F.col("item_id").alias("read_id"), F.col("item_id").cast("bigint").alias("chrom_id"), F.lit(40).cast("bigint").alias("s"), F.lit(100).cast("bigint").alias("e"), F.expr("substring(text, 41, 60)").alias("seq"), F.lit(40).cast("bigint").alias("start2"))
-    copies = b.select(F.col("item_id").cast("bigint").alias("chrom_id"), F.lit(0).cast("bigint").alias("s"), F.length("text").cast("bigint").alias("e"), F.col("text").alias("copy1"), F.col("text").alias("copy2"), F.concat(F.length("text").cast("string"), F.lit("=")).alias("cigar"))
+    """Reads of 60 letters from all along a copy of each passage, which lacks three letters behind the first ten, put on the
+    passage itself."""
+    b = view(spark, d, "benchmark").filter("length(text) >= 75").withColumn("text", F.translate("text", "\n", " ")).withColumn("copy2", F.expr("concat(substring(text, 1, 10), substring(text, 14))"))
+    cut = b.select("item_id", "copy2", F.explode(F.sequence(F.lit(12), F.length("copy2") - 60, F.lit(40))).alias("k"))
+    item = F.col("item_id").cast("bigint")
+    reads = cut.select((item * 100000 + F.col("k")).alias("read_id"), item.alias("chrom_id"), F.col("k").cast("bigint").alias("s"), (F.col("k") + 60).cast("bigint").alias("e"), F.expr("substring(copy2, k + 1, 60)").alias("seq"), F.col("k").cast("bigint").alias("start2"))
+    copies = b.select(item.alias("chrom_id"), F.lit(0).cast("bigint").alias("s"), F.length("copy2").cast("bigint").alias("e"), F.col("text").alias("copy1"), "copy2", F.concat(F.lit("10=3D"), (F.length("text") - 13).cast("string"), F.lit("=")).alias("cigar"))
     return api.pool(reads, copies)
 
 

@@ -174,12 +174,14 @@ def bias(counts: DataFrame, columns: tuple[str, str]) -> DataFrame:
     return rows.withColumn("_p", phred(a, b, "_ta", "_tb")).groupBy("variant_id").agg(F.max("_p").alias("bias"))
 
 
-def variant_filters(depth: Column, strand_bias: Column, pair_bias: Column, agcn: Column, pscn: Column) -> Column:
-    """`PASS` or the names of what speaks against a call."""
+def variant_filters(depth: Column, strand_bias: Column, pair_bias: Column, agcn: Column, pscn: Column, conflict: Column | None = None, outside: Column | None = None) -> Column:
+    """`PASS` or the names of what speaks against a call. conflict: estimates that the variant overlaps differ
+    (copy_numbers_of_variants); outside: it reaches over the end of a copy."""
     tests = {
         "LowReadDepth": depth < LOW_DEPTH, "HighReadDepth": depth > HIGH_DEPTH, "StrandBias": strand_bias > MAX_BIAS, "UnpairedBias": pair_bias > MAX_BIAS,
         "UnknownAgCN": agcn.isNull(), "UnknownPsCN": agcn.isNotNull() & pscn.isNull(), "ZeroPsCN": pscn == 0,
     }
+    tests |= {k: c for k, c in (("ConflictingCN", conflict), ("OutOfBounds", outside)) if c is not None}
     tags = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in tests.items())))
     return F.when(F.size(tags) == 0, "PASS").otherwise(F.array_join(tags, ";"))
 

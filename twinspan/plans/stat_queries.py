@@ -141,6 +141,13 @@ def g21_an_ac_af(spark, d) -> DataFrame:
     return gt.allele_statistics(view(spark, d, "allele_counts"), "psv_ix", called).withColumn("af", F.round("af", 9)).withColumn("allele", F.col("allele").cast("bigint"))
 
 
+@query("SELECT psv_ix, round(least(10000, -10 / ln(10) * sum(ln((n0 + 1.0) / (n0 + n1 + n2 + 3)))), 6) AS quality FROM allele_counts GROUP BY 1", "allele_counts")
+def g21_site_quality(spark, d) -> DataFrame:
+    """How sure it is that some sample isn't the reference, where each has it with the share of its allele."""
+    ln_reference = F.ln((F.col("n0") + 1) / (F.col("n0") + F.col("n1") + F.col("n2") + 3))
+    return view(spark, d, "allele_counts").groupBy("psv_ix").agg(F.round(gt.site_quality(ln_reference), 6).alias("quality"))
+
+
 @query("SELECT sample_id, round(avg(depth1 + depth2), 6) AS mean_depth, CAST(floor(min(depth1)) AS BIGINT) AS low, CAST(ceil(max(depth1)) AS BIGINT) AS high FROM win_depth GROUP BY 1", "win_depth")
 def g23_mean_depth(spark, d) -> DataFrame:
     return view(spark, d, "win_depth").groupBy("sample_id").agg(F.round(F.avg(F.col("depth1") + F.col("depth2")), 6).alias("mean_depth"), F.min("depth1").alias("low"), F.max("depth1").alias("high"))

@@ -44,11 +44,11 @@ def p12_paralog_filters(spark, d) -> DataFrame:
 
 @query("""SELECT psv_ix, sample_id, CASE WHEN tags = '' THEN 'PASS' ELSE tags END AS filter FROM (SELECT psv_ix, sample_id, concat_ws(';', CASE WHEN n0 < 3 THEN 'LowReadDepth' END, CASE WHEN n0 > 2000 THEN 'HighReadDepth' END,
     CASE WHEN n1 > 30 THEN 'StrandBias' END, CASE WHEN n2 > 30 THEN 'UnpairedBias' END, CASE WHEN n2 % 3 = 0 THEN 'UnknownAgCN' END, CASE WHEN n2 % 3 <> 0 AND n1 % 4 = 0 THEN 'UnknownPsCN' END,
-    CASE WHEN n1 % 4 = 1 THEN 'ZeroPsCN' END) AS tags FROM allele_counts)""", "allele_counts")
+    CASE WHEN n1 % 4 = 1 THEN 'ZeroPsCN' END, CASE WHEN n0 % 6 = 5 THEN 'ConflictingCN' END, CASE WHEN n1 % 9 = 8 THEN 'OutOfBounds' END) AS tags FROM allele_counts)""", "allele_counts")
 def p13_variant_filters(spark, d) -> DataFrame:
     agcn = F.when(F.col("n2") % 3 != 0, F.col("n2"))
     pscn = F.when(F.col("n1") % 4 == 1, 0).when(F.col("n1") % 4 != 0, F.col("n1"))
-    return view(spark, d, "allele_counts").select("psv_ix", "sample_id", ca.variant_filters(F.col("n0"), F.col("n1"), F.col("n2"), agcn, pscn).alias("filter"))
+    return view(spark, d, "allele_counts").select("psv_ix", "sample_id", ca.variant_filters(F.col("n0"), F.col("n1"), F.col("n2"), agcn, pscn, F.col("n0") % 6 == 5, F.col("n1") % 9 == 8).alias("filter"))
 
 
 @query("SELECT psv_ix, sample_id, CASE WHEN n0 % 7 = 0 THEN 'skip' WHEN n1 % 5 = 0 THEN 'zero_agcn' WHEN n2 % 4 = 0 THEN 'unknown_pscn' WHEN n0 % 3 = 0 THEN 'one_allele' WHEN n1 < 20 THEN 'low_reference_quality' ELSE 'ok' END AS reason FROM allele_counts", "allele_counts")

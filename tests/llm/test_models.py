@@ -176,6 +176,15 @@ def toxic_run(spark):
     return [(r["toxic"], out[r["doc_id"]], *texts[r["doc_id"]]) for r in labels.collect() if r["doc_id"] % 3 == 0], sample.collect()
 
 
+def test_toxicity_of_odd_tables(spark):
+    """A very long text, repeated and null rows, clashing columns, no documents and no labels."""
+    docs = spark.createDataFrame([(1, "plain words here " * 30_000), (2, ""), (2, ""), (None, None)], "doc_id long, text string").selectExpr("*", "1 as p_toxic", "'x' as toxic")
+    labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
+    chain = tx.fit(tx.labelled(docs, labels))
+    assert len(tx.predict(docs, chain).collect()) == 4 and tx.predict(docs.limit(0), chain).count() == 0
+    assert tx.predict(docs, tx.fit(tx.labelled(docs.limit(0), labels.limit(0)))).count() == 4
+
+
 def test_held_out_toxicity(toxic_run):
     held, _ = toxic_run
     assert np.mean([p["toxic"] for t, p, *_ in held if t]) > 0.9 and np.mean([p["toxic"] for t, p, *_ in held if not t]) < 0.02

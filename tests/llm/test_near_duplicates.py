@@ -150,8 +150,11 @@ def plain_words(text):
 def plain_units(text):
     """Numbers of words before each unit's end, by the rule as the docstring has it."""
     words = plain_words(text)
-    value = [h >> 9 if e else h | 1 << 63 for _, h, e in words]
-    ends = [i + 1 for i, v in enumerate(value) if all(v < x for x in value[max(0, i - sub.REACH) : i]) and all(v <= x for x in value[i + 1 : i + 1 + sub.REACH])]
+    value = [h | 1 for _, h, _ in words]
+    stops = sorted({i + 1 for i, (_, _, e) in enumerate(words) if e} | {len(words)})
+    inside = {i for a, b in zip([0, *stops], stops) if b - a > sub.LONG_SENTENCE for i in range(a, b)}
+    ends = [i + 1 for i, v in enumerate(value) if i in inside and all(v < x for x in value[max(0, i - sub.REACH) : i]) and all(v <= x for x in value[i + 1 : i + 1 + sub.REACH])]
+    ends = sorted({*ends, *stops})
     out, at = [], 0
     for e in sorted({*ends, len(words)} - {0}):
         while e - at > sub.MAX_UNIT or (e - at > sub.CUT_UNIT and out and out[-1] == at and at not in ends and at):
@@ -279,6 +282,19 @@ def test_repeats_of_50_words_of_the_documents_are_found(spark):
     assert len(stretches) > 100 and min(share) > 0.2 and np.average(share, weights=words) > 0.93
 
 
+def test_most_units_are_whole_sentences(spark):
+    """Every sentence of LONG_SENTENCE words at most is one unit, and over half of the units are such."""
+    whole = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        words, marks = sub.word_hashes(r["text"] or "")
+        stops, units = np.append(0, np.flatnonzero(marks) + 1), sub.unit_ends(words, marks).tolist()
+        spans = {(a, b) for a, b in zip([0, *units], units)}
+        short = [(a, b) for a, b in zip(stops.tolist(), stops[1:].tolist()) if b - a <= sub.LONG_SENTENCE]
+        assert all(x in spans for x in short)
+        whole, total = whole + len(short), total + len(units)
+    assert whole > total / 2
+
+
 def test_near_copies_of_similarity_0_8_are_linked(spark):
     rng = random.Random(21)
     docs = {}

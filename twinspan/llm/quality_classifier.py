@@ -194,7 +194,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Nulls: a null text scores like an empty one; a row without an id is scored, is never learned from, and
     is not held out. Labels that are null or neither 0 nor 1 are left out, of repeated labels the largest
-    counts. Repeated rows each get their row. Very long texts are read whole. Other columns are not read.
+    counts. Repeated rows each get their row. Very long texts are read whole. Other columns are not read. A tie at the
+    threshold is predicted 1; equal scores are one point of the calibration. An empty table of documents gives an empty result.
     """
     computed = materialize(stats(docs, id_col, text_col), "stats", narrow=True)
     return score(computed, fit(computed, labels)).select(

@@ -2,7 +2,10 @@
 all rows it is given. All but the last return the columns of documents.
 
 The near-duplicate stage finds candidates by SimHash and Golay keys as op4 does, and compares sets of 5-word shingles
-exactly, at a similarity of 0.8; op4's digest is its own. Null texts are empty texts in every stage.
+exactly, at a similarity of 0.8; op4's digest is its own.
+
+In every stage null texts are empty texts, very long ones are read whole, further columns are carried along whatever their names, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,12 +45,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts without repeated spans and n_chars counted anew; a null text has none."""
+    """All rows, their texts without repeated spans and n_chars counted anew; a null text has none. Rows of one id and
+    text stay alike."""
     return remove_repeats(docs, removed_col="__twinspan_removed").drop("__twinspan_removed").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all rows; a null text is the end id alone."""
+    """The packed pieces of all rows, repeated ones each by themselves; a null text is the end id alone. Other columns are not read."""
     return pack_documents(docs)
 
 

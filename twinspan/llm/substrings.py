@@ -1,10 +1,9 @@
 """Substring dedup by sliding sentence spans: every run of several consecutive sentences is hashed, the
 hashes meet in one join, and sentences covered by a run that isn't its first appearance are removed.
 
-Sentences are units of the text's own words: a unit ends behind a word whose hash is the least among REACH words on
-either side, where words that end a sentence or a line always come before others. So long sentences are cut, very
-short ones are joined with a neighbour, and where a unit ends depends on REACH words around it and not on what the
-text began with: a repeated passage has the same units in each text, up to a few words at its ends.
+Units are sentences, which end with a line or behind a word with an end mark. One of over LONG_SENTENCE words is cut inside as well,
+behind each word whose hash is the least among REACH words on either side, so that where it is cut depends on the words around and not
+on where the sentence began: a repeated passage has the same units in each text, up to what is left of a sentence at its ends.
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ from .common import batch_of, materialize, slices, table
 
 UNITS = 2  # in a run, or as many more as it takes to reach MIN_WORDS
 MIN_WORDS = 16
-REACH = 4  # words on either side that a unit's end is the least of
+LONG_SENTENCE = 24  # words of a sentence that is one unit, at most
+REACH = 4  # words on either side that the end of a unit inside a sentence is the least of
 MAX_UNIT = 64  # words; longer units (of one word again and again) are cut every CUT_UNIT
 CUT_UNIT = 32
 HOT_SHARE = 1000  # a hash with over 1 in so many of the sampled runs is joined by broadcast: at most so many are
@@ -63,11 +63,15 @@ def unit_ends(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
-    value = np.where(ends, hashes >> np.uint64(9), hashes | np.uint64(1 << 63))
     most = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
+    value = hashes | np.uint64(1)
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, value, most)), REACH).min(axis=1)
-    cut = np.flatnonzero((value < around[:n]) & (value <= around[REACH + 1 :])) + 1
-    out = np.append(cut, n) if not len(cut) or cut[-1] != n else cut
+    stops = np.flatnonzero(ends) + 1
+    if not len(stops) or stops[-1] != n:
+        stops = np.append(stops, n)
+    lengths = np.diff(stops, prepend=0)
+    cut = np.flatnonzero((value < around[:n]) & (value <= around[REACH + 1 :]) & np.repeat(lengths > LONG_SENTENCE, lengths)) + 1
+    out = np.union1d(stops, cut)
     sizes = np.diff(out, prepend=0)
     if sizes.max() > MAX_UNIT:
         inner = [np.arange(e - s + CUT_UNIT, e, CUT_UNIT) for e, s in zip(out.tolist(), sizes.tolist()) if s > MAX_UNIT]

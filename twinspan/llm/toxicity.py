@@ -247,6 +247,7 @@ def predict(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGOR
 def op2_toxicity_chain(spark, sf_dir: str) -> DataFrame:
     """Nulls: a null text has no words; a row without an id is scored and never learned from. Labels other than
     0 and 1 are left out, of repeated labels the largest counts. No labelled rows, or of one class only:
-    constant probabilities. Repeated rows each get their row, other columns are not read."""
+    constant probabilities. Repeated rows each get their row, other columns are not read. Very long texts are read
+    whole, a probability at the threshold is toxic, an empty table of documents gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(labelled(docs, table(spark, sf_dir, "labels"))))

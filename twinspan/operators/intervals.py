@@ -124,9 +124,9 @@ def containment_join(a: DataFrame, b: DataFrame, width: int = BIN, longest: int
     return overlap_join(a, b, width, (F.col("b_s") >= F.col("s")) & (F.col("b_e") <= F.col("e")), longest)
 
 
-def overlap_semi(a: DataFrame, b: DataFrame, ids: Sequence[str], width: int = BIN, anti: bool = False) -> DataFrame:
+def overlap_semi(a: DataFrame, b: DataFrame, ids: Sequence[str], width: int = BIN, anti: bool = False, longest: int | None = None) -> DataFrame:
     """Rows of a (told apart by ids) that overlap any row of b, or none of them."""
-    hit = overlap_join(a.select(*ids, "chrom_id", "s", "e"), b.select("chrom_id", "s", "e"), width).select(*ids).distinct()
+    hit = overlap_join(a.select(*ids, "chrom_id", "s", "e"), b.select("chrom_id", "s", "e"), width, longest=longest).select(*ids).distinct()
     return a.join(hit, list(ids), "left_anti" if anti else "left_semi")
 
 
@@ -246,7 +246,8 @@ def disjoint_regions(df: DataFrame, id_col: str, part: Sequence[str] = ("chrom_i
     """Splits at all ends; each elementary segment with the sorted ids of the intervals that cover it."""
     segments = coverage(df, part)
     key = part[0]
-    pairs = overlap_join(segments.withColumnRenamed(key, "chrom_id"), df.select(F.col(key).alias("chrom_id"), "s", "e", id_col), width)
+    longest = df.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 1  # a segment lies in an interval: no need to look through them
+    pairs = overlap_join(segments.withColumnRenamed(key, "chrom_id"), df.select(F.col(key).alias("chrom_id"), "s", "e", id_col), width, longest=longest)
     return pairs.groupBy(F.col("chrom_id").alias(key), "s", "e").agg(F.array_sort(F.collect_set(f"b_{id_col}")).alias("covering"))
 
 

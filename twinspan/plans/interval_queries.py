@@ -117,7 +117,7 @@ def j01_point_in_window(spark, d) -> DataFrame:
 
 @query(f"SELECT a.chrom_id, count(*) AS n, CAST(sum(least(a.e,b.e)-greatest(a.s,b.s)) AS BIGINT) AS overlap FROM {_PAIRS} GROUP BY 1", "iv_a", "iv_b")
 def j02_interval_overlap_join(spark, d) -> DataFrame:
-    pairs = iv.overlap_join(view(spark, d, "iv_a"), view(spark, d, "iv_b"))
+    pairs = iv.overlap_join(view(spark, d, "iv_a"), view(spark, d, "iv_b"), longest=100)
     size = iv.overlap_size(F.col("s"), F.col("e"), F.col("b_s"), F.col("b_e"))
     return pairs.groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("overlap"))
 
@@ -137,7 +137,7 @@ def j04_overlap_length(spark, d) -> DataFrame:
 @query("SELECT x.b_id AS id1, y.b_id AS id2 FROM iv_b x JOIN iv_b y ON x.chrom_id = y.chrom_id AND x.s < y.e AND y.s < x.e AND x.b_id < y.b_id", "iv_b")
 def j05_self_overlap_join(spark, d) -> DataFrame:
     b = view(spark, d, "iv_b")
-    return iv.overlap_join(b, b, residual=F.col("b_id") < F.col("b_b_id")).select(F.col("b_id").alias("id1"), F.col("b_b_id").alias("id2"))
+    return iv.overlap_join(b, b, residual=F.col("b_id") < F.col("b_b_id"), longest=100).select(F.col("b_id").alias("id1"), F.col("b_b_id").alias("id2"))
 
 
 @query("SELECT b_id, s, e FROM iv_b b WHERE EXISTS (SELECT 1 FROM iv_a a WHERE a.chrom_id = b.chrom_id AND a.s < b.e AND b.s < a.e)", "iv_a", "iv_b")

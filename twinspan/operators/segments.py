@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logmath import np_logsumexp
+from .covers import first_covering
 from .grouped import map_groups
 from .intervals import STRETCH, disjoint_regions, numbered_runs, previous_row
 from .paralog import copy_tuples, gene_conversions, psv_support
@@ -209,16 +210,13 @@ def copy_profile(entries: DataFrame, width: int = STRETCH) -> DataFrame:
     """entries: entry_id, sample_id, chrom_id, s, e, cn, qual, which may overlap. What is known of each place of each sample: where
     entries overlap, the one of the best quality (of equal ones the smaller id); then neighbours that touch and agree are one, with
     the lowest of their qualities. sample_id, chrom_id, s, e, cn, qual."""
-    place = F.struct("sample_id", "chrom_id")
-    keyed = entries.filter("s < e").select("entry_id", place.alias("chrom_id"), "s", "e", "cn", "qual")
-    pieces = disjoint_regions(keyed, "entry_id").select("chrom_id", "s", "e", F.explode("covering").alias("entry_id"))
-    of = keyed.select("entry_id", F.struct("qual", (-F.col("entry_id")).alias("i"), "cn").alias("v")).groupBy("entry_id").agg(F.max("v").alias("v"))
-    best = pieces.join(of, "entry_id").groupBy("chrom_id", "s", "e").agg(F.max("v").alias("v")).select("chrom_id", "s", "e", F.col("v.cn").alias("cn"), F.col("v.qual").alias("qual"))
-    rows = previous_row(best, ["chrom_id"], "s", ["e", "cn"], width)
+    best = first_covering(entries.filter("s < e"), ["sample_id", "chrom_id"], [F.desc_nulls_last("qual"), "entry_id", F.desc_nulls_last("cn")], ["cn", "qual"])
+    part = ["sample_id", "chrom_id"]
+    rows = previous_row(best, part, "s", ["e", "cn"], width)
     same = (F.col("_previous.e") == F.col("s")) & F.col("_previous.cn").eqNullSafe(F.col("cn"))
-    runs = numbered_runs(rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).drop("_previous"), ["chrom_id"], ["s"], "_new", "_run")
-    out = runs.groupBy("chrom_id", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("cn").alias("cn"), F.min("qual").alias("qual"))
-    return out.select("chrom_id.sample_id", "chrom_id.chrom_id", "s", "e", "cn", "qual")
+    runs = numbered_runs(rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).drop("_previous"), part, ["s"], "_new", "_run")
+    out = runs.groupBy(*part, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("cn").alias("cn"), F.min("qual").alias("qual"))
+    return out.select(*part, "s", "e", "cn", "qual")
 
 
 def copy_matrix(entries: DataFrame, samples: list[int]) -> DataFrame:

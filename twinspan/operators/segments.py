@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logmath import np_logsumexp
-from .covers import first_covering
+from .covers import first_covering, matrix
 from .grouped import map_groups
-from .intervals import STRETCH, disjoint_regions, numbered_runs, previous_row
+from .intervals import STRETCH, numbered_runs, previous_row
 from .paralog import copy_tuples, gene_conversions, psv_support
 
 MOST = 1000.0  # Phred
@@ -222,8 +222,5 @@ def copy_profile(entries: DataFrame, width: int = STRETCH) -> DataFrame:
 def copy_matrix(entries: DataFrame, samples: list[int]) -> DataFrame:
     """entries as in copy_profile(). A row for each stretch that the same entries cover (chrom_id, s, e), with a text for each of the
     samples in order: its number, `!` where its entries disagree, `?` where the one number is unknown, `.` where it has none."""
-    pieces = disjoint_regions(entries.filter("s < e"), "entry_id").select("chrom_id", "s", "e", F.explode("covering").alias("entry_id"))
-    values = pieces.join(entries.select("entry_id", "sample_id", F.coalesce(F.col("cn").cast("string"), F.lit("?")).alias("v")), "entry_id")
-    cells = values.groupBy("chrom_id", "s", "e", "sample_id").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise("!").alias("v"))
-    rows = cells.groupBy("chrom_id", "s", "e").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "v"))).alias("m"))
-    return rows.select("chrom_id", "s", "e", F.transform(F.array(*(F.lit(x).cast("bigint") for x in samples)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit("."))).alias("values"))
+    texts = entries.filter("s < e").withColumn("v", F.coalesce(F.col("cn").cast("string"), F.lit("?")))
+    return matrix(texts, ["chrom_id"], "sample_id", samples, "v", "!", ".")

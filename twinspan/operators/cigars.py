@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,3 +274,57 @@ def truly_clipped(ops: Column, qualities: Column, low_quality: int, slack: int)
     size = lambda x: F.when(x["op"] == "S", x["len"]).otherwise(0)
     left, right = size(first), F.when(F.size(ops) > 1, size(last)).otherwise(0)
     return (left > low(F.slice(qualities, F.lit(1), left)) + slack) | (right > low(F.slice(qualities, F.greatest(n - right, F.lit(0)) + 1, right)) + slack)
+
+
+# ------------------------------------------------------------------ many alignments in arrays
+class Alignments:
+    """The operations of a column of CIGARs one behind the other: of which row each is, its length and letter, and where it
+    starts on either sequence. As in parse_cigar() what is no operation is passed over; a null has none."""
+
+    def __init__(self, cigars: pa.Array):
+        cigars = cigars.cast(pa.large_string()) if len(cigars) else pa.array([], pa.large_string())
+        offsets = np.frombuffer(cigars.buffers()[1], np.int64)[cigars.offset : cigars.offset + len(cigars) + 1] if len(cigars) else np.zeros(1, np.int64)
+        data = cigars.buffers()[2]
+        text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        at = np.flatnonzero(np.isin(text, np.frombuffer(b"MIDNSHP=X", np.uint8)))
+        row = np.searchsorted(offsets, at, "right") - 1
+        begin = offsets[row]
+        length, factor, k = np.zeros(len(at), np.int64), 1, 0
+        more = np.ones(len(at), bool)
+        while more.any() and k < 18:
+            k += 1
+            digit = text[np.maximum(at - k, 0)].astype(np.int64) - 48
+            more &= (at - k >= begin) & (digit >= 0) & (digit <= 9)
+            length += np.where(more, digit * factor, 0)
+            factor *= 10
+            if k == 1:
+                numbered = more.copy()
+        if len(at):
+            at, row, length = at[numbered], row[numbered], length[numbered]
+        if cigars.null_count:
+            own = cigars.is_valid().to_numpy(zero_copy_only=False)[row]
+            at, row, length = at[own], row[own], length[own]
+        self.n, self.row, self.length, self.op = len(cigars), row, length, text[at]
+        self.on_ref, self.on_read = (np.isin(self.op, np.frombuffer("".join(ops).encode(), np.uint8)) for ops in (REF_OPS, READ_OPS))
+        self.ref, self.ref_length = self._starts(self.on_ref)
+        self.read, self.read_length = self._starts(self.on_read)
+        own = np.flatnonzero(self.on_ref & (length > 0))
+        self._base = np.cumsum(self.ref_length + 1) - self.ref_length - 1
+        self._own, self._key = own, self._base[row[own]] + self.ref[own]
+
+    def _starts(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = np.where(counted, self.length, 0)
+        total = np.bincount(self.row, step, self.n).astype(np.int64)
+        return np.cumsum(step) - step - (np.cumsum(total) - total)[self.row], total
+
+    def regions(self, row: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """aligned_region() of reference intervals of rows: s and e on the read, and whether both are there."""
+        n = self.ref_length[row]
+        there = (s >= 0) & (s < n) & (e > 0) & (e <= n)
+        row, s, e = (np.where(there, x, 0) for x in (row, s, e))
+        out = []
+        for place, side in ((s, "right"), (e, "left")):
+            k = self._own[np.maximum(np.searchsorted(self._key, self._base[row] + place, side) - 1, 0)] if len(self._own) else np.zeros(len(row), np.int64)
+            out.append(np.where(there, self.read[k] + np.where(self.on_read[k], place - self.ref[k], 0), 0) if len(self._own) else np.zeros(len(row), np.int64))
+        return out[0], out[1], there

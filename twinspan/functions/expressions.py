@@ -34,6 +34,13 @@ def parse_info(info: Column) -> Column:
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
+def info_value(info: Column, key: str) -> Column:
+    """parse_info()[key] without a map: the text behind the last `key=`, null if the key comes again behind it, without `=`."""
+    all_of = F.concat(F.lit(";"), info, F.lit(";"))
+    rest = F.substring_index(all_of, f";{key}=", -1)
+    return F.when(F.contains(all_of, F.lit(f";{key}=")) & ~F.contains(rest, F.lit(f";{key};")), F.nullif(F.substring_index(rest, ";", 1), F.lit("")))
+
+
 class _Compiler:
     def __init__(self, info: str, as_text: bool):
         self.info, self.as_text = info, as_text

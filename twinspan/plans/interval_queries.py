@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import parse_info
+from ..functions.expressions import info_value
 from ..operators import intervals as iv
 from ..operators import relational as rel
 from .analogs import view, with_views
@@ -39,9 +39,8 @@ def p01_expression_filter(spark, d) -> DataFrame:
 
 @query(f"SELECT dup_id, {_SEP} AS sep, {_LEN} AS length, {_SS} AS seq_sim, {_MULT} AS av_mult FROM hom", "hom")
 def p02_typed_info(spark, d) -> DataFrame:
-    info = view(spark, d, "hom").withColumn("m", parse_info(F.col("info")))
-    number = lambda k: F.try_element_at("m", F.lit(k)).try_cast("double")
-    return info.select("dup_id", number("SEP").alias("sep"), number("ALENGTH").alias("length"), number("SS").alias("seq_sim"), number("av_mult").alias("av_mult"))
+    number = lambda k: info_value(F.col("info"), k).try_cast("double")
+    return view(spark, d, "hom").select("dup_id", number("SEP").alias("sep"), number("ALENGTH").alias("length"), number("SS").alias("seq_sim"), number("av_mult").alias("av_mult"))
 
 
 @query("SELECT sample_id, count(*) AS n, CAST(sum(mapq) AS BIGINT) AS mapq FROM reads WHERE flag & 3844 = 0 GROUP BY 1", "reads")

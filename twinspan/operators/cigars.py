@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.lambdas import let
 
@@ -277,6 +280,12 @@ def truly_clipped(ops: Column, qualities: Column, low_quality: int, slack: int)
 
 
 # ------------------------------------------------------------------ many alignments in arrays
+def _mask(letters) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in letters]] = True
+    return out
+
+
 class Alignments:
     """The operations of a column of CIGARs one behind the other: of which row each is, its length and letter, and where it
     starts on either sequence. As in parse_cigar() what is no operation is passed over; a null has none."""
@@ -287,26 +296,28 @@ class Alignments:
         data = cigars.buffers()[2]
         text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        at = np.flatnonzero(np.isin(text, np.frombuffer(b"MIDNSHP=X", np.uint8)))
+        at = np.flatnonzero(_mask("MIDNSHP=X")[text])
         row = np.searchsorted(offsets, at, "right") - 1
         begin = offsets[row]
         length, factor, k = np.zeros(len(at), np.int64), 1, 0
-        more = np.ones(len(at), bool)
+        more, digits = np.ones(len(at), bool), np.ones(len(at), np.int64)
         while more.any() and k < 18:
             k += 1
             digit = text[np.maximum(at - k, 0)].astype(np.int64) - 48
             more &= (at - k >= begin) & (digit >= 0) & (digit <= 9)
             length += np.where(more, digit * factor, 0)
+            digits[more & (digit > 0)] = k  # without zeros in front
             factor *= 10
             if k == 1:
                 numbered = more.copy()
         if len(at):
-            at, row, length = at[numbered], row[numbered], length[numbered]
+            at, row, length, digits = at[numbered], row[numbered], length[numbered], digits[numbered]
         if cigars.null_count:
             own = cigars.is_valid().to_numpy(zero_copy_only=False)[row]
-            at, row, length = at[own], row[own], length[own]
+            at, row, length, digits = at[own], row[own], length[own], digits[own]
         self.n, self.row, self.length, self.op = len(cigars), row, length, text[at]
-        self.on_ref, self.on_read = (np.isin(self.op, np.frombuffer("".join(ops).encode(), np.uint8)) for ops in (REF_OPS, READ_OPS))
+        self._text, self._at, self._begin, self._null = text, at, at - digits, cigars.is_null().to_numpy(zero_copy_only=False)
+        self.on_ref, self.on_read = (_mask(ops)[self.op] for ops in (REF_OPS, READ_OPS))
         self.ref, self.ref_length = self._starts(self.on_ref)
         self.read, self.read_length = self._starts(self.on_read)
         own = np.flatnonzero(self.on_ref & (length > 0))
@@ -328,3 +339,81 @@ class Alignments:
             k = self._own[np.maximum(np.searchsorted(self._key, self._base[row] + place, side) - 1, 0)] if len(self._own) else np.zeros(len(row), np.int64)
             out.append(np.where(there, self.read[k] + np.where(self.on_read[k], place - self.ref[k], 0), 0) if len(self._own) else np.zeros(len(row), np.int64))
         return out[0], out[1], there
+
+    def _cut(self, begin: np.ndarray, end: np.ndarray, of: np.ndarray | None = None, n: int = 0, as_other: bool = False) -> pa.Array:
+        """The stretches of text, one a row, or those of a row (of: ascending row numbers below n) behind each other."""
+        size = end - begin
+        bytes_of = self._text[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        if as_other:
+            bytes_of = _OTHER[bytes_of]
+        total = size if of is None else np.bincount(of, size, n).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(total), pa.py_buffer(offsets), pa.py_buffer(bytes_of)).cast(pa.string())
+
+    def texts(self, reverse: bool = False, revert: bool = False) -> pa.Array:
+        """format_cigar() of the operations, in reverse order or as the other sequence sees them."""
+        order = np.arange(len(self.row))
+        if reverse:
+            count = np.bincount(self.row, minlength=self.n)
+            first = np.cumsum(count) - count
+            order = (2 * first + count - 1)[self.row] - order
+        made = self._cut(self._begin[order], self._at[order] + 1, self.row, self.n, revert)
+        return pc.if_else(pa.array(self._null), pa.scalar(None, pa.string()), made)
+
+    def _touched(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The aligned operations that each row's reference interval touches first and last, those of the rows that have any (some)."""
+        own = np.flatnonzero(_mask(BOTH_OPS)[self.op])
+        if not len(own):
+            none = np.zeros(0, np.int64)
+            return np.zeros(self.n, bool), none, none, none
+        base, n = self._base, self.ref_length
+        starts = base[self.row[own]] + self.ref[own]
+        first = np.searchsorted(starts + self.length[own], base + np.clip(s, -1, n), "right")
+        last = np.searchsorted(starts, base + np.clip(e, 0, n + 1), "left") - 1
+        count = np.bincount(self.row[own], minlength=self.n)
+        begin = np.cumsum(count) - count
+        some = (count > 0) & (first < begin + count) & (last >= begin) & (first <= last)
+        return some, np.flatnonzero(some), own[first[some]], own[last[some]]
+
+    def lift(self, s: np.ndarray, e: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """lift() of a reference interval of each row."""
+        some, row, a, b = self._touched(s, e)
+        out = np.zeros((2, self.n), np.int64)
+        out[0, row] = self.read[a] + np.maximum(0, s[row] - self.ref[a])
+        out[1, row] = self.read[b] + np.minimum(self.length[b], e[row] - self.ref[b])
+        return tuple(pa.array(x, mask=~some) for x in out)
+
+    def sub_texts(self, s: np.ndarray, e: np.ndarray) -> pa.Array:
+        """format_cigar(sub_cigar()) of a reference interval of each row: what is between its first and last aligned operation
+        is all of it."""
+        some, row, a, b = self._touched(s, e)
+        left = lambda k: np.minimum(self.ref[k] + self.length[k], e[row]) - np.maximum(self.ref[k], s[row])
+        count = b - a + 1
+        op = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+        own = np.repeat(np.arange(len(row)), count)
+        inner = (op != a[own]) & (op != b[own])
+        letter = lambda k: self._cut(self._at[k], self._at[k] + 1)
+        number = lambda x: pa.array(x).cast(pa.string())
+        middle = self._cut(self._begin[op[inner]], self._at[op[inner]] + 1, own[inner], len(row))
+        end = pc.if_else(pa.array(a == b), "", pc.binary_join_element_wise(number(left(b)), letter(b), ""))
+        made = pc.binary_join_element_wise(number(left(a)), letter(a), middle, end, "")
+        at = np.full(self.n, -1, np.int64)
+        at[row] = np.arange(len(row))
+        return made.take(pa.array(at, mask=at < 0))
+
+
+_OTHER = np.arange(256, dtype=np.uint8)
+_OTHER[[ord("I"), ord("D")]] = ord("D"), ord("I")
+
+
+def with_alignments(df: DataFrame, cigar: str, f: Callable[[Alignments, Callable[[str], np.ndarray]], list[pa.Array]], columns: str) -> DataFrame:
+    """Adds columns that f makes of the alignments of many rows at a time; it gets other columns of numbers without nulls by name."""
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = f(Alignments(b.column(b.schema.get_field_index(cigar))), lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip([*b.columns, *made], arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

@@ -103,7 +103,7 @@ def l08_extended_cigar(spark, d) -> DataFrame:
 
 @query(f"SELECT id, CAST(q AS STRING) || '=1X' || CAST(ln AS STRING) || 'D' || CAST(m AS STRING) || '=' || CAST(ln + 1 AS STRING) || 'I5=' AS reverted, '5=' || CAST(ln + 1 AS STRING) || 'D' || CAST(m AS STRING) || '=' || CAST(ln AS STRING) || 'I1X' || CAST(q AS STRING) || '=' AS reversed FROM {_C}")
 def l10_reverse_revert(spark, d) -> DataFrame:
-    rows = _parsed(spark, d, ("reverted", lambda ops: cg.format_cigar(cg.revert_cigar(ops))), ("reversed", lambda ops: cg.format_cigar(cg.reverse_cigar(ops))))
+    rows = cg.with_alignments(_cigars(spark, d).select("id", "cigar"), "cigar", lambda all_of, c: [all_of.texts(revert=True), all_of.texts(reverse=True)], "reverted string, reversed string")
     return rows.select("id", "reverted", "reversed")
 
 

@@ -50,8 +50,7 @@ def l01_cigar_lengths(spark, d) -> DataFrame:
 @query(f"""SELECT id, q // 2 AS s, CASE WHEN m >= 2 THEN q + 1 + ln + 2 ELSE q + 1 + ln + m END AS e FROM {_C}""")
 def l03_liftover(spark, d) -> DataFrame:
     """Lifts one interval of each alignment, from inside its first block to inside its second, to its read."""
-    rows = _parsed(spark, d, ("l", lambda ops: cg.lift(ops, F.floor(F.col("q") / 2), F.col("q") + 3)))
-    return rows.select("id", "l.s", "l.e")
+    return cg.with_alignments(_cigars(spark, d).select("id", "q", "cigar"), "cigar", lambda all_of, c: [*all_of.lift(c("q") // 2, c("q") + 3)], "s bigint, e bigint").select("id", "s", "e")
 
 
 @query(f"""SELECT id, q AS inside_s, q + 1 + least(ln, ln % 3) AS inside_e, q + 1 + ln + m AS gone_s, q + 1 + ln + m AS gone_e FROM {_C}""")

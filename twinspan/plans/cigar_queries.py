@@ -74,8 +74,7 @@ def l04_regions(spark, d) -> DataFrame:
 
 @query(f"SELECT id, concat(CAST(q - q // 2 AS STRING), '=1X', CAST(ln AS STRING), 'I', CAST(least(m, 2) AS STRING), '=') AS part FROM {_C}")
 def l05_sub_cigar(spark, d) -> DataFrame:
-    rows = _parsed(spark, d, ("part", lambda ops: cg.format_cigar(cg.sub_cigar(cg.segments(ops), F.floor(F.col("q") / 2), F.col("q") + 3))))
-    return rows.select("id", "part")
+    return cg.with_alignments(_cigars(spark, d).select("id", "q", "cigar"), "cigar", lambda all_of, c: [all_of.sub_texts(c("q") // 2, c("q") + 3)], "part string").select("id", "part")
 
 
 @query(f"""WITH c AS (SELECT DISTINCT q, ln, m FROM {_C}) SELECT q, ln, m, q AS ref_s, q + 1 AS ref_e, q AS read_s, q + 1 + ln AS read_e FROM c

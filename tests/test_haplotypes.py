@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from twinspan.operators import haplotypes as hp
 from twinspan.operators import intervals as iv
 from twinspan.operators.alignment import parse
+from twinspan.operators.grouped import columns_as_lists
 
 COPIES = "copy_id long, locus long, chrom_id long, s long, e long, seq2 string, s1 long, e1 long, seq1 string, cigar string, forward boolean"
 CALLS = "variant_id long, sample_id long, gt array<int>, phased boolean"
@@ -150,3 +152,33 @@ def test_nothing_to_pool(spark):
     made = hp.pool_variants(empty, spark.createDataFrame([], CALLS), spark.createDataFrame(copies[:1], COPIES), spark.createDataFrame([(0,)], "sample_id long"))
     assert made["variants"].count() == 0 and [tuple(r) for r in made["regions"].collect()] == [(7, 1000, 1300)]
     assert made["variants"].select(F.size("gt")).count() == 0
+
+
+def test_sequences_are_read_once_and_any_copy_may_be_first(spark, monkeypatch):
+    """The first copy lies on a part of copy 1 only, and each haplotype has a bucket of its own."""
+    monkeypatch.setattr(hp, "BUCKET", 1, raising=False)
+    rng = random.Random(8)
+    seq1 = "".join(rng.choice("ACGT") for _ in range(300))
+    other = lambda c: "ACGT"["TGCA".index(c)]
+    copies = [(1, 7, 1, 0, 100, seq1[:100], 1000, 1100, seq1[:100], "100=", True), (2, 7, 2, 5000, 5300, seq1, 1000, 1300, seq1, "300=", True)]
+    at = (50, 150, 250)
+    records = [(i, 2, 5000 + p, seq1[p], [other(seq1[p])]) for i, p in enumerate(at)]
+    calls = [(i, sample, [int(sample == i), int(sample == 3)], True) for i in range(3) for sample in range(4)]
+    n_read = spark.sparkContext.accumulator(0)
+
+    def read(seq):
+        n_read.add(1)
+        return seq
+
+    given = spark.createDataFrame(copies, COPIES).withColumn("seq1", F.udf(read, "string")("seq1"))
+    made = hp.pool_variants(spark.createDataFrame(records, "variant_id long, chrom_id long, s long, ref string, alts array<string>"), spark.createDataFrame(calls, CALLS), given, spark.createDataFrame([(s,) for s in range(4)], "sample_id long"))
+    rows = {(r["s"] - 1000, r["sample_id"]): (r["alleles"], r["gt"], r["cn"]) for r in made["variants"].collect()}
+    want = {(p, s): ([seq1[p], other(seq1[p])], [0, 0] * (p < 100) + [int(s == i), int(s == 3)], [2, 2] if p < 100 else [2]) for i, p in enumerate(at) for s in range(4)}
+    assert rows == want and n_read.value == len(copies)
+
+
+def test_columns_as_lists():
+    columns = [[1, None, 3, 4], [1, 2, 3, 4], [1.5, 2.0, float("inf"), 0.0], [True, None, False, True], [[1, 2], None, [], [None, 3]], [["a"], ["b", "c"], None, []], [[{"a": 1}], [], None, [{"a": 2}]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefg"))
+    for part in (batch, batch.slice(1), batch.slice(1, 2), batch.slice(4)):
+        assert columns_as_lists(part) == [c.to_pylist() for c in part.columns]

@@ -6,23 +6,31 @@ anew between stretches that agree, and compared with copy 1; records are made of
 in which the result holds: where every copy that lies there was kept.
 
 A haplotype is looked at once however many samples have it. Groups are (copy, sample) lists of records and buckets of
-a copy's haplotypes, so a copy's sequence is in some tasks and nothing grows with the number of samples in one of them.
+a copy's haplotypes, so nothing grows with the number of samples in one of them. A copy's sequences are read in one step only, once
+for each bucket, of which a copy has one unless it has very many haplotypes; before it and behind it go places and numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import written
-from .alignment import align, parse, text
-from .grouped import map_groups
+from .alignment import align, parse
+from .grouped import columns_as_lists, map_groups
 from .intervals import kept_stretches, merge_overlapping, overlap_join, with_islands
 
 PAD = 1  # bases beside a discarded record that go with it
 ANCHOR = 8  # letters that agree in a row, between which haplotypes are aligned anew
-BUCKETS = 16
+BUCKET = 64  # about so many of a copy's haplotypes are looked at together
+SHORT = 64  # letters; alignments of stretches up to here are remembered
 PLOIDY = 2  # of a sample without records in a copy
 _COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
 
@@ -34,12 +42,40 @@ def reverse_complement(seq: str) -> str:
 
 
 # ------------------------------------------------------------------ one haplotype
+@lru_cache(maxsize=1 << 14)
+def _short(a: str, b: str) -> tuple[tuple[int, str], ...]:
+    return tuple(parse(align(a, b)[0]))
+
+
+def _aligned(a: str, b: str) -> tuple[tuple[int, str], ...] | list[tuple[int, str]]:
+    """Most stretches are of few letters and come again and again."""
+    return _short(a, b) if len(a) + len(b) <= SHORT else parse(align(a, b)[0])
+
+
+def _letters(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode(), np.uint8) if t.isascii() else np.frombuffer(t.encode("utf-32-le"), np.uint32)
+
+
+_letters_again = lru_cache(maxsize=2)(_letters)  # copy 1's, for one haplotype after the other
+
+
+def _joined(ops: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Without empty operations; neighbours of one kind are one."""
+    out: list[tuple[int, str]] = []
+    for n, op in ops:
+        if n and out and out[-1][1] == op:
+            out[-1] = (out[-1][0] + n, op)
+        elif n:
+            out.append((n, op))
+    return out
+
+
 def haplotype(seq: str, edits: list[Edit]) -> tuple[str, list[tuple[int, str]]]:
     """The sequence with its edits (in order, none over another), and its alignment on the sequence without."""
     out, ops, at = [], [], 0
     for s, e, alt in edits:
         out += [seq[at:s], alt]
-        ops += [(s - at, "="), *parse(align(seq[s:e], alt)[0])]
+        ops += [(s - at, "="), *_aligned(seq[s:e], alt)]
         at = e
     return "".join([*out, seq[at:]]), [*ops, (len(seq) - at, "=")]
 
@@ -71,22 +107,24 @@ def compose(outer: list[tuple[int, str]], inner: list[tuple[int, str]]) -> list[
 def realigned(reference: str, read: str, ops: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """Keeps stretches of at least ANCHOR equal letters and aligns what lies between them anew."""
     anchors, i, j = [], 0, 0
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (reference, read))
+    x, y = _letters_again(reference), _letters(read)
     for n, op in ops:
         if op in "M=X":
-            differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-            first, last = np.concatenate(([0], differ + 1)), np.append(differ, n)
-            anchors += [(i + a, j + a, b - a) for a, b in zip(first.tolist(), last.tolist()) if b - a >= ANCHOR]
+            first = 0
+            for last in [*(x[i : i + n] != y[j : j + n]).nonzero()[0].tolist(), n]:
+                if last - first >= ANCHOR:
+                    anchors.append((i + first, j + first, last - first))
+                first = last + 1
             i, j = i + n, j + n
         else:
             i, j = i + n * (op in "DN"), j + n * (op in "IS")
     out, i, j = [], 0, 0
     for a, b, n in [*anchors, (len(reference), len(read), 0)]:
         if reference[i:a] or read[j:b]:
-            out += parse(align(reference[i:a], read[j:b])[0])
+            out += _aligned(reference[i:a], read[j:b])
         out.append((n, "="))
         i, j = a + n, b + n
-    return parse(text(out))
+    return _joined(out)
 
 
 def edits_of(reference: str, read: str, ops: list[tuple[int, str]]) -> list[Edit]:
@@ -209,48 +247,86 @@ def sample_haplotypes(called: DataFrame, distance: int) -> DataFrame:
     return map_groups(called.select(*columns), ["copy_id", "sample_id"], ["s", "e", "variant_id"], run, schema)
 
 
-def lifted_edits(distinct: DataFrame, copies: DataFrame) -> DataFrame:
-    """(copy_id, edits) to rows copy_id, edits, locus, s, e, alt on copy 1. A copy's sequences come once a bucket, in front."""
-    bucket = F.pmod(F.xxhash64("edits"), F.lit(BUCKETS)).cast("int")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("locus", "bigint"), ("s", "bigint"), ("s1", "bigint"), ("seq1", "string"), ("seq2", "string"), ("cigar", "string"), ("forward", "boolean"))]
-    asked = distinct.select("copy_id", bucket.alias("bucket"), F.lit(1).alias("kind"), "edits", *empty)
-    given = copies.join(distinct.select("copy_id", bucket.alias("bucket")).distinct(), "copy_id")
-    given = given.select("copy_id", "bucket", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("edits"), "locus", "s", "s1", "seq1", "seq2", "cigar", "forward")
+def haplotype_buckets(haps: DataFrame) -> DataFrame:
+    """haps: copy_id, edits (any number of times). Each copy's different haplotypes in buckets of about BUCKET: copy_id, bucket,
+    n_buckets, edits (an array). In a copy a haplotype's number is its place in the bucket * n_buckets + bucket."""
+    n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("copy_id")) / BUCKET)
+    rows = haps.select("copy_id", "edits").distinct().withColumn("n_buckets", n).withColumn("bucket", F.pmod(F.xxhash64("edits"), F.col("n_buckets")))
+    return rows.groupBy("copy_id", "bucket", "n_buckets").agg(F.array_sort(F.collect_list("edits")).alias("edits"))
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        _, _, _, _, locus, s2, s1, seq1, seq2, cigar, forward = rows[0]
-        out = []
-        for copy_id, _, _, edits, *_ in rows[1:]:
-            own = [(int(s) - s2, int(e) - s2, alt) for s, e, alt in (x.split(":") for x in edits.split(";") if x)]
-            out += [(copy_id, edits, locus, s1 + s, s1 + e, alt) for s, e, alt in on_copy_1(seq1, seq2, cigar, forward, own)]
-        return out
 
-    return map_groups(given.union(asked), ["copy_id", "bucket"], ["kind"], run, "copy_id bigint, edits string, locus bigint, s bigint, e bigint, alt string")
+def numbered_haplotypes(buckets: DataFrame) -> DataFrame:
+    """copy_id, edits, hap_id."""
+    rows = buckets.select("copy_id", "bucket", "n_buckets", F.posexplode("edits").alias("k", "edits"))
+    return rows.select("copy_id", "edits", (F.col("k") * F.col("n_buckets") + F.col("bucket")).alias("hap_id"))
+
+
+def lifted_edits(buckets: DataFrame, copies: DataFrame) -> DataFrame:
+    """buckets: haplotype_buckets(). Rows copy_id, hap_id, locus, s, e, ref, alt: each haplotype's differences from copy 1. A copy's
+    sequences are shuffled once, and once more for each bucket only where a copy has several."""
+    rows = buckets.join(copies.select("copy_id", "locus", "s", "s1", "seq1", "seq2", "cigar", "forward"), "copy_id")
+    if not buckets.filter("n_buckets > 1").isEmpty():
+        rows = rows.repartition("copy_id", "bucket")
+    typed = StructType.fromDDL("copy_id bigint, hap_id bigint, locus bigint, s bigint, e bigint, ref string, alt string")
+    arrow = to_arrow_schema(typed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for copy_id, bucket, n, haps, locus, s2, s1, seq1, seq2, cigar, forward in zip(*columns_as_lists(batch.slice(at, 256))):
+                    for k, edits in enumerate(haps):
+                        own = [(int(s) - s2, int(e) - s2, alt) for s, e, alt in (x.split(":") for x in edits.split(";") if x)]
+                        out += [(copy_id, k * n + bucket, locus, s1 + s, s1 + e, seq1[s:e], alt) for s, e, alt in on_copy_1(seq1, seq2, cigar, forward, own)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    columns = ("copy_id", "bucket", "n_buckets", "edits", "locus", "s", "s1", "seq1", "seq2", "cigar", "forward")
+    return rows.select(*columns).mapInArrow(run, typed)
 
 
 # ------------------------------------------------------------------ records on copy 1
-def pooled_records(haps: DataFrame, lifted: DataFrame, copies: DataFrame) -> DataFrame:
-    """haps: copy_id, sample_id, hap, edits (every haplotype). Records of differences that overlap: locus, s, e, alleles (copy
-    1's first), and of each sample gt (allele numbers by copy and haplotype) and cn (haplotypes of each copy, by copy_id), over
-    the copies that lie there."""
-    places = written(with_islands(lifted.select("locus", "s", "e").distinct(), ["locus"], "record", 0), "record-places")
-    spans = places.groupBy("locus", "record").agg(F.min("s").alias("rs"), F.max("e").alias("re"))
-    first = copies.groupBy("locus").agg(F.min_by("seq1", "copy_id").alias("seq1"), F.min_by("s1", "copy_id").alias("s1"))
-    spans = spans.join(first, "locus").select("locus", "record", "rs", "re", F.expr("substring(seq1, cast(rs - s1 + 1 as int), cast(re - rs as int))").alias("ref"))
+def _gathered(rows: DataFrame, keys: list[str], order: list[str], **lists: Column) -> DataFrame:
+    """One row of each group, with lists of its rows' values (without nulls) in order. Groups are many and small: a window only sorts
+    them, an aggregate would write each list out and read it again."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select(*keys, *(F.collect_list(c).over(whole).alias(name) for name, c in lists.items()), F.row_number().over(w).alias("_k")).filter("_k = 1").drop("_k")
+
+
+def pooled_records(haps: DataFrame, lifted: DataFrame, bounds: DataFrame) -> DataFrame:
+    """haps: copy_id, sample_id, hap, hap_id (every haplotype). lifted: lifted_edits(). bounds: copy_id, locus, s1, e1 of the copies.
+    Records of differences that overlap: locus, s, e, alleles (copy 1's first), and of each sample gt (allele numbers by copy and
+    haplotype) and cn (haplotypes of each copy, by copy_id), over the copies that lie there."""
+    places = written(with_islands(lifted.select("locus", "s", "e", "ref").distinct(), ["locus"], "record", 0), "record-places")
+    # copy 1's letters all along a record are put together from those of its places, which overlap
+    cut = lambda text, at, s: F.substring(text, (at - s + 1).cast("int"), F.length(text))
+    longer = lambda acc, x: F.when(x["e"] > acc["at"], F.struct(F.concat(acc["t"], cut(x["ref"], acc["at"], x["s"])).alias("t"), x["e"].alias("at"))).otherwise(acc)
+    spans = places.groupBy("locus", "record").agg(F.min("s").alias("rs"), F.max("e").alias("re"), F.array_sort(F.collect_list(F.struct("s", "e", "ref"))).alias("d"))
+    spans = spans.select("locus", "record", "rs", "re", F.aggregate("d", F.struct(F.lit("").alias("t"), F.col("rs").alias("at")), longer, lambda acc: acc["t"]).alias("ref"))
     # an allele is the reference with a haplotype's differences put in; done once for each haplotype that is different
-    own = lifted.join(places, ["locus", "s", "e"]).groupBy("locus", "record", "copy_id", "edits").agg(F.array_sort(F.collect_list(F.struct("s", "e", "alt"))).alias("d")).join(spans, ["locus", "record"])
-    tail = lambda acc: F.substring(F.col("ref"), (acc["at"] - F.col("rs") + 1).cast("int"), F.length("ref"))
     step = lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("ref"), (acc["at"] - F.col("rs") + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), x["alt"]).alias("t"), x["e"].alias("at"))
-    allele = F.aggregate("d", F.struct(F.lit("").alias("t"), F.col("rs").alias("at")), step, lambda acc: F.concat(acc["t"], tail(acc)))
-    own = own.withColumn("allele", allele).select("locus", "record", "copy_id", "edits", "allele", "ref")
-    alleles = own.groupBy("locus", "record").agg(F.first("ref").alias("ref"), F.array_sort(F.collect_set("allele")).alias("a"))
-    records = alleles.select("locus", "record", F.concat(F.array("ref"), F.array_remove("a", F.col("ref"))).alias("alleles")).join(spans.select("locus", "record", "rs", "re"), ["locus", "record"])
-    here = copies.select("locus", "copy_id", "s1", "e1")
-    active = records.join(here, "locus").filter("s1 <= rs and re <= e1").drop("s1", "e1").join(haps, "copy_id")
-    called = active.join(own.drop("ref"), ["locus", "record", "copy_id", "edits"], "left").withColumn("ix", F.coalesce(F.array_position("alleles", F.col("allele")) - 1, F.lit(0)).cast("int"))
-    by_copy = called.groupBy("locus", "rs", "re", "alleles", "sample_id", "copy_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hap", "ix"))), lambda x: x["ix"]).alias("g"))
-    out = by_copy.groupBy("locus", F.col("rs").alias("s"), F.col("re").alias("e"), "alleles", "sample_id").agg(F.array_sort(F.collect_list(F.struct("copy_id", "g"))).alias("g"))
-    return out.select("locus", "s", "e", "alleles", "sample_id", F.flatten(F.transform("g", lambda x: x["g"])).alias("gt"), F.transform("g", lambda x: F.size(x["g"])).alias("cn"))
+    allele = F.aggregate("d", F.struct(F.lit("").alias("t"), F.col("rs").alias("at")), step, lambda acc: F.concat(acc["t"], cut(F.col("ref"), acc["at"], F.col("rs"))))
+    # shuffled by record, which is all that the groups and joins below need
+    own = lifted.drop("ref").join(places.drop("ref"), ["locus", "s", "e"]).repartition("locus", "record")
+    own = _gathered(own, ["locus", "record", "copy_id", "hap_id"], ["s", "e", "alt"], d=F.struct("s", "e", "alt")).join(spans, ["locus", "record"])
+    own = written(own.select("locus", "record", "copy_id", "hap_id", "rs", "re", "ref", allele.alias("allele")), "haplotype-alleles")
+    records = own.groupBy("locus", "record").agg(*(F.first(c).alias(c) for c in ("rs", "re", "ref")), F.array_sort(F.collect_set("allele")).alias("a"))
+    records = written(records.select("locus", "record", "rs", "re", F.concat(F.array("ref"), F.array_remove("a", F.col("ref"))).alias("alleles")), "records")
+    # of each sample a row for each copy that lies there, with its haplotypes' number, and one for each that isn't like copy 1
+    active = records.select("locus", "record", "rs", "re").join(bounds.select("locus", "copy_id", "s1", "e1"), "locus").filter("s1 <= rs and re <= e1")
+    sizes = haps.groupBy("copy_id", "sample_id").agg(F.count(F.lit(1)).cast("int").alias("ix")).withColumn("hap", F.lit(-1))
+    there = active.select("locus", "record", "copy_id").join(sizes, "copy_id")
+    other = own.filter("allele != ref").join(records.select("locus", "record", "alleles"), ["locus", "record"])
+    other = other.select("locus", "record", "copy_id", "hap_id", (F.array_position("alleles", F.col("allele")) - 1).cast("int").alias("ix")).join(haps, ["copy_id", "hap_id"])
+    columns = ("locus", "record", "sample_id", "copy_id", "hap", "ix")
+    both = there.select(*columns).unionByName(other.select(*columns)).repartition("locus", "record")
+    one, several = F.when(F.col("hap") >= 0, F.struct("copy_id", "hap", "ix")), F.when(F.col("hap") < 0, F.struct("copy_id", "ix"))
+    out = _gathered(both, ["locus", "record", "sample_id"], ["copy_id", "hap"], n=several, o=one)
+    number = lambda c, hap: F.aggregate("o", F.lit(0), lambda acc, x: F.when((x["copy_id"] == c["copy_id"]) & (x["hap"] == hap), x["ix"]).otherwise(acc))
+    gt = F.flatten(F.transform("n", lambda c: F.transform(F.sequence(F.lit(0), c["ix"] - 1), lambda hap: number(c, hap))))
+    out = out.filter("size(n) > 0").join(records, ["locus", "record"])
+    return out.select("locus", F.col("rs").alias("s"), F.col("re").alias("e"), "alleles", "sample_id", gt.alias("gt"), F.transform("n", lambda c: c["ix"]).alias("cn"))
 
 
 def result_regions(marks: DataFrame, copies: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -285,16 +361,19 @@ def pool_variants(records: DataFrame, calls: DataFrame, copies: DataFrame, sampl
 
     variants: pooled_records(). regions: result_regions(). A sample without records in a copy has PLOIDY haplotypes like the
     copy itself; one whose genotypes in a copy are missing or of different sizes is an error."""
-    placed = written(accepted_records(written(records_in_copies(records, copies, limits), "records-in-copies")), "placed-records")
+    bounds = written(copies.select("copy_id", "locus", "chrom_id", "s", "e", "s1", "e1"), "copy-bounds")
+    placed = written(accepted_records(written(records_in_copies(records, bounds, limits), "records-in-copies")), "placed-records")
     called = placed.join(calls, "variant_id")
     made = written(sample_haplotypes(called, distance), "sample-haplotypes")
     with_records = made.filter("hap is not null").select("copy_id", "sample_id", "hap", "edits")
-    others = copies.select("copy_id").crossJoin(samples.select("sample_id").distinct()).join(with_records.select("copy_id", "sample_id").distinct(), ["copy_id", "sample_id"], "left_anti")
+    others = bounds.select("copy_id").crossJoin(samples.select("sample_id").distinct()).join(with_records.select("copy_id", "sample_id").distinct(), ["copy_id", "sample_id"], "left_anti")
     plain = others.select("copy_id", "sample_id", F.explode(F.sequence(F.lit(0), F.lit(PLOIDY - 1))).alias("hap"), F.lit("").alias("edits"))
     haps = with_records.unionByName(plain)
-    lifted = written(lifted_edits(haps.select("copy_id", "edits").distinct(), copies), "lifted-edits")
+    buckets = written(haplotype_buckets(haps), "haplotypes")
+    lifted = written(lifted_edits(buckets, copies), "lifted-edits")
+    haps = written(haps.join(numbered_haplotypes(buckets), ["copy_id", "edits"]).drop("edits"), "numbered-haplotypes")
     marks = placed.filter("mark_s is not null").select("copy_id", F.col("mark_s").alias("s"), F.col("mark_e").alias("e"))
     marks = marks.unionByName(made.filter("mark_s is not null").select("copy_id", F.col("mark_s").alias("s"), F.col("mark_e").alias("e")))
-    return {"variants": pooled_records(haps, lifted, copies), "regions": result_regions(marks, copies, limits)}
+    return {"variants": pooled_records(haps, lifted, bounds), "regions": result_regions(marks, copies, limits)}
 
 
